@@ -5,7 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import raking
+from .common import fold_of, table
+
+
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_extract
+
+    out = html_extract.extract(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_crf
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_crf.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality_crf.score(docs, model)
+    return scored.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +33,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = raking.mix(table(spark, sf_dir, "documents"))
+    mixed = {c: F.col(f"_mix_{c}") for c in ("source", "lang", "topic", "n_tokens", "weight", "probability", "kept")}
+    return out.select("doc_id", *[(F.round(v, 6) if c in ("weight", "probability") else v).alias(c) for c, v in mixed.items()])
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secret_scan
 
@@ -54,5 +77,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op5_byte_bpe, op7_secret_scan, op8_topk_search, op9_url_filter)}
-ORACLE_SQL = {"op8_topk_search": OP8_SQL}
+def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import merkle
+
+    return merkle.fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_html_extract, op4_quality_crf, op5_byte_bpe, op6_raking, op7_secret_scan, op8_topk_search, op9_url_filter, op10_merkle)}
+ORACLE_SQL = {"op6_raking": raking.sql(), "op8_topk_search": OP8_SQL}
