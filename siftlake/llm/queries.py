@@ -9,6 +9,12 @@ from . import raking
 from .common import fold_of, table
 
 
+def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import maxent_lm
+
+    return maxent_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import html_extract
 
@@ -83,5 +89,5 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_html_extract, op4_quality_crf, op5_byte_bpe, op6_raking, op7_secret_scan, op8_topk_search, op9_url_filter, op10_merkle)}
+QUERIES = {f.__name__: f for f in (op1_maxent_lm, op3_html_extract, op4_quality_crf, op5_byte_bpe, op6_raking, op7_secret_scan, op8_topk_search, op9_url_filter, op10_merkle)}
 ORACLE_SQL = {"op6_raking": raking.sql(), "op8_topk_search": OP8_SQL}
