@@ -11,6 +11,29 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line classifier accepts (score of 0.3 or more)."""
+    from siftlake.llm import quality_crf
+    from siftlake.llm.common import table
+
+    docs = docs.select(*COLUMNS)
+    model = quality_crf.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_crf.score(docs, model).filter(F.col("score") >= 0.3).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones: the one with the smallest id. Documents without words all stay."""
+    from siftlake.llm import ngram_join
+    from siftlake.llm.common import stash
+
+    docs = docs.select(*COLUMNS)
+    groups = stash(ngram_join.join(docs))
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    # rows of one id and text are one document
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask every secret inside its text; all documents stay."""
     from siftlake.llm import secret_scan
@@ -19,6 +42,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
 
 
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled so that source, language and topic approach their target shares; nine tenths of all tokens stay."""
+    from siftlake.llm import raking
+
+    return raking.mix(docs.select(*COLUMNS), keep=0.9).filter("_mix_kept").select(*COLUMNS)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left."""
     import public_tokenizers
@@ -28,7 +58,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids")
 
 
-STAGES: list[tuple[str, Stage]] = [("secrets", secrets), ("tokens", tokens)]
+STAGES: list[tuple[str, Stage]] = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixture", mixture), ("tokens", tokens)]
 
 #: Sequence models and byte-pair merges have no SQL; the tests compare each stage with a brute-force version.
 ORACLE_SQL = None

@@ -15,6 +15,12 @@ def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join
+
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import html_extract
 
@@ -89,5 +95,5 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_maxent_lm, op3_html_extract, op4_quality_crf, op5_byte_bpe, op6_raking, op7_secret_scan, op8_topk_search, op9_url_filter, op10_merkle)}
+QUERIES = {f.__name__: f for f in (op1_maxent_lm, op2_ngram_join, op3_html_extract, op4_quality_crf, op5_byte_bpe, op6_raking, op7_secret_scan, op8_topk_search, op9_url_filter, op10_merkle)}
 ORACLE_SQL = {"op6_raking": raking.sql(), "op8_topk_search": OP8_SQL}
