@@ -194,9 +194,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, max_train: int =
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` with a column `score` between 0 and 1 (digits beyond the ninth are rounded away)."""
+    """The rows of `docs` with a column `score` between 0 and 1 (digits beyond the ninth are rounded away), in place of any of that name."""
+    docs = docs.drop("score")
     names = docs.columns
-    schema = docs.select(*names).withColumn("score", F.lit(0.0)).schema
+    schema = docs.withColumn("score", F.lit(0.0)).schema
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

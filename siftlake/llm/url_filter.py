@@ -42,7 +42,8 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         text = F.when(fits, F.lit(h + p)) if text is None else text.when(fits, F.lit(h + p))
         verdict = F.when(fits, F.lit(kind)) if verdict is None else verdict.when(fits, F.lit(kind))
-    return text, verdict
+    none = F.lit(None).cast("string")
+    return none if text is None else text, none if verdict is None else verdict
 
 
 def _with_node(paths: DataFrame, depth: int) -> DataFrame:
@@ -66,6 +67,7 @@ def _generalise(paths: DataFrame, depth: int, max_children: int) -> DataFrame:
 def _merge(paths: DataFrame, depth: int, similarity: float, z: float) -> DataFrame:
     """Merge sibling branches at `depth`: like children (cosine of their counts) and purity within z standard errors.
 
+    Branches without labels show no purity and stay, so that the same template on other hosts can judge them.
     A node has few children here (crowded ones are wildcards), so the pairs of siblings are few."""
     seg, paths = f"t{depth}", _with_node(paths, depth)
     kids = paths.filter(F.col(seg).isNotNull()).groupBy("node", F.col(seg).alias("a"), F.coalesce(F.col(f"t{depth + 1}"), F.lit("")).alias("kid")).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
@@ -77,7 +79,7 @@ def _merge(paths: DataFrame, depth: int, similarity: float, z: float) -> DataFra
         dots = dots.join(branch.select("node", F.col("a").alias(side), F.col("norm").alias(f"{side}_norm"), F.col("labelled").alias(f"{side}_n"), F.col("blocked").alias(f"{side}_k")), ["node", side])
     pa, pb = (F.col("a_k") + 0.5) / (F.col("a_n") + 1), (F.col("b_k") + 0.5) / (F.col("b_n") + 1)
     error = F.sqrt(pa * (1 - pa) / (F.col("a_n") + 1) + pb * (1 - pb) / (F.col("b_n") + 1))
-    alike = (F.col("dot") >= similarity * F.sqrt(F.col("a_norm") * F.col("b_norm"))) & (F.abs(pa - pb) <= z * error)
+    alike = (F.col("a_n") > 0) & (F.col("b_n") > 0) & (F.col("dot") >= similarity * F.sqrt(F.col("a_norm") * F.col("b_norm"))) & (F.abs(pa - pb) <= z * error)
     into = dots.filter(alike).groupBy("node", F.col("a").alias(seg)).agg(F.min("b").alias("into"))
     return _count(paths.join(into, ["node", seg], "left").withColumn(seg, F.coalesce("into", seg)).drop("into"))
 
