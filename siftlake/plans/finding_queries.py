@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.operators import rules, state
+from siftlake.operators import classify, diffs, messages, rules, state
 from siftlake.operators import verdicts as v
+from siftlake.plans import diff_queries as d
 from siftlake.sources.domain import AS_OF, Tables, with_views
 from siftlake.streaming import findings
 
@@ -105,6 +106,24 @@ def requests(s, f):
     return t.audit.select("repo_id", "id", F.col("created_at").alias("ts")).join(t.repos.select(F.col("id").alias("repo_id"), F.lit(3).alias("daily_limit")), "repo_id")
 
 
+def prompts(s, f):
+    rows = d.diff_lines(s, f)
+    flows = taint(s, f)
+    return messages.user_message(flows, diffs.summary(rows), diffs.snippet(rows), diffs.context(diffs.added_lines(rows), d.contents(s, f)))
+
+
+def comments(s, f):
+    selection = d.selected(s, f)
+    return messages.coverage_comment(classify.coverage(selection, d.calls(s, f)), classify.skip_histogram(selection))
+
+
+def unrepaired(s, f):
+    """Responses whose title quotes code without escapes."""
+    return responses(s, f).select("id", F.regexp_replace("content", '"title": "(t[0-9])"', '"title": "f\\("$1 {x}", shell=True\\)"').alias("content"))
+
+
+COMMENT_SQL = d.with_paths("""SELECT c.pr_id, '- Files changed: **' || total || '**' || chr(10) || '- Files analyzed: **' || analyzed || '**' || chr(10) || '- Files skipped: **' || (total - analyzed) || '**' || chr(10) || '- Skip reasons:' || chr(10) || coalesce(skips, '  - (none)') AS comment
+FROM (SELECT pr_id, count(*) AS total, count(*) FILTER (WHERE selected AND EXISTS (SELECT 1 FROM calls k WHERE k.pr_id = x.pr_id AND k.place = x.place)) AS analyzed FROM selected x GROUP BY pr_id) c LEFT JOIN (SELECT pr_id, string_agg('  - `' || bucket || '`: ' || n, chr(10) ORDER BY bucket) AS skips FROM (SELECT pr_id, bucket, count(*) AS n FROM selected WHERE bucket IS NOT NULL GROUP BY ALL) GROUP BY pr_id) h ON h.pr_id = c.pr_id""")
 NOW = f"TIMESTAMP '{AS_OF}'"
 T = lambda f: lambda s, d: f(Tables(s, d))
 
@@ -168,6 +187,13 @@ FINDINGS = {
         lambda s, f: Tables(s, f).scans.select(F.substring(F.sha2(F.concat("title", F.lit(":"), "commit_sha"), 256), 1, 16).alias("key"), (F.col("created_at") > F.expr(f"timestamp_ntz '{AS_OF}' - INTERVAL 7 DAYS")).alias("fresh")),
         with_views(f"SELECT substr(sha256(title || ':' || commit_sha), 1, 16) AS key, created_at > {NOW} - INTERVAL 7 DAY AS fresh FROM scans"),
     ),
+    "comment_text": (comments, COMMENT_SQL),
+    "prompt_text": (prompts, None),
+    "prompt_trim": (lambda s, f: prompts(s, f).select("pr_id", messages.trimmed(F.col("message"), 2000).alias("message")), None),
+    "verdict_repair": (lambda s, f: unrepaired(s, f).select("id", messages.repaired(v.strip_fence(F.col("content"))).alias("content")), None),
+    "import_names": (lambda s, f: messages.tainted_names(rules.edges(code(s, f)), rules.sinks(code(s, f))), None),
+    "import_bodies": (lambda s, f: messages.function_bodies(code(s, f).withColumn("text", F.when(F.col("line_no") % 20 == 1, F.lit("def helper(x):")).otherwise(F.concat(F.lit("    "), "text"))).withColumn("language", F.lit("python"))), None),
+    "sarif_encoded": (lambda s, f: v.sarif_document(v.sarif_results(calibrated(s, f))).select("pr_id", messages.gzip_base64(F.col("sarif")).alias("sarif")), None),
     "rate_limit_accepts": (lambda s, f: state.accept(requests(s, f)), None),
     "weekly_events": (
         lambda s, f: findings.weekly_counts(s.read.parquet(f"{f}/events.parquet")),

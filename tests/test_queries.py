@@ -28,3 +28,9 @@ def test_entry(spark):
 
 def test_every_sql_belongs_to_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", sorted(n for r in REGISTRIES for n in r.QUERIES if n not in r.ORACLE_SQL))
+def test_queries_without_sql_give_rows(spark, name):
+    registry = next(r for r in REGISTRIES if name in r.QUERIES)
+    assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
