@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import raking
-from .common import fold_of, table
+from . import merkle, raking
+from .common import LOWER, UPPER, WORD, fold_of, table
 
 
 def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,18 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+OP2_SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh FROM w),
+c AS (SELECT doc_id, len(sh) AS n, CASE WHEN len(sh) > 0 THEN md5(array_to_string(list_sort(sh), '|')) END AS node FROM s),
+e AS (SELECT doc_id, unnest(sh) AS sh FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM e a JOIN e b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN c a ON a.doc_id = x JOIN c b ON b.doc_id = y WHERE 100 * shared >= 80 * (a.n + b.n - shared)),
+r AS (WITH RECURSIVE reach AS (SELECT doc_id, doc_id AS other FROM c UNION SELECT reach.doc_id, l.y FROM reach JOIN l ON l.x = reach.other) SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT c.doc_id, c.n AS n_shingles, r.component_id, CASE WHEN c.node IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY c.node) END AS n_equal FROM c JOIN r USING (doc_id)
+"""
+
+
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import html_extract
 
@@ -90,10 +102,35 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import merkle
-
     return merkle.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def _mark_sql(text: str) -> str:
+    """A fingerprint as DuckDB SQL."""
+    leaves = f"list_transform(string_split({text}, chr(10)), lambda p: array_to_string(list_transform(regexp_extract_all(p, '(?s).{{1,{merkle.PIECE}}}'), lambda x: substr(md5(x), 1, {merkle.LEAF})), ','))"
+    marked = f"regexp_replace(array_to_string(list_transform({leaves}, lambda q: q || CASE WHEN substr(md5(q), 1, 1) < '{chr(ord(merkle.BREAKS[-1]) + 1)}' THEN '|' ELSE ';' END), ''), '[;|]$', '')"
+    sections = f"list_transform(string_split({marked}, '|'), lambda s: substr(md5(s), 1, 16) || '=' || s)"
+    return f"sha256(array_to_string(list_transform({sections}, lambda t: substr(t, 1, 16)), '|')) || ':' || array_to_string({sections}, '|')"
+
+
+def _like_sql(a: str, b: str) -> str:
+    x, y = (f"list_distinct(list_filter(string_split_regex(substr({m}, 66), '[=|;,]'), lambda z: length(z) = {merkle.LEAF}))" for m in (a, b))
+    return f"round(CASE WHEN {a} = {b} THEN 1.0 WHEN len({x}) + len({y}) = 0 THEN 0.0 ELSE 2 * len(list_intersect({x}, {y})) / (len({x}) + len({y})) END, 9)"
+
+
+def _cut_sql(mark: str) -> str:
+    return f"list_transform(string_split(substr({mark}, 66), '|'), lambda s: substr(s, 1, 16))"
+
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT *, coalesce(lead(text) OVER w, first(text) OVER (ORDER BY doc_id DESC NULLS LAST, text ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS after FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, text)),
+e AS (SELECT *, substr(text, 1, length(text) - length(text) // 3) || substr(after, 1, length(text) // 3) AS edited FROM n),
+m AS (SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, {_mark_sql("text")} AS fingerprint, {_mark_sql("edited")} AS edited_fingerprint, {_mark_sql("after")} AS next_fingerprint FROM e)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {_like_sql("fingerprint", "edited_fingerprint")} AS near_edited, {_like_sql("fingerprint", "next_fingerprint")} AS near_next,
+  CASE WHEN substr(fingerprint, 1, 64) = substr(edited_fingerprint, 1, 64) THEN [] ELSE list_transform(list_filter(range(len({_cut_sql("fingerprint")})), lambda i: NOT list_contains({_cut_sql("edited_fingerprint")}, {_cut_sql("fingerprint")}[i + 1])), lambda j: CAST(j AS INTEGER)) END AS edited_sections
+FROM m
+"""
+
 QUERIES = {f.__name__: f for f in (op1_maxent_lm, op2_ngram_join, op3_html_extract, op4_quality_crf, op5_byte_bpe, op6_raking, op7_secret_scan, op8_topk_search, op9_url_filter, op10_merkle)}
-ORACLE_SQL = {"op6_raking": raking.sql(), "op8_topk_search": OP8_SQL}
+ORACLE_SQL = {"op2_ngram_join": OP2_SQL, "op6_raking": raking.sql(), "op8_topk_search": OP8_SQL, "op10_merkle": OP10_SQL}
