@@ -5,10 +5,11 @@ equal sets are one node. Two nodes link when 100 * shared >= percent * union, so
 order common to all sets, the first n - ceil(percent * n / 100) + 1 shingles of both hold a shared one. Frequent shingles come
 last in that order, so that passages which many texts share seldom bring texts together.
 
-Postings (shingle, node, size) of the prefixes are sorted by shingle and size. Within a shingle the nodes fall into size-banded
-tiles, whose first node is the tile's pivot. Pairs are checked in two rounds, so that large groups of near copies never expand
-into all pairs: first every node with its pivots; then, of nodes that meet under a shingle, only those still in different components.
-A check compares hashed bitmap signatures, whose bit counts bound the overlap from above, and then, for what is left, the sorted arrays.
+Pairs are checked in two rounds, so that large groups of near copies never expand into all pairs: first every node with the
+PIVOTS most central nodes under each shingle of its prefix (those that meet others under most shingles, as the original of near copies does);
+then, of the nodes that meet under a shingle, only those still in different components. The second round runs through the nodes
+of a shingle by size: a size-banded tile slides over them that holds all that are large enough for the next one. A check
+compares hashed bitmap signatures, whose bit counts bound the overlap from above, and then, for what is left, the sorted arrays.
 
 Null texts and texts without words have an empty set and link with nothing. Repeated rows share a node. Null ids give a row each and count in no
 component's smallest id (a component without any id has a null one). An empty table gives an empty table; extra columns are ignored. Hashes of
@@ -18,6 +19,7 @@ component's smallest id (a component without any id has a null one). An empty ta
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,37 +32,61 @@ MEMORY = 400_000
 #: Most frequent shingles that are ordered last; they travel as one array of 8 bytes each.
 HEAVY = 500_000
 HEAVY_FROM = 16
+PIVOTS = 3
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
 
 
+class _Numbers(dict):
+    """Words to small numbers, given on first sight together with the word's hash."""
+
+    def __init__(self, digest):
+        super().__init__()
+        self.digest, self.hashes = digest, []
+
+    def __missing__(self, word: bytes) -> int:
+        self.hashes.append(self.digest(word))
+        n = self[word] = len(self)  # the size before the word is in
+        return n
+
+
 class Shingler:
     """Shingle sets of texts; remembers word hashes between batches."""
 
     def __init__(self, width: int = 5):
         import xxhash
 
-        self.width, self.digest, self.known = width, xxhash.xxh3_64_intdigest, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        ws = words((text or "").encode())
-        if not ws:
-            return np.empty(0, np.uint64)
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        known = self.known
-        for w in set(ws).difference(known):
-            known[w] = self.digest(w)
-        h = np.array([known[w] for w in ws], dtype=np.uint64)
-        if len(h) < self.width:
-            return np.array([self.digest(h.tobytes())], dtype=np.uint64)
-        n = len(h) - self.width + 1
+        self.width, self.digest = width, xxhash.xxh3_64_intdigest
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers, self.hashes = _Numbers(self.digest), np.empty(0, np.uint64)
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The sorted set of each text."""
+        if len(self.numbers) > MEMORY:
+            self.forget()
+        split = [words((t or "").encode()) for t in texts]
+        ends = np.cumsum([len(ws) for ws in split]).tolist()
+        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64, ends[-1] if ends else 0)
+        if self.numbers.hashes:
+            self.hashes = np.append(self.hashes, np.array(self.numbers.hashes, dtype=np.uint64))
+            self.numbers.hashes = []
+        h = self.hashes[numbers]
+        n = max(0, len(h) - self.width + 1)
         x = np.zeros(n, dtype=np.uint64)
         for i in range(self.width):
             x += (h[i : i + n] ^ FACTORS[-1 - i % 4]) * FACTORS[i % 8]
         x ^= x >> np.uint64(31)
         x *= np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(29)
-        return np.unique(x)
+        out, start = [], 0
+        for end in ends:
+            if end - start >= self.width:
+                out.append(np.unique(x[start : end - self.width + 1]))
+            else:
+                out.append(np.array([self.digest(h[start:end].tobytes())] if end > start else [], dtype=np.uint64))
+            start = end
+        return out
 
     def node(self, shingles: np.ndarray) -> int:
         """A signed 64-bit hash of a set."""
@@ -107,9 +133,10 @@ def heavy_shingles(docs: DataFrame, width: int) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(n[often])], ["key", "n"])
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                sets.append(make(t))
-                size += len(sets[-1])
+            for start in range(0, batch.num_rows, 512):
+                more = make(batch.column(0).slice(start, 512).to_pylist())
+                sets += more
+                size += sum(map(len, more))
                 if size > 2_000_000:
                     yield out()
                     sets, size = [], 0
@@ -133,11 +160,10 @@ def nodes_of(docs: DataFrame, heavy: np.ndarray, width: int, percent: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, seen, often = Shingler(width), set(), shared.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
                 n, nodes, marks, prefixes = [], [], [], []
-                for t in part.column(1).to_pylist():
-                    s = make(t)
+                for s in make(part.column(1).to_pylist()):
                     n.append(len(s))
                     node = make.node(s) if len(s) else None
                     nodes.append(node)
@@ -157,66 +183,80 @@ def nodes_of(docs: DataFrame, heavy: np.ndarray, width: int, percent: int) -> Da
     return docs.select("id", "text").mapInArrow(run, f"id {id_type}, n bigint, node bigint, mark binary, prefix array<bigint>")
 
 
-def postings_of(nodes: DataFrame, percent: int) -> DataFrame:
-    """key, node, n, pivot: the postings of keys with several nodes, and the first node of each one's size band."""
+def postings_of(nodes: DataFrame) -> DataFrame:
+    """key, node, n: the postings of keys with several nodes."""
     rows = nodes.filter(F.col("prefix").isNotNull()).select(F.explode("prefix").alias("key"), "node", F.col("n").cast("int").alias("n"))
-    rows = rows.repartition("key").sortWithinPartitions("key", "n", "node")
+    rows = rows.repartition("key").sortWithinPartitions("key", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a row that may open a key waits until its successor shows whether the key has more nodes
-        last_key = last_node = last_n = pivot = pivot_n = None
-        waiting = False
+        # the last row waits, as only the next one shows whether its key has more nodes
+        held, held_is_out = None, False
         for batch in batches:
-            key, node, n = (batch.column(i).to_numpy() for i in range(3))
-            same = np.concatenate([[last_key is not None and len(key) > 0 and key[0] == last_key], key[1:] == key[:-1]])
-            out: list[tuple[int, int, int, int]] = []
-            # rows before and after a change matter only where a key goes on
-            for i in np.flatnonzero(same).tolist():
-                k, x, size = int(key[i]), int(node[i]), int(n[i])
-                if i and not same[i - 1]:
-                    last_node, last_n, waiting = int(node[i - 1]), int(n[i - 1]), True
-                if x == last_node:
-                    continue
-                if waiting:
-                    out.append((k, last_node, last_n, last_node))
-                    pivot, pivot_n, waiting = last_node, last_n, False
-                if 100 * pivot_n < percent * size:
-                    pivot, pivot_n = x, size
-                out.append((k, x, size, pivot))
-                last_node, last_n = x, size
-            if len(key):
-                last_key = int(key[-1])
-                if not same[-1]:
-                    last_node, last_n, waiting = int(node[-1]), int(n[-1]), True
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            key, node = (rows.column(i).to_numpy() for i in range(2))
+            same_key = np.concatenate([[False], key[1:] == key[:-1]])
+            new = ~same_key | np.concatenate([[True], node[1:] != node[:-1]])
+            group = np.cumsum(~same_key) - 1
+            keep = new & (np.bincount(group, new)[group] > 1)
+            last = int(np.flatnonzero(new)[-1])
+            last_is_out = bool(keep[last]) or last == 0 and held_is_out
+            if held is not None and held_is_out:
+                keep[0] = False
+            held, held_is_out = rows.slice(last, 1).to_batches()[0], last_is_out
+            yield from rows.filter(pa.array(keep)).to_batches()
+
+    return rows.mapInArrow(run, "key bigint, node bigint, n int")
+
+
+def star_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the PIVOTS most central nodes of each key with the key's other nodes of fitting sizes."""
+    central = postings.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    rows = postings.join(central, "node").repartition("key").sortWithinPartitions("key", F.desc("degree"), "node").select("key", "node", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, pivots, seen = None, [], set()
+        for batch in batches:
+            out = []
+            for key, node, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != at:
+                    at, pivots = key, []
+                for pivot, size in pivots:
+                    if 100 * min(n, size) >= percent * max(n, size) and (pivot, node) not in seen:
+                        seen.add((pivot, node))
+                        out.append((pivot, node))
+                if len(pivots) < PIVOTS:
+                    pivots.append((node, n))
+                if len(seen) > MEMORY:
+                    seen.clear()
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["key", "node", "n", "pivot"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
-    return rows.mapInArrow(run, "key bigint, node bigint, n int, pivot bigint")
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def cross_pairs(postings: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of nodes that meet under a key, may be large enough to link and are in different components."""
+def cross_pairs(postings: DataFrame, parts: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of nodes that meet under a key, may link by their sizes and signatures, and are in different components."""
     rows = postings.join(parts, "node", "left").select("key", "node", "n", F.coalesce("part", "node").alias("part"))
     mixed = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
-    rows = rows.join(mixed, "key").repartition("key").sortWithinPartitions("key", "n", "node")
+    rows = rows.join(mixed, "key").join(marks.select("node", "mark"), "node")
+    rows = rows.repartition("key").sortWithinPartitions("key", "n", "node").select("key", "node", "n", "part", "mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, window = None, []
+        at, tile = None, []
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             out = []
-            for key, node, n, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, node, n, part, mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != at:
-                    at, window = key, []
-                # the window holds the nodes of this key that are large enough for the next one
-                window = [w for w in window if 100 * w[1] >= percent * n]
-                for other, _, other_part in window:
-                    if other_part != part:
-                        pair = (min(node, other), max(node, other))
-                        if pair not in seen:
-                            seen.add(pair)
+                    at, tile = key, []
+                # the tile holds the nodes of this key that are large enough for the next one
+                tile = [w for w in tile if 100 * w[1] >= percent * n]
+                for other, size, other_part, other_mark in tile:
+                    if other_part != part and (pair := (min(node, other), max(node, other))) not in seen:
+                        seen.add(pair)
+                        if linked(overlap_bound(other_mark, size, mark, n), size, n, percent):
                             out.append(pair)
-                window.append((node, n, part))
+                tile.append((node, n, part, mark))
                 if len(seen) > MEMORY:
                     seen.clear()
             if out:
@@ -241,7 +281,7 @@ def check_pairs(pairs: DataFrame, marks: DataFrame, docs: DataFrame, width: int,
         make, seen = Shingler(width), set()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
-                made = {make.node(s): s for s in map(make, batch.column(0).slice(start, 512).to_pylist()) if len(s)}
+                made = {make.node(s): s for s in make(batch.column(0).slice(start, 512).to_pylist()) if len(s)}
                 made = {k: s for k, s in made.items() if k not in seen}
                 seen.update(made)
                 if len(seen) > MEMORY:
@@ -292,11 +332,10 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     nodes = stash(nodes_of(rows, heavy_shingles(rows, width), width, percent))
     marks = stash(nodes.filter(F.col("mark").isNotNull()).select("node", "n", "mark").dropDuplicates(["node"]))
-    postings = stash(postings_of(nodes, percent))
-    stars = postings.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = stash(check_pairs(stars, marks, rows, width, percent, broadcast_nodes))
+    postings = stash(postings_of(nodes))
+    links = stash(check_pairs(star_pairs(postings, percent), marks, rows, width, percent, broadcast_nodes))
     parts = components(links)
-    more = stash(cross_pairs(postings, parts, percent))
+    more = stash(cross_pairs(postings, parts, marks, percent))
     if not more.isEmpty():
         links = links.union(check_pairs(more, marks, rows, width, percent, broadcast_nodes))
         parts = components(stash(links))
