@@ -9,7 +9,8 @@ Pairs are checked in two rounds, so that large groups of near copies never expan
 PIVOTS most central nodes under each shingle of its prefix (those that meet others under most shingles, as the original of near copies does);
 then, of the nodes that meet under a shingle, only those still in different components. The second round runs through the nodes
 of a shingle by size: a size-banded tile slides over them that holds all that are large enough for the next one. A check
-compares hashed bitmap signatures, whose bit counts bound the overlap from above, and then, for what is left, the sorted arrays.
+compares hashed bitmap signatures, whose bit counts bound the overlap from above (in the second round narrow ones, then wide ones
+of the nodes that are left), and then, for what is left, the sorted arrays.
 
 Null texts and texts without words have an empty set and link with nothing. Repeated rows share a node. Null ids give a row each and count in no
 component's smallest id (a component without any id has a null one). An empty table gives an empty table; extra columns are ignored. Hashes of
@@ -33,6 +34,8 @@ MEMORY = 400_000
 HEAVY = 500_000
 HEAVY_FROM = 16
 PIVOTS = 3
+#: Bits for each shingle of the signatures of nodes that narrow ones don't tell apart.
+WIDE = 4
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
 
 
@@ -97,9 +100,9 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def signature(shingles: np.ndarray) -> bytes:
-    """A bitmap with at least one bit for each shingle; its width is a power of two."""
-    width = max(64, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else 64
+def signature(shingles: np.ndarray, bits_each: int = 1) -> bytes:
+    """A bitmap with at least `bits_each` bits for each shingle; its width is a power of two."""
+    width = max(64, 1 << (bits_each * len(shingles) - 1).bit_length()) if len(shingles) else 64
     bits = np.zeros(width, dtype=np.uint8)
     bits[((shingles >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
@@ -117,7 +120,7 @@ def overlap_bound(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
     return min(n_a - int(np.bitwise_count(x & ~y).sum()), n_b - int(np.bitwise_count(y & ~x).sum()))
 
 
-def linked(shared: int, n_a: int, n_b: int, percent: int) -> bool:
+def linked(shared: int | np.ndarray, n_a: int, n_b: int | np.ndarray, percent: int) -> bool | np.ndarray:
     return 100 * shared >= percent * (n_a + n_b - shared)
 
 
@@ -153,7 +156,7 @@ def heavy_shingles(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def nodes_of(docs: DataFrame, heavy: np.ndarray, width: int, percent: int) -> DataFrame:
-    """id, n, node (null: empty set), and for the first text of a node in each task its signature and prefix."""
+    """id, n, node (null: empty set), text_key (a hash of the text), and for the first text of a node in each task its signature and prefix."""
     id_type = docs.schema["id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
@@ -178,9 +181,9 @@ def nodes_of(docs: DataFrame, heavy: np.ndarray, width: int, percent: int) -> Da
                     last = often[at] == s if len(often) else np.zeros(len(s), bool)
                     marks.append(signature(s))
                     prefixes.append(np.concatenate([s[~last], s[last]])[: prefix_size(len(s), percent)].view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(marks, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "n", "node", "mark", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(marks, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), part.column(2)], ["id", "n", "node", "mark", "prefix", "text_key"])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {id_type}, n bigint, node bigint, mark binary, prefix array<bigint>")
+    return docs.select("id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, f"id {id_type}, n bigint, node bigint, mark binary, prefix array<bigint>, text_key bigint")
 
 
 def postings_of(nodes: DataFrame) -> DataFrame:
@@ -234,39 +237,64 @@ def star_pairs(postings: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def cross_pairs(postings: DataFrame, parts: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of nodes that meet under a key, may link by their sizes and signatures, and are in different components."""
+def spread_keys(postings: DataFrame, parts: DataFrame) -> DataFrame:
+    """key, node, n, part: the postings of the keys whose nodes are in different components."""
     rows = postings.join(parts, "node", "left").select("key", "node", "n", F.coalesce("part", "node").alias("part"))
     mixed = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
-    rows = rows.join(mixed, "key").join(marks.select("node", "mark"), "node")
+    return rows.join(mixed, "key")
+
+
+def _near(tile: list[tuple[np.ndarray, ...]], n: int, part: int, bits: np.ndarray, percent: int) -> Iterator[int]:
+    """Nodes of a tile in other components whose sizes and signatures allow a link with one node."""
+    for sizes, nodes, parts, rows in tile:
+        first = np.searchsorted(sizes, -(-percent * n // 100))
+        at = first + np.flatnonzero(parts[first:] != part)
+        if len(at):
+            x, y = np.bitwise_or.reduce(bits.reshape(-1, rows.shape[1]), axis=0), rows[at]
+            shared = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), sizes[at] - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+            yield from nodes[at[linked(shared, n, sizes[at], percent)]].tolist()
+
+
+def tile_pairs(rows: DataFrame, percent: int, names: bool = False) -> DataFrame:
+    """Pairs (a < b) of nodes that meet under a key, may link by their sizes and signatures, and are in different components.
+
+    rows: key, node, n, part, mark. With `names` only the nodes of such pairs are returned, as `node`."""
     rows = rows.repartition("key").sortWithinPartitions("key", "n", "node").select("key", "node", "n", "part", "mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, tile = None, []
-        seen: set[tuple[int, int]] = set()
+        at, tile, seen = None, [], set()
         for batch in batches:
             out = []
-            for key, node, n, part, mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != at:
-                    at, tile = key, []
+            key, node, n, part = (batch.column(i).to_numpy() for i in range(4))
+            marks = batch.column(4).to_pylist()
+            width = np.fromiter(map(len, marks), np.int64, len(marks))
+            cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (width[1:] != width[:-1])])).tolist()
+            # nodes of one key and one width of signatures stand together, smaller ones first
+            for a, b in zip(cuts, [*cuts[1:], len(key)], strict=True):
+                if key[a] != at:
+                    at, tile = key[a], []
                 # the tile holds the nodes of this key that are large enough for the next one
-                tile = [w for w in tile if 100 * w[1] >= percent * n]
-                for other, size, other_part, other_mark in tile:
-                    if other_part != part and (pair := (min(node, other), max(node, other))) not in seen:
-                        seen.add(pair)
-                        if linked(overlap_bound(other_mark, size, mark, n), size, n, percent):
-                            out.append(pair)
-                tile.append((node, n, part, mark))
+                tile = [t for t in tile if 100 * int(t[0][-1]) >= percent * int(n[a])]
+                bits = np.frombuffer(b"".join(marks[a:b]), np.uint64).reshape(b - a, -1)
+                for i in range(a, b) if tile or b - a > 1 else ():
+                    own = int(node[i])
+                    for other in _near([*tile, (n[a:i], node[a:i], part[a:i], bits[: i - a])], int(n[i]), part[i], bits[i - a], percent):
+                        for found in (own, other) if names else [(min(own, other), max(own, other))]:
+                            if found not in seen:
+                                seen.add(found)
+                                out.append(found)
+                tile.append((n[a:b], node[a:b], part[a:b], bits))
                 if len(seen) > MEMORY:
                     seen.clear()
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+                columns = [out] if names else zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["node"] if names else ["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(run, "node bigint" if names else "a bigint, b bigint").distinct()
 
 
-def check_pairs(pairs: DataFrame, marks: DataFrame, docs: DataFrame, width: int, percent: int, broadcast_nodes: int) -> DataFrame:
-    """The pairs (a, b) that link: bitmap bound first, then the exact overlap of the sorted arrays."""
+def bounded_pairs(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may link by the bound that their bitmaps give."""
     sides = [marks.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("mark").alias(f"mark_{x}")) for x in "ab"]
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,10 +302,18 @@ def check_pairs(pairs: DataFrame, marks: DataFrame, docs: DataFrame, width: int,
             keep = [linked(overlap_bound(x, i, y, j), i, j, percent) for i, x, j, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "mark_a", "n_b", "mark_b")), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    likely = stash(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "mark_a", "n_b", "mark_b").mapInArrow(bound, "a bigint, b bigint"))
-    wanted = stash(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "mark_a", "n_b", "mark_b").mapInArrow(bound, "a bigint, b bigint")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int, broadcast_nodes: int) -> DataFrame:
+    """node, shingles, wide: the sorted arrays and wide signatures of the wanted nodes, made again from texts with their text_key."""
+    n = wanted.count()
+    keys = wanted.select("text_key").distinct()
+    texts = docs.select("text", F.xxhash64("text").alias("text_key"))
+    # a few keys filter the texts before they are cut into words; more than that are joined
+    texts = texts.join(F.broadcast(keys) if n <= broadcast_nodes else keys, "text_key", "left_semi").select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, seen = Shingler(width), set()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
@@ -286,13 +322,13 @@ def check_pairs(pairs: DataFrame, marks: DataFrame, docs: DataFrame, width: int,
                 seen.update(made)
                 if len(seen) > MEMORY:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array([s.tobytes() for s in made.values()], pa.binary())], ["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array([s.tobytes() for s in made.values()], pa.binary()), pa.array([signature(s, WIDE) for s in made.values()], pa.binary())], ["node", "shingles", "wide"])
 
-    n = wanted.count()
-    every = docs.select("text").mapInArrow(sets, "node bigint, shingles binary")
-    # a few ids filter the sets before they are shuffled; more than that are joined
-    chosen = every.join(F.broadcast(wanted) if n <= broadcast_nodes else wanted, "node", "left_semi")
-    chosen = stash(chosen.dropDuplicates(["node"])) if n else every.limit(0)
+    return stash(texts.mapInArrow(run, "node bigint, shingles binary, wide binary").dropDuplicates(["node"]))
+
+
+def exact_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by the exact overlap of their sorted arrays."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,8 +338,8 @@ def check_pairs(pairs: DataFrame, marks: DataFrame, docs: DataFrame, width: int,
                 keep.append(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with_a = likely.join(chosen.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    with_b = with_a.join(chosen.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     return with_b.select("a", "b", "x", "y").mapInArrow(exact, "a bigint, b bigint")
 
 
@@ -331,13 +367,20 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     """One row for each input row: the id, n_shingles, component_id (smallest id reachable by links), n_equal (rows with an equal set)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     nodes = stash(nodes_of(rows, heavy_shingles(rows, width), width, percent))
-    marks = stash(nodes.filter(F.col("mark").isNotNull()).select("node", "n", "mark").dropDuplicates(["node"]))
+    marks = stash(nodes.filter(F.col("mark").isNotNull()).select("node", "n", "mark", "text_key").dropDuplicates(["node"]))
     postings = stash(postings_of(nodes))
-    links = stash(check_pairs(star_pairs(postings, percent), marks, rows, width, percent, broadcast_nodes))
+    likely = stash(bounded_pairs(star_pairs(postings, percent), marks, percent))
+    text_of = marks.select("node", "text_key")
+    sets = sets_of(rows, text_of.join(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), width, broadcast_nodes)
+    links = stash(exact_pairs(likely, sets, percent))
     parts = components(links)
-    more = stash(cross_pairs(postings, parts, marks, percent))
-    if not more.isEmpty():
-        links = links.union(check_pairs(more, marks, rows, width, percent, broadcast_nodes))
+    spread = stash(spread_keys(postings, parts))
+    near = stash(tile_pairs(spread.join(marks.select("node", "mark"), "node"), percent, names=True))
+    if not near.isEmpty():
+        # narrow signatures leave few nodes, and only these get wide ones
+        sets = sets_of(rows, text_of.join(near, "node"), width, broadcast_nodes)
+        more = stash(tile_pairs(spread.join(sets.select("node", F.col("wide").alias("mark")), "node"), percent))
+        links = links.union(exact_pairs(more, sets, percent))
         parts = components(stash(links))
     placed = nodes.select("id", "n", "node").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     by_node = placed.filter(F.col("node").isNotNull()).groupBy("node", "part").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n_equal"))
