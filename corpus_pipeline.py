@@ -21,17 +21,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_crf.score(docs, model).filter(F.col("score") >= 0.3).select(*COLUMNS)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: the one with the smallest id. Documents without words all stay."""
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_ids: int = 2_000_000) -> DataFrame:
+    """One document of each group of linked ones: the one with the smallest id. Documents without words all stay.
+
+    Ids that go are broadcast up to `broadcast_ids` of them, so that texts are not shuffled; more are joined."""
     from siftlake.llm import ngram_join
     from siftlake.llm.common import stash
 
     docs = docs.select(*COLUMNS)
-    groups = stash(ngram_join.join(docs))
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    groups = ngram_join.join(docs)
+    ids = stash(groups.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count(F.lit(1)).alias("n")).filter("NOT stays OR n > 1"))
+
+    def among(which: str, how: str, rows: DataFrame) -> DataFrame:
+        some = ids.filter(which).select(F.col("doc_id").alias("_id"))
+        some = F.broadcast(some) if some.count() <= broadcast_ids else some
+        return rows.join(some, rows["doc_id"].eqNullSafe(some["_id"]), how)
+
+    kept = among("NOT stays", "left_anti", docs)
+    if ids.filter("stays").isEmpty():
+        return kept
     # rows of one id and text are one document
-    return kept.dropDuplicates(["doc_id", "text"])
+    return among("stays", "left_anti", kept).union(among("stays", "left_semi", kept).dropDuplicates(["doc_id", "text"]))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
