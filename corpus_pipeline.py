@@ -53,10 +53,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that source, language and topic approach their target shares; nine tenths of all tokens stay."""
+    """Documents sampled so that source, language and topic have their target shares; nine tenths of all tokens stay, and documents that must rise are repeated."""
     from siftlake.llm import raking
 
-    return raking.mix(docs.select(*COLUMNS), keep=0.9).filter("_mix_kept").select(*COLUMNS)
+    sample = raking.mix(docs.select(*COLUMNS), keep=0.9).filter("_mix_kept")
+    return sample.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions only.
 
 Tokens are counted for each cell of source, language and topic. Passes over the three margins scale the cells' factors until the
-raked token weights meet the targets; documents are then sampled with probability min(1, s * factor), where s is set so that the expected
-share of kept tokens is `keep`. The cells are a distributed table throughout; only single numbers reach the driver.
+raked token weights meet the targets; documents are then kept with probability min(1, s * factor), where s is set so that the expected
+share of kept tokens is `keep`. A document stands `copies` times in the sample: the whole part of s * factor, and once more with its rest as
+probability, by the same draw that keeps it. So the sample's expected shares are the raked ones even where s * factor passes 1, and its
+expected tokens s times all tokens; kept documents alone fall short of targets that rise.
+The cells are a distributed table throughout; only single numbers reach the driver.
 
 Targets default to shares in proportion to the square root of each value's tokens, which lifts small sources; given targets may name
 some values, and the rest share what is left in the default proportion. Topic is an expression over the text; the default
@@ -92,7 +95,7 @@ def draw(key: Column, seed: str = "mix") -> Column:
 
 
 def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, keep: float = 0.8, passes: int = 6, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs with _mix_ columns: source, lang, topic, n_tokens, weight (the factor), probability, kept."""
+    """The rows of docs with _mix_ columns: source, lang, topic, n_tokens, weight (the factor), probability, kept, copies."""
     n = count_tokens(F.col(text_col))
     rows = docs.withColumn(f"{P}n_tokens", n)
     rows = rows.withColumns({f"{P}source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), f"{P}lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("")), f"{P}topic": topic_of(F.col(text_col), F.col(f"{P}n_tokens"))})
@@ -106,7 +109,9 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
         on = on & (F.col(P + m) == F.col(f"{P}c_{m}"))
     out = rows.join(table, on).drop(f"{P}c_salt", *[f"{P}c_{m}" for m in MARGINS])
     out = out.withColumn(f"{P}probability", F.least(F.lit(1.0), F.lit(s) * F.col(f"{P}weight")))
-    return out.withColumn(f"{P}kept", draw(F.col(id_col)) < F.col(f"{P}probability"))
+    out = out.withColumn(f"{P}kept", draw(F.col(id_col)) < F.col(f"{P}probability"))
+    times = F.lit(s) * F.col(f"{P}weight")
+    return out.withColumn(f"{P}copies", F.floor(times) + (draw(F.col(id_col)) < times - F.floor(times)).cast("long"))
 
 
 def sql(keep: float = 0.8, passes: int = 6, rounds: int = 6) -> str:

@@ -3,8 +3,11 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from siftlake.llm import queries, raking
+from siftlake.llm.common import table
 
 
 def test_margins_meet_their_targets(spark):
@@ -45,3 +48,20 @@ def test_no_python_on_the_main_path(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
     plan = queries.op10_merkle(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_sample_has_the_target_shares(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents").select(*corpus_pipeline.COLUMNS)
+    rows = [r.asDict() for r in raking.mix(docs, keep=0.9).drop("text").collect()]
+    assert all((r["_mix_copies"] > 0) == r["_mix_kept"] for r in rows) and max(r["_mix_copies"] for r in rows) > 1
+    times = {r["doc_id"]: r["_mix_copies"] for r in rows}
+    sample = corpus_pipeline.mixture(spark, docs, sf)
+    assert {r.doc_id: r.n for r in sample.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {i: n for i, n in times.items() if n}
+    for m in ("lang", "topic"):
+        shares = [{v: sum(r["_mix_n_tokens"] * w(r) for r in rows if r[f"_mix_{m}"] == v) for v in {r[f"_mix_{m}"] for r in rows}} for w in (lambda r: 1, lambda r: r["_mix_weight"], lambda r: r["_mix_copies"])]
+        before, target, got = ({v: x / sum(s.values()) for v, x in s.items()} for s in shares)
+        # six passes leave the margins close to the default targets; the draw of 1000 documents adds its noise
+        roots = {v: x**0.5 for v, x in before.items()}
+        assert all(abs(target[v] - roots[v] / sum(roots.values())) < 1e-3 for v in before)
+        assert all(abs(got[v] - target[v]) < 0.02 for v in before), (m, before, target, got)
