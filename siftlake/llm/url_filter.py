@@ -1,9 +1,9 @@
 """URL filters: explicit host and path rules, and a path-template tree for the urls that no rule fits.
 
-The tree is built for each host from distinct paths, depth by depth: segments that hold digits, or whose node has too
-many different children, become wildcards; branches of a node whose children are distributed alike and whose labelled
-purity does not differ significantly are merged under the smallest of them. Labels are the urls that a rule
-decides. A template's share of blocked urls is smoothed towards the same template over all hosts and that towards
+The tree is built for each host from distinct paths, level by level until no two paths part, however deep that is: segments
+that hold digits, or whose node has too many different children, become wildcards. Branches
+of a node whose children are distributed alike and whose labelled purity does not differ significantly are merged
+under the smallest of them. Labels are the urls that a rule decides. A template's share of blocked urls is smoothed towards the same template over all hosts and that towards
 the share of all labelled urls; templates whose smoothed share reaches `threshold` are rejected.
 
 All of it is aggregation by (host, template): a hot host's rows are counted before they are shuffled. Each step's counts
@@ -23,7 +23,9 @@ from .common import LOWER, UPPER, stash
 
 #: (verdict, host, path) of the default rule set.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-WILD, DEEP = "*", "**"
+WILD = "*"
+SUMS = ("n", "labelled", "blocked")
+SALTS = 16
 
 
 def host_of(url: Column) -> Column:
@@ -46,65 +48,85 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return none if text is None else text, none if verdict is None else verdict
 
 
-def _with_node(paths: DataFrame, depth: int) -> DataFrame:
-    """Add `node`: the host and the template above segment `depth` (neither holds a slash)."""
-    return paths.withColumn("node", F.concat_ws("/", "host", *[f"t{i}" for i in range(depth)]))
+def _at(tree: DataFrame, level: int) -> DataFrame:
+    """Add `node` (the host and the template above segment `level`; neither holds a slash) and `seg`, null where the path ends above it."""
+    return tree.withColumns({"node": F.concat_ws("/", "host", F.slice("t", 1, level)), "seg": F.get("t", F.lit(level))})
 
 
-def _count(tree: DataFrame) -> DataFrame:
-    keys = [c for c in tree.columns if c not in ("n", "labelled", "blocked", "node")]
-    return tree.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
+def _put(level: int, seg: Column) -> Column:
+    """The template with another segment at `level`."""
+    return F.when(F.col("seg").isNull(), F.col("t")).otherwise(F.concat(F.slice("t", 1, level), F.array(seg), F.slice("t", level + 2, F.size("t"))))
 
 
-def _generalise(paths: DataFrame, depth: int, max_children: int) -> DataFrame:
-    """Set segment `depth` of a template to a wildcard where its node has too many children."""
-    seg, paths = f"t{depth}", _with_node(paths, depth)
-    crowded = paths.select("node", seg).distinct().groupBy("node").agg(F.count(seg).alias("children")).filter(F.col("children") > max_children)
-    wide = paths.join(crowded, "node", "left")
-    return _count(wide.withColumn(seg, F.when(F.col(seg).isNotNull() & F.col("children").isNotNull(), F.lit(WILD)).otherwise(F.col(seg))).drop("children"))
+def _salted(kids: DataFrame, sums: DataFrame, key: str) -> DataFrame:
+    """Join sums of nodes to their children; a node with a large share of all children spreads over several tasks."""
+    salts = sums.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return kids.withColumn("salt", F.pmod(F.xxhash64("seg"), F.lit(SALTS)).cast("int")).join(salts, [key, "salt"]).drop("salt")
 
 
-def _merge(paths: DataFrame, depth: int, similarity: float, z: float) -> DataFrame:
-    """Merge sibling branches at `depth`: like children (cosine of their counts) and purity within z standard errors.
+def _apart(n: Column, k: Column, other_n: Column, other_k: Column, z: float) -> Column:
+    """Whether two labelled purities differ by more than z standard errors."""
+    pa, pb = (k + 0.5) / (n + 1), (other_k + 0.5) / (other_n + 1)
+    return F.abs(pa - pb) > z * F.sqrt(pa * (1 - pa) / (n + 1) + pb * (1 - pb) / (other_n + 1))
+
+
+def _children(tree: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """The children at `level` with their sums: those of nodes with two children or more, with their node's sums, and all."""
+    kids = stash(_at(tree, level).filter("seg IS NOT NULL").groupBy("node", "seg", F.concat_ws("/", F.slice("t", 1, level)).alias("above")).agg(*[F.sum(c).alias(c) for c in SUMS], F.count(F.lit(1)).alias("paths")))
+    sums = kids.groupBy("node").agg(*[F.sum(c).alias(f"{c}_node") for c in SUMS], F.count(F.lit(1)).alias("children"))
+    return stash(_salted(kids, sums.filter("children > 1"), "node").drop("paths")), kids
+
+
+def _generalise(tree: DataFrame, level: int, max_children: int) -> tuple[DataFrame, bool, bool]:
+    """Set segment `level` to a wildcard where its node has too many children. Also whether a node has two children here, and whether two paths can still part below."""
+    wide, kids = _children(tree, level)
+    if wide.isEmpty():
+        return tree, False, not kids.filter("paths > 1").isEmpty()
+    crowded = wide.filter((F.col("children") > max_children) & (F.col("seg") != WILD)).select("node", "seg", F.lit(WILD).alias("into"))
+    out = _at(tree, level).join(crowded, ["node", "seg"], "left")
+    return stash(out.withColumn("t", F.when(F.col("into").isNotNull(), _put(level, F.col("into"))).otherwise(F.col("t"))).select(*tree.columns)), True, True
+
+
+def _merge(tree: DataFrame, level: int, similarity: float, z: float) -> DataFrame:
+    """Merge sibling branches at `level`: like children (cosine of their counts) and purity within z standard errors.
 
     Branches without labels show no purity and stay, so that the same template on other hosts can judge them.
     A node has few children here (crowded ones are wildcards), so the pairs of siblings are few."""
-    seg, paths = f"t{depth}", _with_node(paths, depth)
-    kids = paths.filter(F.col(seg).isNotNull()).groupBy("node", F.col(seg).alias("a"), F.coalesce(F.col(f"t{depth + 1}"), F.lit("")).alias("kid")).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
+    often = _children(tree, level)[0].filter("labelled > 0").select("node", "seg")
+    kids = _at(tree, level).join(often, ["node", "seg"]).groupBy("node", F.col("seg").alias("a"), F.coalesce(F.get("t", F.lit(level + 1)), F.lit("")).alias("kid")).agg(*[F.sum(c).alias(c) for c in SUMS])
+    kids = stash(kids)
     branch = kids.groupBy("node", "a").agg(F.sum(F.col("n") * F.col("n")).alias("norm"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     left = kids.select("node", "kid", "a", F.col("n").alias("na"))
     right = kids.select("node", "kid", F.col("a").alias("b"), F.col("n").alias("nb"))
     dots = left.join(right, ["node", "kid"]).filter(F.col("b") < F.col("a")).groupBy("node", "a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
     for side in ("a", "b"):
         dots = dots.join(branch.select("node", F.col("a").alias(side), F.col("norm").alias(f"{side}_norm"), F.col("labelled").alias(f"{side}_n"), F.col("blocked").alias(f"{side}_k")), ["node", side])
-    pa, pb = (F.col("a_k") + 0.5) / (F.col("a_n") + 1), (F.col("b_k") + 0.5) / (F.col("b_n") + 1)
-    error = F.sqrt(pa * (1 - pa) / (F.col("a_n") + 1) + pb * (1 - pb) / (F.col("b_n") + 1))
-    alike = (F.col("a_n") > 0) & (F.col("b_n") > 0) & (F.col("dot") >= similarity * F.sqrt(F.col("a_norm") * F.col("b_norm"))) & (F.abs(pa - pb) <= z * error)
-    into = dots.filter(alike).groupBy("node", F.col("a").alias(seg)).agg(F.min("b").alias("into"))
-    return _count(paths.join(into, ["node", seg], "left").withColumn(seg, F.coalesce("into", seg)).drop("into"))
+    alike = (F.col("dot") >= similarity * F.sqrt(F.col("a_norm") * F.col("b_norm"))) & ~_apart(F.col("a_n"), F.col("a_k"), F.col("b_n"), F.col("b_k"), z)
+    into = dots.filter(alike).groupBy("node", F.col("a").alias("seg")).agg(F.min("b").alias("into"))
+    out = _at(tree, level).join(into, ["node", "seg"], "left")
+    return stash(out.withColumn("t", F.when(F.col("into").isNotNull(), _put(level, F.col("into"))).otherwise(F.col("t"))).select(*tree.columns))
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", depth: int = 3, max_children: int = 24, similarity: float = 0.9, z: float = 2.0, strength: float = 8.0, threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", max_children: int = 24, similarity: float = 0.9, z: float = 2.0, strength: float = 8.0, threshold: float = 0.5) -> DataFrame:
     """Judge every url: the id column, host, path, rule (null if none fits), template, blocked_share, verdict."""
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     urls = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     pieces = F.filter(F.split(F.translate("path", UPPER, LOWER), "/"), lambda x: x != "")
     shape = F.transform(pieces, lambda x: F.when(x.rlike("[0-9]"), F.concat(F.lit(WILD), F.regexp_extract(x, r"(\.[a-z]{1,5})$", 1))).otherwise(x))
-    # segments below the last depth count as one
-    segs = F.when(F.size(shape) > depth, F.concat(F.slice(shape, 1, depth), F.array(F.lit(DEEP)))).otherwise(shape)
-    urls = urls.withColumns({"rule": rule, "by_rule": verdict, "segs": F.array_join(segs, "/")})
+    urls = urls.withColumns({"rule": rule, "by_rule": verdict, "segs": F.array_join(shape, "/")})
     labelled = F.when(F.col("by_rule").isNotNull(), 1).otherwise(0)
     blocked = F.when(F.col("by_rule") == "block", 1).otherwise(0)
     tree = urls.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), F.sum(labelled).alias("labelled"), F.sum(blocked).alias("blocked"))
-    parts = F.split("segs", "/")
-    tree = tree.select("host", *[F.when(F.col("segs") != "", F.get(parts, F.lit(i))).alias(f"t{i}") for i in range(depth + 1)], "segs", "n", "labelled", "blocked")
-    for d in range(depth):
-        tree = stash(_generalise(stash(tree), d, max_children))
-    for d in reversed(range(depth)):
-        tree = stash(_merge(tree, d, similarity, z))
-    template = F.concat(F.lit("/"), F.concat_ws("/", *[f"t{i}" for i in range(depth + 1)]))
-    tree = tree.withColumn("template", template)
+    tree = stash(tree.withColumn("t", F.when(F.col("segs") != "", F.split("segs", "/")).otherwise(F.array().cast("array<string>"))))
+    level, wide, on = 0, [], True
+    while on:
+        tree, parts, on = _generalise(tree, level, max_children)
+        wide += [level] * parts
+        level += 1
+    for level in reversed(wide):
+        tree = _merge(tree, level, similarity, z)
+    tree = tree.withColumn("template", F.concat(F.lit("/"), F.array_join("t", "/")))
     of_host = tree.groupBy("host", "template").agg(F.sum("labelled").alias("n_host"), F.sum("blocked").alias("k_host"))
     anywhere = of_host.groupBy("template").agg(F.sum("n_host").alias("n_any"), F.sum("k_host").alias("k_any"))
     total = anywhere.agg(F.sum("n_any").alias("n_all"), F.sum("k_any").alias("k_all")).select(((F.coalesce("k_all", F.lit(0)) + 1) / (F.coalesce("n_all", F.lit(0)) + 2)).alias("prior"))

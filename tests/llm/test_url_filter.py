@@ -52,6 +52,15 @@ def test_like_branches_merge(spark):
     assert {r.template for r in U.judge(rows, ()).collect()} == {"/aa/*", "/bb/*"}
 
 
+def test_templates_reach_below_the_third_segment(spark):
+    top = "/2024/05/12/a/b/c"
+    rules = (("block", "bad.example", f"{top}/ads/"), ("allow", "bad.example", f"{top}/news/"))
+    urls = [f"http://{host}.example{top}/{k}/{i}/x" for host, n in (("bad", 40), ("new", 5)) for k in ("ads", "news") for i in range(n)]
+    got = {r.page_id: r for r in U.judge(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string"), rules).collect()}
+    assert [got[i].verdict for i in range(80, 90)] == ["block"] * 5 + ["allow"] * 5
+    assert got[80].template == "/*/*/*/a/b/c/ads/*/x" and got[85].template == "/*/*/*/a/b/c/news/*/x"
+
+
 def test_empty_table(spark):
     assert U.judge(spark.createDataFrame([], "page_id int, url string")).count() == 0
 
