@@ -1,7 +1,8 @@
 """URL filters: explicit host and path rules, and a path-template tree for the urls that no rule fits.
 
 The tree is built for each host from distinct paths, level by level until no two paths part, however deep that is: segments
-that hold digits, or whose node has too many different children, become wildcards. Branches
+that hold digits and rare children become wildcards. A child is rare if another row of its node falls into it with a share of
+less than 1 / `max_children`, whatever the number of rows; one whose labelled purity differs significantly stays. Branches
 of a node whose children are distributed alike and whose labelled purity does not differ significantly are merged
 under the smallest of them. Labels are the urls that a rule decides. A template's share of blocked urls is smoothed towards the same template over all hosts and that towards
 the share of all labelled urls; templates whose smoothed share reaches `threshold` are rejected.
@@ -70,6 +71,11 @@ def _apart(n: Column, k: Column, other_n: Column, other_k: Column, z: float) ->
     return F.abs(pa - pb) > z * F.sqrt(pa * (1 - pa) / (n + 1) + pb * (1 - pb) / (other_n + 1))
 
 
+def _often(max_children: int) -> Column:
+    """Whether another row of the node falls into the same child with a share of 1 / max_children at least; an only row has no other."""
+    return (F.col("n") - 1) * max_children >= F.col("n_node") - 1
+
+
 def _children(tree: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     """The children at `level` with their sums: those of nodes with two children or more, with their node's sums, and all."""
     kids = stash(_at(tree, level).filter("seg IS NOT NULL").groupBy("node", "seg", F.concat_ws("/", F.slice("t", 1, level)).alias("above")).agg(*[F.sum(c).alias(c) for c in SUMS], F.count(F.lit(1)).alias("paths")))
@@ -77,22 +83,31 @@ def _children(tree: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     return stash(_salted(kids, sums.filter("children > 1"), "node").drop("paths")), kids
 
 
-def _generalise(tree: DataFrame, level: int, max_children: int) -> tuple[DataFrame, bool, bool]:
-    """Set segment `level` to a wildcard where its node has too many children. Also whether a node has two children here, and whether two paths can still part below."""
+def _generalise(tree: DataFrame, level: int, max_children: int, z: float) -> tuple[DataFrame, bool, bool]:
+    """Set segment `level` of rare children to a wildcard. Also whether a node has two children here, and whether two paths can still part below.
+
+    A child stays by its share of the node's rows, or by a purity that differs from the other children of its node or,
+    with the labels of other hosts, from what other segments have there."""
     wide, kids = _children(tree, level)
     if wide.isEmpty():
         return tree, False, not kids.filter("paths > 1").isEmpty()
-    crowded = wide.filter((F.col("children") > max_children) & (F.col("seg") != WILD)).select("node", "seg", F.lit(WILD).alias("into"))
-    out = _at(tree, level).join(crowded, ["node", "seg"], "left")
+    anywhere = kids.filter("labelled > 0").groupBy("above", "seg").agg(F.sum("labelled").alias("any_n"), F.sum("blocked").alias("any_k"))
+    total = anywhere.groupBy("above").agg(F.sum("any_n").alias("all_n"), F.sum("any_k").alias("all_k"))
+    rare = wide.filter(~_often(max_children) & (F.col("seg") != WILD)).join(_salted(anywhere, total, "above"), ["above", "seg"], "left")
+    own = _apart(F.col("labelled"), F.col("blocked"), F.col("labelled_node") - F.col("labelled"), F.col("blocked_node") - F.col("blocked"), z)
+    n, k = F.coalesce("any_n", F.lit(0)) - F.col("labelled"), F.coalesce("any_k", F.lit(0)) - F.col("blocked")
+    others = _apart(n, k, F.coalesce("all_n", F.lit(0)) - F.coalesce("any_n", F.lit(0)), F.coalesce("all_k", F.lit(0)) - F.coalesce("any_k", F.lit(0)), z)
+    rare = rare.filter(~(own & (F.col("labelled") > 0)) & ~(others & (n > 0))).select("node", "seg", F.lit(WILD).alias("into"))
+    out = _at(tree, level).join(rare, ["node", "seg"], "left")
     return stash(out.withColumn("t", F.when(F.col("into").isNotNull(), _put(level, F.col("into"))).otherwise(F.col("t"))).select(*tree.columns)), True, True
 
 
-def _merge(tree: DataFrame, level: int, similarity: float, z: float) -> DataFrame:
+def _merge(tree: DataFrame, level: int, max_children: int, similarity: float, z: float) -> DataFrame:
     """Merge sibling branches at `level`: like children (cosine of their counts) and purity within z standard errors.
 
-    Branches without labels show no purity and stay, so that the same template on other hosts can judge them.
-    A node has few children here (crowded ones are wildcards), so the pairs of siblings are few."""
-    often = _children(tree, level)[0].filter("labelled > 0").select("node", "seg")
+    Branches without labels show no purity and stay, so that the same template on other hosts can judge them. Only
+    branches that stay by their share of rows are compared, so a node has few pairs."""
+    often = _children(tree, level)[0].filter(_often(max_children)).filter("labelled > 0").select("node", "seg")
     kids = _at(tree, level).join(often, ["node", "seg"]).groupBy("node", F.col("seg").alias("a"), F.coalesce(F.get("t", F.lit(level + 1)), F.lit("")).alias("kid")).agg(*[F.sum(c).alias(c) for c in SUMS])
     kids = stash(kids)
     branch = kids.groupBy("node", "a").agg(F.sum(F.col("n") * F.col("n")).alias("norm"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
@@ -121,11 +136,11 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_co
     tree = stash(tree.withColumn("t", F.when(F.col("segs") != "", F.split("segs", "/")).otherwise(F.array().cast("array<string>"))))
     level, wide, on = 0, [], True
     while on:
-        tree, parts, on = _generalise(tree, level, max_children)
+        tree, parts, on = _generalise(tree, level, max_children, z)
         wide += [level] * parts
         level += 1
     for level in reversed(wide):
-        tree = _merge(tree, level, similarity, z)
+        tree = _merge(tree, level, max_children, similarity, z)
     tree = tree.withColumn("template", F.concat(F.lit("/"), F.array_join("t", "/")))
     of_host = tree.groupBy("host", "template").agg(F.sum("labelled").alias("n_host"), F.sum("blocked").alias("k_host"))
     anywhere = of_host.groupBy("template").agg(F.sum("n_host").alias("n_any"), F.sum("k_host").alias("k_any"))

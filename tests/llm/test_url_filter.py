@@ -61,6 +61,25 @@ def test_templates_reach_below_the_third_segment(spark):
     assert got[80].template == "/*/*/*/a/b/c/ads/*/x" and got[85].template == "/*/*/*/a/b/c/news/*/x"
 
 
+@pytest.mark.parametrize("times", [1, 10])
+def test_sections_stay_beside_one_off_segments_at_any_number_of_rows(spark, times):
+    sections = ["es", "fr", *[f"part{c}" for c in "abcdefghijklmnopqr"]]
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    urls = [f"http://h.org/{k}/{i}" for k in sections for i in range(10 * times)] + [f"http://h.org/once{word(i)}/1" for i in range(5 * times)]
+    urls += [f"http://{host}/{k}/{i}" for host in ("a.net", "b.net") for k in ("es",) for i in range(40)] + [f"http://c.com/{k}/{i}" for k in ("de", "it") for i in range(80)]
+    # a host where sections are rare: labels of other hosts keep them
+    urls += [f"http://many.org/{k}{word(i)}/1" for k in "xy" for i in range(100 * times)] + [f"http://many.org/es/{i}" for i in range(times)]
+    got = [(u, r) for u, r in zip(urls, sorted(U.judge(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")).collect(), key=lambda r: r.page_id), strict=True)]
+    for u, r in got:
+        _, _, host, seg, _ = u.split("/")
+        if host == "h.org":
+            assert r.template == (f"/{seg}/*" if seg in sections else "/*/*"), u
+        if host == "many.org":
+            assert r.template == ("/es/*" if seg == "es" else "/*/*"), u
+        if host.endswith(".org"):
+            assert r.verdict == ("block" if seg == "es" else "allow"), u
+
+
 def test_empty_table(spark):
     assert U.judge(spark.createDataFrame([], "page_id int, url string")).count() == 0
 
