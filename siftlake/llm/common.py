@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,20 +37,36 @@ def fold_of(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
+_WRITTEN: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share. A folder of our own serves in local mode only, as other machines could not read it."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="siftlake-checkpoints-"))
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return sc._jsc.sc().getCheckpointDir().get()
+    if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="siftlake-checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+@atexit.register
+def _remove_written() -> None:
+    """Results may be read until the program ends; then the tables go, if Spark is still there to remove them."""
+    sc = SparkContext._active_spark_context
+    for path in _WRITTEN if sc is not None and sc._jsc is not None else ():
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write the rows as a Parquet table in the shared folder and read them back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.add(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -59,8 +59,8 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = raking.mix(table(spark, sf_dir, "documents"))
-    mixed = {c: F.col(f"_mix_{c}") for c in ("source", "lang", "topic", "n_tokens", "weight", "probability", "kept")}
-    return out.select("doc_id", *[(F.round(v, 6) if c in ("weight", "probability") else v).alias(c) for c, v in mixed.items()])
+    mixed = {c: F.col(f"_mix_{c}") for c in ("source", "lang", "topic", "n_tokens", "weight", "expected", "probability", "kept", "copies")}
+    return out.select("doc_id", *[(F.round(v, 6) if c in ("weight", "expected", "probability") else v).alias(c) for c, v in mixed.items()])
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

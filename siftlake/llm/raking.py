@@ -8,8 +8,8 @@ expected tokens s times all tokens; kept documents alone fall short of targets t
 The cells are a distributed table throughout; only single numbers reach the driver.
 
 Targets default to shares in proportion to the square root of each value's tokens, which lifts small sources; given targets may name
-some values, and the rest share what is left in the default proportion. Topic is an expression over the text; the default
-tells tables and four lengths of prose apart.
+some values, and the rest share what is left in the default proportion. Topic is an expression over the rows; as documents have no
+topic column, the default is the form of the text (table, list, prose of four lengths).
 
 Null sources, languages and texts count as empty text. Documents without tokens weigh nothing but are sampled like the rest of their cell.
 Documents of one id are kept or dropped together (a null id counts as empty text). Repeated rows give a row each; an empty
@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WORD, stash
@@ -36,40 +37,45 @@ def count_tokens(text: Column) -> Column:
 
 
 def topic_of(text: Column, n_tokens: Column) -> Column:
-    """table: one bar in twenty words at least; else by length: brief, short, long, book."""
-    bars = F.length(F.coalesce(text, F.lit(""))) - F.length(F.replace(F.coalesce(text, F.lit("")), F.lit("|"), F.lit("")))
-    return F.when((n_tokens > 0) & (bars * 20 >= n_tokens), "table").when(n_tokens < 100, "brief").when(n_tokens < 400, "short").when(n_tokens < 1500, "long").otherwise("book")
+    """The form of a text: table (one bar in twenty words at least), list (a line for each eight words, three lines at least), else prose by its length: brief, short, long, book."""
+    text = F.coalesce(text, F.lit(""))
+    count = lambda char: F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+    form = F.when((n_tokens > 0) & (count("|") * 20 >= n_tokens), "table").when((count("\n") >= 2) & (count("\n") * 8 + 8 >= n_tokens), "list")
+    return form.when(n_tokens < 100, "brief").when(n_tokens < 400, "short").when(n_tokens < 1500, "long").otherwise("book")
 
 
-def _target(margin: str, given: Mapping[str, float] | None, total: float, rest: float) -> Column:
-    """Target share of a margin's value. total, rest: sums of the square roots of all values' and of the unnamed values' tokens."""
-    root = F.sqrt(F.col("mass"))
-    if not given:
-        return root / F.lit(total)
-    left = max(0.0, 1 - sum(given.values()))
-    out = root * F.lit(left) / F.lit(rest if rest > 0 else 1.0)
-    for value, share in sorted(given.items()):
-        out = F.when(F.col(margin) == value, F.lit(float(share))).otherwise(out)
-    return out
+def _total(values: str, margin: str) -> Column:
+    """Sum over the values of a margin, each of which is repeated in all of its cells."""
+    return F.coalesce(F.sum(F.expr(values) / F.col(f"{margin}_cells")), F.lit(0.0))
 
 
 def factors(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, passes: int = 6) -> DataFrame:
-    """Raked factor of each cell. cells: source, lang, topic, tokens; returns them with `factor`."""
-    cells = stash(cells.withColumn("factor", F.lit(1.0)))
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    shares = {}
+    """Raked factor of each cell. cells: source, lang, topic, tokens; returns them with `factor`.
+
+    Given shares of values that no cell has are ignored; shares that sum to more than 1, or leave no other value to take the rest, are scaled to sum to 1."""
+    each = {m: W.partitionBy(m) for m in MARGINS}
+    for m in MARGINS:
+        share = F.lit(None).cast("double")
+        for value, wanted in sorted(((targets or {}).get(m) or {}).items()):
+            share = F.when(F.col(m) == value, F.lit(float(wanted))).otherwise(share)
+        cells = cells.withColumns({f"{m}_root": F.sqrt(F.sum("tokens").over(each[m]).cast("double")), f"{m}_cells": F.count(F.lit(1)).over(each[m]), f"{m}_given": share})
+    cells = stash(cells)
+    sums = [F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")]
+    for m in MARGINS:
+        sums += [_total(f"CASE WHEN {m}_given IS NULL THEN {m}_root END", m).alias(f"{m}_rest"), _total(f"{m}_given", m).alias(f"{m}_named")]
+    sums = cells.agg(*sums).first()
+    wanted = {}
     for m in MARGINS:
-        given = (targets or {}).get(m)
-        mass = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("mass"))
-        named = F.col(m).isin(*given) if given else F.lit(False)
-        roots = mass.agg(F.sum(F.sqrt("mass")), F.sum(F.when(~named, F.sqrt("mass")))).first()
-        shares[m] = stash(mass.select(m, _target(m, given, roots[0] or 1.0, roots[1] or 0.0).alias("share")))
+        rest, named = sums[f"{m}_rest"], sums[f"{m}_named"]
+        scale = 1 / named if named > 1 or named and not rest else 1.0
+        wanted[m] = F.coalesce(F.col(f"{m}_given") * F.lit(scale), F.col(f"{m}_root") * F.lit(max(0.0, 1 - named)) / F.lit(rest or 1.0)) * F.lit(float(sums["tokens"]))
+    cells = cells.select(*MARGINS, "tokens", F.lit(1.0).alias("factor"), *[w.alias(f"{m}_wanted") for m, w in wanted.items()])
     for _ in range(passes):
         for m in MARGINS:
-            now = cells.groupBy(m).agg(F.sum(F.col("tokens") * F.col("factor")).alias("now")).join(shares[m], m)
-            ratio = now.select(m, F.when(F.col("now") > 0, F.col("share") * F.lit(float(total)) / F.col("now")).otherwise(F.lit(1.0)).alias("ratio"))
-            cells = stash(cells.join(ratio, m).select(*MARGINS, "tokens", (F.col("factor") * F.col("ratio")).alias("factor")))
-    return cells
+            now = F.sum(F.col("tokens") * F.col("factor")).over(each[m])
+            cells = cells.withColumn("now", now).withColumn("factor", F.when(F.col("now") > 0, F.col("factor") * F.col(f"{m}_wanted") / F.col("now")).otherwise(F.col("factor")))
+        cells = stash(cells.drop("now"))  # one job for each pass
+    return cells.select(*MARGINS, "tokens", "factor")
 
 
 def scale_for(cells: DataFrame, keep: float, rounds: int = 6) -> float:
@@ -94,11 +100,11 @@ def draw(key: Column, seed: str = "mix") -> Column:
     return F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, keep: float = 0.8, passes: int = 6, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs with _mix_ columns: source, lang, topic, n_tokens, weight (the factor), probability, kept, copies."""
-    n = count_tokens(F.col(text_col))
-    rows = docs.withColumn(f"{P}n_tokens", n)
-    rows = rows.withColumns({f"{P}source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), f"{P}lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("")), f"{P}topic": topic_of(F.col(text_col), F.col(f"{P}n_tokens"))})
+def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, keep: float = 0.8, passes: int = 6, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None) -> DataFrame:
+    """The rows of docs with _mix_ columns: source, lang, topic (an expression over docs), n_tokens, weight (the factor), expected, probability, kept, copies."""
+    rows = docs.withColumn(f"{P}n_tokens", count_tokens(F.col(text_col)))
+    given = topic_of(F.col(text_col), F.col(f"{P}n_tokens")) if topic is None else F.coalesce(topic.cast("string"), F.lit(""))
+    rows = rows.withColumns({f"{P}source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), f"{P}lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("")), f"{P}topic": given})
     cells = rows.groupBy(*[F.col(P + m).alias(m) for m in MARGINS]).agg(F.sum(f"{P}n_tokens").alias("tokens"))
     cells = factors(cells, targets, passes)
     s = scale_for(cells, keep)
@@ -108,18 +114,19 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     for m in MARGINS:
         on = on & (F.col(P + m) == F.col(f"{P}c_{m}"))
     out = rows.join(table, on).drop(f"{P}c_salt", *[f"{P}c_{m}" for m in MARGINS])
-    out = out.withColumn(f"{P}probability", F.least(F.lit(1.0), F.lit(s) * F.col(f"{P}weight")))
-    out = out.withColumn(f"{P}kept", draw(F.col(id_col)) < F.col(f"{P}probability"))
-    times = F.lit(s) * F.col(f"{P}weight")
-    return out.withColumn(f"{P}copies", F.floor(times) + (draw(F.col(id_col)) < times - F.floor(times)).cast("long"))
+    out = out.withColumn(f"{P}expected", F.lit(s) * F.col(f"{P}weight")).withColumn(f"{P}probability", F.least(F.lit(1.0), F.col(f"{P}expected")))
+    times, drawn = F.col(f"{P}expected"), draw(F.col(id_col))
+    return out.withColumns({f"{P}kept": drawn < F.col(f"{P}probability"), f"{P}copies": F.floor(times) + (drawn < times - F.floor(times)).cast("long")})
 
 
 def sql(keep: float = 0.8, passes: int = 6, rounds: int = 6) -> str:
     """The default mix of `documents` as one DuckDB statement."""
     words, text = WORD.replace("'", "''"), "coalesce(text, '')"
+    count = lambda char: f"(length(text) - length(replace(text, {char}, '')))"
+    form = f"CASE WHEN n_tokens > 0 AND {count("'|'")} * 20 >= n_tokens THEN 'table' WHEN {count('chr(10)')} >= 2 AND {count('chr(10)')} * 8 + 8 >= n_tokens THEN 'list'"
     with_ = [
         f"r AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {text} AS text, CAST(len(regexp_extract_all({text}, '{words}')) AS BIGINT) AS n_tokens FROM documents)",
-        "d AS (SELECT doc_id, source, lang, n_tokens, CASE WHEN n_tokens > 0 AND (length(text) - length(replace(text, '|', ''))) * 20 >= n_tokens THEN 'table' WHEN n_tokens < 100 THEN 'brief' WHEN n_tokens < 400 THEN 'short' WHEN n_tokens < 1500 THEN 'long' ELSE 'book' END AS topic FROM r)",
+        f"d AS (SELECT doc_id, source, lang, n_tokens, {form} WHEN n_tokens < 100 THEN 'brief' WHEN n_tokens < 400 THEN 'short' WHEN n_tokens < 1500 THEN 'long' ELSE 'book' END AS topic FROM r)",
         "c0 AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(1 AS DOUBLE) AS factor FROM d GROUP BY ALL)",
         "total AS (SELECT CAST(sum(tokens) AS DOUBLE) AS t FROM c0)",
     ]
@@ -136,5 +143,6 @@ def sql(keep: float = 0.8, passes: int = 6, rounds: int = 6) -> str:
     for k in range(rounds):
         with_.append(f"f{k} AS (SELECT any_value(z.s) AS s, sum(tokens) AS every, sum(CASE WHEN factor * z.s >= 1 THEN tokens ELSE 0 END) AS full_, sum(CASE WHEN factor * z.s >= 1 THEN 0 ELSE tokens * factor END) AS free_ FROM c{i}, s{k} z)")
         with_.append(f"s{k + 1} AS (SELECT CASE WHEN free_ = 0 OR full_ >= {keep} * every THEN s ELSE ({keep} * every - full_) / free_ END AS s FROM f{k})")
-    body = f"SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(c.factor, 6) AS weight, round(least(1.0, z.s * c.factor), 6) AS probability, CAST(('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 12)) AS BIGINT) / 281474976710656.0 < least(1.0, z.s * c.factor) AS kept FROM d JOIN c{i} c USING (source, lang, topic), s{rounds} z"
+    draw = "CAST(('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 12)) AS BIGINT) / 281474976710656.0"
+    body = f"SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(c.factor, 6) AS weight, round(z.s * c.factor, 6) AS expected, round(least(1.0, z.s * c.factor), 6) AS probability, {draw} < least(1.0, z.s * c.factor) AS kept, CAST(floor(z.s * c.factor) + CASE WHEN {draw} < z.s * c.factor - floor(z.s * c.factor) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM d JOIN c{i} c USING (source, lang, topic), s{rounds} z"
     return f"WITH {', '.join(f'{x.split(" AS ", 1)[0]} AS MATERIALIZED {x.split(" AS ", 1)[1]}' for x in with_)} {body}"

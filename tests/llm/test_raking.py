@@ -23,6 +23,24 @@ def test_margins_meet_their_targets(spark):
     assert abs(sum(min(1, s * r.factor) * r.tokens for r in got) - 0.6 * total) < 1e-6 * total
 
 
+def test_targets_that_do_not_fit(spark):
+    cells = spark.createDataFrame([(s, lang, "t", 10) for s in "ab" for lang in "xy"], "source string, lang string, topic string, tokens bigint")
+    got = raking.factors(cells, {"source": {"a": 3.0, "b": 1.0}, "lang": {"z": 0.9}, "topic": {"t": 0.5}}).collect()
+    share = lambda m, v: sum(r.tokens * r.factor for r in got if r[m] == v) / 40
+    assert abs(share("source", "a") - 0.75) < 1e-9 and abs(share("lang", "x") - 0.5) < 1e-9 and abs(share("topic", "t") - 1) < 1e-9
+
+
+def test_expected_copies_meet_the_margins(spark):
+    """The sample's expected shares, source, language and a topic of the caller's, are the targets within 1 %."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    targets = {"lang": {"en": 0.3, "es": 0.25}, "topic": {"0": 0.2, "1": 0.5}}
+    rows = raking.mix(docs, targets, passes=12, topic=F.col("doc_id") % 3).collect()
+    every = sum(r._mix_expected * r._mix_n_tokens for r in rows)
+    for m, wanted in (*targets.items(), ("topic", {"2": 0.3})):
+        for value, share in wanted.items():
+            assert abs(sum(r._mix_expected * r._mix_n_tokens for r in rows if r[f"_mix_{m}"] == value) / every - share) < 0.01 * share
+
+
 def test_odd_rows(odd, none):
     got = raking.mix(odd).collect()
     assert len(got) == odd.count() and set(odd.columns) <= set(got[0].asDict())
