@@ -86,12 +86,13 @@ OP8_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), n AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY v) AS INTEGER) AS place FROM v
 ), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+  SELECT a.vec_id AS query_id, a.place AS query_row, b.vec_id AS vec_id,
     CAST(coalesce(list_sum(list_transform(range(1, least(len(a.v), len(b.v)) + 1), lambda i: a.v[i] * b.v[i])), 0) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
-), r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+  FROM n a JOIN n b ON a.vec_id % 100 = 0 AND (b.vec_id IS NULL OR a.vec_id <> b.vec_id OR a.place <> b.place)
+), r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, query_row ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score, query_row FROM s)
+SELECT query_id, rank, vec_id, score, query_row FROM r WHERE rank <= 10
 """
 
 

@@ -2,10 +2,12 @@
 
 Every rule is a small regular expression over bytes. All rules are compiled together: Thompson NFAs,
 subset construction over byte classes, minimisation, and transition arrays. One pass over a text's bytes drives
-the combined unanchored automaton, whose accepting states name the rules that match there. A batch of texts is cut into
+the combined unanchored automaton and keeps the state after every byte. A batch of texts is cut into
 chunks that step through the arrays side by side; a chunk whose predecessor turns out to end inside a possible match
-is run again from that state. Only for rules that were seen are exact spans then cut out, with the rule's own anchored
-automaton made in the same way (leftmost start, longest end, non-overlapping, as the regular expression itself would be
+is run again from that state. Each state knows which rules accept in it and which rules have an open attempt in it, so the
+states hold, for every rule, the runs of bytes with an attempt open, and whether the rule accepted in them: all matches lie in
+runs with an accept, which start where an attempt began. Such a run, and nothing else of the text, is cut into spans by the rule's own anchored automaton made in
+the same way (leftmost start, longest end, non-overlapping, as the regular expression itself would be
 matched). The automata are compiled once on the driver and travel with the tasks (well under 1 MB).
 
 Null texts count as empty and hold nothing. Repeated rows and null or repeated ids give a row each. An empty table
@@ -14,8 +16,6 @@ gives an empty table; extra columns are ignored. Texts of any length are scanned
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,18 +28,17 @@ from pyspark.sql import DataFrame
 @dataclass(frozen=True)
 class Rule:
     """A kind of secret. expression: literals, [classes], (a|b), ?, *, + and {n} after one atom; matches that are shorter than `least`
-    characters, or whose value (what stands after the first match of `lead`) is shorter than `least_value`, are dropped."""
+    characters, or whose value is shorter than `least_value`, are dropped. It must not begin with a part that may be empty. A match with a value is name, sign (: or =), spaces and a quote, if any, and value."""
 
     kind: str
     expression: str
     least: int = 0
-    lead: str = ""
     least_value: int = 0
 
 
 #: The rules whose spans every scan must report, in this order.
 BASE_RULES = (
-    Rule("assign", r"([Pp][Aa][Ss][Ss][Ww]([Oo][Rr])?[Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=\-]+", lead=r"[A-Za-z_]+[\"']?\x20*[:=]\x20*[\"']?", least_value=6),
+    Rule("assign", r"([Pp][Aa][Ss][Ss][Ww]([Oo][Rr])?[Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=\-]+", least_value=6),
     Rule("access", r"AKIA[A-Z0-9]+", least=20),
     Rule("hex", r"[0-9a-f]{8}[0-9a-f]*", least=24),
 )
@@ -146,11 +145,16 @@ class _Parser:
 
 
 class Automaton:
-    """Minimal deterministic automaton of some rules: step[state][byte class], classes[byte], accepts[state] = rule numbers."""
+    """Minimal deterministic automaton of some rules: step[state][byte class], classes[byte]; accepts[state] and open[state] are rule numbers.
+
+    A rule is open in a state that holds more of it than its start: some attempt has taken a byte and may still match."""
 
     def __init__(self, expressions: list[str], anchored: bool):
         nfa = _Parser()
-        pairs = [nfa.parse(x) for x in expressions]
+        pairs, of_rule = [], []
+        for i, x in enumerate(expressions):
+            pairs.append(nfa.parse(x))
+            of_rule += [i] * (len(nfa.edges) - len(of_rule))
         ends = {end: i for i, (_, end) in enumerate(pairs)}
         starts = [start for start, _ in pairs]
         sets = {s for edges in nfa.edges for s, _ in edges if s is not None}
@@ -185,8 +189,9 @@ class Automaton:
                     todo.append(to)
                 step[-1].append(number[to])
         accepts = [frozenset(ends[x] for x in states if x in ends) for states in number]
-        kinds = {a: i for i, a in enumerate(dict.fromkeys(accepts))}
-        group = [kinds[a] for a in accepts]
+        opened = [frozenset(of_rule[x] for x in states - first) for states in number]
+        kinds = {a: i for i, a in enumerate(dict.fromkeys(zip(accepts, opened, strict=True)))}
+        group = [kinds[a] for a in zip(accepts, opened, strict=True)]
         while True:  # minimisation by refinement
             keys = [(group[i], *(group[t] for t in row)) for i, row in enumerate(step)]
             order = {k: i for i, k in enumerate(dict.fromkeys(keys))}
@@ -197,9 +202,10 @@ class Automaton:
         group = refined
         self.step: list[list[int]] = [[] for _ in order]
         self.accepts: list[frozenset[int]] = [frozenset()] * len(order)
+        self.open: list[frozenset[int]] = [frozenset()] * len(order)
         for i, row in enumerate(step):
             self.step[group[i]] = [group[t] for t in row]
-            self.accepts[group[i]] = accepts[i]
+            self.accepts[group[i]], self.open[group[i]] = accepts[i], opened[i]
         self.start = group[0]
 
 
@@ -214,69 +220,51 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = rules
         combined = Automaton([r.expression for r in rules], anchored=False)
-        width = len(set(combined.classes))
-        # states that accept nothing come first, so that one comparison finds an accepting state
-        order = sorted(range(len(combined.step)), key=lambda s: bool(combined.accepts[s]))
-        place = np.argsort(order)
         self.classes = combined.classes
-        self.table = (place[np.array(combined.step)[order]] * width).astype(np.int32).ravel()
-        self.quiet = sum(not a for a in combined.accepts) * width
-        self.accepts = [combined.accepts[s] for s in order]
-        self.width, self.start = width, int(place[combined.start]) * width
+        self.width, self.start = len(set(combined.classes)), combined.start
+        self.table = (np.array(combined.step) * self.width).astype(np.int32).ravel()
+        self.accepts = np.array([[r in a for a in combined.accepts] for r in range(len(rules))])
+        self.open = np.array([[r in o for o in combined.open] for r in range(len(rules))])
         self.own = [Automaton([r.expression], anchored=True) for r in rules]
         self.dead = [{s for s, row in enumerate(a.step) if not a.accepts[s] and set(row) == {s}} for a in self.own]
 
-    def _run(self, chunks: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
-        """Step all chunks (a column for each chunk) side by side: their last states, and (offset, chunks, states) where they accept."""
-        hits = []
-        for t in range(len(chunks)):
-            states = self.table[states + chunks[t]]
-            if (states >= self.quiet).any():
-                which = np.flatnonzero(states >= self.quiet)
-                hits.append((t, which, states[which]))
-        return states, hits
-
-    def seen(self, texts: list[bytes]) -> dict[int, set[int]]:
-        """Rules that match somewhere in each text: {text: rules}, from one pass over the bytes."""
-        data = BREAK.join(texts) + BREAK
+    def states(self, data: bytes) -> np.ndarray:
+        """The combined automaton's state after every byte, from one pass over the bytes; chunks step side by side."""
         pad = -len(data) % CHUNK
         codes = np.frombuffer((data + BREAK * pad).translate(self.classes), dtype=np.uint8)
         chunks = np.ascontiguousarray(codes.reshape(-1, CHUNK).T.astype(np.int32))
         n = chunks.shape[1]
-        begin = np.full(n, self.start, dtype=np.int32)
-        end = begin.copy()
-        found: set[tuple[int, int]] = set()
-        ends = np.cumsum([len(t) + 1 for t in texts])
+        begin = np.full(n, self.start * self.width, dtype=np.int32)
+        out = np.empty((CHUNK, n), dtype=np.int32)
         again = np.arange(n)
-        accepted: dict[int, list[tuple[int, int]]] = {}
         while len(again):
-            for c in again.tolist() if accepted else ():
-                accepted.pop(c, None)
-            last, hits = self._run(chunks[:, again], begin[again])
-            for t, which, states in hits:
-                for c, s in zip(again[which].tolist(), states.tolist(), strict=True):
-                    accepted.setdefault(c, []).append((t, s))
-            end[again] = last
-            wanted = np.concatenate([[self.start], end[:-1]]).astype(np.int32)
+            now, steps = begin[again], chunks[:, again]
+            for t in range(CHUNK):
+                now = self.table[now + steps[t]]
+                out[t, again] = now
+            wanted = np.concatenate([[self.start * self.width], out[-1, :-1]]).astype(np.int32)
             again = np.flatnonzero(wanted != begin)
             begin = wanted
-        for c, events in accepted.items():
-            for (_, s), text in zip(events, np.searchsorted(ends, [c * CHUNK + t for t, _ in events], side="right").tolist(), strict=True):
-                found.add((text, s))
-        out: dict[int, set[int]] = {}
-        for text, s in found:
-            out.setdefault(text, set()).update(self.accepts[s // self.width])
-        return out
+        return out.T.ravel()[: len(data)] // self.width
+
+    def runs(self, data: bytes) -> Iterator[tuple[int, int, int]]:
+        """(rule, start, end) of every run of bytes in which attempts of a rule are open and the rule accepts."""
+        states = self.states(data)
+        for r in range(len(self.rules)):
+            hits = np.flatnonzero(self.accepts[r][states])
+            if len(hits):
+                shut = np.flatnonzero(~self.open[r][states])  # a run lies between two bytes after which nothing is open
+                at = np.unique(np.searchsorted(shut, hits))
+                for i in at.tolist():
+                    yield r, int(shut[i - 1]) + 1 if i else 0, int(shut[i]) if i < len(shut) else len(data)
 
     def matches(self, rule: int, data: bytes) -> Iterator[tuple[int, int]]:
         """Leftmost, longest, non-overlapping matches of a rule as byte spans, before any of them is dropped."""
         a, dead = self.own[rule], self.dead[rule]
         step, accepts, start, text = a.step, a.accepts, a.start, data.translate(a.classes)
-        live = bytes(c for c, to in enumerate(step[start]) if to not in dead)
         at = 0
-        candidate = re.compile(b"[" + re.escape(live) + b"]") if live else None
-        while candidate and (m := candidate.search(text, at)):
-            state, end, i = start, -1, m.start()
+        while at < len(text):
+            state, end, i = start, -1, at
             while i < len(text):
                 state = step[state][text[i]]
                 if state in dead:
@@ -285,29 +273,40 @@ class Scanner:
                 if accepts[state]:
                     end = i
             if end < 0:
-                at = m.start() + 1
+                at += 1
             else:
-                yield m.start(), end
+                yield at, end
                 at = end
 
     def spans(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
         """All kept spans of each text as (kind, start, end) in code points, by start and then in the rules' order."""
         encoded = [t.encode() for t in texts]
+        data = BREAK.join(encoded) + BREAK
+        begins = np.cumsum([0, *(len(t) + 1 for t in encoded)])
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for r, a, b in self.runs(data):
+            i = int(np.searchsorted(begins, a, side="right")) - 1
+            for x, y in self.matches(r, data[a:b]):
+                if self.keeps(r, data[a + x : a + y]):
+                    found.setdefault(i, []).append((a + x - int(begins[i]), r, a + y - int(begins[i])))
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-        for i, rules in self.seen(encoded).items():
-            out[i] = self._spans(texts[i], encoded[i], rules)
+        for i, spans in found.items():
+            out[i] = self._in_points(texts[i], encoded[i], sorted(spans))
         return out
 
-    def _spans(self, text: str, data: bytes, rules: set[int]) -> list[tuple[str, int, int]]:
-        found = []
-        for r in rules:
-            rule = self.rules[r]
-            for a, b in self.matches(r, data):
-                lead = re.match(rule.lead.encode(), data[a:b]).end() if rule.lead else 0
-                if b - a >= rule.least and b - a - lead >= rule.least_value:
-                    found.append((a, r, b))
-        found.sort()
-        if found and len(data) != len(text):
+    def keeps(self, rule: int, match: bytes) -> bool:
+        """Whether a match is long enough, and its value."""
+        r = self.rules[rule]
+        if len(match) < r.least:
+            return False
+        if not r.least_value:
+            return True
+        sign = min(i for i in (match.find(b":"), match.find(b"=")) if i >= 0)
+        value = match[sign + 1 :].lstrip(b" ")
+        return len(value) - (value[:1] in (b"'", b'"')) >= r.least_value
+
+    def _in_points(self, text: str, data: bytes, found: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+        if len(data) != len(text):
             at, n, points = 0, 0, {}
             for x in sorted({x for a, _, b in found for x in (a, b)}):
                 n += len(data[at:x].decode())
@@ -369,7 +368,3 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, t
             yield pa.RecordBatch.from_arrays(columns, names=list(batch.schema.names))
 
     return docs.mapInArrow(run, schema)
-
-
-def digest(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
