@@ -1,44 +1,47 @@
 """Document fingerprints: a Merkle tree over pieces, paragraphs and sections, in DataFrame functions only.
 
-Paragraphs are the lines of a text; each is cut from its start into pieces of at most `PIECE` code points, whose digests
-are the leaves. A paragraph's digest covers its leaves. A section ends after a paragraph whose digest starts with one
-of `BREAKS`, so its borders follow the content, and its digest covers its paragraphs. The root covers the sections.
+Paragraphs are the lines of a text. Each is cut into pieces whose borders follow the content: a piece ends after a word that ends
+in i, u, y or a sentence mark, wherever it began, or after 96 code points where no such word comes, so an insertion changes the pieces around it and
+no others. Digests are of 128 bits throughout: a piece's covers its text, a paragraph's its pieces, a section's its paragraphs; a section ends after a
+paragraph whose digest starts with one of `BREAKS`, so its borders follow the content too. The root, a SHA-256, covers the sections. So equal texts have equal roots, and equal
+roots mean equal texts but for collisions of whole digests.
 
-A fingerprint is text: root:section|section..., where a section is digest=paragraph;paragraph... and a paragraph
-its leaves, each of eight hexadecimal digits, joined by commas. Equal texts have equal fingerprints, equal roots mean
-equal texts, and sections that differ locate edits.
+A fingerprint is text: root:section|section..., where a section is digest=paragraph;paragraph... (digest: the first 16 hexadecimal digits) and a paragraph
+its leaves, the first eight digits of each piece's digest, joined by commas. Sections that differ locate edits.
 
 Null texts count as empty; an empty text has one section of one empty paragraph and no leaf. The next document is
-the one with the next smaller id (null ids last, equal ids by text); after the last comes the first, so a
+the one with the next smaller id (null ids last, equal ids by the MD5 of their text); after the last comes the first, so a
 single document follows itself. An empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-PIECE = 32
+#: One piece of a paragraph.
+PIECE = "(?s).{0,94}?[iuy.,;:!?] |.{1,96}"
 #: First hexadecimal digits of a paragraph's digest that end a section: one paragraph in four.
 BREAKS = "0123"
-LEAF = 8
+LEAF, SECTION = 8, 16
 
 
-def _leaves(paragraph: Column) -> Column:
-    pieces = F.regexp_extract_all(paragraph, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
-    return F.array_join(F.transform(pieces, lambda p: F.substring(F.md5(p.cast("binary")), 1, LEAF)), ",")
+def _md5(text: Column) -> Column:
+    return F.md5(text.cast("binary"))
 
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text column."""
-    paragraphs = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), _leaves)
-    # a paragraph whose digest opens with a break digit is followed by the end of its section
-    marked = F.array_join(F.transform(paragraphs, lambda p: F.concat(p, F.when(F.substring(F.md5(p.cast("binary")), 1, 1) < chr(ord(BREAKS[-1]) + 1), F.lit("|")).otherwise(F.lit(";")))), "")
+    # a paragraph becomes digest=leaves; one whose digest opens with a break digit is followed by the end of its section
+    pieces = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda p: F.transform(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), _md5))
+    paragraphs = F.transform(pieces, lambda x: F.concat(_md5(F.array_join(x, "")), F.lit("="), F.array_join(F.transform(x, lambda d: F.substring(d, 1, LEAF)), ",")))
+    marked = F.array_join(F.transform(paragraphs, lambda p: F.concat(p, F.when(F.substring(p, 1, 1) < chr(ord(BREAKS[-1]) + 1), F.lit("|")).otherwise(F.lit(";")))), "")
     sections = F.split(F.regexp_replace(marked, "[;|]$", ""), "\\|", -1)
-    sections = F.transform(sections, lambda s: F.concat(F.substring(F.md5(s.cast("binary")), 1, 16), F.lit("="), s))
-    body = F.array_join(sections, "|")
-    root = F.sha2(F.array_join(F.transform(sections, lambda s: F.substring(s, 1, 16)), "|").cast("binary"), 256)
+    # the section's digest covers its paragraphs' digests, which then go
+    sections = F.transform(sections, lambda s: F.struct(_md5(F.regexp_replace(s, "=[^;]*", "")).alias("digest"), F.regexp_replace(s, "[0-9a-f]{32}=", "").alias("leaves")))
+    root = F.sha2(F.array_join(F.transform(sections, lambda s: s["digest"]), "").cast("binary"), 256)
+    body = F.array_join(F.transform(sections, lambda s: F.concat(F.substring(s["digest"], 1, SECTION), F.lit("="), s["leaves"])), "|")
     return F.concat(root, F.lit(":"), body)
 
 
@@ -60,36 +63,64 @@ def likeness(a: Column, b: Column) -> Column:
 
 def differing_sections(a: Column, b: Column) -> Column:
     """Positions (from 0) of the sections of `a` that `b` has nowhere: where the texts differ; empty for equal roots."""
-    cut = lambda m: F.transform(F.split(F.substring(m, 66, 2_000_000_000), "\\|", -1), lambda s: F.substring(s, 1, 16))
+    cut = lambda m: F.transform(F.split(F.substring(m, 66, 2_000_000_000), "\\|", -1), lambda s: F.substring(s, 1, SECTION))
     theirs = cut(b)
     at = F.transform(cut(a), lambda s, i: F.when(~F.array_contains(theirs, s), i))
     return F.when(root(a) == root(b), F.array().cast("array<int>")).otherwise(F.array_compact(at))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 2000) -> DataFrame:
-    """The id, text (null: empty) and next_text: the text of the next document by descending id, after the last the first.
-
-    Ids are cut into ranges at quantiles, so that no task sees more than about `rows_per_range` distinct ids; the first
-    texts of the ranges (one for each range) close the gaps between them."""
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = rows.count()
-    ranges = max(1, min(4096, n // rows_per_range))
-    cuts = []
-    if ranges > 1:
-        shares = [i / ranges for i in range(1, ranges)]
-        found = rows.agg(F.percentile_approx(id_col, F.array(*map(F.lit, shares)), F.lit(100 * ranges)).alias("cuts")).first()["cuts"]
-        cuts = sorted(set(found or []))
-    # ranges count downwards from the greatest ids; null ids come last
-    place = F.when(F.col(id_col).isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<bigint>"), lambda c: c > F.col(id_col))))
-    rows = rows.withColumn("range", place)
-    order = W.partitionBy("range").orderBy(F.desc_nulls_last(id_col), "text")
-    inner = rows.select(id_col, "text", "range", F.lead("text").over(order).alias("next_text"))
+def in_ranges(rows: DataFrame, id_col: str, rows_per_range: int) -> DataFrame:
+    """Add `r1` and `r2`: ranges of about `rows_per_range` rows, in descending order of (id, MD5 of the text), null ids last.
+
+    Ranges are cut at quantiles of one number for each row, its id followed by 32 bits of the MD5, so that an id with many rows is cut as well. Beyond
+    1024 ranges there are two levels, each of about the square root of their number; the second level's quantiles stay in a table of one row for each range of the first."""
+    bits = F.conv(F.substring("md5", 1, 8), 16, 10).cast("double")
+    rows = rows.withColumn("at", F.col(id_col).cast("double") * F.lit(float(1 << 32)) - bits)
+    place = lambda cuts: F.size(F.filter(cuts, lambda c: c > F.col("at")))
+    shares = lambda n: F.array(*[F.lit(i / n) for i in range(1, n)])
+    n, without = rows.agg(F.count(F.lit(1)), F.count_if(F.col(id_col).isNull())).first()
+    ranges = max(1, -(-n // rows_per_range))
+    first = ranges if ranges <= 1024 else int(ranges**0.5) + 1
+    cuts = rows.agg(F.percentile_approx("at", shares(first), F.lit(100 * first)).alias("cuts")).first()["cuts"] if first > 1 else None
+    cuts = sorted(set(cuts or []))
+    parts = max(1, -(-without // rows_per_range))
+    last = F.lit(len(cuts) + 1) + F.floor(bits * parts / float(1 << 32)).cast("int")
+    rows = rows.withColumn("r1", F.when(F.col(id_col).isNull(), last).otherwise(place(F.lit(cuts)) if cuts else F.lit(0)))
+    second = -(-ranges // first)
+    if second == 1:
+        return rows.withColumn("r2", F.lit(0)).drop("at")
+    fine = rows.groupBy(F.col("r1").alias("of")).agg(F.percentile_approx("at", shares(second), F.lit(100 * second)).alias("fine"))
+    # one row for each range of the first level
+    rows = rows.join(F.broadcast(fine), rows["r1"] == fine["of"])
+    return rows.withColumn("r2", F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(place(F.col("fine")))).drop("at", "of", "fine")
+
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 800) -> DataFrame:
+    """The id, text (null: empty), mark (its fingerprint), next_text and next_mark: those of the next document by descending id, after the last the first.
+
+    Every text is fingerprinted once. Neighbours are found inside ranges; the first texts of the ranges (one for each) close the gaps between them."""
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("md5", _md5(F.col("text")))
+    rows = in_ranges(rows, id_col, rows_per_range)
+    inside = W.partitionBy("r1", "r2").orderBy(F.desc_nulls_last(id_col), "md5")
+    pair = F.struct("text", "mark")
+    # texts are shuffled once, and fingerprinted where they arrive
+    inner = rows.repartition("r1", "r2").withColumn("mark", fingerprint(F.col("text"))).withColumn("after", F.lead(pair).over(inside))
     # the first text of each range stands after the last one of the range before
-    first = rows.groupBy("range").agg(F.max(id_col).alias("first_id"))  # one row for each of at most 4097 ranges
-    heads = rows.join(F.broadcast(first.withColumnRenamed("range", "r")), (F.col("range") == F.col("r")) & F.col(id_col).eqNullSafe(F.col("first_id"))).groupBy("range").agg(F.min("text").alias("head"))
-    links = rows.groupBy("range").agg(F.lit(1).alias("one")).select("range", F.lead("range").over(W.orderBy("range")).alias("after"), F.min("range").over(W.orderBy("range")).alias("least"))
-    closing = links.select(F.col("range"), F.coalesce("after", "least").alias("after")).join(heads.select(F.col("range").alias("after"), "head"), "after").select("range", "head")
-    return inner.join(closing, "range").select(id_col, "text", F.coalesce("next_text", "head").alias("next_text"))
+    first = rows.groupBy("r1", "r2").agg(F.max(id_col).alias("first_id")).withColumnsRenamed({"r1": "f1", "r2": "f2"})
+    heads = rows.join(first, (F.col("r1") == F.col("f1")) & (F.col("r2") == F.col("f2")) & F.col(id_col).eqNullSafe(F.col("first_id")))
+    heads = heads.groupBy("f1", "f2").agg(F.min_by("text", "md5").alias("text")).withColumn("mark", fingerprint(F.col("text")))
+    # one row for each range: the window over all of them, and then over their first level, holds no texts
+    order = W.partitionBy("f1").orderBy("f2")
+    places = first.select("f1", "f2")
+    one = places.groupBy("f1").agg(F.min("f2").alias("low"))
+    every = W.orderBy("f1")
+    one = one.select("f1", F.lead(F.struct("f1", "low")).over(every).alias("up"), F.first(F.struct("f1", "low")).over(every).alias("top"))
+    links = places.withColumn("f2_after", F.lead("f2").over(order)).join(one, "f1")
+    to = F.when(F.col("f2_after").isNotNull(), F.struct(F.col("f1"), F.col("f2_after").alias("low"))).otherwise(F.coalesce("up", "top"))
+    links = links.select("f1", "f2", to.alias("to")).select(F.col("f1").alias("l1"), F.col("f2").alias("l2"), "to.f1", F.col("to.low").alias("f2"))
+    closing = links.join(heads, ["f1", "f2"]).select(F.col("l1").alias("r1"), F.col("l2").alias("r2"), pair.alias("head"))
+    out = inner.join(closing, ["r1", "r2"]).withColumn("after", F.coalesce("after", "head"))
+    return out.select(id_col, "text", "mark", F.col("after.text").alias("next_text"), F.col("after.mark").alias("next_mark"))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -103,6 +134,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Returns the id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_sections."""
     rows = with_next(docs, id_col, text_col).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    rows = rows.select(id_col, F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), fingerprint(F.col("next_text")).alias("next_fingerprint"))
-    near = rows.withColumns({"near_edited": F.round(likeness(F.col("fingerprint"), F.col("edited_fingerprint")), 9), "near_next": F.round(likeness(F.col("fingerprint"), F.col("next_fingerprint")), 9), "edited_sections": differing_sections(F.col("fingerprint"), F.col("edited_fingerprint"))})
-    return near.drop("next_fingerprint")
+    rows = rows.select(id_col, F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.col("mark").alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_mark")
+    near = rows.withColumns({"near_edited": F.round(likeness(F.col("fingerprint"), F.col("edited_fingerprint")), 9), "near_next": F.round(likeness(F.col("fingerprint"), F.col("next_mark")), 9), "edited_sections": differing_sections(F.col("fingerprint"), F.col("edited_fingerprint"))})
+    return near.drop("next_mark")

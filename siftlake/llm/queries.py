@@ -108,10 +108,11 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mark_sql(text: str) -> str:
     """A fingerprint as DuckDB SQL."""
-    leaves = f"list_transform(string_split({text}, chr(10)), lambda p: array_to_string(list_transform(regexp_extract_all(p, '(?s).{{1,{merkle.PIECE}}}'), lambda x: substr(md5(x), 1, {merkle.LEAF})), ','))"
-    marked = f"regexp_replace(array_to_string(list_transform({leaves}, lambda q: q || CASE WHEN substr(md5(q), 1, 1) < '{chr(ord(merkle.BREAKS[-1]) + 1)}' THEN '|' ELSE ';' END), ''), '[;|]$', '')"
-    sections = f"list_transform(string_split({marked}, '|'), lambda s: substr(md5(s), 1, 16) || '=' || s)"
-    return f"sha256(array_to_string(list_transform({sections}, lambda t: substr(t, 1, 16)), '|')) || ':' || array_to_string({sections}, '|')"
+    pieces = f"regexp_extract_all(p, '{merkle.PIECE}')"
+    paragraph = f"md5(array_to_string(list_transform({pieces}, lambda x: md5(x)), '')) || '=' || array_to_string(list_transform({pieces}, lambda x: substr(md5(x), 1, {merkle.LEAF})), ',')"
+    marked = f"regexp_replace(array_to_string(list_transform(list_transform(string_split({text}, chr(10)), lambda p: {paragraph}), lambda q: q || CASE WHEN substr(q, 1, 1) < '{chr(ord(merkle.BREAKS[-1]) + 1)}' THEN '|' ELSE ';' END), ''), '[;|]$', '')"
+    sections = f"list_transform(string_split({marked}, '|'), lambda s: struct_pack(digest := md5(regexp_replace(s, '=[^;]*', '', 'g')), leaves := regexp_replace(s, '[0-9a-f]{{32}}=', '', 'g')))"
+    return f"(SELECT sha256(array_to_string(list_transform(s, lambda t: t.digest), '')) || ':' || array_to_string(list_transform(s, lambda t: substr(t.digest, 1, {merkle.SECTION}) || '=' || t.leaves), '|') FROM (SELECT {sections} AS s))"
 
 
 def _like_sql(a: str, b: str) -> str:
@@ -120,12 +121,12 @@ def _like_sql(a: str, b: str) -> str:
 
 
 def _cut_sql(mark: str) -> str:
-    return f"list_transform(string_split(substr({mark}, 66), '|'), lambda s: substr(s, 1, 16))"
+    return f"list_transform(string_split(substr({mark}, 66), '|'), lambda s: substr(s, 1, {merkle.SECTION}))"
 
 
 OP10_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-n AS (SELECT *, coalesce(lead(text) OVER w, first(text) OVER (ORDER BY doc_id DESC NULLS LAST, text ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS after FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, text)),
+n AS (SELECT *, coalesce(lead(text) OVER w, first(text) OVER (ORDER BY doc_id DESC NULLS LAST, md5(text) ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS after FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, md5(text))),
 e AS (SELECT *, substr(text, 1, length(text) - length(text) // 3) || substr(after, 1, length(text) // 3) AS edited FROM n),
 m AS (SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, {_mark_sql("text")} AS fingerprint, {_mark_sql("edited")} AS edited_fingerprint, {_mark_sql("after")} AS next_fingerprint FROM e)
 SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {_like_sql("fingerprint", "edited_fingerprint")} AS near_edited, {_like_sql("fingerprint", "next_fingerprint")} AS near_next,

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
@@ -9,16 +10,19 @@ def md5(x):
     return hashlib.md5(x.encode()).hexdigest()
 
 
+PIECE = re.compile(merkle.PIECE)
+
+
 def brute(text):
-    paragraphs = [",".join(md5(p[i : i + merkle.PIECE])[: merkle.LEAF] for i in range(0, len(p), merkle.PIECE)) for p in text.split("\n")]
+    pieces = [[md5(x) for x in PIECE.findall(p)] for p in text.split("\n")]
     sections, now = [], []
-    for i, p in enumerate(paragraphs):
-        now.append(p)
-        if md5(p)[0] in merkle.BREAKS or i == len(paragraphs) - 1:
-            sections.append(";".join(now))
+    for i, p in enumerate(pieces):
+        digest = md5("".join(p))
+        now.append((digest, ",".join(d[: merkle.LEAF] for d in p)))
+        if digest[0] in merkle.BREAKS or i == len(pieces) - 1:
+            sections.append((md5(";".join(d for d, _ in now)), ";".join(x for _, x in now)))
             now = []
-    marks = [md5(s)[:16] for s in sections]
-    return hashlib.sha256("|".join(marks).encode()).hexdigest() + ":" + "|".join(f"{m}={s}" for m, s in zip(marks, sections, strict=True))
+    return hashlib.sha256("".join(d for d, _ in sections).encode()).hexdigest() + ":" + "|".join(f"{d[: merkle.SECTION]}={s}" for d, s in sections)
 
 
 def leaves(mark):
@@ -29,8 +33,8 @@ def leaves(mark):
 
 
 def check(rows, got, with_next=True):
-    """rows in any order; equal ids by text."""
-    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    """rows in any order; equal ids by MD5."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), md5(r[1] or "")))
     want = []
     for i, (own, text) in enumerate(rows):
         text, after = text or "", rows[(i + 1) % len(rows)][1] or ""
@@ -57,9 +61,28 @@ def test_whole_table_in_many_ranges(docs):
     order = sorted(docs.collect(), key=lambda r: -r.doc_id)
     after = {r.doc_id: order[(i + 1) % len(order)].text for i, r in enumerate(order)}
     assert {r.doc_id: r.next_text for r in rows} == after
+    two_levels = merkle.with_next(docs.unionAll(docs.selectExpr("doc_id + 1000000 AS doc_id", *[c for c in docs.columns if c != "doc_id"])).repartition(3), rows_per_range=1).select("doc_id", "next_text").collect()
+    assert len(two_levels) == 2 * len(order) and {r.doc_id: r.next_text for r in two_levels if r.doc_id < 1_000_000 and r.doc_id} == {i: t for i, t in after.items() if i}
     check([(r.doc_id, r.text) for r in order], merkle.fingerprints(docs).collect())
 
 
+def test_many_rows_of_one_id_and_of_none(spark):
+    rows = [(i, f"text {k} of {i}") for i in (7, None, 3) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), md5(r[1])))
+    got = merkle.with_next(df, rows_per_range=4)
+    assert sorted((str(r.text), r.next_text) for r in got.collect()) == sorted((ordered[i][1], ordered[(i + 1) % len(rows)][1]) for i in range(len(rows)))
+    cut = merkle.in_ranges(df.withColumn("md5", F.md5(F.col("text").cast("binary"))), "doc_id", 4).groupBy("r1", "r2").count()
+    assert max(r["count"] for r in cut.collect()) <= 12
+
+
+def test_insertions_change_few_pieces(spark):
+    text = " ".join(f"words number {k} are here," for k in range(60))
+    a, b = merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b"))
+    row = spark.createDataFrame([(text, "xy" + text)], "a string, b string").select(a.alias("a"), b.alias("b"), merkle.likeness(a, b).alias("like")).first()
+    assert row.like > 0.9 and row.a.split(":")[0] != row.b.split(":")[0]
+
+
 def test_edits_are_located(spark):
     lines = [f"line {i} with some words" for i in range(40)]
     other = [*lines[:20], "changed", *lines[21:]]
