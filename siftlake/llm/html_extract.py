@@ -1,14 +1,21 @@
 """HTML extraction with a suffix array for each host.
 
-A page's markup is cut into blocks of text, each with its place: inside an article, or anywhere else in the body. Blocks in
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by their
-elements and names. The token streams of a host's pages are then concatenated and their suffixes sorted (prefix doubling up to
-RUN tokens), which brings together every run of RUN or more tokens that several pages share. Blocks that such
-runs cover are boilerplate where the runs are on enough of the pages; what is unique is kept. In an article only runs on most of
-the host's pages go, and only beside far more text that stays, so that copied articles and lines shared by many articles are whole.
+A page's markup is cut into blocks of text, each with its slot (the elements above it) and a weight from what the markup declares:
+noise (menus, headers, footers, sidebars, notices, adverts, forms, reader comments, by their elements and names), an article, a hint, or nothing.
 
-Large hosts are split by a hash of page id and url into tiles of about `tile_pages` pages, each with a suffix array of its own; shares of pages, and so
-decisions, mean the same in a tile as in the host.
+First pass. The token streams of a host's pages are concatenated and their suffixes sorted by prefix doubling, to their full length; the longest common prefixes of neighbours
+in that order give every run of RUN or more tokens, and every whole shorter block, that distinct pages share. A page votes if a fifth of its text at
+least is its own (copies of an article have none, so copies never vote their text away). Votes decide two things, by shares alone, so alike at every size of a host:
+
+* a run is boilerplate of the host if, with confidence, over half of the host's voting pages have it (lower bound of Wilson's interval at z = 2.58,
+  so seven pages of seven are enough, and six are not);
+* a slot is boilerplate if most tokens that voting pages have in it are covered by shared runs: the log odds of that share, within +-4, plus the declared weight, pass 1 (undeclared: nearly three of four tokens).
+
+Hosts of more than `tile_pages` pages are split into tiles by a hash of page id and url; a run that reaches half of the host reaches an eighth of some tile, and
+from there its votes are summed over the host's tiles. Smaller hosts share tiles, so that the slots of a thin host are judged by runs that other hosts have too.
+
+Second pass. Blocks of boilerplate slots go, then what covered runs are left in the others; the unique runs stay. A page with an article keeps blocks of its
+article only. With `names` off nothing is declared, and the runs decide alone.
 
 Null html counts as empty and gives an empty text; null urls share the empty host. Character references are decoded; white
 space inside a block becomes one space; blocks are joined by one space in page order. Repeated rows and null ids
@@ -19,18 +26,29 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash
 from .url_filter import host_of
 
-#: Tokens of the shortest run that counts as repeated; a power of two.
+#: Tokens of the shortest run inside longer text that counts as repeated.
 RUN = 8
+#: Weights in log odds: declared noise, a hint of noise, mostly linked text, an article.
+NOISE, HINT, LINKS, MAIN = 6.0, 1.5, 1.0, -6.0
+#: Log odds at which an undeclared slot is boilerplate: nearly three of four tokens repeat.
+LEAST = 1.0
+#: Least share of a page's tokens that no other page has, for the page to vote.
+OWN = 0.2
+#: Host summaries that are broadcast hold so many numbers at most (8 bytes each); larger ones are joined by a shuffle.
+BROADCAST = 2_000_000
+SALTS = 16
 RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|title|select|button"
 MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[/!?]?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[/!?][^>]*>", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(.*)>\Z", re.S)
@@ -39,14 +57,16 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold an article's text; the second group may hold articles of other people.
 SOFT, HARD = frozenset("nav header form menu dialog head".split()), frozenset("footer aside".split())
-SOFT_NAMES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar share sharing social toolbar login search pagination pager skip".split())
-HARD_NAMES = frozenset("sidebar comment comments commentlist respond reply replies disqus discussion related recommended recommendations widget widgets footer copyright".split())
+SOFT_NAMES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar share sharing social toolbar pagination pager".split())
+HARD_NAMES = frozenset("sidebar comment comments commentlist reply replies disqus widget widgets footer copyright".split())
+#: Names that noise often has, and articles too.
+HINT_NAMES = frozenset("discussion related recommended recommendations respond login search skip".split())
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar".split())
 KEPT = frozenset("html body article main".split())
 
 
 def _place(name: str, attributes: str) -> str:
-    """'soft' or 'hard' for an element whose content goes, 'main' for an article, else ''."""
+    """'soft' or 'hard' for an element whose content goes, 'main' for an article, 'hint' for one whose content may be noise, else ''."""
     kind = "main" if name in ("article", "main") else ""
     if name in HARD:
         return "hard"
@@ -66,24 +86,43 @@ def _place(name: str, attributes: str) -> str:
                 return "hard"
             if parts & SOFT_NAMES and name != "article":
                 return "soft"
+            if parts & HINT_NAMES and not kind:
+                kind = "hint"
     return kind
 
 
-def blocks_of(page: str) -> list[tuple[str, bool]]:
-    """Blocks of text that may be content, in page order, with whether they stand in an article; without any article, all of the body's."""
-    out: list[tuple[str, bool]] = []
+class Block(NamedTuple):
+    text: str
+    weight: float
+    slot: str
+
+
+def _slot(name: str, attributes: str) -> str:
+    """An element's step of a slot: its name and the first word of its class or id, without digits."""
+    for key, *values in NAMED.findall(attributes) if attributes.strip() else ():
+        if key.lower() in ("class", "id") and (word := re.sub("[0-9]+", "", "".join(values).lower()).split()[:1]):
+            return f"{name}.{word[0]}"
+    return name
+
+
+def blocks_of(page: str, names: bool = True) -> list[Block]:
+    """All blocks of text in page order; without `names` nothing is declared."""
+    out: list[Block] = []
     stack: list[tuple[str, str]] = []
+    steps: list[str] = []
     text: list[str] = []
     linked = length = in_link = 0
 
     def flush() -> None:
         nonlocal linked, length
         block = " ".join(html.unescape("".join(text)).split())
-        places = [p for _, p in stack if p]
-        if block and not ("hard" in places or "soft" in places):
-            main = "main" in places
-            if main or linked <= 0.6 * length:
-                out.append((block, main))
+        if block:
+            places = {p for _, p in stack if p}
+            weight = 0.0
+            if names:
+                weight = MAIN if "main" in places else (LINKS if linked > 0.6 * length else 0) + (HINT if "hint" in places else 0)
+                weight = NOISE if places & {"hard", "soft"} else weight
+            out.append(Block(block, weight, ">".join(steps[: len(stack)][-6:])))
         text.clear()
         linked = length = 0
 
@@ -128,94 +167,212 @@ def blocks_of(page: str) -> list[tuple[str, bool]]:
             place = ""  # an article's own header holds its title
         if place == "main" and any(p == "soft" for _, p in stack) and not any(p == "hard" for _, p in stack):
             stack[:] = [(n, "" if p == "soft" else p) for n, p in stack]  # an element that was never closed
+        del steps[len(stack) :]
         stack.append((name, place))
+        steps.append(_slot(name, rest))
     text.append(page[at:])
     length += len(page[at:].strip())
     flush()
-    return [b for b in out if b[1]] if any(main for _, main in out) else out
-
-
-def run_pages(pages: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
-    """For each token of all pages' blocks in order: the number of distinct pages that share a run of RUN tokens over it (at most), and its block.
-
-    pages[p][b] holds the tokens of block b. The concatenated stream has a separator of its own after every page."""
-    names: dict[str, int] = {}
-    stream, owner, block, n_blocks = [], [], [], 0
-    for p, blocks in enumerate(pages):
-        for tokens in blocks:
-            stream += [names.setdefault(t, len(names)) for t in tokens]
-            owner += [p] * len(tokens)
-            block += [n_blocks] * len(tokens)
-            n_blocks += 1
-        stream.append(-1 - p)
-        owner.append(p)
-        block.append(-1)
-    rank = np.unique(np.array(stream, dtype=np.int64), return_inverse=True)[1]
-    n, width = len(rank), 1
-    while width < RUN:  # suffixes ordered by their first 2, 4, 8 tokens
-        after = np.full(n, -1, dtype=np.int64)
-        after[: max(0, n - width)] = rank[width:]
-        rank = np.unique(rank * (n + 1) + after + 1, return_inverse=True)[1]
-        width *= 2
-    owner_, block_ = np.array(owner), np.array(block)
-    order = np.lexsort((owner_, rank))  # the suffix array, with equal runs by page
-    new_run = np.concatenate([[True], rank[order][1:] != rank[order][:-1]]) if n else np.empty(0, bool)
-    new_page = new_run | np.concatenate([[True], owner_[order][1:] != owner_[order][:-1]]) if n else new_run
-    on = np.bincount(np.cumsum(new_run) - 1, new_page) if n else np.empty(0)
-    pages_of = np.empty(n, dtype=np.int64)
-    pages_of[order] = on[np.cumsum(new_run) - 1]
-    covered = np.ones(n, dtype=np.int64)
-    for shift in range(min(RUN, n)):  # a run covers its RUN tokens
-        covered[shift:] = np.maximum(covered[shift:], pages_of[: n - shift])
-    text = block_ >= 0
-    return covered[text], block_[text]
-
-
-def unique_text(pages: list[list[tuple[str, bool]]], share: float = 0.5, least: int = 10, most_removed: float = 0.3, open_share: float = 0.1, open_least: int = 3) -> list[str]:
-    """Texts of one tile's pages without the blocks that repeated runs cover."""
-    covered, block = run_pages([[b.split(" ") for b, _ in page] for page in pages])
-    sizes = [len(b.split(" ")) for page in pages for b, _ in page]
-    low = np.full(len(sizes), np.iinfo(np.int64).max)
-    np.minimum.at(low, block, covered)
-    out, i = [], 0
-    for page in pages:
-        n = len(page)
-        on, size = low[i : i + n], np.array(sizes[i : i + n])
-        i += n
-        if n and page[0][1]:
-            gone = on >= max(least, share * len(pages))
-            if size[gone].sum() > most_removed * size.sum():
-                gone[:] = False
-        else:
-            gone = on >= max(open_least, open_share * len(pages))
-            if gone.all():
-                gone[:] = False
-        out.append(" ".join(b for (b, _), g in zip(page, gone, strict=True) if not g))
     return out
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", tile_pages: int = 256) -> DataFrame:
-    """The main text of every page: the id, url, text (empty if none)."""
-    id_type = pages.schema[id_col].dataType.simpleString()
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    hosts = rows.groupBy(host_of(F.col("url")).alias("big_host")).agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") > tile_pages)
-    # written, so that Spark knows its size: it broadcasts a small table and shuffles a large one
-    hosts = stash(hosts.select("big_host", F.ceil(F.col("pages") / tile_pages).cast("int").alias("tiles"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("big_salt")))
+def suffix_array(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of a stream in order, and the longest common prefix of each with the one before (0 for the first)."""
+    n, width = len(stream), 1
+    ranks = [np.unique(stream, return_inverse=True)[1].astype(np.int32)]
+    while n and width < n and ranks[-1].max() + 1 < n:  # ordered by the first 2, 4, 8 ... tokens, until all differ
+        after = np.zeros(n, dtype=np.int64)
+        after[: n - width] = ranks[-1][width:] + 1
+        ranks.append(np.unique(ranks[-1].astype(np.int64) * (n + 1) + after, return_inverse=True)[1].astype(np.int32))
+        width *= 2
+    order = np.argsort(ranks[-1], kind="stable")
+    common = np.zeros(n, dtype=np.int64)
+    a, b = order[1:].copy(), order[:-1].copy()
+    for level in range(len(ranks) - 1, -1, -1):  # the common prefix in binary, longest step first
+        inside = np.maximum(a, b) + (1 << level) <= n
+        same = inside & (ranks[level][np.minimum(a, n - 1)] == ranks[level][np.minimum(b, n - 1)])
+        common[1:] += same.astype(np.int64) << level
+        a += same.astype(np.int64) << level
+        b += same.astype(np.int64) << level
+    return order, common
+
+
+def _distinct(group: np.ndarray, page: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each entry the number of distinct pages in its group, of those that count."""
+    if not len(group):
+        return np.empty(0, np.int64)
+    pairs = np.unique(group * (page.max() + 1) + page)
+    of, on = np.divmod(pairs, page.max() + 1)
+    return np.bincount(of, counts[on], minlength=group.max() + 1).astype(np.int64)[group]
+
+
+class Tile:
+    """The pages of a tile as one stream of tokens (32-bit numbers), and its units: windows of RUN tokens, and whole blocks of fewer.
+
+    Suffixes that have RUN or more tokens in common stand together in the suffix array; so do the windows that they begin with."""
+
+    def __init__(self, tokens: list[np.ndarray], sizes: list[np.ndarray]):
+        self.n = np.array([len(t) for t in tokens], dtype=np.int64)
+        flat = np.concatenate([np.empty(0, np.int64), *[np.append(t.astype(np.int64), -1 - p) for p, t in enumerate(tokens)]])
+        page = np.repeat(np.arange(len(tokens)), self.n + 1)
+        order, common = suffix_array(flat)
+        group = np.empty(len(flat), dtype=np.int64)
+        group[order] = np.cumsum(common < RUN)
+        first = np.cumsum(self.n + 1) - self.n - 1
+        at = np.concatenate([np.empty(0, np.int64), *[f + np.arange(max(0, k - RUN + 1)) for f, k in zip(first, self.n, strict=True)]])
+        # whole blocks of fewer tokens, told apart by a hash of all of them
+        starts = np.concatenate([np.empty(0, np.int64), *[f + np.cumsum(s) - s for f, s in zip(first, sizes, strict=True)]])
+        size = np.concatenate([np.empty(0, np.int64), *sizes]).astype(np.int64)
+        starts, size = starts[size < RUN], size[size < RUN]
+        self.start, self.size = np.concatenate([at, starts]), np.concatenate([np.full(len(at), RUN), size])
+        self.page = page[self.start] if len(flat) else np.empty(0, np.int64)
+        self.key = keys_of(flat, self.start, self.size)
+        short = np.unique(self.key[len(at) :], return_inverse=True)[1] + (group.max(initial=0) + 1)
+        self.group = np.concatenate([group[at], short]).astype(np.int64)
+        self.stream, self.token = page, np.flatnonzero(flat >= 0)
+
+    def covered(self, units: np.ndarray) -> np.ndarray:
+        """For each token whether one of the units covers it."""
+        edge = np.zeros(len(self.stream) + 1, dtype=np.int64)
+        np.add.at(edge, self.start[units], 1)
+        np.add.at(edge, self.start[units] + self.size[units], -1)
+        return (np.cumsum(edge)[:-1] > 0)[self.token]
+
+    def votes(self, host: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which pages vote, the tokens that repeats among voters cover, and for each unit how many voting pages of its page's host have it."""
+        every = np.ones(len(self.n), dtype=np.int64)
+        shared = self.covered(_distinct(self.group, self.page, every) > 1)
+        own = np.bincount(self.stream[self.token], ~shared, minlength=len(self.n))
+        vote = (own >= OWN * self.n) & (self.n > 0)
+        repeated = self.covered(_distinct(self.group, self.page, vote) > 1)
+        by_host = np.unique(self.group * (host.max(initial=0) + 1) + host[self.page], return_inverse=True)[1]
+        return vote, repeated, _distinct(by_host, self.page, vote)
+
+
+def keys_of(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of units of tokens."""
+    out = size.astype(np.uint64)
+    for i in range(int(size.max(initial=0))):
+        live = size > i
+        x = flat[np.minimum(start + i, len(flat) - 1)].astype(np.uint64) if len(flat) else out
+        out = np.where(live, (out ^ (x + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15), out)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def _numbers(tokens: list[str]) -> np.ndarray:
+    return np.array([zlib.crc32(t.encode()) for t in tokens], dtype=np.int64)
+
+
+def _slot_key(block: Block) -> int:
+    at = f"{block.weight}:{block.slot}".encode()
+    return zlib.crc32(at) << 31 ^ zlib.adler32(at)
+
+
+def kept_text(blocks: list[Block], runs: np.ndarray, slots: set[int]) -> str:
+    """A page's text: without blocks of boilerplate slots, and without the tokens that boilerplate runs cover."""
+    keep = [b.weight < NOISE and _slot_key(b) not in slots for b in blocks]
+    if any(k and b.weight == MAIN for k, b in zip(keep, blocks, strict=True)):
+        keep = [k and b.weight == MAIN for k, b in zip(keep, blocks, strict=True)]
+    if not len(runs):
+        return " ".join(b.text for k, b in zip(keep, blocks, strict=True) if k)
+    words = [b.text.split(" ") for b in blocks]
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    tile = Tile([_numbers([t for w in words for t in w])], [sizes])
+    gone = tile.covered(np.isin(tile.key, runs))
+    stay = np.repeat(np.array(keep, dtype=bool), sizes) & ~gone
+    return " ".join(t for t, s in zip((t for w in words for t in w), stay.tolist(), strict=True) if s)
+
+
+def _likely(support: Column, votes: Column, z: float = 2.58) -> Column:
+    """Whether a share of over one half is certain: Wilson's lower bound."""
+    p = support / votes
+    return (p + z * z / (2 * votes) - z * F.sqrt(p * (1 - p) / votes + z * z / (4 * votes * votes))) / (1 + z * z / votes) >= 0.5
+
+
+def evidence(pages: DataFrame, tile_pages: int, names: bool) -> DataFrame:
+    """host, kind ('run', 'votes' or 'slot'), key, weight, n, m: votes for each run of a host, its voting pages, and tokens and repeated tokens of its slots, from each tile.
+
+    pages: id, url, html."""
+    hosts = pages.groupBy(host_of(F.col("url")).alias("of")).agg(F.count(F.lit(1)).alias("pages"))
+    hosts = stash(hosts)
+    small = hosts.filter(F.col("pages") <= tile_pages).agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    pools = max(1, -(-small // tile_pages))
+    # every large host once for each salt; Spark broadcasts a small table and shuffles a large one
+    large = hosts.filter(F.col("pages") > tile_pages).select("of", F.ceil(F.col("pages") / tile_pages).cast("int").alias("tiles"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("of_salt"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("text", pa.string()), ("main", pa.bool_())]))
         for batch in batches:
-            found = [[{"text": t, "main": m} for t, m in blocks_of(page or "")] for page in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], ["id", "url", "blocks"])
+            tokens, sizes, slots, weights = [], [], [], []
+            for page in batch.column(2).to_pylist():
+                blocks = blocks_of(page or "", names)
+                words = [b.text.split(" ") for b in blocks]
+                tokens.append(_numbers([t for w in words for t in w]).astype(np.uint32).view(np.int32))
+                sizes.append([len(w) for w in words])
+                slots.append([_slot_key(b) for b in blocks])
+                weights.append([b.weight for b in blocks])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), pa.array(slots, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.float32()))], ["deal", "host", "tokens", "sizes", "slots", "weights"])
+
+    parsed = pages.select(F.xxhash64("id", "url").alias("deal"), host_of(F.col("url")).alias("host"), "html").mapInArrow(parse, "deal bigint, host string, tokens array<int>, sizes array<int>, slots array<bigint>, weights array<float>")
+    parsed = parsed.withColumn("salt", F.pmod("deal", F.lit(SALTS)).cast("int"))
+    tiled = parsed.join(large, (F.col("host") == F.col("of")) & (F.col("salt") == F.col("of_salt")), "left")
+    big = F.col("of").isNotNull()
+    tiled = tiled.select("host", "tokens", "sizes", "slots", "weights", F.when(big, F.col("host")).otherwise("").alias("pool"), F.when(big, F.pmod(F.xxhash64("deal"), F.col("tiles"))).otherwise(-1 - F.pmod(F.xxhash64("host"), F.lit(pools))).alias("tile"))
+
+    def count(group: pa.Table) -> pa.Table:
+        lists = {c: [np.asarray(x) for x in group.column(c).to_numpy()] for c in ("tokens", "sizes", "slots", "weights")}
+        names_, host = np.unique(np.array(group.column("host").to_pylist(), dtype=object), return_inverse=True)
+        tile = Tile([t.view(np.uint32) for t in lists["tokens"]], lists["sizes"])
+        vote, repeated, support = tile.votes(host)
+        votes = np.bincount(host, vote, minlength=len(names_)).astype(np.int64)
+        wanted = np.flatnonzero((support >= 2) & (8 * support >= votes[host[tile.page]]))
+        of, first = np.unique(np.stack([host[tile.page[wanted]], tile.key[wanted]]), axis=1, return_index=True)
+        out = [("run", of[0], of[1], np.zeros(len(first)), support[wanted][first], np.zeros(len(first), np.int64))]
+        out.append(("votes", np.arange(len(votes)), np.zeros(len(votes), np.int64), np.zeros(len(votes)), votes, np.zeros(len(votes), np.int64)))
+        sizes = np.concatenate([np.empty(0, np.int64), *lists["sizes"]]).astype(np.int64)
+        page = np.repeat(np.arange(len(vote)), [len(x) for x in lists["sizes"]])
+        hits = np.bincount(np.repeat(np.arange(len(sizes)), sizes), repeated, minlength=len(sizes)).astype(np.int64)
+        slots, weights = (np.concatenate([np.empty(0, k), *lists[c]]) for c, k in (("slots", np.int64), ("weights", np.float32)))
+        at, first, to = np.unique(np.stack([host[page], slots]).astype(np.int64), axis=1, return_index=True, return_inverse=True)
+        counts = vote[page]
+        out.append(("slot", at[0], at[1], weights[first], np.bincount(to.ravel(), sizes * counts, minlength=len(first)), np.bincount(to.ravel(), hits * counts, minlength=len(first))))
+        rows = [pa.table([pa.array(names_[h].tolist(), pa.string()), pa.array([kind] * len(h), pa.string()), pa.array(np.asarray(k, np.int64)), pa.array(np.asarray(w, np.float64)), pa.array(np.asarray(n, np.int64)), pa.array(np.asarray(m, np.int64))], ["host", "kind", "key", "weight", "n", "m"]) for kind, h, k, w, n, m in out]
+        return pa.concat_tables(rows)
+
+    found = tiled.groupBy("pool", "tile").applyInArrow(count, "host string, kind string, key bigint, weight double, n bigint, m bigint")
+    return found.groupBy("host", "kind", "key").agg(F.min("weight").alias("weight"), F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+def boilerplate(found: DataFrame) -> DataFrame:
+    """host, runs, slots: the keys of each host's boilerplate (a run is on half of the host's pages, so there are no more than twice a page's tokens)."""
+    of = lambda kind: found.filter(F.col("kind") == kind)
+    votes = of("votes").select("host", F.col("n").alias("votes"))
+    runs = of("run").join(votes, "host").filter(_likely(F.col("n"), F.col("votes"))).select("host", "key", F.lit(True).alias("run"))
+    odds = F.log((F.sum("m") + 0.5) / (F.sum("n") - F.sum("m") + 0.5))
+    noisy = of("slot").groupBy("key").agg((F.greatest(F.lit(-4.0), F.least(F.lit(4.0), odds)) + F.min("weight")).alias("odds")).filter(F.col("odds") > LEAST)
+    slots = of("slot").join(noisy.select("key"), "key", "left_semi").select("host", "key", F.lit(False).alias("run"))
+    keys = lambda run: F.collect_list(F.when(F.col("run") == run, F.col("key")))
+    return runs.unionAll(slots).groupBy("host").agg(keys(True).alias("runs"), keys(False).alias("slots"))
 
-    parsed = rows.mapInArrow(parse, f"id {id_type}, url string, blocks array<struct<text:string,main:boolean>>")
-    parsed = parsed.withColumns({"host": host_of(F.col("url")), "deal": F.xxhash64("id", "url")}).withColumn("salt", F.pmod("deal", F.lit(16)).cast("int"))
-    tiled = parsed.join(hosts, (F.col("host") == F.col("big_host")) & (F.col("salt") == F.col("big_salt")), "left")
-    tiled = tiled.select("id", "url", "blocks", "host", F.coalesce(F.pmod("deal", F.col("tiles")), F.lit(0)).alias("tile"))
 
-    def unique(group: pa.Table) -> pa.Table:
-        texts = unique_text([[(b["text"], b["main"]) for b in page] for page in group.column("blocks").to_pylist()])
-        return pa.table([group.column("id"), group.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", tile_pages: int = 256, names: bool = True, broadcast: int = BROADCAST) -> DataFrame:
+    """The main text of every page: the id, url, text (empty if none)."""
+    id_type = pages.schema[id_col].dataType.simpleString()
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    known = stash(boilerplate(stash(evidence(rows, tile_pages, names))).withColumnRenamed("host", "of"))
+    size = known.agg(F.coalesce(F.sum(F.size("runs") + F.size("slots") + 8), F.lit(0))).first()[0]
+    rows = rows.withColumn("host", host_of(F.col("url")))
+    if size <= broadcast:
+        rows = rows.join(F.broadcast(known), F.col("host") == F.col("of"), "left")
+    else:
+        salted = known.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.join(salted, (F.col("host") == F.col("of")) & (F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)) == F.col("of_salt")), "left")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs, slots = (batch.column(i).to_pylist() for i in (3, 4))
+            texts = [kept_text(blocks_of(page or "", names), np.array(r or [], dtype=np.int64), set(s or ())) for page, r, s in zip(batch.column(2).to_pylist(), runs, slots, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
 
-    out = tiled.groupBy("host", "tile").applyInArrow(unique, f"id {id_type}, url string, text string")
+    out = rows.select("id", "url", "html", "runs", "slots").mapInArrow(read, f"id {id_type}, url string, text string")
     return out.withColumnsRenamed({"id": id_col, "url": url_col})
