@@ -75,7 +75,9 @@ def in_ranges(rows: DataFrame, id_col: str, rows_per_range: int) -> DataFrame:
     Ranges are cut at quantiles of one number for each row, its id followed by 32 bits of the MD5, so that an id with many rows is cut as well. Beyond
     1024 ranges there are two levels, each of about the square root of their number; the second level's quantiles stay in a table of one row for each range of the first."""
     bits = F.conv(F.substring("md5", 1, 8), 16, 10).cast("double")
-    rows = rows.withColumn("at", F.col(id_col).cast("double") * F.lit(float(1 << 32)) - bits)
+    # a generator, so that the optimiser does not move the digest of a whole text into the comparisons below
+    once = F.struct(bits.alias("bits"), (F.col(id_col).cast("double") * F.lit(float(1 << 32)) - bits).alias("at"))
+    rows, bits = rows.select("*", F.inline(F.array(once))), F.col("bits")
     place = lambda cuts: F.size(F.filter(cuts, lambda c: c > F.col("at")))
     shares = lambda n: F.array(*[F.lit(i / n) for i in range(1, n)])
     n, without = rows.agg(F.count(F.lit(1)), F.count_if(F.col(id_col).isNull())).first()
@@ -85,14 +87,14 @@ def in_ranges(rows: DataFrame, id_col: str, rows_per_range: int) -> DataFrame:
     cuts = sorted(set(cuts or []))
     parts = max(1, -(-without // rows_per_range))
     last = F.lit(len(cuts) + 1) + F.floor(bits * parts / float(1 << 32)).cast("int")
-    rows = rows.withColumn("r1", F.when(F.col(id_col).isNull(), last).otherwise(place(F.lit(cuts)) if cuts else F.lit(0)))
+    rows = rows.withColumn("r1", F.coalesce(F.when(F.col(id_col).isNull(), last).otherwise(place(F.lit(cuts)) if cuts else F.lit(0)), F.lit(0)))
     second = -(-ranges // first)
     if second == 1:
-        return rows.withColumn("r2", F.lit(0)).drop("at")
+        return rows.withColumn("r2", F.lit(0)).drop("at", "bits")
     fine = rows.groupBy(F.col("r1").alias("of")).agg(F.percentile_approx("at", shares(second), F.lit(100 * second)).alias("fine"))
     # one row for each range of the first level
     rows = rows.join(F.broadcast(fine), rows["r1"] == fine["of"])
-    return rows.withColumn("r2", F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(place(F.col("fine")))).drop("at", "of", "fine")
+    return rows.withColumn("r2", F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(place(F.col("fine")))).drop("at", "bits", "of", "fine")
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 800) -> DataFrame:
