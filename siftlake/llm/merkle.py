@@ -25,6 +25,10 @@ PIECE = "(?s).{0,94}?[iuy.,;:!?] |.{1,96}"
 #: First hexadecimal digits of a paragraph's digest that end a section: one paragraph in four.
 BREAKS = "0123"
 LEAF, SECTION = 8, 16
+#: Bits of a range's number for its place inside the first level.
+LEVEL = 24
+#: Ranges whose first ids are broadcast at most (two numbers for each).
+BROADCAST = 500_000
 
 
 def _md5(text: Column) -> Column:
@@ -69,11 +73,11 @@ def differing_sections(a: Column, b: Column) -> Column:
     return F.when(root(a) == root(b), F.array().cast("array<int>")).otherwise(F.array_compact(at))
 
 
-def in_ranges(rows: DataFrame, id_col: str, rows_per_range: int) -> DataFrame:
-    """Add `r1` and `r2`: ranges of about `rows_per_range` rows, in descending order of (id, MD5 of the text), null ids last.
+def in_ranges(rows: DataFrame, id_col: str, rows_per_range: int) -> tuple[DataFrame, int]:
+    """Add `range`: a number for each range of about `rows_per_range` rows, rising in descending order of (id, MD5 of the text), null ids last.
 
     Ranges are cut at quantiles of one number for each row, its id followed by 32 bits of the MD5, so that an id with many rows is cut as well. Beyond
-    1024 ranges there are two levels, each of about the square root of their number; the second level's quantiles stay in a table of one row for each range of the first."""
+    1024 ranges there are two levels, each of about the square root of their number; the second level's quantiles stay in a table of one row for each range of the first. Also returns about how many ranges there are."""
     bits = F.conv(F.substring("md5", 1, 8), 16, 10).cast("double")
     # a generator, so that the optimiser does not move the digest of a whole text into the comparisons below
     once = F.struct(bits.alias("bits"), (F.col(id_col).cast("double") * F.lit(float(1 << 32)) - bits).alias("at"))
@@ -90,11 +94,12 @@ def in_ranges(rows: DataFrame, id_col: str, rows_per_range: int) -> DataFrame:
     rows = rows.withColumn("r1", F.coalesce(F.when(F.col(id_col).isNull(), last).otherwise(place(F.lit(cuts)) if cuts else F.lit(0)), F.lit(0)))
     second = -(-ranges // first)
     if second == 1:
-        return rows.withColumn("r2", F.lit(0)).drop("at", "bits")
+        return rows.withColumn("range", F.shiftleft(F.col("r1").cast("long"), LEVEL)).drop("r1", "at", "bits"), ranges + parts
     fine = rows.groupBy(F.col("r1").alias("of")).agg(F.percentile_approx("at", shares(second), F.lit(100 * second)).alias("fine"))
     # one row for each range of the first level
     rows = rows.join(F.broadcast(fine), rows["r1"] == fine["of"])
-    return rows.withColumn("r2", F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(place(F.col("fine")))).drop("at", "bits", "of", "fine")
+    inner = F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(place(F.col("fine")))
+    return rows.withColumn("range", F.shiftleft(F.col("r1").cast("long"), LEVEL) + inner).drop("r1", "at", "bits", "of", "fine"), ranges + parts
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 800) -> DataFrame:
@@ -102,26 +107,24 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 
     Every text is fingerprinted once. Neighbours are found inside ranges; the first texts of the ranges (one for each) close the gaps between them."""
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("md5", _md5(F.col("text")))
-    rows = in_ranges(rows, id_col, rows_per_range)
-    inside = W.partitionBy("r1", "r2").orderBy(F.desc_nulls_last(id_col), "md5")
+    rows, ranges = in_ranges(rows, id_col, rows_per_range)
+    inside = W.partitionBy("range").orderBy(F.desc_nulls_last(id_col), "md5")
     pair = F.struct("text", "mark")
     # texts are shuffled once, and fingerprinted where they arrive
-    inner = rows.repartition("r1", "r2").withColumn("mark", fingerprint(F.col("text"))).withColumn("after", F.lead(pair).over(inside))
+    inner = rows.repartition("range").withColumn("mark", fingerprint(F.col("text"))).withColumn("after", F.lead(pair).over(inside))
     # the first text of each range stands after the last one of the range before
-    first = rows.groupBy("r1", "r2").agg(F.max(id_col).alias("first_id")).withColumnsRenamed({"r1": "f1", "r2": "f2"})
-    heads = rows.join(first, (F.col("r1") == F.col("f1")) & (F.col("r2") == F.col("f2")) & F.col(id_col).eqNullSafe(F.col("first_id")))
-    heads = heads.groupBy("f1", "f2").agg(F.min_by("text", "md5").alias("text")).withColumn("mark", fingerprint(F.col("text")))
-    # one row for each range: the window over all of them, and then over their first level, holds no texts
-    order = W.partitionBy("f1").orderBy("f2")
-    places = first.select("f1", "f2")
-    one = places.groupBy("f1").agg(F.min("f2").alias("low"))
-    every = W.orderBy("f1")
-    one = one.select("f1", F.lead(F.struct("f1", "low")).over(every).alias("up"), F.first(F.struct("f1", "low")).over(every).alias("top"))
-    links = places.withColumn("f2_after", F.lead("f2").over(order)).join(one, "f1")
-    to = F.when(F.col("f2_after").isNotNull(), F.struct(F.col("f1"), F.col("f2_after").alias("low"))).otherwise(F.coalesce("up", "top"))
-    links = links.select("f1", "f2", to.alias("to")).select(F.col("f1").alias("l1"), F.col("f2").alias("l2"), "to.f1", F.col("to.low").alias("f2"))
-    closing = links.join(heads, ["f1", "f2"]).select(F.col("l1").alias("r1"), F.col("l2").alias("r2"), pair.alias("head"))
-    out = inner.join(closing, ["r1", "r2"]).withColumn("after", F.coalesce("after", "head"))
+    first = rows.groupBy("range").agg(F.max(id_col).alias("first_id")).withColumnRenamed("range", "of")
+    heads = rows.join(F.broadcast(first) if ranges <= BROADCAST else first, (F.col("range") == F.col("of")) & F.col(id_col).eqNullSafe(F.col("first_id")))
+    heads = heads.groupBy("of").agg(F.min_by("text", "md5").alias("text")).withColumn("mark", fingerprint(F.col("text")))
+    # ranges in order: inside their first level, and over all first levels (at most about the square root of all ranges)
+    places = first.select("of", F.shiftright("of", LEVEL).alias("level"))
+    every = W.orderBy("level")
+    levels = places.groupBy("level").agg(F.min("of").alias("low"))
+    levels = levels.select("level", F.coalesce(F.lead("low").over(every), F.first("low").over(every)).alias("up"))
+    links = places.withColumn("to", F.lead("of").over(W.partitionBy("level").orderBy("of"))).join(levels, "level")
+    links = links.select(F.col("of").alias("from"), F.coalesce("to", "up").alias("of"))
+    closing = links.join(heads, "of").select(F.col("from").alias("range"), pair.alias("head"))
+    out = inner.join(closing, "range").withColumn("after", F.coalesce("after", "head"))
     return out.select(id_col, "text", "mark", F.col("after.text").alias("next_text"), F.col("after.mark").alias("next_mark"))
 
 
