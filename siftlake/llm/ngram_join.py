@@ -8,7 +8,8 @@ last in that order, so that passages which many texts share seldom bring texts t
 Pairs are checked in two rounds, so that large groups of near copies never expand into all pairs: first every node with the
 PIVOTS most central nodes under each shingle of its prefix (those that meet others under most shingles, as the original of near copies does);
 then, of the nodes that meet under a shingle, only those still in different components. The second round runs through the nodes
-of a shingle by size: a size-banded tile slides over them that holds all that are large enough for the next one. A check
+of a shingle by size: a size-banded tile slides over them that holds all that are large enough for the next one; shingles of many nodes are split
+into tiles in which only nodes of different components meet. A check
 compares hashed bitmap signatures, whose bit counts bound the overlap from above (in the second round narrow ones, then wide ones
 of the nodes that are left), and then, for what is left, the sorted arrays.
 
@@ -31,9 +32,11 @@ from .common import stash, words
 
 MEMORY = 400_000
 #: Most frequent shingles that are ordered last; they travel as one array of 8 bytes each.
-HEAVY = 500_000
+HEAVY = 2_000_000
 HEAVY_FROM = 16
 PIVOTS = 3
+#: Nodes of a key that one tile holds at most on each side.
+TILE = 256
 #: Bits for each shingle of the signatures of nodes that narrow ones don't tell apart.
 WIDE = 4
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
@@ -237,18 +240,30 @@ def star_pairs(postings: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def spread_keys(postings: DataFrame, parts: DataFrame) -> DataFrame:
-    """key, node, n, part: the postings of the keys whose nodes are in different components."""
-    rows = postings.join(parts, "node", "left").select("key", "node", "n", F.coalesce("part", "node").alias("part"))
-    mixed = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
-    return rows.join(mixed, "key")
-
+def spread_keys(postings: DataFrame, parts: DataFrame, tile: int = TILE) -> DataFrame:
+    """key, side, node, n, part: the postings of the keys whose nodes are in different components, dealt into tiles; `key` numbers the tile.
 
-def _near(tile: list[tuple[np.ndarray, ...]], n: int, part: int, bits: np.ndarray, percent: int) -> Iterator[int]:
-    """Nodes of a tile in other components whose sizes and signatures allow a link with one node."""
-    for sizes, nodes, parts, rows in tile:
+    A key of up to `tile` nodes is one tile (side 2). The nodes of a larger one are cut by a hash into tiles of that size (side 0), and its nodes outside its
+    largest component, of which every pair across components has one, meet each of these tiles (side 1), in tiles of their own if they are many."""
+    rows = postings.join(parts, "node", "left").select("key", "node", "n", F.coalesce("part", "node").alias("part"))
+    sizes = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.groupBy("key").agg(F.sum("size").alias("all"), F.max(F.struct("size", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    sizes = sizes.select("key", F.ceil(F.col("all") / tile).cast("int").alias("cut"), F.ceil((F.col("all") - F.col("most.size")) / tile).cast("int").alias("cut_few"), F.col("most.part").alias("most"))
+    rows = rows.join(sizes, "key")
+    number = lambda x, n: F.pmod(F.xxhash64(F.lit(7), "node"), n).cast("int") if x else F.explode(F.sequence(F.lit(0), n - 1))
+    hot = rows.filter("cut > 1")
+    every = hot.withColumns({"i": number(True, F.col("cut")), "side": F.lit(0)}).withColumn("j", number(False, F.col("cut_few")))
+    few = hot.filter("part <> most").withColumns({"j": number(True, F.col("cut_few")), "side": F.lit(1)}).withColumn("i", number(False, F.col("cut")))
+    small = rows.filter("cut = 1").withColumns({"i": F.lit(0), "j": F.lit(0), "side": F.lit(2)})
+    columns = [F.xxhash64("key", "i", "j").alias("key"), "side", "node", "n", "part"]
+    return small.select(*columns).unionAll(every.select(*columns)).unionAll(few.select(*columns))
+
+
+def _near(tile: list[tuple[np.ndarray, ...]], n: int, part: int, side: int, bits: np.ndarray, percent: int) -> Iterator[int]:
+    """Nodes of a tile in other components, and on the other side where there are two, whose sizes and signatures allow a link with one node."""
+    for sizes, nodes, parts, sides, rows in tile:
         first = np.searchsorted(sizes, -(-percent * n // 100))
-        at = first + np.flatnonzero(parts[first:] != part)
+        at = first + np.flatnonzero((parts[first:] != part) & ((sides[first:] != side) | (side == 2)))
         if len(at):
             x, y = np.bitwise_or.reduce(bits.reshape(-1, rows.shape[1]), axis=0), rows[at]
             shared = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), sizes[at] - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
@@ -258,14 +273,14 @@ def _near(tile: list[tuple[np.ndarray, ...]], n: int, part: int, bits: np.ndarra
 def tile_pairs(rows: DataFrame, percent: int, names: bool = False) -> DataFrame:
     """Pairs (a < b) of nodes that meet under a key, may link by their sizes and signatures, and are in different components.
 
-    rows: key, node, n, part, mark. With `names` only the nodes of such pairs are returned, as `node`."""
-    rows = rows.repartition("key").sortWithinPartitions("key", "n", "node").select("key", "node", "n", "part", "mark")
+    rows: key, side, node, n, part, mark (see spread_keys). With `names` only the nodes of such pairs are returned, as `node`."""
+    rows = rows.repartition("key").sortWithinPartitions("key", "n", "node").select("key", "node", "n", "part", "mark", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, tile, seen = None, [], set()
         for batch in batches:
             out = []
-            key, node, n, part = (batch.column(i).to_numpy() for i in range(4))
+            key, node, n, part, side = (batch.column(i).to_numpy() for i in (0, 1, 2, 3, 5))
             marks = batch.column(4).to_pylist()
             width = np.fromiter(map(len, marks), np.int64, len(marks))
             cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (width[1:] != width[:-1])])).tolist()
@@ -278,12 +293,12 @@ def tile_pairs(rows: DataFrame, percent: int, names: bool = False) -> DataFrame:
                 bits = np.frombuffer(b"".join(marks[a:b]), np.uint64).reshape(b - a, -1)
                 for i in range(a, b) if tile or b - a > 1 else ():
                     own = int(node[i])
-                    for other in _near([*tile, (n[a:i], node[a:i], part[a:i], bits[: i - a])], int(n[i]), part[i], bits[i - a], percent):
+                    for other in _near([*tile, (n[a:i], node[a:i], part[a:i], side[a:i], bits[: i - a])], int(n[i]), part[i], side[i], bits[i - a], percent):
                         for found in (own, other) if names else [(min(own, other), max(own, other))]:
                             if found not in seen:
                                 seen.add(found)
                                 out.append(found)
-                tile.append((n[a:b], node[a:b], part[a:b], bits))
+                tile.append((n[a:b], node[a:b], part[a:b], side[a:b], bits))
                 if len(seen) > MEMORY:
                     seen.clear()
             if out:
@@ -363,7 +378,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("part"))
 
 
-def join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", broadcast_nodes: int = 2_000_000) -> DataFrame:
+def join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", broadcast_nodes: int = 2_000_000, tile: int = TILE) -> DataFrame:
     """One row for each input row: the id, n_shingles, component_id (smallest id reachable by links), n_equal (rows with an equal set)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     nodes = stash(nodes_of(rows, heavy_shingles(rows, width), width, percent))
@@ -374,7 +389,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     sets = sets_of(rows, text_of.join(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), width, broadcast_nodes)
     links = stash(exact_pairs(likely, sets, percent))
     parts = components(links)
-    spread = stash(spread_keys(postings, parts))
+    spread = stash(spread_keys(postings, parts, tile))
     near = stash(tile_pairs(spread.join(marks.select("node", "mark"), "node"), percent, names=True))
     if not near.isEmpty():
         # narrow signatures leave few nodes, and only these get wide ones

@@ -57,6 +57,7 @@ def test_same_components_as_all_pairs(spark, seed, percent):
     rows = near_copies(seed)
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     assert result(df, percent=percent) == brute(rows, percent=percent)
+    assert result(df, percent=percent, tile=2) == brute(rows, percent=percent)
 
 
 def test_many_near_copies_and_a_passage_that_all_share(spark, monkeypatch):
@@ -67,6 +68,7 @@ def test_many_near_copies_and_a_passage_that_all_share(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert result(df) == brute(rows)
     assert result(df, broadcast_nodes=0) == brute(rows)
+    assert result(df, tile=4) == brute(rows)
 
 
 def test_odd_rows(odd, none):
