@@ -269,6 +269,20 @@ def _slot_key(block: Block) -> int:
     return zlib.crc32(at) << 31 ^ zlib.adler32(at)
 
 
+def pack(blocks: list[Block]) -> bytes:
+    """A page's blocks as few bytes for the shuffle: texts, then slots and weights, compressed."""
+    marks = np.array([_slot_key(b) for b in blocks], dtype=np.int64).tobytes() + np.array([b.weight for b in blocks]).tobytes()
+    return zlib.compress(len(blocks).to_bytes(4, "little") + marks + "\0".join(b.text.replace("\0", " ") for b in blocks).encode(), 1)
+
+
+def unpack(page: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers of a page's tokens, and its blocks' sizes, slots and weights."""
+    data = zlib.decompress(page)
+    n = int.from_bytes(data[:4], "little")
+    words = [t.split(" ") for t in data[4 + 16 * n :].decode().split("\0")] if n else []
+    return _numbers([t for w in words for t in w]), np.array([len(w) for w in words], dtype=np.int64), np.frombuffer(data[4 : 4 + 8 * n], np.int64), np.frombuffer(data[4 + 8 * n : 4 + 16 * n], np.float64)
+
+
 def kept_text(blocks: list[Block], runs: np.ndarray, slots: set[int]) -> str:
     """A page's text: without blocks of boilerplate slots, and without the tokens that boilerplate runs cover."""
     keep = [b.weight < NOISE and _slot_key(b) not in slots for b in blocks]
@@ -303,26 +317,19 @@ def evidence(pages: DataFrame, tile_pages: int, names: bool) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, sizes, slots, weights = [], [], [], []
-            for page in batch.column(2).to_pylist():
-                blocks = blocks_of(page or "", names)
-                words = [b.text.split(" ") for b in blocks]
-                tokens.append(_numbers([t for w in words for t in w]).astype(np.uint32).view(np.int32))
-                sizes.append([len(w) for w in words])
-                slots.append([_slot_key(b) for b in blocks])
-                weights.append([b.weight for b in blocks])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), pa.array(slots, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.float32()))], ["deal", "host", "tokens", "sizes", "slots", "weights"])
-
-    parsed = pages.select(F.xxhash64("id", "url").alias("deal"), host_of(F.col("url")).alias("host"), "html").mapInArrow(parse, "deal bigint, host string, tokens array<int>, sizes array<int>, slots array<bigint>, weights array<float>")
+            packed = [pack(blocks_of(page or "", names)) for page in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["deal", "host", "page"])
+
+    parsed = pages.select(F.xxhash64("id", "url").alias("deal"), host_of(F.col("url")).alias("host"), "html").mapInArrow(parse, "deal bigint, host string, page binary")
     parsed = parsed.withColumn("salt", F.pmod("deal", F.lit(SALTS)).cast("int"))
     tiled = parsed.join(large, (F.col("host") == F.col("of")) & (F.col("salt") == F.col("of_salt")), "left")
     big = F.col("of").isNotNull()
-    tiled = tiled.select("host", "tokens", "sizes", "slots", "weights", F.when(big, F.col("host")).otherwise("").alias("pool"), F.when(big, F.pmod(F.xxhash64("deal"), F.col("tiles"))).otherwise(-1 - F.pmod(F.xxhash64("host"), F.lit(pools))).alias("tile"))
+    tiled = tiled.select("host", "page", F.when(big, F.col("host")).otherwise("").alias("pool"), F.when(big, F.pmod(F.xxhash64("deal"), F.col("tiles"))).otherwise(-1 - F.pmod(F.xxhash64("host"), F.lit(pools))).alias("tile"))
 
     def count(group: pa.Table) -> pa.Table:
-        lists = {c: [np.asarray(x) for x in group.column(c).to_numpy()] for c in ("tokens", "sizes", "slots", "weights")}
+        lists = dict(zip(("tokens", "sizes", "slots", "weights"), zip(*map(unpack, group.column("page").to_pylist()), strict=True), strict=True))
         names_, host = np.unique(np.array(group.column("host").to_pylist(), dtype=object), return_inverse=True)
-        tile = Tile([t.view(np.uint32) for t in lists["tokens"]], lists["sizes"])
+        tile = Tile(lists["tokens"], lists["sizes"])
         vote, repeated, support = tile.votes(host)
         votes = np.bincount(host, vote, minlength=len(names_)).astype(np.int64)
         wanted = np.flatnonzero((support >= 2) & (8 * support >= votes[host[tile.page]]))
@@ -332,7 +339,7 @@ def evidence(pages: DataFrame, tile_pages: int, names: bool) -> DataFrame:
         sizes = np.concatenate([np.empty(0, np.int64), *lists["sizes"]]).astype(np.int64)
         page = np.repeat(np.arange(len(vote)), [len(x) for x in lists["sizes"]])
         hits = np.bincount(np.repeat(np.arange(len(sizes)), sizes), repeated, minlength=len(sizes)).astype(np.int64)
-        slots, weights = (np.concatenate([np.empty(0, k), *lists[c]]) for c, k in (("slots", np.int64), ("weights", np.float32)))
+        slots, weights = (np.concatenate([np.empty(0, k), *lists[c]]) for c, k in (("slots", np.int64), ("weights", np.float64)))
         at, first, to = np.unique(np.stack([host[page], slots]).astype(np.int64), axis=1, return_index=True, return_inverse=True)
         counts = vote[page]
         out.append(("slot", at[0], at[1], weights[first], np.bincount(to.ravel(), sizes * counts, minlength=len(first)), np.bincount(to.ravel(), hits * counts, minlength=len(first))))
