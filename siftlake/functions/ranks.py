@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,6 +64,31 @@ def commit_status(verdict: Column, confidence: Column) -> Column:
     return F.when(certain, "failure").when(verdict.isin("TRUE_POSITIVE", "NEEDS_REVIEW"), "pending").when(verdict == "FALSE_POSITIVE", "success").otherwise("error")
 
 
+def status_description(verdict: Column, title: Column, most: int = 100) -> Column:
+    """The verdict in words and the title, cut to what a commit status may hold."""
+    words = F.when(verdict == "TRUE_POSITIVE", "Issue").when(verdict == "NEEDS_REVIEW", "Needs review").when(verdict == "FALSE_POSITIVE", "Clean").otherwise("Error")
+    return F.substring(F.concat(words, F.lit(": "), F.coalesce(title, F.lit(""))), 1, most)
+
+
+def at_least(role: Column, least: str) -> Column:
+    """Whether a role is at least as strong as another."""
+    return role_rank(role) >= role_rank(F.lit(least))
+
+
+def masked_key(key: Column, shown: int = 8) -> Column:
+    """The first characters of a key and four stars; a key that is no longer is all stars."""
+    return F.when(F.length(key) > shown, F.concat(F.substring(key, 1, shown), F.lit("****"))).when(key.isNotNull(), "****")
+
+
+def hmac_sha256(message: Column, key: str) -> Column:
+    """HMAC with SHA-256 as lowercase hex, from two plain digests."""
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    pad = lambda n: F.lit(bytearray(b ^ n for b in raw))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), message.cast("binary")), 256))
+    return F.sha2(F.concat(pad(0x5C), inner), 256)
+
+
 def should_notify(verdict: Column, severity: Column, least: Column, on_review: Column) -> Column:
     loud = verdict.isin("FALSE_POSITIVE", "ERROR")
     quiet_review = (verdict == "NEEDS_REVIEW") & ~on_review

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from siftlake.operators.messages import first_bytes
+
 MAX_HUNK_LINES, LARGE_HUNK_LINES, MAX_CHUNKS = 150, 120, 20
 LARGE_FILES, LARGE_ADDED, LARGE_BYTES = 25, 1000, 500_000
 SNIPPET_LINES = 200
@@ -118,13 +120,35 @@ def chunk_plan(rows: DataFrame, max_chunks: int = MAX_CHUNKS) -> DataFrame:
     return both.withColumn("chunk", place).filter(F.col("chunk") <= max_chunks)
 
 
-def trim(rows: DataFrame, max_bytes: int) -> DataFrame:
-    """Lines of each file that fit max_bytes: the header through its first hunk line, then whole lines while they fit.
+def _joined(order: Column, line: str = "line") -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("pos"), F.col(line).alias("line")))), lambda x: x["line"]), "\n")
+
+
+def chunk_texts(rows: DataFrame, max_lines: int = MAX_HUNK_LINES) -> DataFrame:
+    """pr_id, file_ord, path, bin, text: the header of each file (its lines before the first hunk) in front of each of its bins of hunks; a file without hunks is one whole text."""
+    in_file = W.partitionBy("pr_id", "file_ord").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    parts = files(rows).withColumn("hunk", F.sum(F.when(F.col("line").startswith("@@"), 1).otherwise(0)).over(in_file))
+    head = parts.filter("hunk = 0").groupBy("pr_id", "file_ord", "path").agg(_joined(F.col("pos")).alias("head"))
+    bins = hunk_bins(rows, max_lines).select("pr_id", "file_ord", "hunk", "bin")
+    body = parts.filter("hunk > 0").join(bins, ["pr_id", "file_ord", "hunk"]).groupBy("pr_id", "file_ord", "path", "bin").agg(_joined(F.col("pos")).alias("body"))
+    both = head.join(body, ["pr_id", "file_ord", "path"], "full")
+    return both.select("pr_id", "file_ord", "path", F.coalesce("bin", F.lit(0)).alias("bin"), F.concat_ws("\n", "head", "body").alias("text"))
 
-    A file whose header alone does not fit keeps no line here; its caller cuts the text itself at a character."""
+
+def planned_texts(rows: DataFrame, max_chunks: int = MAX_CHUNKS) -> DataFrame:
+    """The chunk plan with its texts; a test file's placeholder has a null text."""
+    return chunk_plan(rows, max_chunks).join(chunk_texts(rows), ["pr_id", "file_ord", "path", "bin"], "left").withColumn("text", F.when(F.col("n_lines") > 0, F.col("text")))
+
+
+def trim(rows: DataFrame, max_bytes: int) -> DataFrame:
+    """pr_id, file_ord, path, text: each file's part within max_bytes: all of it if it fits; else its header through the first hunk line, then whole lines while they fit;
+    and where the header alone does not fit, as many of its first characters as do."""
     in_file = W.partitionBy("pr_id", "file_ord").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = files(rows).withColumn("used", F.sum(F.octet_length("line") + 1).over(in_file) - 1)
-    return rows.filter(F.col("used") <= max_bytes).groupBy("pr_id", "file_ord", "path").agg(F.count(F.lit(1)).alias("lines"), F.max("used").alias("bytes"))
+    rows = files(rows).withColumns({"used": F.sum(F.octet_length("line") + 1).over(in_file) - 1, "hunks": F.sum(F.when(F.col("line").startswith("@@"), 1).otherwise(0)).over(in_file)})
+    head = (F.col("hunks") == 0) | ((F.col("hunks") == 1) & F.col("line").startswith("@@"))
+    cut = rows.groupBy("pr_id", "file_ord", "path").agg(_joined(F.col("pos")).alias("whole"), F.max(F.when(head, F.col("used"))).alias("head"), F.max(F.when(F.col("used") <= max_bytes, F.col("used"))).alias("fit"))
+    text = F.when(F.col("head") >= max_bytes, first_bytes(F.col("whole"), F.lit(max_bytes))).otherwise(first_bytes(F.col("whole"), F.col("fit")))
+    return cut.select("pr_id", "file_ord", "path", F.when(F.octet_length("whole") <= max_bytes, F.col("whole")).otherwise(text).alias("text"))
 
 
 def context(added: DataFrame, contents: DataFrame, around: int = 25, most: int = 120) -> DataFrame:

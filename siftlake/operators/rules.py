@@ -163,6 +163,13 @@ def by_language(language: Column, make) -> Column:
     return out.otherwise(make(PYTHON))
 
 
+def _found(language: Column, line: Column, make) -> Column:
+    """make(rules of the language, line) as an array of at most one value.
+
+    A function of an array is evaluated as it stands, so that the patterns of all languages do not become code that is too large to compile."""
+    return F.filter(F.transform(F.array(line), lambda x: by_language(language, lambda r: make(r, x))), lambda v: v.isNotNull())
+
+
 def call_args(line: Column) -> Column:
     """Arguments of the first call: cut at commas, trimmed, blanks dropped."""
     return F.filter(F.transform(F.split(F.regexp_extract(line, r"\(([^)]*)\)", 1), ","), lambda a: F.trim(a)), lambda a: a != "")
@@ -186,8 +193,8 @@ def sinks(rows: DataFrame, token: str = "siftlake-ignore") -> DataFrame:
     note = F.coalesce(suppression(F.col("text"), token), suppression(above, token))
     rows = rows.withColumn("note", note).filter("changed")
     line = F.col("text")
-    rows = rows.filter(~by_language(F.col("language"), lambda r: line.rlike(f"(?i){r.safe}")))
-    rows = rows.withColumn("rule", by_language(F.col("language"), lambda r: _first_rule(line, r.sinks))).filter("rule IS NOT NULL")
+    rule = _found(F.col("language"), line, lambda r, x: F.when(~x.rlike(f"(?i){r.safe}"), _first_rule(x, r.sinks)))
+    rows = rows.select("*", F.explode(rule).alias("rule"))
     function = F.trim(F.regexp_replace(F.col("rule.match"), r"\(+$", ""))
     return rows.select("pr_id", "path", "language", "line_no", F.col("rule.category").alias("category"), function.alias("function"), F.array_join(call_args(line), "|").alias("args"), F.col("note").isNotNull().alias("suppressed"), F.col("note.cwe").alias("ignore_cwe"), F.col("note.reason").alias("ignore_reason"))
 
@@ -196,7 +203,7 @@ def sources(rows: DataFrame, window: int = SOURCE_WINDOW) -> DataFrame:
     """User-controlled inputs on lines within `window` of a changed one, by range frames over line numbers."""
     near = W.partitionBy("pr_id", "path").orderBy("line_no").rangeBetween(-window, window)
     rows = rows.withColumn("near", F.max(F.col("changed").cast("int")).over(near)).filter("near = 1")
-    rows = rows.withColumn("rule", by_language(F.col("language"), lambda r: _first_rule(F.col("text"), r.sources))).filter("rule IS NOT NULL")
+    rows = rows.select("*", F.explode(_found(F.col("language"), F.col("text"), lambda r, x: _first_rule(x, r.sources))).alias("rule"))
     return rows.select("pr_id", "path", "line_no", F.col("rule.category").alias("category"), assigned_variable(F.col("text")).alias("variable"))
 
 

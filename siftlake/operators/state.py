@@ -88,10 +88,34 @@ def clamped_settings(t: Tables) -> DataFrame:
 
 
 def normalized(t: Tables) -> DataFrame:
-    """Scans as ingest stores them: weakness without leading zeros, confidence within 0 and 1, texts cut to length."""
+    """Scans as ingest stores them: weakness without leading zeros, confidence within 0 and 1; `stored` gives whole rows."""
     return t.scans.select("id", ranks.ingest_cwe(F.col("cwe_id")).alias("cwe_id"), ranks.clamp_confidence(F.col("confidence") * 3 - 1).alias("confidence"), F.substring("commit_sha", 1, 7).alias("sha7"), ranks.confidence_label(F.col("confidence")).alias("label"), ranks.commit_status(F.col("verdict"), F.col("confidence")).alias("status"))
 
 
+def stored(items: DataFrame) -> DataFrame:
+    """Items as ingest stores them, whole rows: texts cut to length, weakness and confidence normalised, defaults where fields are missing. items: id, and the columns below."""
+    cut = lambda name, n: F.substring(name, 1, n).alias(name)
+    return items.select("id", "repo_id", "pr_number", cut("commit_sha", 40), "pr_url", "verdict", F.coalesce("severity", F.lit("N/A")).alias("severity"), F.coalesce(ranks.ingest_cwe(F.col("cwe_id")), F.lit("N/A")).alias("cwe_id"), F.coalesce(ranks.clamp_confidence(F.col("confidence")), F.lit(0.0)).alias("confidence"), cut("title", 80), F.coalesce("provider", F.lit("unknown")).alias("provider"), F.coalesce("scan_ms", F.lit(0)).alias("scan_ms"), F.coalesce("suppressed", F.lit(False)).alias("suppressed"), cut("ignore_reason", 200))
+
+
+def ignore_rules(log: DataFrame) -> DataFrame:
+    """Ignore rules that are left after an append-only log of additions and deletions. log: id, repo_id, action ('add' or 'delete'), rule_id, cwe_id, reason; the last action of a rule counts."""
+    last = log.groupBy("repo_id", "rule_id").agg(F.max_by(F.struct("action", "cwe_id", "reason"), "id").alias("last"))
+    return last.filter(F.col("last.action") == "add").select("repo_id", "rule_id", "last.cwe_id", "last.reason")
+
+
+def live_keys(log: DataFrame) -> DataFrame:
+    """Keys after rotations and revocations: one hash for each user, none after a revocation. log: id, github_id, action ('rotate' or 'revoke'), token."""
+    last = log.groupBy("github_id").agg(F.max_by(F.struct("action", "token"), "id").alias("last"))
+    return last.filter(F.col("last.action") == "rotate").select("github_id", F.sha2(F.col("last.token").cast("binary"), 256).alias("token_hash"), ranks.masked_key(F.col("last.token")).alias("shown"))
+
+
+def audit_rows(scans: DataFrame) -> DataFrame:
+    """The audit rows that ingest appends: one for each stored scan."""
+    details = F.to_json(F.struct("verdict", "severity", F.substring("commit_sha", 1, 7).alias("sha")))
+    return scans.select(F.col("id").alias("scan_id"), F.lit("scan_ingested").alias("action"), "repo_id", details.alias("details"), "created_at")
+
+
 def valid_batches(items: DataFrame) -> DataFrame:
     """Batches of ingested items (batch, ord, verdict, commit_sha): one bad item rejects its whole batch."""
     good = F.coalesce(F.col("verdict").isin("TRUE_POSITIVE", "FALSE_POSITIVE", "NEEDS_REVIEW", "ERROR") & (F.col("commit_sha") != ""), F.lit(False))

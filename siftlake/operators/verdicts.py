@@ -7,13 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftlake.functions import ranks
+from siftlake.operators.messages import repaired
 
 VERDICTS = ("TRUE_POSITIVE", "FALSE_POSITIVE", "NEEDS_REVIEW", "ERROR")
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO", "N/A")
-RESPONSE = "verdict string, severity string, cwe_id string, title string, sanitizer_found boolean"
+TEXTS = ("title", "summary", "evidence", "sanitizer_description", "attack_vector", "remediation", "false_positive_reason")
 DEFAULT_RULE = "Siftlake/Finding"
 MAX_INLINE = 10
-CSV_COLUMNS = ("id", "repo", "pr_number", "commit_sha", "verdict", "severity", "cwe_id", "confidence", "title", "provider")
 
 
 def strip_fence(text: Column) -> Column:
@@ -29,20 +29,66 @@ def fix_escapes(text: Column) -> Column:
     return F.regexp_replace(text, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\")
 
 
+def _read(json: Column) -> Column:
+    """struct of what a JSON object says, as it stands; null if the text is no JSON object."""
+    value = F.try_parse_json(json)
+    text = lambda name: F.try_variant_get(value, f"$.{name}", "string").alias(name)
+    own = F.try_variant_get(value, "$.confidence", "variant")
+    kind = F.schema_of_variant(own)
+    number = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(value, "$.confidence", "double")).when(kind == "BOOLEAN", F.try_variant_get(value, "$.confidence", "boolean").cast("double"))
+    found = F.struct(text("verdict"), text("severity"), text("cwe_id"), number.alias("confidence"), *map(text, TEXTS), F.coalesce(F.try_variant_get(value, "$.sanitizer_found", "boolean"), F.lit(False)).alias("sanitizer_found"))
+    return F.when(F.schema_of_variant(value).startswith("OBJECT"), found)
+
+
+def _once(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add a column through a generator, so that the optimiser does not copy its expression to every place that reads it."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def parse(responses: DataFrame) -> DataFrame:
-    """responses (…, content) with verdict, severity, cwe_id, confidence, title. What cannot be read, or names an unknown verdict or severity, is an ERROR of confidence 0."""
-    text = fix_escapes(strip_fence(F.col("content")))
-    rows = responses.withColumn("json", text).withColumn("own", F.from_json("json", RESPONSE, {"mode": "PERMISSIVE"}))
-    number = F.get_json_object("json", "$.confidence")
-    quoted = F.col("json").rlike(r'"confidence"\s*:\s*"')
-    value = F.when(number == "true", 1.0).when(number == "false", 0.0).when(~quoted, F.expr("try_cast(get_json_object(json, '$.confidence') AS DOUBLE)"))
-    confidence = F.coalesce(F.when(~F.isnan(value) & (F.abs(value) < float("inf")), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))), F.lit(0.0))
+    """responses (…, content) with verdict, severity, cwe_id, confidence, sanitizer_found and texts.
+
+    What is no JSON object is read again with the quotes inside its strings escaped. What cannot be read then, or names an unknown verdict or
+    severity, is an ERROR of confidence 0. A confidence must be a finite number (true counts as 1); anything else counts as 0."""
+    rows = responses.withColumn("json", fix_escapes(strip_fence(F.col("content"))))
+    rows = _once(rows, _read(F.col("json")), "first")
+    # only texts that could not be read go through the repair
+    rows = rows.withColumn("mended", repaired(F.when(F.col("first").isNull(), F.col("json"))))
+    rows = _once(rows, F.coalesce("first", _read(F.col("mended"))), "own")
     field = lambda name, missing: F.coalesce(F.col(f"own.{name}"), F.lit(missing))
-    rows = rows.withColumns({"confidence": confidence, "raw": field("verdict", "ERROR"), "severity": field("severity", "N/A")})
-    readable = F.get_json_object("json", "$").isNotNull() & F.col("json").startswith("{")
-    known = readable & F.col("raw").isin(*VERDICTS) & F.col("severity").isin(*SEVERITIES)
+    known = F.col("own").isNotNull() & field("verdict", "ERROR").isin(*VERDICTS) & field("severity", "N/A").isin(*SEVERITIES)
+    value = F.col("own.confidence")
+    confidence = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
     keep = lambda value, other: F.when(known, value).otherwise(F.lit(other))
-    return rows.withColumns({"verdict": keep(F.col("raw"), "ERROR"), "cwe_id": keep(field("cwe_id", "N/A"), "N/A"), "title": keep(field("title", ""), "Analysis failed"), "severity": keep(F.col("severity"), "N/A"), "confidence": keep(F.col("confidence"), 0.0)}).drop("json", "own", "raw")
+    columns = {"verdict": keep(field("verdict", "ERROR"), "ERROR"), "severity": keep(field("severity", "N/A"), "N/A"), "cwe_id": keep(field("cwe_id", "N/A"), "N/A"), "confidence": keep(F.coalesce(confidence, F.lit(0.0)), 0.0), "sanitizer_found": keep(F.col("own.sanitizer_found"), False)}
+    columns |= {t: F.when(known, F.col(f"own.{t}")) for t in TEXTS} | {"title": keep(field("title", ""), "Analysis failed"), "summary": keep(field("summary", ""), "The answer could not be read.")}
+    return rows.withColumns(columns).drop("json", "first", "mended", "own")
+
+
+def fixed_verdicts(rows: DataFrame, kind: str, marker: str = "siftlake-ignore") -> DataFrame:
+    """rows (pr_id, and reason, cwe_id, file_path, line_number where the kind has them) with a verdict made without a model.
+
+    kind: no_op for changes without code to look at, suppressed for findings that a comment with a reason silences, error for failures (reason: what failed)."""
+    cut = lambda text: F.substring(text, 1, 80)
+    reason = F.col("reason") if "reason" in rows.columns else F.lit(None).cast("string")
+    shown = F.coalesce(F.nullif(F.trim(reason), F.lit("")), F.lit("Analysis engine error"))
+    made = {
+        "no_op": ("FALSE_POSITIVE", 0.99, F.lit("No security-relevant changes detected"), F.lit("The diff contains no code changes requiring security analysis."), F.lit("Empty or non-security diff"), "siftlake/static-analysis"),
+        "suppressed": ("FALSE_POSITIVE", 0.99, cut(F.concat(F.lit(f"Suppressed by {marker}: "), reason)), F.concat(F.lit(f"Finding suppressed by inline `{marker}` comment. Reason: "), reason), reason, "siftlake/suppress-rule"),
+        "error": ("ERROR", 0.0, cut(shown), reason, F.lit(None).cast("string"), "unknown"),
+    }
+    verdict, confidence, title, summary, why, provider = made[kind]
+    cwe = F.coalesce("cwe_id", F.lit("N/A")) if kind == "suppressed" else F.lit("N/A")
+    place = [F.col(c) for c in ("file_path", "line_number") if c in rows.columns]
+    return rows.select("pr_id", F.lit(verdict).alias("verdict"), F.lit("N/A").alias("severity"), cwe.alias("cwe_id"), F.lit(confidence).alias("confidence"), title.alias("title"), summary.alias("summary"), why.alias("false_positive_reason"), F.lit(provider).alias("provider"), *place)
+
+
+def suppressed_changes(sinks: DataFrame) -> DataFrame:
+    """A verdict for each change all of whose sinks a comment silences, from its first one. sinks: pr_id, path, line_no, suppressed, ignore_cwe, ignore_reason."""
+    first = F.min(F.struct("path", "line_no", "ignore_cwe", "ignore_reason")).alias("first")
+    quiet = sinks.groupBy("pr_id").agg(F.bool_and("suppressed").alias("quiet"), first).filter("quiet")
+    rows = quiet.select("pr_id", F.coalesce("first.ignore_cwe", F.lit("N/A")).alias("cwe_id"), F.coalesce("first.ignore_reason", F.lit("no reason given")).alias("reason"), F.col("first.path").alias("file_path"), F.col("first.line_no").alias("line_number"))
+    return fixed_verdicts(rows, "suppressed")
 
 
 def calibrate(verdict: Column, confidence: Column) -> Column:
@@ -77,11 +123,11 @@ def sarif_level(severity: Column) -> Column:
 
 def sarif_results(verdicts: DataFrame) -> DataFrame:
     """Actionable findings without repeats: the most confident of each weakness, file and line, in order of first sight."""
-    rows = verdicts.filter(F.col("verdict").isin("TRUE_POSITIVE", "NEEDS_REVIEW")).select("pr_id", "ord", rule_id(F.col("cwe_id")).alias("rule"), F.nullif(F.ltrim(F.coalesce("file_path", F.lit("")), F.lit("/")), F.lit("")).alias("uri"), F.when(F.col("line_number") > 0, F.col("line_number")).alias("line"), "severity", "confidence")
-    best = F.max_by(F.struct("severity", "confidence"), F.struct("confidence", -F.col("ord"))).alias("best")
+    rows = verdicts.filter(F.col("verdict").isin("TRUE_POSITIVE", "NEEDS_REVIEW")).select("pr_id", "ord", rule_id(F.col("cwe_id")).alias("rule"), F.nullif(F.ltrim(F.coalesce("file_path", F.lit("")), F.lit("/")), F.lit("")).alias("uri"), F.when(F.col("line_number") > 0, F.col("line_number")).alias("line"), "severity", "confidence", "verdict", "title", "provider")
+    best = F.max_by(F.struct("severity", "confidence", "verdict", "title", "provider"), F.struct("confidence", -F.col("ord"))).alias("best")
     groups = rows.groupBy("pr_id", "rule", "uri", "line").agg(F.min("ord").alias("first_ord"), best)
     place = F.row_number().over(W.partitionBy("pr_id").orderBy("first_ord"))
-    return groups.select("pr_id", place.alias("place"), "rule", "uri", "line", sarif_level(F.col("best.severity")).alias("level"), F.col("best.confidence").alias("confidence"))
+    return groups.select("pr_id", place.alias("place"), "rule", "uri", "line", sarif_level(F.col("best.severity")).alias("level"), "best.severity", "best.confidence", "best.verdict", "best.title", "best.provider")
 
 
 def sarif_rules(results: DataFrame) -> DataFrame:
@@ -89,26 +135,16 @@ def sarif_rules(results: DataFrame) -> DataFrame:
     return results.groupBy("pr_id", "rule").agg(F.min("place").alias("place"), F.min_by("level", "place").alias("level"), F.count(F.lit(1)).alias("results"))
 
 
-def sarif_document(results: DataFrame) -> DataFrame:
-    """pr_id, sarif: a compact JSON document of the results in order."""
-    one = F.struct(F.col("rule").alias("ruleId"), "level", F.struct(F.coalesce("uri", F.lit(".")).alias("uri"), F.coalesce("line", F.lit(1)).alias("startLine")).alias("location"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", one.alias("result")))), lambda x: x["result"])
-    return results.groupBy("pr_id").agg(F.to_json(F.struct(F.lit("2.1.0").alias("version"), ordered.alias("results"))).alias("sarif"))
-
-
 def csv_field(value: Column) -> Column:
     """Quotes are doubled; fields with commas, quotes or line feeds are quoted; null is empty."""
     text = F.coalesce(value.cast("string"), F.lit(""))
     return F.when(text.rlike('[,"\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
-def csv_lines(scans: DataFrame, most: int = 10_000) -> DataFrame:
-    newest = scans.orderBy(F.desc("created_at"), "id").limit(most)
-    return newest.select("id", F.concat_ws(",", *[csv_field(F.col(c)) for c in CSV_COLUMNS]).alias("line"))
-
-
 def outgoing(verdicts: DataFrame, marker: str = "siftlake-ignore", manual: bool = True) -> DataFrame:
-    """JSON items for the warehouse; only the manual path reports suppressions, which need a reason and a title that names the marker."""
+    """JSON items for the warehouse: ten fields, and on the manual path suppressions, which need a reason and a title that names the marker.
+
+    verdicts: with provider, reason, pr_number, commit_sha, pr_url, scan_ms."""
     suppressed = F.lit(manual) & F.col("reason").isNotNull() & F.contains(F.lower("title"), F.lit(marker))
-    item = F.to_json(F.struct("verdict", "severity", "cwe_id", F.substring("title", 1, 80).alias("title"), F.when(suppressed, F.lit(True)).alias("suppressed"), F.when(suppressed, F.col("reason")).alias("ignore_reason")))
-    return verdicts.select("pr_id", "ord", item.alias("item"))
+    item = F.struct("verdict", "severity", "cwe_id", "confidence", F.substring("title", 1, 80).alias("title"), "provider", "pr_number", "commit_sha", "pr_url", "scan_ms", F.when(suppressed, F.lit(True)).alias("suppressed"), F.when(suppressed, F.col("reason")).alias("ignore_reason"))
+    return verdicts.select("pr_id", "ord", F.to_json(item).alias("item"))

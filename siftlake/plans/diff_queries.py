@@ -126,9 +126,21 @@ DIFFS = {
         lambda s, f: d.chunk_plan(diff_lines(s, f), 4).select("pr_id", "file_ord", "bin", "n_lines", "chunk"),
         with_diffs("SELECT pr_id, file_ord, bin, n_lines, CAST(chunk AS INTEGER) AS chunk FROM (SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY file_ord, bin) AS chunk FROM (SELECT pr_id, file_ord, CASE WHEN t THEN 0 ELSE bin END AS bin, CAST(sum(CASE WHEN t THEN 0 ELSE n_lines END) AS BIGINT) AS n_lines FROM (SELECT *, path LIKE '%/test\\_%' ESCAPE '\\' OR path LIKE '%/tests/%' AS t FROM bins) GROUP BY ALL)) WHERE chunk <= 4", hunks=HUNKS_SQL, bins=BINS_SQL.format(n=150)),
     ),
-    "diff_trim": (lambda s, f: d.trim(diff_lines(s, f), 300), with_diffs("SELECT pr_id, CAST(file_ord AS BIGINT) AS file_ord, path, count(*) AS lines, CAST(max(used) AS BIGINT) AS bytes FROM (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY pr_id, file_ord ORDER BY pos) - 1 AS used FROM files) WHERE used <= 300 GROUP BY ALL")),
+    "diff_trim": (
+        lambda s, f: d.trim(diff_lines(s, f), 60).withColumn("text", F.md5("text")),
+        with_diffs("""SELECT pr_id, CAST(file_ord AS BIGINT) AS file_ord, path, md5(CASE WHEN strlen(whole) <= 60 THEN whole WHEN head >= 60 THEN cut ELSE coalesce(fit, '') END) AS text FROM (
+  SELECT pr_id, file_ord, path, string_agg(line, chr(10) ORDER BY pos) AS whole, max(CASE WHEN hunks = 0 OR hunks = 1 AND line LIKE '@@%' THEN used END) AS head, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE used <= 60) AS fit,
+    (SELECT max(substr(w, 1, n)) FROM (SELECT string_agg(line, chr(10) ORDER BY pos) AS w), range(61) r(n) WHERE strlen(substr(w, 1, n)) <= 60) AS cut
+  FROM (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY pr_id, file_ord ORDER BY pos) - 1 AS used, sum(CASE WHEN line LIKE '@@%' THEN 1 ELSE 0 END) OVER (PARTITION BY pr_id, file_ord ORDER BY pos) AS hunks FROM files) GROUP BY ALL)"""),
+    ),
+    "diff_chunk_texts": (
+        lambda s, f: d.chunk_texts(diff_lines(s, f), 7).withColumn("text", F.md5("text")),
+        with_diffs(f"""SELECT h.pr_id, CAST(h.file_ord AS BIGINT) AS file_ord, h.path, coalesce(bin, 0) AS bin, md5(concat_ws(chr(10), head, body)) AS text
+FROM (SELECT pr_id, file_ord, path, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE hunk = 0) AS head FROM numbered GROUP BY ALL) h
+LEFT JOIN (SELECT n.pr_id, n.file_ord, bin, string_agg(line, chr(10) ORDER BY pos) AS body FROM numbered n JOIN ({BINS_SQL.format(n=7)}) b ON b.pr_id = n.pr_id AND b.file_ord = n.file_ord AND b.hunk = n.hunk GROUP BY ALL) k ON k.pr_id = h.pr_id AND k.file_ord = h.file_ord""", hunks=HUNKS_SQL, numbered="SELECT *, sum(CASE WHEN line LIKE '@@%' THEN 1 ELSE 0 END) OVER (PARTITION BY pr_id, file_ord ORDER BY pos) AS hunk FROM files"),
+    ),
     "diff_test_flag": (lambda s, f: d.file_chunks(diffs(s, f)).groupBy(F.col("path").rlike(d.CHUNK_TEST_FILE).alias("is_test")).agg(F.count(F.lit(1)).alias("n")), with_diffs(f"SELECT regexp_matches(path, '{d.CHUNK_TEST_FILE}') AS is_test, count(*) AS n FROM (SELECT DISTINCT pr_id, file_ord, path FROM files) GROUP BY 1")),
-    "diff_by_path": (lambda s, f: d.last_by_path(d.file_chunks(diffs(s, f).union(diffs(s, f)).groupBy("pr_id").agg(F.array_join(F.collect_list("raw_diff"), "\n").alias("raw_diff")))).withColumn("chunk", F.md5("chunk")), with_diffs("SELECT pr_id, path, CAST(min(file_ord) AS BIGINT) AS first_ord, arg_max(chunk, file_ord) AS chunk FROM (SELECT pr_id, path, file_ord, md5(string_agg(line, chr(10) ORDER BY pos)) AS chunk FROM files GROUP BY ALL) GROUP BY pr_id, path")),
+    "diff_by_path": (lambda s, f: d.last_by_path(d.file_chunks(diffs(s, f).union(diffs(s, f)).groupBy("pr_id").agg(F.array_join(F.array_sort(F.collect_list("raw_diff")), "\n").alias("raw_diff")))).withColumn("chunk", F.md5("chunk")), with_diffs("SELECT pr_id, path, CAST(min(file_ord) AS BIGINT) AS first_ord, arg_max(chunk, file_ord) AS chunk FROM (SELECT pr_id, path, file_ord, md5(string_agg(line, chr(10) ORDER BY pos)) AS chunk FROM files GROUP BY ALL) GROUP BY pr_id, path")),
     "diff_context": (
         lambda s, f: d.context(d.added_lines(diff_lines(s, f)), contents(s, f), 1, 9),
         with_diffs("SELECT pr_id, path, CAST(nth AS INTEGER) AS nth, text FROM (SELECT *, row_number() OVER (PARTITION BY pr_id, path ORDER BY line_no) AS nth FROM (SELECT pr_id, 'src/f0.py' AS path, line_no, lpad(CAST(line_no AS VARCHAR), CAST(greatest(4, length(CAST(line_no AS VARCHAR))) AS INTEGER), ' ') || ' | ' || x AS text FROM (SELECT doc_id AS pr_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, len(string_split(text, chr(10))) AS n FROM documents) t WHERE NOT (x = '' AND line_no = n) AND EXISTS (SELECT 1 FROM added a WHERE a.pr_id = t.pr_id AND a.path = 'src/f0.py' AND abs(a.line_no - t.line_no) <= 1))) WHERE nth <= 9", added=ADDED_ONLY),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,29 +15,38 @@ FENCE = "```"
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded model responses made of scans: fenced, unreadable, of unknown verdict, and with confidences outside 0..1."""
+    """Recorded model responses made of scans: fenced, unreadable, with unescaped quotes, of unknown verdict, and with confidences outside 0..1, in quotes, or also inside another object."""
     s = Tables(spark, sf_dir).scans
     i, k = F.col("id"), F.col("id") % 97
     verdict = F.when(i % 50 == 0, "MAYBE").otherwise(F.col("verdict"))
-    body = F.concat(F.lit('{"verdict": "'), verdict, F.lit('", "severity": "'), F.col("severity"), F.lit('", "cwe_id": "'), F.coalesce("cwe_id", F.lit("N/A")), F.lit('", "confidence": '), (k * 3 - 50).cast("string"), F.lit('e-2, "title": "'), F.col("title"), F.lit('"}'))
+    title = F.when(i % 41 == 0, F.concat(F.lit('say "'), "title", F.lit(' now" end'))).otherwise(F.col("title"))
+    share = F.concat((k * 3 - 50).cast("string"), F.lit("e-2"))
+    share = F.when(i % 43 == 0, F.concat(F.lit('"'), share, F.lit('"'))).otherwise(share)
+    text = lambda name, value: F.concat(F.lit(f', "{name}": "'), value, F.lit('"'))
+    more = F.concat(text("title", title), text("summary", F.concat(F.lit("seen "), k.cast("string"))), F.when(i % 3 == 0, text("remediation", F.lit("bind"))).otherwise(""), F.when(i % 4 == 0, text("evidence", F.lit("x = y"))).otherwise(""), F.when(i % 5 == 0, F.lit(', "sanitizer_found": true, "sanitizer_description": "esc"')).otherwise(""))
+    meta = F.when(i % 47 == 0, F.lit('"meta": {"confidence": "1"}, ')).otherwise("")
+    body = F.concat(F.lit("{"), meta, F.lit('"verdict": "'), verdict, F.lit('", "severity": "'), F.col("severity"), F.lit('", "cwe_id": "'), F.coalesce("cwe_id", F.lit("N/A")), F.lit('", "confidence": '), share, more, F.lit("}"))
     content = F.when(i % 37 == 0, F.concat(F.lit("no json {"), body)).when(i % 2 == 0, F.concat(F.lit(f"{FENCE}json\n"), body, F.lit(f"\n{FENCE}"))).otherwise(body)
     path = F.element_at(F.array(F.lit("/src/a.py"), F.lit("src/a.py"), F.lit(""), F.lit(None)), (i % 4 + 1).cast("int"))
-    return s.select(i.alias("id"), F.floor(i / 10).alias("pr_id"), (i % 10).cast("int").alias("ord"), content.alias("content"), path.alias("file_path"), (i % 3).cast("int").alias("line_number"))
+    return s.select(i.alias("id"), F.floor(i / 10).alias("pr_id"), (i % 10).cast("int").alias("ord"), content.alias("content"), path.alias("file_path"), (i % 3).cast("int").alias("line_number"), "provider", "pr_number", "commit_sha")
 
 
-RESPONSES_SQL = f"""SELECT id, CAST(floor(id / 10) AS BIGINT) AS pr_id, CAST(id % 10 AS INTEGER) AS ord, ['/src/a.py', 'src/a.py', '', NULL][id % 4 + 1] AS file_path, CAST(id % 3 AS INTEGER) AS line_number,
+RESPONSES_SQL = f"""SELECT id, CAST(floor(id / 10) AS BIGINT) AS pr_id, CAST(id % 10 AS INTEGER) AS ord, ['/src/a.py', 'src/a.py', '', NULL][id % 4 + 1] AS file_path, CAST(id % 3 AS INTEGER) AS line_number, provider, pr_number, commit_sha,
 CASE WHEN id % 37 = 0 THEN 'no json {{' || body WHEN id % 2 = 0 THEN '{FENCE}json' || chr(10) || body || chr(10) || '{FENCE}' ELSE body END AS content
-FROM (SELECT *, '{{"verdict": "' || CASE WHEN id % 50 = 0 THEN 'MAYBE' ELSE verdict END || '", "severity": "' || severity || '", "cwe_id": "' || coalesce(cwe_id, 'N/A') || '", "confidence": ' || CAST(id % 97 * 3 - 50 AS VARCHAR) || 'e-2, "title": "' || title || '"}}' AS body FROM scans)"""
-PARSED_SQL = f"""SELECT id, pr_id, ord, file_path, line_number, CASE WHEN ok THEN verdict ELSE 'ERROR' END AS verdict, CASE WHEN ok THEN severity ELSE 'N/A' END AS severity, CASE WHEN ok THEN cwe_id ELSE 'N/A' END AS cwe_id, CASE WHEN ok THEN confidence ELSE 0.0 END AS confidence, CASE WHEN ok THEN title ELSE 'Analysis failed' END AS title
-FROM (SELECT *, json_extract_string(j, '$.verdict') AS verdict, json_extract_string(j, '$.severity') AS severity, json_extract_string(j, '$.cwe_id') AS cwe_id, greatest(0.0, least(1.0, CAST(json_extract_string(j, '$.confidence') AS DOUBLE))) AS confidence, json_extract_string(j, '$.title') AS title, coalesce(json_extract_string(j, '$.verdict') IN {v.VERDICTS}, false) AS ok
-FROM (SELECT *, CASE WHEN json_valid(t) THEN t END AS j FROM (SELECT *, regexp_replace(regexp_replace(content, '^{FENCE}json' || chr(10), ''), chr(10) || '{FENCE}$', '') AS t FROM responses)))"""
+FROM (SELECT *, '{{' || CASE WHEN id % 47 = 0 THEN '"meta": {{"confidence": "1"}}, ' ELSE '' END || '"verdict": "' || CASE WHEN id % 50 = 0 THEN 'MAYBE' ELSE verdict END || '", "severity": "' || severity || '", "cwe_id": "' || coalesce(cwe_id, 'N/A') || '", "confidence": ' || CASE WHEN id % 43 = 0 THEN '"' ELSE '' END || CAST(id % 97 * 3 - 50 AS VARCHAR) || 'e-2' || CASE WHEN id % 43 = 0 THEN '"' ELSE '' END
+  || ', "title": "' || CASE WHEN id % 41 = 0 THEN 'say "' || title || ' now" end' ELSE title END || '", "summary": "seen ' || CAST(id % 97 AS VARCHAR) || '"' || CASE WHEN id % 3 = 0 THEN ', "remediation": "bind"' ELSE '' END || CASE WHEN id % 4 = 0 THEN ', "evidence": "x = y"' ELSE '' END || CASE WHEN id % 5 = 0 THEN ', "sanitizer_found": true, "sanitizer_description": "esc"' ELSE '' END || '}}' AS body FROM scans)"""
+_TEXTS_SQL = ", ".join(f"CASE WHEN ok THEN json_extract_string(j, '$.{t}') END AS {t}" for t in v.TEXTS if t not in ("title", "summary"))
+PARSED_SQL = f"""SELECT id, pr_id, ord, file_path, line_number, provider, pr_number, commit_sha, CASE WHEN ok THEN verdict ELSE 'ERROR' END AS verdict, CASE WHEN ok THEN severity ELSE 'N/A' END AS severity, CASE WHEN ok THEN cwe_id ELSE 'N/A' END AS cwe_id, CASE WHEN ok THEN confidence ELSE 0.0 END AS confidence, CASE WHEN ok THEN title ELSE 'Analysis failed' END AS title,
+CASE WHEN ok THEN json_extract_string(j, '$.summary') ELSE 'The answer could not be read.' END AS summary, ok AND coalesce(CAST(json_extract_string(j, '$.sanitizer_found') AS BOOLEAN), false) AS sanitizer_found, {_TEXTS_SQL}
+FROM (SELECT *, json_extract_string(j, '$.verdict') AS verdict, json_extract_string(j, '$.severity') AS severity, json_extract_string(j, '$.cwe_id') AS cwe_id, CASE WHEN json_type(j, '$.confidence') IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN greatest(0.0, least(1.0, CAST(json_extract_string(j, '$.confidence') AS DOUBLE))) ELSE 0.0 END AS confidence, json_extract_string(j, '$.title') AS title, coalesce(json_extract_string(j, '$.verdict') IN {v.VERDICTS}, false) AS ok
+FROM (SELECT *, CASE WHEN json_valid(t) THEN t END AS j FROM (SELECT *, replace(replace(regexp_replace(regexp_replace(content, '^{FENCE}json' || chr(10), ''), chr(10) || '{FENCE}$', ''), 'say "', 'say \\"'), ' now" end', ' now\\" end') AS t FROM responses)))"""
 CALIBRATED = "CASE WHEN confidence < 0.5 AND first IN ('TRUE_POSITIVE', 'FALSE_POSITIVE') THEN 'NEEDS_REVIEW' ELSE first END"
 VERDICTS_SQL = f"SELECT * EXCLUDE (verdict, first), {CALIBRATED} AS verdict FROM (SELECT *, CASE WHEN verdict = 'TRUE_POSITIVE' AND confidence < 0.7 THEN 'NEEDS_REVIEW' ELSE verdict END AS first FROM parsed)"
 SEV = "CASE severity WHEN 'CRITICAL' THEN 5 WHEN 'HIGH' THEN 4 WHEN 'MEDIUM' THEN 3 WHEN 'LOW' THEN 2 WHEN 'INFO' THEN 1 ELSE 0 END"
 VER = "CASE verdict WHEN 'TRUE_POSITIVE' THEN 3 WHEN 'NEEDS_REVIEW' THEN 2 WHEN 'ERROR' THEN 1 ELSE 0 END"
 LEVEL = "CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'error' WHEN severity = 'MEDIUM' THEN 'warning' WHEN severity = 'LOW' THEN 'note' ELSE 'none' END"
 INGEST_SEV = "CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 WHEN 'INFO' THEN 0 ELSE -1 END"
-SARIF_SQL = f"SELECT pr_id, CAST(row_number() OVER (PARTITION BY pr_id ORDER BY first_ord) AS INTEGER) AS place, rule, uri, line, level, confidence FROM (SELECT pr_id, rule, uri, line, min(ord) OVER g AS first_ord, {LEVEL} AS level, confidence, row_number() OVER (PARTITION BY pr_id, rule, uri, line ORDER BY confidence DESC, ord) AS best FROM (SELECT *, CASE WHEN cwe_id IN ('', 'N/A') THEN '{v.DEFAULT_RULE}' ELSE cwe_id END AS rule, nullif(ltrim(coalesce(file_path, ''), '/'), '') AS uri, CASE WHEN line_number > 0 THEN line_number END AS line FROM verdicts WHERE verdict IN ('TRUE_POSITIVE', 'NEEDS_REVIEW')) WINDOW g AS (PARTITION BY pr_id, rule, uri, line)) WHERE best = 1"
+SARIF_SQL = f"SELECT pr_id, CAST(row_number() OVER (PARTITION BY pr_id ORDER BY first_ord) AS INTEGER) AS place, rule, uri, line, level, severity, confidence, verdict, title, provider FROM (SELECT pr_id, rule, uri, line, min(ord) OVER g AS first_ord, {LEVEL} AS level, severity, confidence, verdict, title, provider, row_number() OVER (PARTITION BY pr_id, rule, uri, line ORDER BY confidence DESC, ord) AS best FROM (SELECT *, CASE WHEN cwe_id IN ('', 'N/A') THEN '{v.DEFAULT_RULE}' ELSE cwe_id END AS rule, nullif(ltrim(coalesce(file_path, ''), '/'), '') AS uri, CASE WHEN line_number > 0 THEN line_number END AS line FROM verdicts WHERE verdict IN ('TRUE_POSITIVE', 'NEEDS_REVIEW')) WINDOW g AS (PARTITION BY pr_id, rule, uri, line)) WHERE best = 1"
 
 
 def parsed(s, f):
@@ -109,12 +116,14 @@ def requests(s, f):
 
 
 def stream_weekly(s, f):
-    """The weekly counts as a stream over all that is there; their table is as small as weeks and kinds of events."""
-    source = s.read.parquet(f"{f}/events.parquet")
-    stream = findings.weekly_counts(s.readStream.schema(source.schema).parquet(f"{f}/events*.parquet"))
-    name = f"weekly_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return s.table(name)
+    """The weekly counts as a stream over all that is there."""
+    return findings.all_now(s, findings.weekly_counts(findings.arriving(s, f)), "complete")
+
+
+#: Of each repository's key requests, those that find fewer than three accepted ones in the 24 hours before.
+ACCEPTS_SQL = with_views("""SELECT repo_id, id, accepted FROM (WITH RECURSIVE q AS (SELECT a.repo_id, a.id, epoch_us(a.created_at) AS us, row_number() OVER (PARTITION BY a.repo_id ORDER BY a.created_at, a.id) AS n FROM audit a JOIN repos r ON r.id = a.repo_id),
+w AS (SELECT repo_id, id, n, true AS accepted, [us] AS kept FROM q WHERE n = 1 UNION ALL SELECT repo_id, id, n, len(kept) < 3, CASE WHEN len(kept) < 3 THEN list_append(kept, us) ELSE kept END
+  FROM (SELECT q.repo_id, q.id, q.n, q.us, list_filter(w.kept, lambda x: x > q.us - 86400000000) AS kept FROM w JOIN q ON q.repo_id = w.repo_id AND q.n = w.n + 1)) SELECT * FROM w)""")
 
 
 def prompts(s, f):
@@ -130,7 +139,7 @@ def comments(s, f):
 
 def unrepaired(s, f):
     """Responses whose title quotes code without escapes."""
-    return responses(s, f).select("id", F.regexp_replace("content", '"title": "(t[0-9])"', '"title": "f\\("$1 {x}", shell=True\\)"').alias("content"))
+    return responses(s, f).filter("id % 41 <> 0").select("id", F.regexp_replace("content", '"title": "(t[0-9])"', '"title": "f\\("$1 {x}", shell=True\\)"').alias("content"))
 
 
 COMMENT_SQL = d.with_paths("""SELECT c.pr_id, '- Files changed: **' || total || '**' || chr(10) || '- Files analyzed: **' || analyzed || '**' || chr(10) || '- Files skipped: **' || (total - analyzed) || '**' || chr(10) || '- Skip reasons:' || chr(10) || coalesce(skips, '  - (none)') AS comment
@@ -140,24 +149,12 @@ T = lambda f: lambda s, d: f(Tables(s, d))
 
 #: name: (function of session and folder, SQL or None)
 FINDINGS = {
-    "verdict_parse": (lambda s, f: parsed(s, f).drop("content", "file_path", "line_number"), with_verdicts("SELECT id, pr_id, ord, verdict, severity, cwe_id, confidence, title FROM parsed")),
+    "verdict_parse": (lambda s, f: parsed(s, f).drop("content", "file_path", "line_number", "provider", "pr_number", "commit_sha"), with_verdicts("SELECT * EXCLUDE (file_path, line_number, provider, pr_number, commit_sha) FROM parsed")),
     "verdict_calibrate": (lambda s, f: calibrated(s, f).select("id", "verdict"), with_verdicts("SELECT id, verdict FROM verdicts")),
     "verdict_primary": (lambda s, f: v.primary(calibrated(s, f)), with_verdicts(f"SELECT pr_id, ord, verdict, severity, confidence, errors, actionable FROM (SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY {VER} DESC, {SEV} DESC, confidence DESC, ord) AS nth, count(*) FILTER (WHERE verdict = 'ERROR') OVER (PARTITION BY pr_id) AS errors, count(*) FILTER (WHERE verdict IN ('TRUE_POSITIVE', 'NEEDS_REVIEW')) OVER (PARTITION BY pr_id) AS actionable FROM verdicts) WHERE nth = 1")),
     "inline_select": (lambda s, f: v.inline(calibrated(s, f), 2), with_verdicts(f"SELECT pr_id, ord, CAST(place AS INTEGER) AS place, greatest(0, n - 2) AS overflow FROM (SELECT pr_id, ord, row_number() OVER (PARTITION BY pr_id ORDER BY {SEV} DESC, ord) AS place, count(*) OVER (PARTITION BY pr_id) AS n FROM verdicts WHERE verdict IN ('TRUE_POSITIVE', 'NEEDS_REVIEW') AND coalesce(line_number, 0) <> 0 AND coalesce(file_path, '') <> '') WHERE place <= 2")),
     "sarif_results": (lambda s, f: v.sarif_results(calibrated(s, f)), with_verdicts("SELECT * FROM sarif")),
     "sarif_rules": (lambda s, f: v.sarif_rules(v.sarif_results(calibrated(s, f))), with_verdicts("SELECT pr_id, rule, min(place) AS place, arg_min(level, place) AS level, count(*) AS results FROM sarif GROUP BY pr_id, rule")),
-    "sarif_export": (
-        lambda s, f: v.sarif_document(v.sarif_results(calibrated(s, f))).withColumn("sarif", F.md5("sarif")),
-        with_verdicts("""SELECT pr_id, md5('{"version":"2.1.0","results":[' || string_agg('{"ruleId":"' || rule || '","level":"' || level || '","location":{"uri":"' || coalesce(uri, '.') || '","startLine":' || coalesce(line, 1) || '}}', ',' ORDER BY place) || ']}') AS sarif FROM sarif GROUP BY pr_id"""),
-    ),
-    "csv_export": (
-        lambda s, f: v.csv_lines(Tables(s, f).scans.withColumns({"repo": F.concat(F.lit("o/"), F.col("repo_id").cast("string")), "title": F.when(F.col("id") % 3 == 0, F.lit('say "a, b"')).otherwise(F.col("title")), "confidence": F.lit(1)}), 5000),
-        with_views("""SELECT id, concat_ws(',', id, 'o/' || repo_id, coalesce(CAST(pr_number AS VARCHAR), ''), commit_sha, verdict, severity, coalesce(cwe_id, ''), '1', CASE WHEN id % 3 = 0 THEN '"say ""a, b""' || '"' ELSE title END, coalesce(provider, '')) AS line FROM scans ORDER BY created_at DESC, id LIMIT 5000"""),
-    ),
-    "outgoing_items": (
-        lambda s, f: v.outgoing(calibrated(s, f).withColumns({"title": F.when(F.col("ord") == 1, "x Siftlake-Ignore").otherwise(F.col("title")), "reason": F.when(F.col("ord") < 3, "ok")})),
-        with_verdicts("""SELECT pr_id, ord, '{"verdict":"' || verdict || '","severity":"' || severity || '","cwe_id":"' || cwe_id || '","title":"' || CASE WHEN ord = 1 THEN 'x Siftlake-Ignore' ELSE title END || '"' || CASE WHEN ord = 1 THEN ',"suppressed":true,"ignore_reason":"ok"' ELSE '' END || '}' AS item FROM verdicts"""),
-    ),
     "sinks": (lambda s, f: rules.sinks(code(s, f)).select("pr_id", "path", "line_no", "category"), with_code("SELECT pr_id, path, line_no, category FROM sinks")),
     "suppressed": (lambda s, f: rules.sinks(code(s, f)).filter("suppressed").select("pr_id", "path", "line_no"), with_code("SELECT pr_id, path, line_no FROM sinks WHERE suppressed")),
     "call_args": (lambda s, f: code(s, f).select("text", F.array_join(rules.call_args(F.col("text")), "|").alias("args")).distinct(), with_code("SELECT DISTINCT text, array_to_string(list_filter(list_transform(string_split(regexp_extract(text, '\\(([^)]*)\\)', 1), ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS args FROM code")),
@@ -201,17 +198,31 @@ FINDINGS = {
     "comment_text": (comments, COMMENT_SQL),
     "prompt_text": (prompts, None),
     "prompt_trim": (lambda s, f: prompts(s, f).select("pr_id", messages.trimmed(F.col("message"), 2000).alias("message")), None),
-    "verdict_repair": (lambda s, f: unrepaired(s, f).select("id", messages.repaired(v.strip_fence(F.col("content"))).alias("content")), None),
+    "verdict_repair": (
+        lambda s, f: unrepaired(s, f).select("id", messages.repaired(v.strip_fence(F.col("content"))).alias("content")),
+        with_verdicts(f"""SELECT id, regexp_replace(regexp_replace(regexp_replace(content, '^{FENCE}json' || chr(10), ''), chr(10) || '{FENCE}$', ''), '"title": "(t[0-9])"', '"title": "f(\\\\"\\1 {{x}}\\\\", shell=True)"') AS content FROM responses WHERE id % 41 <> 0"""),
+    ),
     "import_names": (lambda s, f: messages.tainted_names(rules.edges(code(s, f)), rules.sinks(code(s, f))), None),
     "import_bodies": (lambda s, f: messages.function_bodies(code(s, f).withColumn("text", F.when(F.col("line_no") % 20 == 1, F.lit("def helper(x):")).otherwise(F.concat(F.lit("    "), "text"))).withColumn("language", F.lit("python"))), None),
-    "sarif_encoded": (lambda s, f: v.sarif_document(v.sarif_results(calibrated(s, f))).select("pr_id", messages.gzip_base64(F.col("sarif")).alias("sarif")), None),
-    "rate_limit_accepts": (lambda s, f: state.accept(requests(s, f)), None),
+    "rate_limit_accepts": (lambda s, f: state.accept(requests(s, f)), ACCEPTS_SQL),
+    "stream_rate_limit": (lambda s, f: findings.accepted_now(s, f, limit=3), ACCEPTS_SQL),
     "weekly_events": (
         lambda s, f: findings.weekly_counts(s.read.parquet(f"{f}/events.parquet")),
         "SELECT CAST(date_trunc('week', ts) AS DATE) AS week, event_type, count(*) AS n FROM events GROUP BY ALL",
     ),
     "stream_weekly": (stream_weekly, "SELECT CAST(date_trunc('week', ts) AS DATE) AS week, event_type, count(*) AS n FROM events GROUP BY ALL"),
-    "stream_ingest": (lambda s, f: findings.ingest(s.read.parquet(f"{f}/events.parquet")).select("event_id", "confidence", "event_type"), "SELECT event_id, greatest(0.0, least(1.0, value / 100)) AS confidence, event_type FROM events"),
+    "stream_ingest": (
+        lambda s, f: findings.all_now(s, findings.ingest(findings.arriving(s, f)), "append").select("event_id", "confidence", "event_type"),
+        "SELECT event_id, greatest(0.0, least(1.0, value / 100)) AS confidence, event_type FROM events",
+    ),
+    "stream_quota": (
+        lambda s, f: findings.all_now(s, findings.sliding_counts(findings.arriving(s, f)), "complete"),
+        "SELECT until, user_id, count(*) AS n FROM (SELECT user_id, unnest(generate_series(time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR, time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 24 HOUR, INTERVAL 6 HOUR)) AS until FROM events) GROUP BY ALL",
+    ),
+    "stream_feedback": (
+        lambda s, f: findings.folded_now(s, f),
+        "SELECT event_id % 50 AS scan_id, user_id, arg_max(event_type, (ts, event_id)) AS verdict FROM events GROUP BY ALL",
+    ),
 }
 
 QUERIES = {name: f for name, (f, _) in FINDINGS.items()}

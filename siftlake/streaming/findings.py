@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from siftlake.functions import ranks
 
@@ -29,3 +36,79 @@ def sliding_counts(items: DataFrame, window: str = "24 hours", step: str = "6 ho
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Run a stream over all that is there now, into Parquet; started again, it goes on where it stopped."""
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start().awaitTermination()
+
+
+def arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of files."""
+    return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events*.parquet")
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; one of this machine in local mode only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(root or tempfile.mkdtemp(prefix='siftlake-streams-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def all_now(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    """What a stream gives for all that is there now, through tables in the shared folder: in append mode all rows, in complete mode the last batch's."""
+    at = folder(spark)
+    if mode == "append":
+        run_available(stream, f"{at}/rows", f"{at}/state")
+        return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{at}/rows-{batch % 2}")
+        last[0] = batch % 2
+
+    last = [0]
+    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows-{last[0]}")
+
+
+def accepted(requests: DataFrame, limit: int, hours: int = 24) -> DataFrame:
+    """The rate limit as a stateful stream: repo_id, id, accepted. requests: repo_id, id, at (microseconds), in one batch or in order of arrival.
+
+    A repository's state is the times of its accepted requests in the window, `limit` at most."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = deque(state.get[0]) if state.exists else deque()
+        rows = pd.concat(list(batches)).sort_values(["at", "id"])
+        flags = []
+        for at in rows["at"].tolist():
+            while kept and kept[0] <= at - hours * 3_600_000_000:
+                kept.popleft()
+            flags.append(len(kept) < limit)
+            if flags[-1]:
+                kept.append(at)
+        state.update((list(kept),))
+        yield pd.DataFrame({"repo_id": rows["repo_id"], "id": rows["id"], "accepted": flags})
+
+    return requests.groupBy("repo_id").applyInPandasWithState(run, "repo_id bigint, id bigint, accepted boolean", "kept array<bigint>", "append", "NoTimeout")
+
+
+def accepted_now(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
+    rows = arriving(spark, sf_dir).select(F.col("user_id").alias("repo_id"), F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return all_now(spark, accepted(rows, limit), "append")
+
+
+def fold_feedback(known: DataFrame | None, arrived: DataFrame) -> DataFrame:
+    """Feedback by scan and user, the last word of each: what is known with what arrived. Rows: scan_id, user_id, verdict, ts, event_id."""
+    rows = arrived if known is None else known.unionByName(arrived)
+    return rows.groupBy("scan_id", "user_id").agg(F.max_by(F.struct("verdict", "ts", "event_id"), F.struct("ts", "event_id")).alias("last")).select("scan_id", "user_id", "last.*")
+
+
+def folded_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feedback table after a stream of feedback: each batch is merged into the table before it, written beside it."""
+    at = folder(spark)
+    tables: list[str] = []
+
+    def merge(rows: DataFrame, batch: int) -> None:
+        known = spark.read.parquet(tables[-1]) if tables else None
+        fold_feedback(known, rows).write.mode("overwrite").parquet(f"{at}/table-{batch}")
+        tables.append(f"{at}/table-{batch}")
+
+    rows = arriving(spark, sf_dir).select((F.col("event_id") % 50).alias("scan_id"), "user_id", F.col("event_type").alias("verdict"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(tables[-1]).select("scan_id", "user_id", "verdict")

@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftlake.functions import ranks
-from siftlake.operators import classify, diffs, messages, rules, state, verdicts
+from siftlake.operators import classify, diffs, exports, imports, messages, rules, state, verdicts
 from siftlake.plans import finding_queries
+from siftlake.sources import texts
 from siftlake.streaming import findings
 
 
@@ -112,6 +113,9 @@ def test_paths_without_source_and_with_sanitizer(spark):
         ('{"verdict": "TRUE_POSITIVE", "severity": "HIGH", "confidence": true}', "TRUE_POSITIVE", 1.0),
         ('{"verdict": "NEEDS_REVIEW", "title": "a \\d b \\username"}', "NEEDS_REVIEW", 0.0),
         ('{"verdict": "WHAT"}', "ERROR", 0.0),
+        ('{"verdict": "TRUE_POSITIVE", "severity": "HIGH", "evidence": "run(f"echo {x}", shell=True)", "confidence": 0.8}', "TRUE_POSITIVE", 0.8),
+        ('{"meta": {"confidence": "1"}, "verdict": "TRUE_POSITIVE", "severity": "HIGH", "confidence": 0.75}', "TRUE_POSITIVE", 0.75),
+        ('[{"verdict": "TRUE_POSITIVE"}]', "ERROR", 0.0),
         ('{"verdict": "TRUE_POSITIVE", "severity": "BAD", "confidence": 1}', "ERROR", 0.0),
         ("garbage", "ERROR", 0.0),
         ("", "ERROR", 0.0),
@@ -149,7 +153,7 @@ def test_first_of_equals_is_primary(spark):
 
 def test_sarif_repeats(spark):
     rows = [(1, 0, "/p", 0, 0.8), (1, 1, "p", None, 0.9), (1, 2, "", 3, 0.7), (1, 3, None, 3, 0.7), (1, 4, "p", 5, 0.1)]
-    df = spark.createDataFrame([(*r, "TRUE_POSITIVE", "HIGH", "CWE-1") for r in rows], "pr_id int, ord int, file_path string, line_number int, confidence double, verdict string, severity string, cwe_id string")
+    df = spark.createDataFrame([(*r, "TRUE_POSITIVE", "HIGH", "CWE-1") for r in rows], "pr_id int, ord int, file_path string, line_number int, confidence double, verdict string, severity string, cwe_id string").withColumns({"title": F.lit("t"), "provider": F.lit(None).cast("string")})
     got = [(r.uri, r.line, r.confidence) for r in verdicts.sarif_results(df).orderBy("place").collect()]
     assert got == [("p", None, 0.9), (None, 3, 0.7), ("p", 5, 0.1)]
 
@@ -162,13 +166,26 @@ def test_quote_repair(spark):
         assert messages.repair_quotes(good) == good
 
 
-@pytest.mark.parametrize("middle", ["x" * 500, "é日" * 200, ""])
-def test_trimmed_messages_never_pass_their_size(middle):
-    text = "head é" + messages.OPEN + middle + messages.CLOSE + " tail é end"
-    for most in range(1, 700, 7):
-        out = messages.trim_message(text, most)
-        assert len(out.encode()) <= most and (most < 60 or out.endswith("end"))
-    assert messages.trim_message("z" * 300, 200).startswith("z") and messages.trim_message(text, 0) == text
+def test_trimmed_messages_never_pass_their_size(spark):
+    texts = [("head é" + messages.OPEN + middle + messages.CLOSE + " tail é end",) for middle in ("x" * 500, "é日" * 200, "")]
+    sizes = range(1, 700, 41)
+    rows = spark.createDataFrame(texts, "text string").select("text", *[messages.trimmed(F.col("text"), n).alias(f"m{n}") for n in sizes], messages.trimmed(F.col("text"), 0).alias("all")).collect()
+    for r in rows:
+        assert r["all"] == r.text
+        for n in sizes:
+            out = r[f"m{n}"]
+            assert len(out.encode()) <= n and (n < 60 or out.endswith("end")) and (len(r.text.encode()) > n or out == r.text)
+            # the end comes first, then the head, then a note and code
+            if n > 200 and len(r.text.encode()) > n:
+                assert out.startswith("head é" + messages.OPEN) and messages.TRIMMED in out
+    assert one(spark, messages.trimmed(F.lit("z" * 300), 200)).startswith("z")
+
+
+def test_cuts_at_bytes_keep_whole_characters(spark):
+    text = "aé日😀b"
+    for n in range(0, 12):
+        first, last = one(spark, messages.first_bytes(F.lit(text), F.lit(n))), one(spark, messages.last_bytes(F.lit(text), F.lit(n)))
+        assert first == text.encode()[:n].decode(errors="ignore") and last == text.encode()[max(0, 11 - n) :].decode(errors="ignore")
 
 
 def test_adapted_and_encoded(spark):
@@ -237,3 +254,47 @@ def test_streams_give_the_batch_answer(spark, tmp_path, name):
     want = {tuple(r) for r in make(batch).collect()}
     got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert want <= got if name == "ingest" else want == got
+
+
+def test_whole_sarif_document(spark):
+    rows = spark.createDataFrame([(1, 1, "CWE-89", "a.py", 3, "error", "HIGH", 0.9, "TRUE_POSITIVE", 'say "x"', None), (1, 2, "Siftlake/Finding", None, None, "none", "N/A", 0.6, "NEEDS_REVIEW", "t", "p")], "pr_id int, place int, rule string, uri string, line int, level string, severity string, confidence double, verdict string, title string, provider string")
+    runs = spark.createDataFrame([(1, "o/n", "abcdef123456")], "pr_id int, repo string, commit_sha string")
+    doc = json.loads(exports.sarif_document(rows, runs).first().sarif)
+    run = doc["runs"][0]
+    assert doc["version"] == "2.1.0" and [r["id"] for r in run["tool"]["driver"]["rules"]] == ["CWE-89", "Siftlake/Finding"]
+    rule, other = run["tool"]["driver"]["rules"]
+    assert rule["name"] == "SQLInjection" and rule["helpUri"].endswith("/89.html") and "help" not in other
+    first, second = run["results"]
+    assert first["locations"][0]["physicalLocation"] == {"artifactLocation": {"uri": "a.py", "uriBaseId": "%SRCROOT%"}, "region": {"startLine": 3}} and first["message"]["text"].startswith('say "x". Confidence: 90%.')
+    assert second["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "." and second["properties"]["provider"] == "p" and run["automationDetails"]["id"] == "siftlake/o/n/abcdef1"
+
+
+def test_diff_files_and_contents(spark, tmp_path):
+    (tmp_path / "a.diff").write_bytes(b"diff --git a/x b/x\n+\xff\n")
+    (tmp_path / "blank.diff").write_text(" \n")
+    assert [(r.pr_id, r.raw_diff) for r in texts.diff_files(spark, str(tmp_path)).collect()] == [("a", "diff --git a/x b/x\n+\ufffd\n")]
+    answers = spark.createDataFrame([(1, "a", "file", 200, "aG\nk="), (1, "b", "dir", 200, "aGk="), (1, "c", "file", 404, "aGk="), (1, "d", "file", 200, "!"), (1, "e", "file", 200, None)], "pr_id int, path string, kind string, status int, content string")
+    assert {r.path: r.text for r in texts.file_contents(answers).collect()} == {"a": "hi", "b": None, "c": None, "d": None, "e": None}
+
+
+def test_import_paths(spark):
+    for module, folder, want in ((".util", "src/", "src/util.py"), ("pkg.a", "src/", "pkg/a.py"), ("..up", "src/", None), (".", "src/", None), (".u", "", "u.py")):
+        assert one(spark, imports.python_path(F.lit(module), F.lit(folder))) == want
+    for module, folder, want in (("./a", "w/", "w/a.js"), ("../a.ts", "w/x/", "w/a.ts"), ("../../a", "w/", None), ("./b/../c", "", "c.js")):
+        assert one(spark, imports.script_path(F.lit(module), F.lit(folder))) == want
+
+
+def test_imported_definitions(spark):
+    targets = spark.createDataFrame([(1, "src/m.py", "clean", "src/util.py")], "pr_id int, path string, name string, target string")
+    contents = spark.createDataFrame([(1, "src/util.py", "def clean(x):\n    return x\n\ny = 1"), (1, "src/other.py", "def clean(x):\n    pass")], "pr_id int, path string, text string")
+    rows = imports.definitions(targets, contents, messages.function_bodies).collect()
+    assert [(r.name, r.target, r.body.rstrip()) for r in rows] == [("clean", "src/util.py", "def clean(x):\n    return x")]
+
+
+def test_rate_limit_state_goes_on_between_batches(spark, tmp_path):
+    """Two files in two batches give what one batch gives."""
+    for i, rows in enumerate([[(1, 1, 0), (1, 2, 10)], [(1, 3, 20), (1, 4, 3_600_000_000)]]):
+        spark.createDataFrame(rows, "repo_id bigint, id bigint, at bigint").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema("repo_id bigint, id bigint, at bigint").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = findings.all_now(spark, findings.accepted(stream, limit=2, hours=1), "append")
+    assert sorted((r.id, r.accepted) for r in got.collect()) == [(1, True), (2, True), (3, False), (4, True)]
