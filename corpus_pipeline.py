@@ -1,4 +1,7 @@
-"""Documents to training tokens: quality, near-duplicates, secrets, mixing, byte-level BPE."""
+"""Documents to training tokens: quality, near-duplicates, secrets, mixing, byte-level BPE.
+
+Every stage takes rows with the five columns of documents, ignores further ones, and returns these five (the last stage: tokens). Ids, languages and sources may be null
+or repeat: a row is a document. Empty tables give empty tables. Null and empty texts: the quality stage drops them, as they have no line; the other stages keep them."""
 
 from __future__ import annotations
 
@@ -12,7 +15,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line classifier accepts (score of 0.3 or more)."""
+    """Documents that the line classifier accepts (score of 0.3 or more); texts without a line score 0 and go. Repeated rows are judged alike."""
     from siftlake.llm import quality_crf
     from siftlake.llm.common import table
 
@@ -45,7 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mask every secret inside its text; all documents stay."""
+    """Mask every secret inside its text; all documents stay, null texts as null with a length of 0."""
     from siftlake.llm import secret_scan
 
     clean = secret_scan.redact(docs.select(*COLUMNS))
@@ -53,7 +56,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that source, language and topic have their target shares; nine tenths of all tokens stay, and documents that must rise are repeated."""
+    """Documents sampled so that source, language and topic have their target shares; nine tenths of all tokens stay, and documents that must rise are repeated. Rows of one id share their draw; documents without tokens weigh nothing and are drawn like the rest of their cell."""
     from siftlake.llm import raking
 
     sample = raking.mix(docs.select(*COLUMNS), keep=0.9).filter("_mix_kept")
@@ -61,7 +64,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left."""
+    """Token ids of every document that is left; none for null and empty texts."""
     import public_tokenizers
 
     from siftlake.llm import byte_bpe
