@@ -71,7 +71,7 @@ def model_proto(tokens: list[bytes]) -> bytes:
 
 
 class Codec:
-    """Encoder and decoder for one vocabulary; made once in each Python worker."""
+    """Encoder and decoder for one vocabulary."""
 
     def __init__(self, tokens: list[bytes], pattern: str):
         import regex
@@ -112,6 +112,16 @@ class Codec:
         return b"".join([self.tokens[i] for i in ids])
 
 
+#: Codecs of this Python worker by vocabulary and pattern: the model is built once for all of its tasks.
+_CODECS: dict[tuple[str, str], Codec] = {}
+
+
+def codec_of(vocabulary: str, pattern: str, tokens: list[bytes]) -> Codec:
+    if (vocabulary, pattern) not in _CODECS:
+        _CODECS[vocabulary, pattern] = Codec(tokens, pattern)
+    return _CODECS[vocabulary, pattern]
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", batch_rows: int = 256) -> DataFrame:
     """Encode every whole text and decode the ids again.
 
@@ -122,7 +132,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(tokens, pattern)
+        codec = codec_of(vocabulary, pattern, tokens)
         for batch in batches:
             for start in range(0, batch.num_rows, batch_rows):
                 part = batch.slice(start, batch_rows)
@@ -144,7 +154,7 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(tokens, pattern)
+        codec = codec_of(vocabulary, pattern, tokens)
         for batch in batches:
             n, a, b = [], [], []
             for ids in codec.encode_batch([t or "" for t in batch.column(1).to_pylist()]):
