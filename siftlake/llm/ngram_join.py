@@ -32,7 +32,7 @@ from .common import stash, words
 
 MEMORY = 400_000
 #: Most frequent shingles that are ordered last; they travel as one array of 8 bytes each.
-HEAVY = 2_000_000
+HEAVY = 500_000
 HEAVY_FROM = 16
 PIVOTS = 3
 #: Nodes of a key that one tile holds at most on each side.
@@ -246,17 +246,18 @@ def spread_keys(postings: DataFrame, parts: DataFrame, tile: int = TILE) -> Data
     A key of up to `tile` nodes is one tile (side 2). The nodes of a larger one are cut by a hash into tiles of that size (side 0), and its nodes outside its
     largest component, of which every pair across components has one, meet each of these tiles (side 1), in tiles of their own if they are many."""
     rows = postings.join(parts, "node", "left").select("key", "node", "n", F.coalesce("part", "node").alias("part"))
-    sizes = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size"))
-    sizes = sizes.groupBy("key").agg(F.sum("size").alias("all"), F.max(F.struct("size", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    sizes = sizes.select("key", F.ceil(F.col("all") / tile).cast("int").alias("cut"), F.ceil((F.col("all") - F.col("most.size")) / tile).cast("int").alias("cut_few"), F.col("most.part").alias("most"))
-    rows = rows.join(sizes, "key")
-    number = lambda x, n: F.pmod(F.xxhash64(F.lit(7), "node"), n).cast("int") if x else F.explode(F.sequence(F.lit(0), n - 1))
-    hot = rows.filter("cut > 1")
-    every = hot.withColumns({"i": number(True, F.col("cut")), "side": F.lit(0)}).withColumn("j", number(False, F.col("cut_few")))
-    few = hot.filter("part <> most").withColumns({"j": number(True, F.col("cut_few")), "side": F.lit(1)}).withColumn("i", number(False, F.col("cut")))
-    small = rows.filter("cut = 1").withColumns({"i": F.lit(0), "j": F.lit(0), "side": F.lit(2)})
-    columns = [F.xxhash64("key", "i", "j").alias("key"), "side", "node", "n", "part"]
-    return small.select(*columns).unionAll(every.select(*columns)).unionAll(few.select(*columns))
+    mixed = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("all")).filter("low <> high").select("key", "all")
+    rows = rows.join(mixed, "key")
+    # only the few keys of more nodes than a tile are counted by component
+    hot = rows.filter(F.col("all") > tile).groupBy("key", "part", "all").agg(F.count(F.lit(1)).alias("size")).groupBy("key", "all").agg(F.max(F.struct("size", "part")).alias("most"))
+    hot = hot.select("key", F.ceil(F.col("all") / tile).cast("int").alias("cut"), F.ceil((F.col("all") - F.col("most.size")) / tile).cast("int").alias("few"), F.col("most.part").alias("most"))
+    rows = rows.join(hot, "key", "left")
+    own = lambda n: F.pmod(F.xxhash64(F.lit(7), "node"), n).cast("int")
+    spot = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    row = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda j: spot(own(F.col("cut")), j, 0))
+    column = F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda i: spot(i, own(F.col("few")), 1))
+    spots = F.when(F.col("cut").isNull(), F.array(spot(F.lit(0), F.lit(0), 2))).when(F.col("part") == F.col("most"), row).otherwise(F.concat(row, column))
+    return rows.withColumn("at", F.explode(spots)).select(F.xxhash64("key", "at.i", "at.j").alias("key"), F.col("at.side").alias("side"), "node", "n", "part")
 
 
 def _near(tile: list[tuple[np.ndarray, ...]], n: int, part: int, side: int, bits: np.ndarray, percent: int) -> Iterator[int]:

@@ -6,7 +6,7 @@ on the likelihood of lines that carry their document's label; a document's score
 lines being good, from forward-backward sums, weighted by line length.
 
 Only the text enters a score. The fit may use at most `max_train` labelled documents (those with the smallest md5 of
-their id), a bound that keeps the driver's share fixed; scoring covers every whole text.
+their id, one text for each id: the smallest) and `max_lines` lines (a document whose lines no longer fit is passed over), bounds that keep the driver's share fixed; scoring covers every whole text.
 
 Null and empty texts (and texts of white space alone) have no lines and score 0. Repeated rows and null ids give a
 row each. Labels that are null, have no document or are not 0 or 1 are left out; a document with several labels takes the
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of
+from .common import fold_of, stash
 
 BAD, GOOD = 0, 1
 #: Character classes by byte: lower, upper, digit, space, line feed, sentence marks, bar, brackets and quotes, symbols, control, UTF-8 beyond ASCII.
@@ -169,13 +169,22 @@ def train(features: np.ndarray, lines: np.ndarray, labels: np.ndarray, steps: in
     return Model(w, tr, mean, scale)
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, max_train: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on labelled rows whose fold (crc32 of the id as text, modulo 5) is not `held_out`; at most `max_train` of them."""
+def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, max_train: int = 4000, max_lines: int = 400_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """Fit on labelled rows whose fold (crc32 of the id as text, modulo 5) is not `held_out`; at most `max_train` of them, with at most `max_lines` lines."""
     chosen = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold_of(F.col(id_col)) != held_out))
     chosen = chosen.groupBy(F.col(id_col).alias("key")).agg(F.min(label_col).alias("label"))
     chosen = chosen.orderBy(F.md5(F.col("key").cast("string").cast("binary")), "key").limit(max_train)
     # at most max_train keys
-    rows = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "key").select("key", "text", F.col("label").cast("int"))
+    rows = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "key").groupBy("key").agg(F.min("text").alias("text"), F.min("label").cast("int").alias("label"))
+    rows = stash(rows)
+    fit_in, used = [], 0
+    sizes = rows.select("key", F.md5(F.col("key").cast("string").cast("binary")).alias("md5"), F.size(F.split("text", "\n")).alias("lines"))
+    for r in sorted(sizes.collect(), key=lambda r: (r["md5"], r["key"])):  # max_train rows at most
+        if used + r["lines"] <= max_lines:
+            fit_in.append(r["key"])
+            used += r["lines"]
+    if len(fit_in) < max_train:
+        rows = rows.filter(F.col("key").isin(fit_in))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

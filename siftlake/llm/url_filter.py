@@ -148,7 +148,12 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_co
     # one row of one number
     any_share = anywhere.join(F.broadcast(total)).withColumn("any_share", (F.col("k_any") + strength * F.col("prior")) / (F.col("n_any") + strength)).select("template", "any_share")
     shares = of_host.join(any_share, "template").select("host", "template", ((F.col("k_host") + strength * F.col("any_share")) / (F.col("n_host") + strength)).alias("blocked_share"))
-    lookup = tree.select("host", "segs", "template").join(shares, ["host", "template"])
-    out = urls.join(lookup, ["host", "segs"], "left")
+    lookup = tree.select("host", "segs", "template", "n").join(shares, ["host", "template"])
+    # paths with a thousandth of all rows or more, a thousand at most (all urls without a host among them), spread over several tasks
+    rows = tree.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = tree.filter(F.col("n") * 1000 >= rows).select("host", "segs", F.lit(True).alias("hot"))
+    urls = urls.join(F.broadcast(often), ["host", "segs"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).otherwise(0))
+    lookup = lookup.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") * 1000 >= rows, SALTS - 1).otherwise(0)))).drop("n")
+    out = urls.join(lookup, ["host", "segs", "salt"], "left")
     method = F.when(F.col("blocked_share") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
     return out.select(id_col, "host", "path", "rule", "template", F.round("blocked_share", 6).alias("blocked_share"), F.coalesce("by_rule", method).alias("verdict"))

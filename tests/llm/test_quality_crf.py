@@ -63,3 +63,30 @@ def test_odd_rows(spark, odd, none):
         only = Q.fit(odd, spark.createDataFrame([(1, value), (9, value)], "doc_id bigint, quality int"))
         assert {r.score for r in Q.score(odd, only).collect() if r.doc_id not in (2, 3, 4)} == {float(value)}
     assert {r.score for r in Q.score(odd, Q.fit(none, labels)).collect()} == {0.0, 0.5}
+
+
+def test_the_fit_is_bounded_in_lines_and_rows(spark):
+    """One row for each id, and documents that still fit `max_lines`."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    whole = Q.fit(docs, labels)
+    assert np.array_equal(whole.weights, Q.fit(docs.union(docs), labels).weights)
+    few = Q.fit(docs, labels, max_lines=60)
+    assert not np.array_equal(whole.weights, few.weights) and Q.score(docs, few).count() == docs.count()
+
+
+def test_wrapper_columns_and_the_aggregate(spark):
+    """A document's score is the length-weighted mean of its lines' marginals, and the query adds fold and decision."""
+    from siftlake.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    model = Q.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    for r in queries.op4_quality_crf(spark, sf).collect():
+        features, length, lines = Q.line_features([docs[r.doc_id].encode()])
+        want = 0.0
+        if len(features):
+            unary = np.zeros((len(features), 2))
+            unary[:, Q.GOOD] = ((features - model.mean) / model.scale) @ model.weights
+            good = Q.marginals(unary, model.transition, lines)[0][:, Q.GOOD]
+            want = (good * length).sum() / length.sum()
+        assert abs(r.score - want) < 1e-6 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
