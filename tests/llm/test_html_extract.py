@@ -177,18 +177,11 @@ def test_whole_query_against_brute_force(spark, names):
     want = dict(zip((r[0] for r in rows), brute(rows, names), strict=True))
     for how in ({}, {"broadcast": 0}):
         assert {r.page_id: r.text for r in H.extract(pages, names=names, **how).collect()} == want
+    # with nothing declared, the runs alone find all menus, adverts and footers, and leave articles alone
+    assert want == {i: article(h) for i, _, h in rows}
     if names:
         got = queries.op3_html_extract(spark, "/root/testdata/sf0.01").collect()
         assert {r.page_id: (r.text, r.n_chars) for r in got} == {i: (t, len(t)) for i, t in want.items()}
-        assert want == {i: article(h) for i, _, h in rows}
-        return
-    # nothing declared: the runs alone find the menus, adverts and footers, and leave articles alone
-    kept, gone = [], []
-    for i, _, h in rows:
-        rest = " ".join(re.sub("<[^>]+>", " ", re.sub(r"(?s)<head>.*</head>|<article>.*</article>", " ", h)).split())
-        kept.append(len(set(want[i].split()) & set(article(h).split())) / len(set(article(h).split())))
-        gone.append(1 - len([t for t in want[i].split()[: -len(article(h).split()) or None]]) / len(rest.split()))
-    assert np.mean(kept) > 0.98 and np.mean(gone) > 0.85, (np.mean(kept), np.mean(gone))
 
 
 def article(page):
