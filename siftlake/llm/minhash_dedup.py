@@ -9,8 +9,9 @@ as the posterior chance that it reaches the wanted similarity is below `miss`. A
 that survives is confirmed on the full sets, made again from both texts.
 
 Large groups of near copies never expand into all pairs. First every node meets, of the most central nodes of its bands (those that share bands with most others),
-the best two; then only nodes that are in different components meet, band by band, in tiles of bounded size which compare the first batches (a band of many nodes is cut
-into tiles by ngram_join.spread_keys). Of the pairs between two components the one with most equal bytes is confirmed first, then those whose components are still apart.
+the best two, and pairs that survive are confirmed. Then only nodes in different components meet, band by band, in tiles of bounded size (a band of many nodes is cut
+into tiles by ngram_join.spread_keys), and each pair only in the first band that it shares. A tile gives no pairs but the nodes that have a partner left; their full
+sets come into the same tiles, which give one confirmed link for each two components. So near misses between a large group and its strays are compared where they meet and never listed.
 
 Null texts and texts without words have an empty set and link with nothing. Repeated rows share a node. Null ids give a row each and count in no component's smallest id; a component without any
 id has a null one. An empty table gives an empty table; extra columns are ignored. Hashes of 64 bits stand for shingles and sets.
@@ -33,10 +34,8 @@ BANDS, ROWS = 40, 6
 SIZE = BANDS * ROWS
 #: Bytes compared at a time.
 BATCH = 16
-#: Bytes that tiles compare.
-FIRST = 64
 #: Nodes of a band that one tile holds at most on each side.
-TILE = 4096
+TILE = 1024
 #: Central nodes that each node meets.
 PIVOTS = 2
 #: Pairs of one node that one task confirms.
@@ -69,16 +68,15 @@ def least_equal(percent: int, miss: float = MISS, size: int = SIZE) -> np.ndarra
     return np.array(out)
 
 
-def sequential(a: np.ndarray, b: np.ndarray, least: np.ndarray, start: int = 0, equal: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Places and equal bytes of the row pairs of two byte matrices that no batch rules out; `equal` counts those before `start`."""
-    alive = np.arange(len(a))
-    equal = np.zeros(len(a), dtype=np.int64) if equal is None else equal
-    for at in range(start, a.shape[1], BATCH):
+def sequential(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Places of the row pairs of two byte matrices that no batch rules out."""
+    alive, equal = np.arange(len(a)), np.zeros(len(a), dtype=np.int64)
+    for at in range(0, a.shape[1], BATCH):
         end = min(at + BATCH, a.shape[1])
         equal = equal + (a[alive, at:end] == b[alive, at:end]).sum(axis=1)
         keep = equal >= least[end]
         alive, equal = alive[keep], equal[keep]
-    return alive, equal
+    return alive
 
 
 def nodes_of(docs: DataFrame, width: int) -> DataFrame:
@@ -106,9 +104,9 @@ def nodes_of(docs: DataFrame, width: int) -> DataFrame:
 
 
 def bands_of(signs: DataFrame, percent: int) -> DataFrame:
-    """key, node, n, together: the bands that several nodes share. Sets so small that no other set is similar enough have none."""
+    """key, band, node, n, together: the bands that several nodes share. Sets so small that no other set is similar enough have none."""
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sign", i * ROWS + 1, ROWS)))
-    rows = signs.filter(100 * F.col("n") >= percent * (F.col("n") + 1)).select(F.explode(keys).alias("key"), "node", F.col("n").cast("int").alias("n"))
+    rows = signs.filter(100 * F.col("n") >= percent * (F.col("n") + 1)).select(F.posexplode(keys).alias("band", "key"), "node", F.col("n").cast("int").alias("n"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("together")).filter("together > 1")
     return rows.join(shared, "key")
 
@@ -122,7 +120,7 @@ def central_pairs(bands: DataFrame) -> DataFrame:
 
 
 def likely_pairs(pairs: DataFrame, signs: DataFrame, percent: int, miss: float) -> DataFrame:
-    """a, b, equal: the pairs (a, b) that the sequential comparison of whole signatures leaves, and their equal bytes."""
+    """The pairs (a, b) that the sequential comparison of their signatures leaves."""
     least = least_equal(percent, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,58 +128,91 @@ def likely_pairs(pairs: DataFrame, signs: DataFrame, percent: int, miss: float)
             n_a, n_b = batch.column(2).to_numpy(), batch.column(4).to_numpy()
             fits = batch.filter(pa.array(100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)))
             a, b = (np.frombuffer(b"".join(fits.column(c).to_pylist()), np.uint8).reshape(-1, SIZE) for c in (3, 5))
-            alive, equal = sequential(a, b, least)
-            yield pa.RecordBatch.from_arrays([fits.column(0).take(pa.array(alive)), fits.column(1).take(pa.array(alive)), pa.array(equal)], ["a", "b", "equal"])
+            alive = pa.array(sequential(a, b, least))
+            yield pa.RecordBatch.from_arrays([fits.column(0).take(alive), fits.column(1).take(alive)], ["a", "b"])
 
     sides = [signs.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sign").alias(f"sign_{x}")) for x in "ab"]
     rows = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "sign_a", "n_b", "sign_b")
-    return rows.mapInArrow(run, "a bigint, b bigint, equal bigint")
-
-
-def tile_pairs(tiles: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Pairs (a < b) of nodes in different components that meet in a tile (key, side, node, n, part, first) and that their first bytes do not rule out."""
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each tile of several nodes, from rows sorted by key. A tile is of bounded size and may go over several batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([*held, batch])
+        key = rows.column("key").to_numpy()
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b - a > 1:
+                yield rows.slice(a, b - a)
+        held = rows.slice(cuts[-1]).to_batches()
+    if sum(x.num_rows for x in held) > 1:
+        yield pa.Table.from_batches(held)
+
+
+def _partners(n: np.ndarray, part: np.ndarray, side: np.ndarray, i: int, percent: int) -> np.ndarray:
+    """Places before i, in order of size, of nodes in other components (and on the other side, where there are two) whose size allows a link."""
+    first = int(np.searchsorted(n, -(-percent * int(n[i]) // 100)))
+    return first + np.flatnonzero((part[first:i] != part[i]) & ((side[first:i] != side[i]) | (side[i] == 2)))
+
+
+def tile_nodes(tiles: DataFrame, percent: int, miss: float) -> DataFrame:
+    """key, side, node, n, part: of each tile (also with band, sign) the nodes that have a partner which no batch of their signatures rules out and with which they share no earlier band."""
     least = least_equal(percent, miss)
-    rows = tiles.repartition("key").sortWithinPartitions("key", "n", "node").select("key", "side", "node", "n", "part", "first")
-
-    def meet(rows: pa.Table, seen: set) -> Iterator[tuple[int, int]]:
-        side, node, n, part = (rows.column(c).to_numpy() for c in ("side", "node", "n", "part"))
-        bits = np.frombuffer(b"".join(rows.column("first").to_pylist()), np.uint8).reshape(-1, FIRST)
-        starts = np.searchsorted(n, -(-percent * n // 100))
-        for i in range(1, len(n)):
-            # smaller nodes stand before, those of fitting size from starts[i]
-            at = starts[i] + np.flatnonzero((part[starts[i] : i] != part[i]) & ((side[starts[i] : i] != side[i]) | (side[i] == 2)))
-            if len(at):
-                alive, _ = sequential(bits[at], np.broadcast_to(bits[i], (len(at), FIRST)), least)
-                for other in node[at[alive]].tolist():
-                    pair = (min(other, int(node[i])), max(other, int(node[i])))
-                    if pair not in seen:
-                        seen.add(pair)
-                        yield pair
+    rows = tiles.repartition("key").sortWithinPartitions("key", "n", "node").select("key", "side", "node", "n", "part", "band", "sign")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = [], set()
+        for tile in _tiles(batches):
+            side, n, part, band = (tile.column(c).to_numpy() for c in ("side", "n", "part", "band"))
+            bits = np.frombuffer(b"".join(tile.column("sign").to_pylist()), np.uint8).reshape(-1, SIZE)
+            met = np.zeros(len(n), dtype=bool)
+            for i in range(1, len(n)):
+                at = _partners(n, part, side, i, percent)
+                if len(at):
+                    own = np.broadcast_to(bits[i], (len(at), SIZE))
+                    at = at[sequential(bits[at], own, least)]
+                    shared = (bits[at] == bits[i]).reshape(len(at), BANDS, ROWS).all(axis=2)
+                    at = at[shared.argmax(axis=1) == band[i]]
+                    met[at] = True
+                    met[i] |= len(at) > 0
+            if met.any():
+                yield from tile.select(["key", "side", "node", "n", "part"]).filter(pa.array(met)).combine_chunks().to_batches()
+
+    return rows.mapInArrow(run, "key bigint, side int, node bigint, n int, part bigint")
+
+
+def _overlaps(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each set the sizes of its intersections with all sets, by the postings of their shingles."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    place = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(place, kind="stable")]
+    ends = np.cumsum(np.bincount(place))
+    starts, first = ends - np.bincount(place), np.cumsum(sizes) - sizes
+    for i, size in enumerate(sizes):
+        own = place[first[i] : first[i] + size]
+        lengths = ends[own] - starts[own]
+        at = np.repeat(starts[own] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        yield np.bincount(owner[at], minlength=len(sets))
+
+
+def tile_links(tiles: DataFrame, percent: int) -> DataFrame:
+    """a, b: of each tile (key, side, node, n, part, shingles) one link, by the full sets, between any two components that have one there."""
+    rows = tiles.repartition("key").sortWithinPartitions("key", "n", "node").select("key", "side", "node", "n", "part", "shingles")
 
-        def done(part: pa.Table) -> Iterator[pa.RecordBatch]:
-            key = part.column("key").to_numpy()
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            out = [pair for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1 for pair in meet(part.slice(a, b - a), seen)]
-            if len(seen) > MEMORY:
-                seen.clear()
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([*held, batch])
-            key = rows.column("key").to_numpy()
-            last = int(np.searchsorted(key, key[-1]))
-            if last:
-                yield from done(rows.slice(0, last))
-            # the last tile may go on in the next batch; a tile is of bounded size
-            held = rows.slice(last).to_batches()
-        if held:
-            yield from done(pa.Table.from_batches(held))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in _tiles(batches):
+            side, node, n, part = (tile.column(c).to_numpy() for c in ("side", "node", "n", "part"))
+            sets = [np.frombuffer(x, np.uint64) for x in tile.column("shingles").to_pylist()]
+            found: dict[tuple[int, int], tuple[int, int]] = {}
+            for i, shared in enumerate(_overlaps(sets)):
+                at = _partners(n, part, side, i, percent)
+                for j in at[linked(shared[at], n[i], n[at], percent)].tolist():
+                    found.setdefault((min(part[i], part[j]), max(part[i], part[j])), (int(node[i]), int(node[j])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found.values(), strict=True)], ["a", "b"])
 
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -193,6 +224,19 @@ def texts_of(docs: DataFrame, wanted: DataFrame, signs: DataFrame, broadcast_nod
     return docs.withColumn("text_key", F.xxhash64("text")).join(keys, "text_key").select("node", "text").dropDuplicates(["node"])
 
 
+def sets_of(texts: DataFrame, width: int) -> DataFrame:
+    """node, shingles: the sorted arrays of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Shingler(width)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in make(part.column(1).to_pylist())], pa.binary())], ["node", "shingles"])
+
+    return texts.mapInArrow(run, "node bigint, shingles binary")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, signs: DataFrame, width: int, percent: int, broadcast_nodes: int) -> DataFrame:
     """The pairs (a, b) that link by their full sets, made from a text of each. A node of many pairs is copied for each SPREAD of them."""
     wanted = stash(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
@@ -228,35 +272,19 @@ def confirmed(pairs: DataFrame, docs: DataFrame, signs: DataFrame, width: int, p
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs between different components, with these as part_a < part_b."""
-    for x in "ab":
-        pairs = pairs.join(parts.toDF(x, f"part_{x}"), x, "left").withColumn(f"part_{x}", F.coalesce(f"part_{x}", x))
-    return pairs.filter("part_a <> part_b").withColumns({"part_a": F.least("part_a", "part_b"), "part_b": F.greatest("part_a", "part_b")})
-
-
 def dedup(docs: DataFrame, width: int = 3, percent: int = 85, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE, broadcast_nodes: int = 2_000_000) -> DataFrame:
     """One row for each input row: the id, n_shingles, component_id (smallest id reachable by links), kept (the row has that id), n_equal (rows with an equal set)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     nodes = stash(nodes_of(rows, width))
     signs = stash(nodes.filter(F.col("sign").isNotNull()).select("node", "n", "text_key", "sign").dropDuplicates(["node"]))
     bands = stash(bands_of(signs, percent))
-
-    def link(pairs: DataFrame, parts: DataFrame | None = None) -> DataFrame:
-        """The components with the confirmed ones of these pairs, and with those of `parts`."""
-        links = stash(confirmed(pairs, rows, signs, width, percent, broadcast_nodes))
-        return components(links if parts is None else links.union(parts))
-
-    parts = link(stash(likely_pairs(central_pairs(bands), signs, percent, miss)))
-    tiles = spread_keys(bands.select("key", "node", "n"), parts, tile).join(signs.select("node", F.substring("sign", 1, FIRST).alias("first")), "node")
-    met = stash(tile_pairs(tiles, percent, miss))
-    likely = stash(likely_pairs(met, signs, percent, miss))
-    if not likely.isEmpty():
-        apart = across(likely, parts)
-        parts = link(stash(apart.groupBy("part_a", "part_b").agg(F.max_by(F.struct("a", "b"), F.struct("equal", "a", "b")).alias("best")).select("best.a", "best.b")), parts)
-        rest = stash(across(likely, parts).select("a", "b"))
-        if not rest.isEmpty():
-            parts = link(rest, parts)
+    parts = components(stash(confirmed(stash(likely_pairs(central_pairs(bands), signs, percent, miss)), rows, signs, width, percent, broadcast_nodes)))
+    tiles = spread_keys(bands.select("key", "node", "n", "band"), parts, tile, ("band",)).join(signs.select("node", "sign"), "node")
+    tiles = stash(tile_nodes(tiles, percent, miss))
+    wanted = stash(tiles.select("node").distinct())
+    if not wanted.isEmpty():
+        sets = stash(sets_of(texts_of(rows, wanted, signs, broadcast_nodes), width))
+        parts = components(stash(tile_links(tiles.join(sets, "node"), percent)).union(parts.toDF("a", "b")))
     placed = nodes.select("id", "n", "node").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     by_node = stash(placed.filter(F.col("node").isNotNull()).groupBy("node", "part").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n_equal")))
     least = by_node.groupBy("part").agg(F.min("least").alias("component_id"))

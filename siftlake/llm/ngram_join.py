@@ -240,12 +240,12 @@ def star_pairs(postings: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def spread_keys(postings: DataFrame, parts: DataFrame, tile: int = TILE) -> DataFrame:
-    """key, side, node, n, part: the postings of the keys whose nodes are in different components, dealt into tiles; `key` numbers the tile.
+def spread_keys(postings: DataFrame, parts: DataFrame, tile: int = TILE, more: tuple[str, ...] = ()) -> DataFrame:
+    """key, side, node, n, part (and the columns `more` of the postings): the postings of the keys whose nodes are in different components, dealt into tiles; `key` numbers the tile.
 
     A key of up to `tile` nodes is one tile (side 2). The nodes of a larger one are cut by a hash into tiles of that size (side 0), and its nodes outside its
     largest component, of which every pair across components has one, meet each of these tiles (side 1), in tiles of their own if they are many."""
-    rows = postings.join(parts, "node", "left").select("key", "node", "n", F.coalesce("part", "node").alias("part"))
+    rows = postings.join(parts, "node", "left").select("key", "node", "n", *more, F.coalesce("part", "node").alias("part"))
     mixed = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("all")).filter("low <> high").select("key", "all")
     rows = rows.join(mixed, "key")
     # only the few keys of more nodes than a tile are counted by component
@@ -257,7 +257,7 @@ def spread_keys(postings: DataFrame, parts: DataFrame, tile: int = TILE) -> Data
     row = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda j: spot(own(F.col("cut")), j, 0))
     column = F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda i: spot(i, own(F.col("few")), 1))
     spots = F.when(F.col("cut").isNull(), F.array(spot(F.lit(0), F.lit(0), 2))).when(F.col("part") == F.col("most"), row).otherwise(F.concat(row, column))
-    return rows.withColumn("at", F.explode(spots)).select(F.xxhash64("key", "at.i", "at.j").alias("key"), F.col("at.side").alias("side"), "node", "n", "part")
+    return rows.withColumn("at", F.explode(spots)).select(F.xxhash64("key", "at.i", "at.j").alias("key"), F.col("at.side").alias("side"), "node", "n", "part", *more)
 
 
 def _near(tile: list[tuple[np.ndarray, ...]], n: int, part: int, side: int, bits: np.ndarray, percent: int) -> Iterator[int]:
