@@ -16,12 +16,12 @@ SNIPPET_LINES = 200
 CHUNK_TEST_FILE = r"(?i)(^|/)(test_[^/]+|[^/]+_test|[^/]+\.test|[^/]+\.spec)\.(py|js|ts|go|java|rb|cs|php)$|/(tests?|spec|__tests__|test_helpers?)/"
 
 
-def _by_pr() -> WindowSpec:
-    return W.partitionBy("pr_id").orderBy("pos")
+def _by_pr(*keys: str) -> WindowSpec:
+    return W.partitionBy("pr_id", *keys).orderBy("pos")
 
 
-def _so_far() -> WindowSpec:
-    return _by_pr().rowsBetween(W.unboundedPreceding, W.currentRow)
+def _so_far(*keys: str) -> WindowSpec:
+    return _by_pr(*keys).rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
 def lines(prs: DataFrame) -> DataFrame:
@@ -47,23 +47,36 @@ def file_chunks(prs: DataFrame) -> DataFrame:
     return rows.groupBy("pr_id", "file_ord", "path").agg(F.count(F.lit(1)).alias("n_lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("chunk"))
 
 
+def changed_paths(prs: DataFrame) -> DataFrame:
+    """pr_id, ord, path: the files of each change, once each in order of first sight; where no header is found, those that `+++ b/` lines name."""
+    rows = lines(prs)
+    found = files(rows).groupBy("pr_id", "path").agg(F.min("pos").alias("pos"))
+    named = F.regexp_extract("line", r"^\+\+\+ b/(.+)$", 1)
+    bare = rows.select("pr_id", "pos", named.alias("path")).filter("path <> ''").join(found.select("pr_id").distinct(), "pr_id", "left_anti")
+    every = found.select("pr_id", "path", "pos").union(bare.groupBy("pr_id", "path").agg(F.min("pos").alias("pos")))
+    return every.select("pr_id", (F.row_number().over(_by_pr()) - 1).alias("ord"), "path")
+
+
 def last_by_path(chunks: DataFrame) -> DataFrame:
     """One row for each path: the last part's text at the first part's place."""
     return chunks.groupBy("pr_id", "path").agg(F.min("file_ord").alias("first_ord"), F.max_by("chunk", "file_ord").alias("chunk"))
 
 
-def added_lines(rows: DataFrame) -> DataFrame:
-    """pr_id, path, line_no, text of added lines, numbered in the new file. Every line that does not start with a minus moves the number on."""
+def added_lines(rows: DataFrame, *keys: str) -> DataFrame:
+    """pr_id, path, line_no, text of added lines, numbered in the new file. Every line that does not start with a minus moves the number on.
+
+    With `keys`, such as the chunk, each of these parts is read as a diff of its own."""
     line = F.col("line")
     path = F.when(line.startswith("+++ b/"), F.substring(line, 7, 1_000_000))
     hunk = line.startswith("@@ ")
     start = F.when(hunk, F.coalesce(F.expr(r"try_cast(regexp_extract(line, '\\+([0-9]+)', 1) AS INT)"), F.lit(0)))
-    rows = rows.withColumns({"own_path": F.last(path, ignorenulls=True).over(_so_far()), "start": F.last(start, ignorenulls=True).over(_so_far()), "hunk": F.sum(F.when(hunk, 1).otherwise(0)).over(_so_far())})
+    so_far = _so_far(*keys)
+    rows = rows.withColumns({"own_path": F.last(path, ignorenulls=True).over(so_far), "start": F.last(start, ignorenulls=True).over(so_far), "hunk": F.sum(F.when(hunk, 1).otherwise(0)).over(so_far)})
     added = line.startswith("+") & ~line.startswith("+++")
     moves = ~hunk & ~line.startswith("+++ b/") & ~line.startswith("-")
-    inside = W.partitionBy("pr_id", "hunk").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = _so_far(*keys, "hunk")
     rows = rows.withColumn("line_no", F.coalesce("start", F.lit(0)) + F.sum(F.when(moves, 1).otherwise(0)).over(inside) - 1)
-    return rows.filter(added & F.col("own_path").isNotNull()).select("pr_id", F.col("own_path").alias("path"), "line_no", F.substring(line, 2, 1_000_000).alias("text"))
+    return rows.filter(added & F.col("own_path").isNotNull()).select("pr_id", *keys, F.col("own_path").alias("path"), "line_no", F.substring(line, 2, 1_000_000).alias("text"))
 
 
 def summary(rows: DataFrame) -> DataFrame:
@@ -110,14 +123,27 @@ def hunk_bins(rows: DataFrame, max_lines: int = MAX_HUNK_LINES) -> DataFrame:
     return zipped.select("pr_id", "file_ord", "path", F.col("z.hunks.hunk").alias("hunk"), F.col("z.hunks.n_lines").alias("n_lines"), F.col("z.bins").alias("bin"))
 
 
-def chunk_plan(rows: DataFrame, max_chunks: int = MAX_CHUNKS) -> DataFrame:
-    """Chunks of the chunked mode in order, test files as placeholders, the first max_chunks of each change."""
-    bins = hunk_bins(rows).groupBy("pr_id", "file_ord", "path", "bin").agg(F.sum("n_lines").alias("n_lines"))
-    is_test = F.col("path").rlike(CHUNK_TEST_FILE)
-    tests = bins.filter(is_test).groupBy("pr_id", "file_ord", "path").agg(F.lit(0).alias("bin"), F.lit(0).cast("long").alias("n_lines"))
-    both = bins.filter(~is_test).unionByName(tests)
+def chunk_plan(rows: DataFrame, max_chunks: int = MAX_CHUNKS, max_lines: int = MAX_HUNK_LINES) -> DataFrame:
+    """Chunks of the chunked mode in order, the first max_chunks of each change: pr_id, file_ord, path, bin, n_lines, placeholder, chunk.
+
+    A test file is one placeholder; a file without hunks is one chunk of no lines."""
+    every = files(rows).select("pr_id", "file_ord", "path").distinct()
+    bins = hunk_bins(rows, max_lines).groupBy("pr_id", "file_ord", "bin").agg(F.sum("n_lines").alias("n_lines"))
+    is_test = F.coalesce(F.col("path").rlike(CHUNK_TEST_FILE), F.lit(False))
+    code = every.filter(~is_test).join(bins, ["pr_id", "file_ord"], "left").select("pr_id", "file_ord", "path", F.coalesce("bin", F.lit(0)).alias("bin"), F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"), F.lit(False).alias("placeholder"))
+    tests = every.filter(is_test).select("pr_id", "file_ord", "path", F.lit(0).alias("bin"), F.lit(0).cast("long").alias("n_lines"), F.lit(True).alias("placeholder"))
     place = F.row_number().over(W.partitionBy("pr_id").orderBy("file_ord", "bin"))
-    return both.withColumn("chunk", place).filter(F.col("chunk") <= max_chunks)
+    return code.unionByName(tests).withColumn("chunk", place).filter(F.col("chunk") <= max_chunks)
+
+
+def chunk_lines(rows: DataFrame, max_chunks: int = MAX_CHUNKS, max_lines: int = MAX_HUNK_LINES) -> DataFrame:
+    """pr_id, chunk, pos, line: the lines of each chunk of the plan, the file's header before its hunks. Placeholders have none."""
+    in_file = _so_far("file_ord")
+    parts = files(rows).withColumn("hunk", F.sum(F.when(F.col("line").startswith("@@"), 1).otherwise(0)).over(in_file))
+    plan = chunk_plan(rows, max_chunks, max_lines).filter(~F.col("placeholder")).select("pr_id", "file_ord", "bin", "chunk")
+    head = parts.filter("hunk = 0").join(plan, ["pr_id", "file_ord"])
+    body = parts.filter("hunk > 0").join(hunk_bins(rows, max_lines).select("pr_id", "file_ord", "hunk", "bin"), ["pr_id", "file_ord", "hunk"]).join(plan, ["pr_id", "file_ord", "bin"])
+    return head.select("pr_id", "chunk", "pos", "line").unionByName(body.select("pr_id", "chunk", "pos", "line"))
 
 
 def _joined(order: Column, line: str = "line") -> Column:
@@ -137,7 +163,7 @@ def chunk_texts(rows: DataFrame, max_lines: int = MAX_HUNK_LINES) -> DataFrame:
 
 def planned_texts(rows: DataFrame, max_chunks: int = MAX_CHUNKS) -> DataFrame:
     """The chunk plan with its texts; a test file's placeholder has a null text."""
-    return chunk_plan(rows, max_chunks).join(chunk_texts(rows), ["pr_id", "file_ord", "path", "bin"], "left").withColumn("text", F.when(F.col("n_lines") > 0, F.col("text")))
+    return chunk_plan(rows, max_chunks).join(chunk_texts(rows), ["pr_id", "file_ord", "path", "bin"], "left").withColumn("text", F.when(~F.col("placeholder"), F.col("text")))
 
 
 def trim(rows: DataFrame, max_bytes: int) -> DataFrame:

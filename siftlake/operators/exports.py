@@ -19,6 +19,7 @@ CWE_PAGE = "https://cwe.mitre.org/data/definitions/"
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 CSV_HEADER = "id,repo,pr_number,commit_sha,pr_url,verdict,severity,cwe_id,confidence,title,provider,scan_ms,created_at"
 TOOL = "Siftlake"
+DASHBOARD = "https://dashboard.example"
 ALARM, WARNING = "\U0001f6a8", "⚠️"
 
 
@@ -123,6 +124,40 @@ def payloads(findings: DataFrame) -> DataFrame:
     return findings.select("id", F.to_json(slack).alias("slack"), F.to_json(F.struct(F.array(embed).alias("embeds"))).alias("discord"), F.to_json(teams).alias("teams"))
 
 
+def digest_payloads(digest: DataFrame, base: str = DASHBOARD) -> DataFrame:
+    """owner, name with slack, discord and teams: the week of each repository as JSON messages. digest: see warehouse.weekly_digest.
+
+    Lines and facts stand in a fixed order; those about a top weakness and open breaches are there only where there are such."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    number = lambda name: F.col(name).cast("string")
+    plural = lambda name, one, many: F.when(F.col(name) == 1, one).otherwise(many)
+    repo, overdue = text(F.col("owner"), "/", F.col("name")), F.col("sla_breaches") > 0
+    link, title = text(f"{base}/repos/", repo), text(f"{TOOL} weekly digest: ", repo)
+    has_top, top = F.col("top_cwe").isNotNull(), text(F.col("top_cwe"), " (", F.coalesce("top_severity", F.lit("unknown")), ")")
+    lines = lambda *each: F.array_join(F.array_compact(F.array(*[F.lit(x) if isinstance(x, str) else x for x in each])), "\n")
+    late = text(number("sla_breaches"), " CRITICAL/HIGH ", plural("sla_breaches", "finding", "findings"), " open for more than 7 days")
+    body = lines(
+        "*Last 7 days:*", text("• ", number("true_positives"), plural("true_positives", " true positive", " true positives")), text("• ", number("needs_review"), plural("needs_review", " needs review", " need review")),
+        text("• ", number("false_positives"), plural("false_positives", " false positive", " false positives")), F.when(has_top, text("• Top weakness: ", top)), F.when(overdue, text(f"{ALARM} *", late, "*")),
+    )
+    plain = lambda value: F.struct(F.lit("plain_text").alias("type"), value.alias("text"))
+    button = F.struct(F.lit("button").alias("type"), plain(F.lit("View dashboard")).alias("text"), link.alias("url"))
+    # the blocks of a message are of two forms, so each is written by itself
+    header = F.to_json(F.struct(F.lit("header").alias("type"), plain(title).alias("text")))
+    section = F.to_json(F.struct(F.lit("section").alias("type"), F.struct(F.lit("mrkdwn").alias("type"), body.alias("text")).alias("text"), button.alias("accessory")))
+    opening = F.to_json(F.struct(title.alias("text")))
+    slack = F.concat(F.substring(opening, F.lit(1), F.length(opening) - 1), F.lit(',"blocks":['), header, F.lit(","), section, F.lit("]}"))
+    about = lines("**Last 7 days**", text("• ", number("true_positives"), " true positives"), text("• ", number("needs_review"), " needs review"), text("• ", number("false_positives"), " false positives"), F.when(has_top, text("• Top: ", top)), F.when(overdue, text(f"{ALARM} **", late, "**")))
+    color = F.when(overdue, 0xFF0000).when(F.col("true_positives") > 0, 0xFBBF24).otherwise(0x4ADE80)
+    embed = F.struct(title.alias("title"), link.alias("url"), color.alias("color"), about.alias("description"), F.struct(F.lit(f"{TOOL} • {base.split('://')[-1]}").alias("text")).alias("footer"))
+    fact = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    facts = F.array_compact(F.array(fact("True positives", number("true_positives")), fact("Needs review", number("needs_review")), fact("False positives", number("false_positives")), F.when(has_top, fact("Top weakness", top)), F.when(overdue, fact("Overdue", late))))
+    action = F.struct(F.lit("OpenUri").alias("@type"), F.lit("View dashboard").alias("name"), F.array(F.struct(F.lit("default").alias("os"), link.alias("uri"))).alias("targets"))
+    card = F.struct(F.lit(f"{TOOL} weekly digest").alias("activityTitle"), repo.alias("activitySubtitle"), facts.alias("facts"), F.array(action).alias("potentialAction"))
+    teams = F.struct(F.lit("MessageCard").alias("@type"), F.lit("http://schema.org/extensions").alias("@context"), F.when(overdue, "FF0000").otherwise("FBBF24").alias("themeColor"), title.alias("summary"), F.array(card).alias("sections"))
+    return digest.select("owner", "name", slack.alias("slack"), F.to_json(F.struct(F.array(embed).alias("embeds"))).alias("discord"), F.to_json(teams).alias("teams"))
+
+
 def step_summary(verdicts: DataFrame, primary: DataFrame) -> DataFrame:
     """pr_id, summary: the worst verdict in markdown lines, and with several verdicts their number. primary: one row for each change (pr_id, ord)."""
     counts = verdicts.groupBy("pr_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "TRUE_POSITIVE").alias("tp"))

@@ -142,6 +142,7 @@ CSHARP = Language(
     sanitizers=("HtmlEncode", "HtmlEncoder", "WebUtility.HtmlEncode", "AntiXssEncoder", "SqlParameter", "Parameters.Add", "escape", "sanitize", "validate", "Regex.IsMatch"),
 )
 CATALOGUE = {"python": PYTHON, "javascript": SCRIPT, "typescript": SCRIPT, "go": GO, "java": JAVA, "ruby": RUBY, "php": PHP, "csharp": CSHARP}
+# An assignment, the lines around a change in which inputs count, and the form of a suppressing comment (in `suppression`).
 ASSIGNMENT = r"^\s*(\w+)\s*(?:\+?=|:=)\s*(.+)"
 SOURCE_WINDOW = 50
 
@@ -187,24 +188,59 @@ def suppression(line: Column, token: str) -> Column:
     return F.when(line.rlike(pattern), F.struct(part(1).alias("cwe"), part(2).alias("reason")))
 
 
-def sinks(rows: DataFrame, token: str = "siftlake-ignore") -> DataFrame:
-    """Risky calls on changed lines. rows: pr_id, path, language, line_no, text, changed. A comment on the line wins over one on the line above."""
+def _noted(rows: DataFrame, token: str) -> DataFrame:
+    """Lines with the suppressing comment that holds for them; one on the line itself wins over one on the line above."""
     above = F.lag("text").over(W.partitionBy("pr_id", "path").orderBy("line_no"))
-    note = F.coalesce(suppression(F.col("text"), token), suppression(above, token))
-    rows = rows.withColumn("note", note).filter("changed")
+    return rows.withColumn("note", F.coalesce(suppression(F.col("text"), token), suppression(above, token)))
+
+
+def _sinks(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     line = F.col("text")
     rule = _found(F.col("language"), line, lambda r, x: F.when(~x.rlike(f"(?i){r.safe}"), _first_rule(x, r.sinks)))
     rows = rows.select("*", F.explode(rule).alias("rule"))
     function = F.trim(F.regexp_replace(F.col("rule.match"), r"\(+$", ""))
-    return rows.select("pr_id", "path", "language", "line_no", F.col("rule.category").alias("category"), function.alias("function"), F.array_join(call_args(line), "|").alias("args"), F.col("note").isNotNull().alias("suppressed"), F.col("note.cwe").alias("ignore_cwe"), F.col("note.reason").alias("ignore_reason"))
+    return rows.select(*keys, "language", "line_no", F.col("rule.category").alias("category"), function.alias("function"), F.array_join(call_args(line), "|").alias("args"), F.col("note").isNotNull().alias("suppressed"), F.col("note.cwe").alias("ignore_cwe"), F.col("note.reason").alias("ignore_reason"))
+
+
+def sinks(rows: DataFrame, token: str = "siftlake-ignore") -> DataFrame:
+    """Risky calls on changed lines. rows: pr_id, path, language, line_no, text, changed."""
+    return _sinks(_noted(rows, token).filter("changed"), ("pr_id", "path"))
+
+
+def _all_sources(rows: DataFrame) -> DataFrame:
+    rows = rows.select("*", F.explode(_found(F.col("language"), F.col("text"), lambda r, x: _first_rule(x, r.sources))).alias("rule"))
+    return rows.select("pr_id", "path", "line_no", F.col("rule.category").alias("category"), assigned_variable(F.col("text")).alias("variable"))
 
 
 def sources(rows: DataFrame, window: int = SOURCE_WINDOW) -> DataFrame:
     """User-controlled inputs on lines within `window` of a changed one, by range frames over line numbers."""
     near = W.partitionBy("pr_id", "path").orderBy("line_no").rangeBetween(-window, window)
-    rows = rows.withColumn("near", F.max(F.col("changed").cast("int")).over(near)).filter("near = 1")
-    rows = rows.select("*", F.explode(_found(F.col("language"), F.col("text"), lambda r, x: _first_rule(x, r.sources))).alias("rule"))
-    return rows.select("pr_id", "path", "line_no", F.col("rule.category").alias("category"), assigned_variable(F.col("text")).alias("variable"))
+    return _all_sources(rows.withColumn("near", F.max(F.col("changed").cast("int")).over(near)).filter("near = 1"))
+
+
+def chunk_sinks(rows: DataFrame, changed: DataFrame, token: str = "siftlake-ignore") -> DataFrame:
+    """Risky calls on the changed lines of each chunk. rows: pr_id, path, language, line_no, text of whole files; changed: pr_id, chunk, path, line_no.
+
+    Lines take their chunk in one equi-join; a file is never repeated for its chunks."""
+    lines = changed.select("pr_id", "chunk", "path", "line_no").distinct()
+    return _sinks(_noted(rows, token).join(lines, ["pr_id", "path", "line_no"]), ("pr_id", "chunk", "path"))
+
+
+def chunk_sources(rows: DataFrame, changed: DataFrame, window: int = SOURCE_WINDOW) -> DataFrame:
+    """User-controlled inputs within `window` of a changed line of a chunk, once for each such chunk.
+
+    The changed lines of a chunk are merged into islands whose surroundings touch; islands meet inputs in an equi-join on blocks of lines, so an
+    input meets those near it only, and each chunk at most once."""
+    of_chunk = W.partitionBy("pr_id", "chunk", "path").orderBy("line_no")
+    starts = F.coalesce(F.col("line_no") - F.lag("line_no").over(of_chunk) > 2 * window + 1, F.lit(True))
+    lines = changed.select("pr_id", "chunk", "path", "line_no").withColumn("starts", starts.cast("int"))
+    lines = lines.withColumn("island", F.sum("starts").over(of_chunk.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    islands = lines.groupBy("pr_id", "chunk", "path", "island").agg((F.min("line_no") - window).alias("low"), (F.max("line_no") + window).alias("high"))
+    block = lambda line: F.floor(line / (2 * window + 1))
+    blocks = islands.select("pr_id", "chunk", "path", "low", "high", F.explode(F.sequence(block(F.col("low")), block(F.col("high")))).alias("block"))
+    found = _all_sources(rows).withColumn("block", block(F.col("line_no")))
+    met = found.join(blocks, ["pr_id", "path", "block"]).filter(F.col("line_no").between(F.col("low"), F.col("high")))
+    return met.select("pr_id", "chunk", "path", "line_no", "category", "variable")
 
 
 def edges(rows: DataFrame) -> DataFrame:
@@ -213,23 +249,46 @@ def edges(rows: DataFrame) -> DataFrame:
     return hit.select("pr_id", "path", "line_no", F.regexp_extract("text", ASSIGNMENT, 1).alias("to_var"), F.trim(F.regexp_extract("text", ASSIGNMENT, 2)).alias("from_var"))
 
 
-def taint_paths(found_sinks: DataFrame, found_sources: DataFrame, found_edges: DataFrame) -> DataFrame:
-    """Each sink with each source of its file (or an unknown one at line 0), the number of assignments between them and the first sanitizer on the way."""
-    s = found_sinks.select("pr_id", "path", "language", F.col("line_no").alias("sink_line"), F.col("category").alias("sink"), "suppressed")
-    o = found_sources.select("pr_id", "path", F.col("line_no").alias("source_line"), F.col("category").alias("source"), "variable")
-    pairs = s.join(o, ["pr_id", "path"], "left").withColumns({"source_line": F.coalesce("source_line", F.lit(0)), "source": F.coalesce("source", F.lit("<unknown>")), "variable": F.coalesce("variable", F.lit("<unknown>"))})
-    pairs = pairs.withColumns({"low": F.greatest(F.lit(1), F.least("sink_line", "source_line")), "high": F.greatest("sink_line", "source_line")})
+def _marks(found_sinks: DataFrame, found_sources: DataFrame, found_edges: DataFrame) -> DataFrame:
+    """pr_id, path, line_no of sinks and sources, with the assignments of the file up to the line (upto) and before it (before), and the next sanitized one from
+    there on (next: line_no, keyword) and in the whole file (first).
+
+    Running counts and a pointer over the lines of a file, so two look-ups give what lies between two lines and no pair meets the assignments themselves."""
+    files = found_sinks.select("pr_id", "path", "language").distinct()
     text = F.lower(F.concat("from_var", F.lit(" "), "to_var"))
     keywords = by_language(F.col("language"), lambda r: F.array(*[F.lit(k.lower()) for k in (*SANITIZERS, *r.sanitizers)]))
-    first = F.get(F.filter(keywords, lambda k: F.contains(F.col("edge_text"), k)), F.lit(0))
-    e = found_edges.select("pr_id", "path", F.col("line_no").alias("edge_line"), text.alias("edge_text"))
-    keys = ["pr_id", "path", "language", "sink_line", "sink", "suppressed", "source_line", "source", "variable"]
-    between = pairs.join(e, ["pr_id", "path"], "left").filter(F.col("edge_line").isNull() | F.col("edge_line").between(F.col("low"), F.col("high")))
-    counts = between.withColumn("keyword", first).groupBy(*keys).agg(F.count("edge_line").alias("edges"), F.min(F.when(F.col("keyword").isNotNull(), F.struct("edge_line", "keyword"))).alias("hit"))
-    out = pairs.select(*keys).distinct().join(counts, keys, "left")
-    return out.select(*[k for k in keys if k != "language"], F.coalesce("edges", F.lit(0)).alias("edges"), F.col("hit").isNotNull().alias("sanitized"), F.when(F.col("hit").isNotNull(), F.concat(F.lit("Found '"), "hit.keyword", F.lit("' in assignment chain at line "), F.col("hit.edge_line").cast("string"))).alias("sanitizer"))
+    keyword = F.get(F.filter(keywords, lambda k: F.contains(F.col("edge_text"), k)), F.lit(0))
+    edges_ = found_edges.join(files, ["pr_id", "path"]).withColumn("edge_text", text).withColumn("keyword", keyword)
+    edges_ = edges_.select("pr_id", "path", "line_no", F.lit(1).alias("edge"), F.when(F.col("keyword").isNotNull(), F.struct("line_no", "keyword")).alias("hit"), F.lit(False).alias("asked"))
+    asked = [x.select("pr_id", "path", "line_no", F.lit(0).alias("edge"), F.lit(None).cast(edges_.schema["hit"].dataType).alias("hit"), F.lit(True).alias("asked")) for x in (found_sinks, found_sources)]
+    lines = edges_.union(asked[0]).union(asked[1]).groupBy("pr_id", "path", "line_no").agg(F.sum("edge").alias("here"), F.min("hit").alias("hit"), F.max("asked").alias("asked"))
+    of_file = W.partitionBy("pr_id", "path")
+    lines = lines.withColumn("upto", F.sum("here").over(of_file.orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    # the last one on the way up from the end of the file is the next one
+    lines = lines.withColumn("next", F.last("hit", ignorenulls=True).over(of_file.orderBy(F.desc("line_no")).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    lines = lines.withColumn("first", F.min("hit").over(of_file))
+    return lines.filter("asked").select("pr_id", "path", "line_no", "upto", (F.col("upto") - F.col("here")).alias("before"), "next", "first")
+
+
+def taint_paths(found_sinks: DataFrame, found_sources: DataFrame, found_edges: DataFrame) -> DataFrame:
+    """Each sink with each source of its file (or an unknown one at line 0), the number of assignments between them and the first sanitizer on the way.
+
+    Where sinks and sources have a chunk, a sink meets the sources of its own chunk. A line of a file counts once in each chunk. An unknown source lies before the first line."""
+    keys = ["pr_id", *(["chunk"] if "chunk" in found_sinks.columns else []), "path"]
+    marks = _marks(found_sinks, found_sources, found_edges)
+    look = lambda x, side: x.join(marks.select("pr_id", "path", F.col("line_no").alias(f"{side}_line"), *[F.col(c).alias(f"{side}_{c}") for c in ("upto", "before", "next", "first")]), ["pr_id", "path", f"{side}_line"])
+    s = look(found_sinks.select(*keys, F.col("line_no").alias("sink_line"), F.col("category").alias("sink"), "suppressed"), "sink")
+    o = look(found_sources.select(*keys, F.col("line_no").alias("source_line"), F.col("category").alias("source"), "variable"), "source")
+    unknown = {"source_line": F.lit(0), "source": F.lit("<unknown>"), "variable": F.lit("<unknown>"), "source_before": F.lit(0)}
+    pairs = s.join(o, keys, "left").withColumns({"known": F.col("source_line").isNotNull(), **{c: F.coalesce(c, v) for c, v in unknown.items()}})
+    ahead = F.col("source_line") > F.col("sink_line")
+    edges_ = F.when(ahead, F.col("source_upto") - F.col("sink_before")).otherwise(F.col("sink_upto") - F.col("source_before"))
+    hit = F.when(ahead, F.col("sink_next")).otherwise(F.when(F.col("known"), F.col("source_next")).otherwise(F.col("sink_first")))
+    pairs = pairs.withColumn("hit", F.when(hit["line_no"] <= F.greatest("sink_line", "source_line"), hit))
+    said = F.concat(F.lit("Found '"), "hit.keyword", F.lit("' in assignment chain at line "), F.col("hit.line_no").cast("string"))
+    return pairs.select(*keys, "sink_line", "sink", "suppressed", "source_line", "source", "variable", edges_.alias("edges"), F.col("hit").isNotNull().alias("sanitized"), F.when(F.col("hit").isNotNull(), said).alias("sanitizer"))
 
 
 def primary_sinks(paths: DataFrame) -> DataFrame:
-    """First sink line of each file, and whether all its paths are suppressed."""
-    return paths.groupBy("pr_id", "path").agg(F.min("sink_line").alias("sink_line"), F.bool_and("suppressed").alias("all_suppressed"), F.count(F.lit(1)).alias("paths"))
+    """First sink line of each file (or of each file in a chunk), and whether all its paths are suppressed."""
+    return paths.groupBy("pr_id", *(["chunk"] if "chunk" in paths.columns else []), "path").agg(F.min("sink_line").alias("sink_line"), F.bool_and("suppressed").alias("all_suppressed"), F.count(F.lit(1)).alias("paths"))

@@ -36,13 +36,22 @@ def derived_ignore_rules(t: Tables) -> DataFrame:
     return rows.select("repo_id", F.when(known, F.col("cwe_id")).alias("cwe_id"), F.when(~known, F.col("title")).alias("title_keyword"), F.coalesce("reason", F.lit(FEEDBACK_REASON)).alias("reason"))
 
 
-def retained_scans(t: Tables, as_of: str = AS_OF, default_days: int = 90) -> DataFrame:
-    """Scans that are not older than their owner's retention; without owner or setting, the default."""
+def _with_age(t: Tables, scans: DataFrame, as_of: str, default_days: int) -> DataFrame:
+    """Scans with `old`: whether they are older than their owner's retention; without owner or setting, the default."""
     owners = t.users.select(F.col("id").alias("user_id"), "scan_retention_days")
     days = t.repos.select(F.col("id").alias("repo_id"), "user_id").join(owners, "user_id", "left").select("repo_id", F.coalesce("scan_retention_days", F.lit(default_days)).alias("days"))
-    rows = t.scans.join(days, "repo_id", "left")
     old = F.col("created_at") < moment(as_of) - F.expr("make_dt_interval(days)")
-    return rows.filter(~F.coalesce(old, F.lit(False))).select("id", "repo_id")
+    return scans.join(days, "repo_id", "left").withColumn("old", F.coalesce(old, F.lit(False)))
+
+
+def retained_scans(t: Tables, as_of: str = AS_OF, default_days: int = 90) -> DataFrame:
+    """Scans that are not older than their owner's retention."""
+    return _with_age(t, t.scans, as_of, default_days).filter("NOT old").select("id", "repo_id")
+
+
+def expired_scans(t: Tables, scans: DataFrame, as_of: str = AS_OF, default_days: int = 90) -> DataFrame:
+    """The other ones, of a stored table of scans (repo_id, created_at and more)."""
+    return _with_age(t, scans, as_of, default_days).filter("old").select(scans.columns)
 
 
 def account_survivors(t: Tables, github_id: int = 1004) -> DataFrame:

@@ -29,9 +29,8 @@ def fix_escapes(text: Column) -> Column:
     return F.regexp_replace(text, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\")
 
 
-def _read(json: Column) -> Column:
-    """struct of what a JSON object says, as it stands; null if the text is no JSON object."""
-    value = F.try_parse_json(json)
+def _read(value: Column) -> Column:
+    """struct of what a JSON object says, as it stands; null if the parsed value is no JSON object."""
     text = lambda name: F.try_variant_get(value, f"$.{name}", "string").alias(name)
     own = F.try_variant_get(value, "$.confidence", "variant")
     kind = F.schema_of_variant(own)
@@ -51,10 +50,13 @@ def parse(responses: DataFrame) -> DataFrame:
     What is no JSON object is read again with the quotes inside its strings escaped. What cannot be read then, or names an unknown verdict or
     severity, is an ERROR of confidence 0. A confidence must be a finite number (true counts as 1); anything else counts as 0."""
     rows = responses.withColumn("json", fix_escapes(strip_fence(F.col("content"))))
-    rows = _once(rows, _read(F.col("json")), "first")
+    # each text is parsed once, and its fields are read from the parsed value
+    rows = _once(rows, F.try_parse_json("json"), "value")
+    rows = _once(rows, _read(F.col("value")), "first")
     # only texts that could not be read go through the repair
     rows = rows.withColumn("mended", repaired(F.when(F.col("first").isNull(), F.col("json"))))
-    rows = _once(rows, F.coalesce("first", _read(F.col("mended"))), "own")
+    rows = _once(rows, F.try_parse_json("mended"), "second")
+    rows = _once(rows, F.coalesce("first", _read(F.col("second"))), "own")
     field = lambda name, missing: F.coalesce(F.col(f"own.{name}"), F.lit(missing))
     known = F.col("own").isNotNull() & field("verdict", "ERROR").isin(*VERDICTS) & field("severity", "N/A").isin(*SEVERITIES)
     value = F.col("own.confidence")
@@ -62,7 +64,7 @@ def parse(responses: DataFrame) -> DataFrame:
     keep = lambda value, other: F.when(known, value).otherwise(F.lit(other))
     columns = {"verdict": keep(field("verdict", "ERROR"), "ERROR"), "severity": keep(field("severity", "N/A"), "N/A"), "cwe_id": keep(field("cwe_id", "N/A"), "N/A"), "confidence": keep(F.coalesce(confidence, F.lit(0.0)), 0.0), "sanitizer_found": keep(F.col("own.sanitizer_found"), False)}
     columns |= {t: F.when(known, F.col(f"own.{t}")) for t in TEXTS} | {"title": keep(field("title", ""), "Analysis failed"), "summary": keep(field("summary", ""), "The answer could not be read.")}
-    return rows.withColumns(columns).drop("json", "first", "mended", "own")
+    return rows.withColumns(columns).drop("json", "value", "first", "mended", "second", "own")
 
 
 def fixed_verdicts(rows: DataFrame, kind: str, marker: str = "siftlake-ignore") -> DataFrame:

@@ -15,6 +15,7 @@ from siftlake.plans import diff_queries as d
 from siftlake.plans.finding_queries import SEV, VER, calibrated, code, with_code, with_verdicts
 from siftlake.sources import texts
 from siftlake.sources.domain import AS_OF, Tables, with_views
+from siftlake.streaming import findings
 
 ICON = f"CASE WHEN verdict = 'TRUE_POSITIVE' THEN '{x.ALARM}' ELSE '{x.WARNING}' END"
 
@@ -53,39 +54,66 @@ SARIF_DOCUMENT_SQL = f"""SELECT a.pr_id, md5('{{"version":"2.1.0","$schema":"{x.
 FROM (SELECT pr_id, string_agg({RESULT_SQL}, ',' ORDER BY place) AS results FROM sarif GROUP BY pr_id) a
 JOIN (SELECT pr_id, string_agg({RULE_SQL}, ',' ORDER BY place) AS rules FROM (SELECT pr_id, rule, min(place) AS place, arg_min(level, place) AS level FROM sarif GROUP BY ALL) GROUP BY pr_id) b ON a.pr_id = b.pr_id"""
 
-#: Import statements by event, in files of four kinds.
-IMPORTS = ("from .util import clean, load as ld", "import os", "import pkg.tools as t", "from pkg import (clean)", "x = t.load(y)", "from ..up import clean", "import { clean, load } from './lib/a'", "const { load } = require('../b.ts')", '"example.com/m/auth"', '"fmt"', "auth.clean(z)", "import com.acme.Tool;", "import java.util.List;", "Tool.load(q)", "import x from 'react'", "")
+#: Import statements by event, in files of four kinds; some go over several lines.
+IMPORTS = (
+    "from .util import clean, load as ld", "import os", "import pkg.tools as t", "from pkg import (clean)", "x = t.load(y)", "from ..up import clean", "import {\n  clean,\n  load as l2\n} from './lib/a'", "const {\n  load\n} = require('../b.ts')",
+    'import (\n\t"fmt"\n\ta "example.com/m/auth"\n)', 'x := "example.com/no/thing"', "auth.clean(z)", "import com.acme.Tool;", "import java.util.List;", "Tool.load(q)", "import x from 'react'", 'import "example.com/m/late"', "late.clean(z); late.load(z)",
+    "import wide, { zeta } from './w'; import beta from './m'", "from a1 import zeta", "from b1 import beta", "from c1 import gamma", "",
+)
 FILES = ("src/a.py", "web/app/m.js", "svc/main.go", "src/main/java/com/B.java")
+WANTED = ("clean", "load", "zeta", "beta", "gamma", "Tool")
 
 
 def import_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, i = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int"))
     pr = F.floor(i / 20)
-    return e.select(pr.alias("pr_id"), pick(FILES, pr % 4).alias("path"), (i % 20).cast("int").alias("line_no"), pick(IMPORTS, F.floor(i * 11 / 3) % len(IMPORTS)).alias("text"))
+    rows = e.select(pr.alias("pr_id"), pick(FILES, pr % 4).alias("path"), (i % 20 * 5).cast("int").alias("at"), F.posexplode(F.split(pick(IMPORTS, F.floor(i * 11 / 3) % len(IMPORTS)), "\n")).alias("more", "text"))
+    return rows.select("pr_id", "path", (F.col("at") + F.col("more")).alias("line_no"), "text")
 
 
 def wanted(s, f):
-    return import_lines(s, f).select("pr_id", "path", F.explode(F.array(F.lit("clean"), F.lit("load"))).alias("name")).distinct()
+    return import_lines(s, f).select("pr_id", "path", F.explode(F.array(*map(F.lit, WANTED))).alias("name")).distinct()
 
 
 def _quoted(t: str) -> str:
     return "'" + t.replace("'", "''") + "'"
 
 
-#: What each statement resolves to, by file: (statement, file, name or null, alias, target).
+#: What each statement resolves to, by file: (statement, file, late, part, nth, name or null, alias, target).
 EXPECTED = (
-    (0, 0, "clean", None, "src/util.py"), (0, 0, "load", None, "src/util.py"), (2, 0, None, "t", "pkg/tools.py"), (3, 0, "clean", None, "pkg.py"),
-    (6, 1, "clean", None, "web/app/lib/a.js"), (6, 1, "load", None, "web/app/lib/a.js"), (7, 1, "load", None, "web/b.ts"),
-    (8, 2, None, "auth", "example.com/m/auth/auth.go"), (11, 3, None, "Tool", "src/main/java/com/acme/Tool.java"),
+    (0, 0, 0, 0, 0, "clean", None, "src/util.py"), (0, 0, 0, 0, 1, "load", None, "src/util.py"), (2, 0, 1, 0, 0, None, "t", "pkg/tools.py"), (3, 0, 0, 0, 0, "clean", None, "pkg.py"), (18, 0, 0, 0, 0, "zeta", None, "a1.py"), (19, 0, 0, 0, 0, "beta", None, "b1.py"), (20, 0, 0, 0, 0, "gamma", None, "c1.py"),
+    (6, 1, 0, 0, 0, "clean", None, "web/app/lib/a.js"), (6, 1, 0, 0, 0, "load", None, "web/app/lib/a.js"), (7, 1, 0, 0, 0, "load", None, "web/b.ts"), (17, 1, 0, 0, 0, "zeta", None, "web/app/w.js"), (17, 1, 0, 1, 0, "beta", None, "web/app/m.js"),
+    (8, 2, 0, 0, 1, None, "auth", "example.com/m/auth/auth.go"), (15, 2, 1, 0, 0, None, "late", "example.com/m/late/late.go"), (11, 3, 0, 0, 0, None, "Tool", "src/main/java/com/acme/Tool.java"), (11, 3, 0, 0, 0, "Tool", None, "src/main/java/com/acme/Tool.java"),
+)
+_VALUES = ", ".join(f"({i}, '{FILES[p]}', {late}, {part}, {nth}, {_quoted(n) if n else 'NULL'}, {_quoted(a) if a else 'NULL'}, '{t}')" for i, p, late, part, nth, n, a, t in EXPECTED)
+RESOLVED_SQL = f"""WITH lines AS (SELECT event_id // 20 AS pr_id, {list(FILES)}[event_id // 20 % 4 + 1] AS path, event_id % 20 AS line_no, event_id * 11 // 3 % {len(IMPORTS)} AS statement FROM events),
+known(statement, path, late, part, nth, name, alias, target) AS (VALUES {_VALUES}),
+found AS (SELECT l.pr_id, l.path, name, alias, target, (late, line_no, part, nth) AS place FROM lines l JOIN known k ON k.statement = l.statement AND k.path = l.path),
+called AS (SELECT DISTINCT pr_id, path, string_split(c, '.')[1] AS alias, string_split(c, '.')[2] AS name FROM (SELECT pr_id, path, unnest(regexp_extract_all([{', '.join(_quoted(x).replace(chr(10), ' ') for x in IMPORTS)}][statement + 1], '\\b(\\w+\\.\\w+)\\s*\\(', 1)) AS c FROM lines)),
+every AS (SELECT pr_id, path, name, place, target FROM found WHERE name IS NOT NULL UNION ALL SELECT f.pr_id, f.path, c.name, f.place, f.target FROM found f JOIN called c ON c.pr_id = f.pr_id AND c.path = f.path AND c.alias = f.alias WHERE f.name IS NULL),
+names AS (SELECT *, (place, name) AS first FROM (SELECT pr_id, path, name, min(place) AS place, arg_max(target, (place, target)) AS target FROM every WHERE name IN {WANTED} GROUP BY pr_id, path, name)),
+files AS (SELECT *, row_number() OVER (PARTITION BY pr_id, path ORDER BY first) AS nth FROM (SELECT pr_id, path, target, min(first) AS first FROM names GROUP BY ALL))
+SELECT pr_id, path, name, target FROM names n WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.pr_id = n.pr_id AND f.path = n.path AND f.nth = {imports.MAX_FILES + 1} AND n.first >= f.first)"""
+
+
+def diff_source(s: SparkSession, f: str) -> DataFrame:
+    """Diffs as files of their own in the shared folder, read again."""
+    at = findings.folder(s)
+    d.diffs(s, f).select("raw_diff", "pr_id").repartition("pr_id").write.partitionBy("pr_id").option("lineSep", "\x1e").text(at)
+    read = s.read.format("binaryFile").option("recursiveFileLookup", "true").load(at)
+    rows = texts.as_diffs(read.select(F.regexp_extract("path", r"pr_id=(\d+)/", 1).alias("pr_id"), "content"))
+    return rows.select("pr_id", F.md5(F.regexp_replace("raw_diff", "\x1e$", "")).alias("raw_diff"))
+
+
+#: The plan's chunks by files and bins, with the header in front of each chunk's hunks; all hunks of the test tables are in files with hunks.
+PLAN_TEXTS_SQL = d.with_diffs(
+    f"""SELECT p.pr_id, p.file_ord, p.path, p.bin, p.n_lines, p.placeholder, CAST(p.chunk AS INTEGER) AS chunk, CASE WHEN NOT placeholder THEN md5(concat_ws(chr(10), head, body)) END AS text
+FROM (SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY file_ord, bin) AS chunk FROM (SELECT pr_id, CAST(file_ord AS BIGINT) AS file_ord, path, CASE WHEN t THEN 0 ELSE bin END AS bin, CAST(sum(CASE WHEN t THEN 0 ELSE n_lines END) AS BIGINT) AS n_lines, t AS placeholder FROM (SELECT *, path LIKE '%/test\\_%' ESCAPE '\\' OR path LIKE '%/tests/%' AS t FROM bins) GROUP BY ALL)) p
+JOIN (SELECT pr_id, file_ord, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE hunk = 0) AS head FROM numbered GROUP BY ALL) h ON h.pr_id = p.pr_id AND h.file_ord = p.file_ord
+LEFT JOIN (SELECT n.pr_id, n.file_ord, bin, string_agg(line, chr(10) ORDER BY pos) AS body FROM numbered n JOIN bins b ON b.pr_id = n.pr_id AND b.file_ord = n.file_ord AND b.hunk = n.hunk GROUP BY ALL) k ON k.pr_id = p.pr_id AND k.file_ord = p.file_ord AND k.bin = p.bin WHERE p.chunk <= 4""",
+    hunks=d.HUNKS_SQL, bins=d.BINS_SQL.format(n=150), numbered="SELECT *, sum(CASE WHEN line LIKE '@@%' THEN 1 ELSE 0 END) OVER (PARTITION BY pr_id, file_ord ORDER BY pos) AS hunk FROM files",
 )
-_VALUES = ", ".join(f"({_quoted(IMPORTS[i])}, '{FILES[p]}', {_quoted(n) if n else 'NULL'}, {_quoted(a) if a else 'NULL'}, '{t}')" for i, p, n, a, t in EXPECTED)
-RESOLVED_SQL = f"""WITH lines AS (SELECT event_id // 20 AS pr_id, {list(FILES)}[event_id // 20 % 4 + 1] AS path, event_id % 20 AS line_no, [{', '.join(map(_quoted, IMPORTS))}][event_id * 11 // 3 % {len(IMPORTS)} + 1] AS text FROM events),
-known(text, path, name, alias, target) AS (VALUES {_VALUES}),
-found AS (SELECT l.pr_id, l.path, l.line_no, k.* EXCLUDE (text, path) FROM lines l JOIN known k ON k.text = l.text AND k.path = l.path),
-called AS (SELECT DISTINCT pr_id, path, string_split(c, '.')[1] AS alias, string_split(c, '.')[2] AS name FROM (SELECT pr_id, path, unnest(regexp_extract_all(text, '\\b(\\w+\\.\\w+)\\s*\\(', 1)) AS c FROM lines)),
-every AS (SELECT pr_id, path, name, line_no, target FROM found WHERE name IS NOT NULL UNION ALL SELECT f.pr_id, f.path, c.name, f.line_no, f.target FROM found f JOIN called c ON c.pr_id = f.pr_id AND c.path = f.path AND c.alias = f.alias WHERE f.name IS NULL)
-SELECT pr_id, path, name, arg_max(target, (line_no, target)) AS target FROM every WHERE name IN ('clean', 'load') GROUP BY ALL"""
 
 
 def answers(s, f):
@@ -187,7 +215,8 @@ EXPORTS = {
     ),
     "imports_resolved": (lambda s, f: imports.resolved(wanted(s, f), import_lines(s, f)), RESOLVED_SQL),
     "contents_lookup": (lookups, "SELECT page_id % 9 AS pr_id, 'f' || page_id AS path, CASE WHEN page_id % 4 = 0 THEN 'on disk' WHEN page_id % 5 <> 0 AND page_id % 11 <> 0 AND page_id % 7 <> 0 THEN substr(html, 1, 200) END AS text FROM pages"),
-    "chunk_plan_texts": (lambda s, f: diffs.planned_texts(d.diff_lines(s, f), 4), None),
+    "chunk_plan_texts": (lambda s, f: diffs.planned_texts(d.diff_lines(s, f), 4).withColumn("text", F.md5("text")), PLAN_TEXTS_SQL),
+    "diff_source": (diff_source, f"WITH diffs AS ({d.DIFF_SQL}) SELECT CAST(pr_id AS VARCHAR) AS pr_id, md5(raw_diff) AS raw_diff FROM diffs WHERE regexp_matches(raw_diff, '\\S')"),
     "scan_insert": (
         items,
         with_views("SELECT id, repo_id, pr_number, commit_sha, pr_url, verdict, severity, coalesce(regexp_replace(cwe_id, '^CWE-0+([0-9]+)', 'CWE-\\1'), 'N/A') AS cwe_id, greatest(0.0, least(1.0, CAST(confidence AS DOUBLE) * 3 - 1)) AS confidence, substr(repeat(title, 30), 1, 80) AS title, coalesce(provider, 'unknown') AS provider, scan_ms, id % 5 = 0 AS suppressed, CASE WHEN id % 5 = 0 THEN substr(repeat('because ', 40), 1, 200) END AS ignore_reason FROM shown", shown=SCANS_SQL),

@@ -100,8 +100,8 @@ FROM (SELECT DISTINCT s.pr_id, s.path, s.language, s.line_no AS sink_line, s.cat
 LEFT JOIN edges e ON e.pr_id = p.pr_id AND e.path = p.path AND e.line_no BETWEEN greatest(1, least(p.sink_line, p.source_line)) AND greatest(p.sink_line, p.source_line) GROUP BY ALL"""
 
 
-def with_code(body: str) -> str:
-    parts = {"code": CODE_SQL, "sinks": SINKS_SQL, "sources": SOURCES_SQL, "edges": EDGES_SQL, "taint": PATHS_SQL}
+def with_code(body: str, **more: str) -> str:
+    parts = {"code": CODE_SQL, "sinks": SINKS_SQL, "sources": SOURCES_SQL, "edges": EDGES_SQL, "taint": PATHS_SQL, **more}
     return f"WITH {', '.join(f'{k} AS ({x})' for k, x in parts.items())} {body}"
 
 
@@ -110,6 +110,46 @@ def taint(s, f):
     return rules.taint_paths(rules.sinks(rows), rules.sources(rows), rules.edges(rows))
 
 
+#: Lines that one chunk of the changes below holds at most, and chunks of one change.
+CHUNK_LINES, CHUNKS = 25, 5
+
+
+def code_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change of each file of code: a hunk for the first nine of every twenty lines, with added, kept and removed ones."""
+    rows = code(spark, sf_dir).withColumn("at", (F.col("line_no") - 1) % 20).filter("at < 9")
+    start = F.when(F.col("at") == 0, F.concat(F.lit("@@ -1,9 +"), F.col("line_no").cast("string"), F.lit(",9 @@\n"))).otherwise("")
+    gone = F.when(F.col("at") == 4, "-gone\n").otherwise("")
+    text = F.concat(start, gone, F.when(F.col("at") % 4 == 2, " ").otherwise("+"), "text")
+    whole = rows.groupBy("pr_id", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", text.alias("text")))), lambda x: x["text"]), "\n").alias("hunks"))
+    head = F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path", F.lit("\n--- a/"), "path", F.lit("\n+++ b/"), "path", F.lit("\n"))
+    return whole.select("pr_id", F.concat(head, "hunks").alias("raw_diff"))
+
+
+def chunk_changes(s, f):
+    """The added lines of each chunk of each change of code."""
+    return diffs.added_lines(diffs.chunk_lines(diffs.lines(code_diffs(s, f)), CHUNKS, CHUNK_LINES), "chunk")
+
+
+def chunk_taint(s, f):
+    rows, changed = code(s, f), chunk_changes(s, f)
+    return rules.taint_paths(rules.chunk_sinks(rows, changed), rules.chunk_sources(rows, changed), rules.edges(rows))
+
+
+#: The same without the text of a diff: hunks of nine lines and a removed one, packed by a running fill.
+CHUNK_CHANGES_SQL = f"""SELECT c.pr_id, chunk, c.path, line_no FROM code c JOIN (WITH RECURSIVE h AS (SELECT pr_id, path, hunk, row_number() OVER (PARTITION BY pr_id ORDER BY hunk) AS nth, n FROM (SELECT pr_id, path, (line_no - 1) // 20 AS hunk, count(*) + 1 + count_if((line_no - 1) % 20 = 4) AS n FROM code WHERE (line_no - 1) % 20 < 9 GROUP BY ALL)),
+w AS (SELECT *, n AS filled, 1 AS chunk FROM h WHERE nth = 1 UNION ALL SELECT h.*, CASE WHEN w.filled + h.n > {CHUNK_LINES} THEN h.n ELSE w.filled + h.n END, CASE WHEN w.filled + h.n > {CHUNK_LINES} THEN w.chunk + 1 ELSE w.chunk END FROM w JOIN h ON h.pr_id = w.pr_id AND h.nth = w.nth + 1)
+SELECT pr_id, hunk, chunk FROM w WHERE chunk <= {CHUNKS}) k ON k.pr_id = c.pr_id AND k.hunk = (line_no - 1) // 20 WHERE (line_no - 1) % 20 < 9 AND (line_no - 1) % 20 NOT IN (2, 6)"""
+CHUNK_SINKS_SQL = SINKS_SQL.replace(" WHERE changed AND", " JOIN changes USING (pr_id, path, line_no) WHERE")
+CHUNK_SOURCES_SQL = f"SELECT DISTINCT h.chunk, o.* FROM (SELECT pr_id, path, line_no, {_chain('sources')} AS category, CASE WHEN regexp_matches(text, '^\\s*(\\w+)\\s*=') THEN regexp_extract(text, '^\\s*(\\w+)\\s*=', 1) ELSE '<unknown>' END AS variable FROM code) o JOIN changes h ON h.pr_id = o.pr_id AND h.path = o.path AND abs(h.line_no - o.line_no) <= 50 WHERE category IS NOT NULL"
+CHUNK_TAINT_SQL = f"""SELECT p.pr_id, p.chunk, p.path, p.sink_line, p.sink, p.suppressed, p.source_line, p.source, p.variable, count(e.line_no) AS edges, coalesce(bool_or({HAS_KEYWORD}), false) AS sanitized
+FROM (SELECT s.pr_id, s.chunk, s.path, s.language, s.line_no AS sink_line, s.category AS sink, s.suppressed, coalesce(o.line_no, 0) AS source_line, coalesce(o.category, '<unknown>') AS source, coalesce(o.variable, '<unknown>') AS variable FROM chunk_sinks s LEFT JOIN chunk_sources o ON o.pr_id = s.pr_id AND o.chunk = s.chunk AND o.path = s.path) p
+LEFT JOIN edges e ON e.pr_id = p.pr_id AND e.path = p.path AND e.line_no BETWEEN greatest(1, least(p.sink_line, p.source_line)) AND greatest(p.sink_line, p.source_line) GROUP BY ALL"""
+
+
+def with_chunks(body: str) -> str:
+    return with_code(body, changes=CHUNK_CHANGES_SQL, chunk_sinks=CHUNK_SINKS_SQL, chunk_sources=CHUNK_SOURCES_SQL, chunk_taint=CHUNK_TAINT_SQL)
+
+
 def requests(s, f):
     t = Tables(s, f)
     return t.audit.select("repo_id", "id", F.col("created_at").alias("ts")).join(t.repos.select(F.col("id").alias("repo_id"), F.lit(3).alias("daily_limit")), "repo_id")
@@ -142,6 +182,41 @@ def unrepaired(s, f):
     return responses(s, f).filter("id % 41 <> 0").select("id", F.regexp_replace("content", '"title": "(t[0-9])"', '"title": "f\\("$1 {x}", shell=True\\)"').alias("content"))
 
 
+def cut_messages(s, f, how):
+    """Documents as the code of messages: between the marks, without marks (every fifth), or with marks the wrong way round (every seventh), cut by how(text)."""
+    i, a, b = F.col("doc_id"), F.lit(messages.OPEN), F.lit(messages.CLOSE)
+    text = F.coalesce("text", F.lit(""))
+    made = F.when(i % 5 == 0, text).when(i % 7 == 0, F.concat(b, text, a)).otherwise(F.concat(F.lit("Head of "), i.cast("string"), F.lit("\n"), a, text, b, F.lit("\ntail")))
+    return s.read.parquet(f"{f}/documents.parquet").select("doc_id", F.md5(how(made)).alias("message"))
+
+
+MESSAGES_SQL = f"SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN x WHEN doc_id % 7 = 0 THEN '{messages.CLOSE}' || x || '{messages.OPEN}' ELSE 'Head of ' || doc_id || chr(10) || '{messages.OPEN}' || x || '{messages.CLOSE}' || chr(10) || 'tail' END AS m FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)"
+_feeds = lambda t: t.replace("\n", "' || chr(10) || '")
+#: Of messages past the window of 700 tokens with a prompt of 1000 characters, the code's first 1300 characters are left.
+ADAPT_SQL = f"""SELECT doc_id, md5(CASE WHEN (length(m) + 1000) // 4 > 700 AND a > 0 AND b > 0 THEN substr(m, 1, a + {len(messages.OPEN)} - 1) || substr(m, a + {len(messages.OPEN)}, greatest(0, least(1300, b - a - {len(messages.OPEN)}))) || '{_feeds(messages.TRUNCATED)}' || substr(m, b) ELSE m END) AS message
+FROM (SELECT *, instr(m, '{messages.OPEN}') AS a, instr(m, '{messages.CLOSE}') AS b FROM ({MESSAGES_SQL}))"""
+TRIM_BYTES = 400
+
+
+def _first_sql(text: str, size: str) -> str:
+    """The longest start within a size in bytes, by trying all lengths."""
+    return f"CASE WHEN strlen({text}) <= {size} THEN {text} ELSE list_max(list_filter(list_transform(range({TRIM_BYTES + 1}), lambda n: substr({text}, 1, n)), lambda x: strlen(x) <= {size})) END"
+
+
+def _last_sql(text: str, size: str) -> str:
+    return f"reverse({_first_sql(f'reverse({text})', size)})"
+
+
+_note = f"'{_feeds(messages.TRIMMED)}'"
+_half = (TRIM_BYTES - len(messages.TRIMMED.encode())) // 2
+TRIM_SQL = f"""SELECT doc_id, md5(CASE WHEN strlen(m) <= {TRIM_BYTES} THEN m WHEN a > 0 AND b >= a THEN {_first_sql("head", "for_head")} || CASE WHEN room > 0 THEN {_first_sql("code", "room")} || {_note} ELSE '' END || tail ELSE {_first_sql("m", str(_half))} || {_note} || {_last_sql("m", str(_half))} END) AS message
+FROM (SELECT *, least(strlen(head), {TRIM_BYTES} - strlen(tail)) AS for_head, {TRIM_BYTES - len(messages.TRIMMED.encode())} - strlen(head) - strlen(tail) AS room FROM (SELECT *, substr(m, 1, a + {len(messages.OPEN) - 1}) AS head, substr(m, a + {len(messages.OPEN)}, greatest(0, b - a - {len(messages.OPEN)})) AS code, substr(m, b) AS tail
+  FROM (SELECT *, instr(m, '{messages.OPEN}') AS a, instr(m, '{messages.CLOSE}') AS b FROM ({MESSAGES_SQL}))))"""
+_matched = "CASE " + " ".join(f"WHEN language = '{lang}' AND regexp_matches(text, {_quoted('(?i)' + p)}) THEN regexp_extract(text, {_quoted('(?i)' + p)}, 0)" for lang in LANGS for _, p in rules.CATALOGUE[lang].sinks) + " END"
+NAMES_SQL = with_code(f"""SELECT DISTINCT pr_id, path, name FROM (
+  SELECT pr_id, path, unnest(regexp_extract_all(from_var || ' ' || to_var, '\\b([a-zA-Z_]\\w*)\\s*\\(', 1)) AS name FROM edges
+  UNION ALL SELECT pr_id, path, '#' || regexp_extract(trim(string_split(trim(regexp_replace({_matched}, '\\(+$', '')), '(')[1]), '[^.]*$', 0) FROM sinks) t(pr_id, path, found), (SELECT ltrim(found, '#') AS name) n
+WHERE length(name) > 2 AND (found LIKE '#%' OR name NOT IN {messages.SKIPPED_NAMES})""")
 COMMENT_SQL = d.with_paths("""SELECT c.pr_id, '- Files changed: **' || total || '**' || chr(10) || '- Files analyzed: **' || analyzed || '**' || chr(10) || '- Files skipped: **' || (total - analyzed) || '**' || chr(10) || '- Skip reasons:' || chr(10) || coalesce(skips, '  - (none)') AS comment
 FROM (SELECT pr_id, count(*) AS total, count(*) FILTER (WHERE selected AND EXISTS (SELECT 1 FROM calls k WHERE k.pr_id = x.pr_id AND k.place = x.place)) AS analyzed FROM selected x GROUP BY pr_id) c LEFT JOIN (SELECT pr_id, string_agg('  - `' || bucket || '`: ' || n, chr(10) ORDER BY bucket) AS skips FROM (SELECT pr_id, bucket, count(*) AS n FROM selected WHERE bucket IS NOT NULL GROUP BY ALL) GROUP BY pr_id) h ON h.pr_id = c.pr_id""")
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -161,6 +236,9 @@ FINDINGS = {
     "sources": (lambda s, f: rules.sources(code(s, f)), with_code("SELECT pr_id, path, line_no, category, variable FROM sources")),
     "edges": (lambda s, f: rules.edges(code(s, f)), with_code("SELECT * FROM edges")),
     "taint_paths": (lambda s, f: taint(s, f).drop("sanitizer"), with_code("SELECT * FROM taint")),
+    "chunk_changes": (lambda s, f: chunk_changes(s, f).drop("text"), with_chunks("SELECT * FROM changes")),
+    "chunk_taint": (lambda s, f: chunk_taint(s, f).drop("sanitizer"), with_chunks("SELECT * FROM chunk_taint")),
+    "chunk_primary_sink": (lambda s, f: rules.primary_sinks(chunk_taint(s, f)), with_chunks("SELECT pr_id, chunk, path, min(sink_line) AS sink_line, bool_and(suppressed) AS all_suppressed, count(*) AS paths FROM chunk_taint GROUP BY ALL")),
     "sanitized": (lambda s, f: taint(s, f).filter("sanitized").select("pr_id", "sink_line", "source_line"), with_code("SELECT pr_id, sink_line, source_line FROM taint WHERE sanitized")),
     "primary_sink": (lambda s, f: rules.primary_sinks(taint(s, f)), with_code("SELECT pr_id, path, min(sink_line) AS sink_line, bool_and(suppressed) AS all_suppressed, count(*) AS paths FROM taint GROUP BY pr_id, path")),
     "feedback_latest": (T(state.latest_feedback), with_views("SELECT scan_id, github_id, correct_verdict, reason FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, github_id ORDER BY created_at DESC, correct_verdict) AS n FROM feedback) WHERE n = 1")),
@@ -202,7 +280,9 @@ FINDINGS = {
         lambda s, f: unrepaired(s, f).select("id", messages.repaired(v.strip_fence(F.col("content"))).alias("content")),
         with_verdicts(f"""SELECT id, regexp_replace(regexp_replace(regexp_replace(content, '^{FENCE}json' || chr(10), ''), chr(10) || '{FENCE}$', ''), '"title": "(t[0-9])"', '"title": "f(\\\\"\\1 {{x}}\\\\", shell=True)"') AS content FROM responses WHERE id % 41 <> 0"""),
     ),
-    "import_names": (lambda s, f: messages.tainted_names(rules.edges(code(s, f)), rules.sinks(code(s, f))), None),
+    "import_names": (lambda s, f: messages.tainted_names(rules.edges(code(s, f)), rules.sinks(code(s, f))), NAMES_SQL),
+    "message_adapt": (lambda s, f: cut_messages(s, f, lambda m: messages.adapted(m, 1000, 700)), ADAPT_SQL),
+    "message_trim": (lambda s, f: cut_messages(s, f, lambda m: messages.trimmed(m, TRIM_BYTES)), TRIM_SQL),
     "import_bodies": (lambda s, f: messages.function_bodies(code(s, f).withColumn("text", F.when(F.col("line_no") % 20 == 1, F.lit("def helper(x):")).otherwise(F.concat(F.lit("    "), "text"))).withColumn("language", F.lit("python"))), None),
     "rate_limit_accepts": (lambda s, f: state.accept(requests(s, f)), ACCEPTS_SQL),
     "stream_rate_limit": (lambda s, f: findings.accepted_now(s, f, limit=3), ACCEPTS_SQL),

@@ -10,8 +10,13 @@ def diff_files(spark: SparkSession, path: str) -> DataFrame:
     """pr_id (the file's name without its suffix), raw_diff: whole files, blank ones left out; bytes that are no UTF-8 become replacement characters. A missing path is an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    return as_diffs(files.select(name.alias("pr_id"), "content"))
+
+
+def as_diffs(files: DataFrame) -> DataFrame:
+    """pr_id, raw_diff from pr_id, content (bytes)."""
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    return files.select(name.alias("pr_id"), text.alias("raw_diff")).filter(F.trim(F.regexp_replace("raw_diff", r"\s", "")) != "")
+    return files.select("pr_id", text.alias("raw_diff")).filter(F.trim(F.regexp_replace("raw_diff", r"\s", "")) != "")
 
 
 def decoded(encoded: Column) -> Column:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from siftlake.functions import ranks
 
@@ -51,46 +52,153 @@ def folder(spark: SparkSession) -> str:
     return f"{(root or tempfile.mkdtemp(prefix='siftlake-streams-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def _numbers(spark: SparkSession, path: str, pattern: str) -> list[int]:
+    """The numbers in the names of a folder's entries that match, in order; none where the folder is missing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in files.listStatus(at)] if files.exists(at) else []
+    return sorted(int(m[1]) for m in (re.fullmatch(pattern, n) for n in names) if m)
+
+
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """State in RocksDB, which timers and several states of a key need; the session's setting comes back afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+class Snapshots:
+    """A table written anew by each batch of a stream, beside the one before it, under the batch's number.
+
+    Nothing is kept on the driver: the table before a batch is the complete one of the highest lower number, so a batch that runs again after a failure writes the same
+    rows over what it left; the current table is that of the last batch that the stream's checkpoint has committed. Tables before the last two go."""
+
+    def __init__(self, spark: SparkSession, path: str, checkpoint: str):
+        self.spark, self.path, self.checkpoint = spark, path.rstrip("/"), checkpoint.rstrip("/")
+
+    def complete(self) -> list[int]:
+        """Numbers of the tables that were written to the end."""
+        of = self.spark._jvm.org.apache.hadoop.fs.Path
+        files = of(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [n for n in _numbers(self.spark, self.path, r"batch-(\d+)") if files.exists(of(f"{self.path}/batch-{n}/_SUCCESS"))]
+
+    def before(self, batch: int) -> DataFrame | None:
+        known = [n for n in self.complete() if n < batch]
+        return self.spark.read.parquet(f"{self.path}/batch-{known[-1]}") if known else None
+
+    def write(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch-{batch}")
+        for old in [n for n in self.complete() if n < batch][:-1]:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch-{old}")
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def current(self) -> DataFrame | None:
+        """The table after the last committed batch; None before the first."""
+        committed = _numbers(self.spark, f"{self.checkpoint}/commits", r"(\d+)")
+        return self.before(committed[-1] + 1) if committed else None
+
+
+def run_snapshots(stream: DataFrame, path: str, checkpoint: str, step: Callable[[DataFrame | None, DataFrame], DataFrame], mode: str = "append") -> DataFrame | None:
+    """Run a stream over all that is there now, each batch folded into the table before it by step(known, arrived); the current table. Started again, it goes on where it stopped."""
+    tables = Snapshots(stream.sparkSession, path, checkpoint)
+    stream.writeStream.foreachBatch(lambda rows, batch: tables.write(step(tables.before(batch), rows), batch)).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return tables.current()
+
+
 def all_now(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """What a stream gives for all that is there now, through tables in the shared folder: in append mode all rows, in complete mode the last batch's."""
     at = folder(spark)
     if mode == "append":
         run_available(stream, f"{at}/rows", f"{at}/state")
         return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+    rows = run_snapshots(stream, f"{at}/rows", f"{at}/state", lambda _, arrived: arrived, mode)
+    return spark.createDataFrame([], stream.schema) if rows is None else rows
+
+
+HOUR = 3_600_000_000
+#: The repository of a closing request, which is none.
+CLOSING = -(2**63)
+
 
-    def keep(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{at}/rows-{batch % 2}")
-        last[0] = batch % 2
+class RateLimit(StatefulProcessor):
+    """One repository's requests: those that wait for the watermark, and the times of those accepted in the window.
 
-    last = [0]
-    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/rows-{last[0]}")
+    Requests are decided in order of time once the watermark has passed them, whatever the order in which they arrived; a timer calls for that. Another one
+    ends the state when all accepted times are out of the window."""
 
+    def __init__(self, limit: int, hours: int):
+        self.limit, self.span = limit, hours * HOUR
 
-def accepted(requests: DataFrame, limit: int, hours: int = 24) -> DataFrame:
-    """The rate limit as a stateful stream: repo_id, id, accepted. requests: repo_id, id, at (microseconds), in one batch or in order of arrival.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at bigint, id bigint")
+        self.kept = handle.getValueState("kept", "times array<bigint>")
 
-    A repository's state is the times of its accepted requests in the window, `limit` at most."""
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in rows:
+            self.waiting.appendList(list(zip(part["at"].astype(int).tolist(), part["id"].astype(int).tolist(), strict=True)))
+            first = min(x for x in (first, int(part["at"].min())) if x is not None)
+        if first is not None:
+            self._call(first)
+        return iter(())
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = deque(state.get[0]) if state.exists else deque()
-        rows = pd.concat(list(batches)).sort_values(["at", "id"])
+    def _call(self, at: int) -> None:
+        """A timer for when the watermark, in milliseconds, is past a time in microseconds."""
+        self.handle.registerTimer(at // 1000 + 1)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted((int(at), int(i)) for at, i in self.waiting.get()) if self.waiting.exists() else []
+        due, later = [r for r in rows if r[0] < mark], [r for r in rows if r[0] >= mark]
+        kept = [int(x) for x in self.kept.get()[0]] if self.kept.exists() else []
         flags = []
-        for at in rows["at"].tolist():
-            while kept and kept[0] <= at - hours * 3_600_000_000:
-                kept.popleft()
-            flags.append(len(kept) < limit)
+        for at, _ in due:
+            kept = [x for x in kept if x > at - self.span]
+            flags.append(len(kept) < self.limit)
             if flags[-1]:
                 kept.append(at)
-        state.update((list(kept),))
-        yield pd.DataFrame({"repo_id": rows["repo_id"], "id": rows["id"], "accepted": flags})
+        kept = [x for x in kept if later or x > mark - self.span]
+        if later:
+            self.waiting.put(later)
+            self._call(later[0][0])
+        else:
+            self.waiting.clear()
+        if kept:
+            self.kept.update((kept,))
+            self._call(kept[-1] + self.span)
+        else:
+            self.kept.clear()
+        if due:
+            yield pd.DataFrame({"repo_id": [key[0]] * len(due), "id": [i for _, i in due], "accepted": flags})
+
+    def close(self) -> None:
+        pass
+
 
-    return requests.groupBy("repo_id").applyInPandasWithState(run, "repo_id bigint, id bigint, accepted boolean", "kept array<bigint>", "append", "NoTimeout")
+def accepted(requests: DataFrame, limit: int, hours: int = 24, late: str = "1 day") -> DataFrame:
+    """The rate limit as a stateful stream: repo_id, id, accepted. requests: repo_id, id, ts, in any order of arrival.
+
+    A request is decided when the watermark, `late` behind the newest one, has passed it; a request that arrives later than that is not decided. A repository's
+    state is its requests of that time and `limit` accepted times. Needs the RocksDB state store."""
+    rows = requests.select("repo_id", "id", "ts", F.unix_micros("ts").alias("at")).withWatermark("ts", late)
+    return rows.groupBy("repo_id").transformWithStateInPandas(RateLimit(limit, hours), "repo_id bigint, id bigint, accepted boolean", "append", "EventTime")
 
 
 def accepted_now(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
-    rows = arriving(spark, sf_dir).select(F.col("user_id").alias("repo_id"), F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    return all_now(spark, accepted(rows, limit), "append")
+    """The flags of all requests that are there now. A closing request far ahead, in a file of its own that comes last, lets the watermark pass all others; it is left out."""
+    at = folder(spark)
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("repo_id"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    rows.write.parquet(f"{at}/in/1")
+    rows.agg(F.max("ts").alias("ts")).filter("ts IS NOT NULL").select(F.lit(CLOSING).alias("repo_id"), F.lit(CLOSING).alias("id"), (F.col("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts")).coalesce(1).write.parquet(f"{at}/in/2")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in/*")
+    with rocks(spark):
+        return all_now(spark, accepted(stream, limit), "append").filter(F.col("repo_id") != CLOSING)
 
 
 def fold_feedback(known: DataFrame | None, arrived: DataFrame) -> DataFrame:
@@ -99,16 +207,13 @@ def fold_feedback(known: DataFrame | None, arrived: DataFrame) -> DataFrame:
     return rows.groupBy("scan_id", "user_id").agg(F.max_by(F.struct("verdict", "ts", "event_id"), F.struct("ts", "event_id")).alias("last")).select("scan_id", "user_id", "last.*")
 
 
+def feedback(arriving_rows: DataFrame) -> DataFrame:
+    """Events as feedback: scan_id, user_id, verdict, ts, event_id."""
+    return arriving_rows.select((F.col("event_id") % 50).alias("scan_id"), "user_id", F.col("event_type").alias("verdict"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+
+
 def folded_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feedback table after a stream of feedback: each batch is merged into the table before it, written beside it."""
     at = folder(spark)
-    tables: list[str] = []
-
-    def merge(rows: DataFrame, batch: int) -> None:
-        known = spark.read.parquet(tables[-1]) if tables else None
-        fold_feedback(known, rows).write.mode("overwrite").parquet(f"{at}/table-{batch}")
-        tables.append(f"{at}/table-{batch}")
-
-    rows = arriving(spark, sf_dir).select((F.col("event_id") % 50).alias("scan_id"), "user_id", F.col("event_type").alias("verdict"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(tables[-1]).select("scan_id", "user_id", "verdict")
+    rows = run_snapshots(feedback(arriving(spark, sf_dir)), f"{at}/table", f"{at}/state", fold_feedback)
+    return rows.select("scan_id", "user_id", "verdict")

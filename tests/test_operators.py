@@ -292,9 +292,11 @@ def test_imported_definitions(spark):
 
 
 def test_rate_limit_state_goes_on_between_batches(spark, tmp_path):
-    """Two files in two batches give what one batch gives."""
-    for i, rows in enumerate([[(1, 1, 0), (1, 2, 10)], [(1, 3, 20), (1, 4, 3_600_000_000)]]):
-        spark.createDataFrame(rows, "repo_id bigint, id bigint, at bigint").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-    stream = spark.readStream.schema("repo_id bigint, id bigint, at bigint").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    got = findings.all_now(spark, findings.accepted(stream, limit=2, hours=1), "append")
-    assert sorted((r.id, r.accepted) for r in got.collect()) == [(1, True), (2, True), (3, False), (4, True)]
+    """Two files in two batches give what one batch gives; a request of another repository at the end lets the watermark pass them."""
+    start = datetime.datetime(2024, 1, 1)
+    for i, rows in enumerate([[(1, 1, 0), (1, 2, 10)], [(1, 3, 20), (1, 4, 3_600_000_000)], [(2, 5, 10**12)]]):
+        spark.createDataFrame([(r, n, start + datetime.timedelta(microseconds=at)) for r, n, at in rows], "repo_id bigint, id bigint, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema("repo_id bigint, id bigint, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    with findings.rocks(spark):
+        got = findings.all_now(spark, findings.accepted(stream, limit=2, hours=1, late="1 hour"), "append")
+        assert sorted((r.id, r.accepted) for r in got.collect()) == [(1, True), (2, True), (3, False), (4, True)]

@@ -1,11 +1,11 @@
 import pytest
 
 import __spark_entry__
-from siftlake.plans import diff_queries, export_queries, finding_queries, warehouse_queries
+from siftlake.plans import diff_queries, export_queries, finding_queries, stored_queries, warehouse_queries
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.01"
-REGISTRIES = [warehouse_queries, diff_queries, finding_queries, export_queries]
+REGISTRIES = [warehouse_queries, diff_queries, finding_queries, export_queries, stored_queries]
 NAMES = [(r, n) for r in REGISTRIES for n in r.QUERIES if n in r.ORACLE_SQL]
 #: Where no row is a fine answer on these tables.
 MAY_BE_EMPTY: set[str] = set()
