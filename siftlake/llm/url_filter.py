@@ -35,7 +35,10 @@ def host_of(url: Column) -> Column:
 
 
 def path_of(url: Column) -> Column:
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
+    """What follows the host up to ? or #; a later :// is a part of the path or behind it."""
+    url = F.coalesce(url, F.lit(""))
+    rest = F.when(F.contains(url, F.lit("://")), F.substring(url, F.locate("://", url) + 3, F.length(url))).otherwise("")
+    return F.regexp_extract(rest, r"(?s)^[^/?#]*+([^?#]*)", 1)
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -84,6 +85,25 @@ def test_empty_table(spark):
     assert U.judge(spark.createDataFrame([], "page_id int, url string")).count() == 0
 
 
+def test_later_schemes_and_random_urls(spark):
+    """Host and path by plain string steps, also where ? and # come before a path or a second scheme follows."""
+    pick = random.Random(3)
+    urls = ["https://example.com?redirect=https://x.net/es/", "http://www.example.com#x://y/en/", "http://a.net/x?u=http://b.net/es/", "http://a.net://b/es/", "x:y://h/p", "://h/p"]
+    urls += ["".join(pick.choice(["a", "B", "/", "?", "#", "://", ":", ".net", "\n", "/es/"]) for _ in range(pick.randint(0, 9))) for _ in range(400)]
+
+    def cut(url):
+        at = url.find("://")
+        rest = url[at + 3 :] if at >= 0 else ""
+        end = min([i for i in map(rest.find, "/?#") if i >= 0], default=len(rest))
+        stop = min([i for i in (rest.find("?", end), rest.find("#", end)) if i >= 0], default=len(rest))
+        return re.sub("[A-Z]", lambda c: c[0].lower(), rest[:end]), rest[end:stop]
+
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    for r in rows.select("url", U.host_of(F.col("url")).alias("host"), U.path_of(F.col("url")).alias("path")).collect():
+        assert (r.host, r.path) == cut(r.url), r.url
+    assert {r.rule for r in U.judge(rows.filter("page_id < 2")).collect()} == {None}
+
+
 @pytest.mark.parametrize("name", ["host_of", "path_of"])
 def test_whole_table(spark, name):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
