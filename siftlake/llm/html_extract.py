@@ -1,7 +1,7 @@
 """HTML extraction with a suffix array for each host.
 
 A page's markup is cut into blocks of text, each with its slot (the elements above it) and a weight from what the markup declares:
-noise (menus, headers, footers, sidebars, notices, adverts, forms, reader comments, by their elements and names), an article, a hint, or nothing.
+noise that repeats (menus, headers, notices, adverts, forms, by their elements and names), noise that may be unique to a page (reader comments, sidebars, footers, hidden parts), an article, a hint, or nothing.
 
 First pass. The token streams of a host's pages are concatenated and their suffixes sorted by prefix doubling, to their full length; the longest common prefixes of neighbours
 in that order give every run of RUN or more tokens, and every whole shorter block, that distinct pages share. A page votes if a fifth of its text at
@@ -9,13 +9,16 @@ least is its own (copies of an article have none, so copies never vote their tex
 
 * a run is boilerplate of the host if, with confidence, over half of the host's voting pages have it (lower bound of Wilson's interval at z = 2.58,
   so seven pages of seven are enough, and six are not);
-* a slot is boilerplate if most tokens that voting pages have in it are covered by shared runs: the log odds of that share, within +-4, plus the declared weight, pass 1 (undeclared: nearly three of four tokens).
+* a slot of a host is boilerplate if the log odds, within +-4, that tokens in it are covered by shared runs, plus the declared weight, pass 1 (undeclared: nearly three of four tokens). The odds are those of the
+  host's own voting pages where these are certain that most tokens are the host's own, or boilerplate (Wilson's interval, RUN tokens counted as one); otherwise those of the same slot on all hosts.
+  So other hosts judge what a host is too small to judge, and never outweigh its own evidence.
 
 Hosts of more than `tile_pages` pages are split into tiles by a hash of page id and url; a run that reaches half of the host reaches an eighth of some tile, and
 from there its votes are summed over the host's tiles. Smaller hosts share tiles, so that the slots of a thin host are judged by runs that other hosts have too.
 
 Second pass. Blocks of boilerplate slots go, then what covered runs are left in the others; the unique runs stay. A page with an article keeps blocks of its
-article only. With `names` off nothing is declared, and the runs decide alone.
+article only. A declaration only ever adds to the odds: a slot of repeating noise whose text is unique on its host stays; only noise that may be unique weighs more than all votes.
+With `names` off nothing is declared, and the runs decide alone.
 
 Null html counts as empty and gives an empty text; null urls share the empty host. Character references are decoded; white
 space inside a block becomes one space; blocks are joined by one space in page order. Repeated rows and null ids
@@ -27,6 +30,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -40,8 +44,8 @@ from .url_filter import host_of
 
 #: Tokens of the shortest run inside longer text that counts as repeated.
 RUN = 8
-#: Weights in log odds: declared noise, a hint of noise, mostly linked text, an article.
-NOISE, HINT, LINKS, MAIN = 6.0, 1.5, 1.0, -6.0
+#: Weights in log odds, which votes shift by 4 at most: declared noise that may be unique, and that repeats; a hint of noise, mostly linked text, an article.
+UNIQUE, NOISE, HINT, LINKS, MAIN = 6.0, 4.0, 1.5, 1.0, -6.0
 #: Log odds at which an undeclared slot is boilerplate: nearly three of four tokens repeat.
 LEAST = 1.0
 #: Least share of a page's tokens that no other page has, for the page to vote.
@@ -49,9 +53,13 @@ OWN = 0.2
 #: Host summaries that are broadcast hold so many numbers at most (8 bytes each); larger ones are joined by a shuffle.
 BROADCAST = 2_000_000
 SALTS = 16
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|title|select|button"
-MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[/!?]?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[/!?][^>]*>", re.S | re.I)
+#: Elements whose content is no text; those of the second row stand inside lines.
+RAW = frozenset("script style noscript template textarea iframe title select".split()) | {"svg", "math", "object", "button"}
+IN_LINE = frozenset({"svg", "math", "object", "button"})
+#: The rest of a tag; quoted values may hold the bracket that ends it.
+TAG_REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(.*)>\Z", re.S)
+RAW_ENDS = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW}
 NAMED = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -95,6 +103,7 @@ class Block(NamedTuple):
     text: str
     weight: float
     slot: str
+    main: bool = False
 
 
 def _slot(name: str, attributes: str) -> str:
@@ -105,11 +114,95 @@ def _slot(name: str, attributes: str) -> str:
     return name
 
 
+def markup(page: str) -> Iterator[tuple[int, int, str, str]]:
+    """start, end, kind and tag of each piece of markup: 'tag', 'raw' (an element with its content; tag is its opening one), 'data' or 'none' (comments and declarations).
+
+    The scan never goes back: a search that has reached the end of the page without a find is not made again. A `<` that begins no markup is text."""
+    at = 0
+    quotes = brackets = data = True
+    while (start := page.find("<", at)) >= 0:
+        at, first = start + 1, page[start + 1 : start + 3]
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, "none", ""
+            continue
+        if data and page.startswith("<![CDATA[", start):
+            end = page.find("]]>", start + 9)
+            data = end >= 0
+            if data:
+                at = end + 3
+                yield start, at, "data", page[start:at]
+                continue
+        name = first[1:2] if first[:1] in ("/", "!", "?") else first[:1]
+        tag = name.isascii() and name.isalpha()
+        if not brackets or not (tag or first[:1] in ("/", "!", "?")):
+            continue
+        end = -1
+        if tag and quotes:
+            found = TAG_REST.match(page, start + 1)
+            end, quotes = (found.end(), True) if found else (-1, False)
+        if end < 0:  # a quote that never closes, or a declaration: the next bracket ends it
+            end = page.find(">", start + 1) + 1
+            brackets = end > 0
+            if not brackets:
+                continue
+        at, whole = end, page[start:end]
+        opened = TAG.match(whole)
+        raw = opened and not opened[1] and opened[2].lower()
+        if raw in RAW:
+            closed = RAW_ENDS[raw].search(page, end)
+            at = closed.end() if closed else len(page)
+            yield start, at, "raw", whole
+        else:
+            yield start, at, "tag" if opened else "none", whole
+
+
+class _Open:
+    """The open elements around a place of a page; each step costs the same at any depth."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.places: list[str] = []
+        self.steps: list[str] = []
+        self.open, self.within = Counter(), Counter()
+        #: Depths of open elements of repeating noise, without those that were never closed.
+        self.soft: list[int] = []
+
+    def push(self, name: str, place: str, step: str) -> None:
+        if place == "soft":
+            self.soft.append(len(self.names))
+        self.names.append(name)
+        self.places.append(place)
+        self.steps.append(step)
+        self.open[name] += 1
+        self.within[place] += 1
+
+    def pop(self) -> str:
+        name, place = self.names.pop(), self.places.pop()
+        self.steps.pop()
+        self.open[name] -= 1
+        self.within[place] -= 1
+        if self.soft and self.soft[-1] == len(self.names):
+            self.soft.pop()
+        return name
+
+    def close(self, name: str) -> bool:
+        """Close the innermost element of this name with all that it holds."""
+        if not self.open[name]:
+            return False
+        while self.pop() != name:
+            pass
+        return True
+
+    def inside(self, place: str) -> bool:
+        return bool(self.soft) if place == "soft" else self.within[place] > 0
+
+
 def blocks_of(page: str, names: bool = True) -> list[Block]:
     """All blocks of text in page order; without `names` nothing is declared."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
-    steps: list[str] = []
+    around = _Open()
     text: list[str] = []
     linked = length = in_link = 0
 
@@ -117,59 +210,55 @@ def blocks_of(page: str, names: bool = True) -> list[Block]:
         nonlocal linked, length
         block = " ".join(html.unescape("".join(text)).split())
         if block:
-            places = {p for _, p in stack if p}
-            weight = 0.0
+            main, weight = names and around.inside("main"), 0.0
             if names:
-                weight = MAIN if "main" in places else (LINKS if linked > 0.6 * length else 0) + (HINT if "hint" in places else 0)
-                weight = NOISE if places & {"hard", "soft"} else weight
-            out.append(Block(block, weight, ">".join(steps[: len(stack)][-6:])))
+                weight = MAIN if main else (LINKS if linked > 0.6 * length else 0) + (HINT if around.inside("hint") else 0)
+                weight = UNIQUE if around.inside("hard") else NOISE if around.inside("soft") else weight
+            out.append(Block(block, weight, ">".join(around.steps[-6:]), main))
         text.clear()
         linked = length = 0
 
     at = 0
-    for m in MARKUP.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    for start, end, kind, whole in markup(page):
+        if start > at:
+            piece = page[at:start]
             text.append(piece)
             size = len(piece.strip())
             length += size
             linked += size if in_link else 0
-        at = m.end()
-        whole = m.group()
-        if whole.startswith("<![CDATA["):
+        at = end
+        if kind == "data":
             text.append(html.escape(whole[9:-3]))
             continue
-        if m.group(1) or not (tag := TAG.match(whole)):
-            if m.group(1) and m.group(1).lower() not in ("svg", "math", "object", "button"):
-                flush()
+        if kind == "none":
             continue
+        tag = TAG.match(whole)
         closing, name, rest = tag.group(1), tag.group(2).lower(), tag.group(3)
+        if kind == "raw":
+            if name not in IN_LINE:
+                flush()
+            continue
         if name == "a":
             in_link = 0 if closing else 1
         if name in INLINE and not (not closing and _place(name, rest)):
-            if closing and any(n == name for n, _ in stack):
+            if closing and around.open[name]:
                 flush()
-                while stack.pop()[0] != name:
-                    pass
+                around.close(name)
             continue
         flush()
         if name in VOID or rest.endswith("/") and not closing:
             continue
         if closing:
-            if any(n == name for n, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
+            around.close(name)
             continue
-        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name and not stack[-1][1]:
-            stack.pop()
+        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and around.names and around.names[-1] == name and not around.places[-1]:
+            around.pop()
         place = _place(name, rest)
-        if place == "soft" and name == "header" and any(p == "main" for _, p in stack):
+        if place == "soft" and name == "header" and around.inside("main"):
             place = ""  # an article's own header holds its title
-        if place == "main" and any(p == "soft" for _, p in stack) and not any(p == "hard" for _, p in stack):
-            stack[:] = [(n, "" if p == "soft" else p) for n, p in stack]  # an element that was never closed
-        del steps[len(stack) :]
-        stack.append((name, place))
-        steps.append(_slot(name, rest))
+        if place == "main" and not around.inside("hard"):
+            around.soft.clear()  # an element that was never closed
+        around.push(name, place, _slot(name, rest))
     text.append(page[at:])
     length += len(page[at:].strip())
     flush()
@@ -285,9 +374,9 @@ def unpack(page: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 def kept_text(blocks: list[Block], runs: np.ndarray, slots: set[int]) -> str:
     """A page's text: without blocks of boilerplate slots, and without the tokens that boilerplate runs cover."""
-    keep = [b.weight < NOISE and _slot_key(b) not in slots for b in blocks]
-    if any(k and b.weight == MAIN for k, b in zip(keep, blocks, strict=True)):
-        keep = [k and b.weight == MAIN for k, b in zip(keep, blocks, strict=True)]
+    keep = [_slot_key(b) not in slots for b in blocks]
+    if any(k and b.main for k, b in zip(keep, blocks, strict=True)):
+        keep = [k and b.main for k, b in zip(keep, blocks, strict=True)]
     if not len(runs):
         return " ".join(b.text for k, b in zip(keep, blocks, strict=True) if k)
     words = [b.text.split(" ") for b in blocks]
@@ -298,10 +387,11 @@ def kept_text(blocks: list[Block], runs: np.ndarray, slots: set[int]) -> str:
     return " ".join(t for t, s in zip((t for w in words for t in w), stay.tolist(), strict=True) if s)
 
 
-def _likely(support: Column, votes: Column, z: float = 2.58) -> Column:
-    """Whether a share of over one half is certain: Wilson's lower bound."""
-    p = support / votes
-    return (p + z * z / (2 * votes) - z * F.sqrt(p * (1 - p) / votes + z * z / (4 * votes * votes))) / (1 + z * z / votes) >= 0.5
+def _bounds(part: Column, whole: Column, z: float = 2.58) -> tuple[Column, Column]:
+    """Wilson's interval of a share."""
+    p = part / whole
+    middle, reach = p + z * z / (2 * whole), z * F.sqrt(p * (1 - p) / whole + z * z / (4 * whole * whole))
+    return (middle - reach) / (1 + z * z / whole), (middle + reach) / (1 + z * z / whole)
 
 
 def evidence(pages: DataFrame, tile_pages: int, names: bool) -> DataFrame:
@@ -354,10 +444,15 @@ def boilerplate(found: DataFrame) -> DataFrame:
     """host, runs, slots: the keys of each host's boilerplate (a run is on half of the host's pages, so there are no more than twice a page's tokens)."""
     of = lambda kind: found.filter(F.col("kind") == kind)
     votes = of("votes").select("host", F.col("n").alias("votes"))
-    runs = of("run").join(votes, "host").filter(_likely(F.col("n"), F.col("votes"))).select("host", "key", F.lit(True).alias("run"))
-    odds = F.log((F.sum("m") + 0.5) / (F.sum("n") - F.sum("m") + 0.5))
-    noisy = of("slot").groupBy("key").agg((F.greatest(F.lit(-4.0), F.least(F.lit(4.0), odds)) + F.min("weight")).alias("odds")).filter(F.col("odds") > LEAST)
-    slots = of("slot").join(noisy.select("key"), "key", "left_semi").select("host", "key", F.lit(False).alias("run"))
+    runs = of("run").join(votes, "host").filter(_bounds(F.col("n"), F.col("votes"))[0] >= 0.5).select("host", "key", F.lit(True).alias("run"))
+    # each slot's sums over all hosts, under salts, as a slot may be on every host
+    pool = of("slot").groupBy("key").agg(F.sum("n").alias("n_all"), F.sum("m").alias("m_all")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    slots = of("slot").withColumn("salt", F.pmod(F.xxhash64("host"), F.lit(SALTS)).cast("int")).join(pool, ["key", "salt"])
+    log_odds = lambda n, m: F.greatest(F.lit(-4.0), F.least(F.lit(4.0), F.log((m + 0.5) / (n - m + 0.5))))
+    own, pooled = log_odds(F.col("n"), F.col("m")), log_odds(F.col("n_all"), F.col("m_all"))
+    low, high = _bounds(F.col("m") / RUN, F.col("n") / RUN)
+    certain = (F.col("n") > 0) & ((high < 0.5) | ((low > 0.5) & (own > LEAST)))
+    slots = slots.filter(F.when(certain, own).otherwise(pooled) + F.col("weight") > LEAST).select("host", "key", F.lit(False).alias("run"))
     keys = lambda run: F.collect_list(F.when(F.col("run") == run, F.col("key")))
     return runs.unionAll(slots).groupBy("host").agg(keys(True).alias("runs"), keys(False).alias("slots"))
 

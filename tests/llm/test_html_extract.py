@@ -1,6 +1,7 @@
 import html
 import math
 import re
+import time
 
 import numpy as np
 import pytest
@@ -13,7 +14,9 @@ NOTHING = np.empty(0, np.int64)
 
 
 def text(page):
-    return H.kept_text(H.blocks_of(page), NOTHING, set())
+    """A page's text by its declarations alone."""
+    blocks = H.blocks_of(page)
+    return H.kept_text(blocks, NOTHING, {H._slot_key(b) for b in blocks if b.weight > H.LEAST})
 
 
 @pytest.mark.parametrize(
@@ -101,22 +104,31 @@ def brute(rows, names=True):
                 low = (share + z * z / 2 / n - z * math.sqrt(share * (1 - share) / n + z * z / 4 / n / n)) / (1 + z * z / n)
                 if low >= 0.5:
                     runs.setdefault(h, set()).add(u)
-    slots = {}
+    slots = {(pages[p][0], b.weight, b.slot): [0, 0] for p in range(len(pages)) for b in pages[p][1]}
     for p in vote:
         gone = cover(len(cut[p][0]), [(i, u) for i, u in cut[p][1] if len(on[u] & vote) > 1])
         at = 0
         for b in pages[p][1]:
             n = len(b.text.split(" "))
-            x = slots.setdefault((b.weight, b.slot), [0, 0])
+            x = slots[pages[p][0], b.weight, b.slot]
             x[0] += n
             x[1] += sum(gone[at : at + n])
             at += n
-    noisy = {k for k, (n, m) in slots.items() if max(-4, min(4, math.log((m + 0.5) / (n - m + 0.5)))) + k[0] > H.LEAST}
+    noisy = set()
+    for (h, weight, slot), (n, m) in slots.items():
+        every = [x for (_, *rest), x in slots.items() if rest == [weight, slot]]
+        odds = lambda n, m: max(-4, min(4, math.log((m + 0.5) / (n - m + 0.5))))
+        own, eights, z = odds(n, m), n / H.RUN, 2.58
+        middle, reach = (m / n + z * z / 2 / eights, z * math.sqrt(m / n * (1 - m / n) / eights + z * z / 4 / eights**2)) if n else (0, 0)
+        low, high = ((middle - reach) / (1 + z * z / eights), (middle + reach) / (1 + z * z / eights)) if n else (0, 1)
+        certain = high < 0.5 or low > 0.5 and own > H.LEAST
+        if (own if certain else odds(*map(sum, zip(*every, strict=True)))) + weight > H.LEAST:
+            noisy.add((h, weight, slot))
     out = []
     for (h, blocks), (stream, us) in zip(pages, cut, strict=True):
-        keep = [b.weight < H.NOISE and (b.weight, b.slot) not in noisy for b in blocks]
-        if any(k and b.weight == H.MAIN for k, b in zip(keep, blocks, strict=True)):
-            keep = [k and b.weight == H.MAIN for k, b in zip(keep, blocks, strict=True)]
+        keep = [(h, b.weight, b.slot) not in noisy for b in blocks]
+        if any(k and b.main for k, b in zip(keep, blocks, strict=True)):
+            keep = [k and b.main for k, b in zip(keep, blocks, strict=True)]
         gone = cover(len(stream), [(i, u) for i, u in us if u in runs.get(h, ())])
         of = [k for k, b in zip(keep, blocks, strict=True) for _ in b.text.split(" ")]
         out.append(" ".join(t for t, k, g in zip(stream, of, gone, strict=True) if k and not g))
@@ -162,6 +174,30 @@ def test_a_slot_of_shared_lines_goes_without_any_declaration(spark):
     assert extracted(spark, rows) == {i: words(i + 1, 60) for i in range(40)}
 
 
+def test_a_slot_is_judged_by_its_own_host(spark):
+    """Ten hosts have a banner in a slot in which an eleventh has its articles."""
+    banners = [(100 * h + i, f"http://b{h}/", f"<div><p>{words(50 + h, 12)}</p></div><section><div>{words(1000 + 100 * h + i, 60)}</div></section>") for h in range(10) for i in range(10)]
+    articles = [(5000 + i, "http://articles/", f"<div><p>{words(7000 + i, 30)}</p></div>") for i in range(10)]
+    got = extracted(spark, banners + articles)
+    assert all(got[i] == words(7000 + i - 5000, 30) for i in range(5000, 5010))
+    assert all(got[100 * h + i] == words(1000 + 100 * h + i, 60) for h in range(10) for i in range(10))
+    assert [got[i] for i, _, _ in banners + articles] == brute(banners + articles)
+
+
+def test_declared_noise_of_unique_text_stays_inside_an_article(spark):
+    rows = [(i, "http://h/", f"<nav>{words(0, 9)}</nav><article><p>{words(i + 1, 60)}</p><p class='promo'>{words(500 + i, 12)}</p><section class='comments'>{words(900 + i, 20)}</section></article>") for i in range(8)]
+    assert extracted(spark, rows) == {i: f"{words(i + 1, 60)} {words(500 + i, 12)}" for i in range(8)}
+    promoted = [(i, u, h.replace(words(500 + i, 12), words(300, 12))) for i, u, h in rows]
+    assert extracted(spark, promoted) == {i: words(i + 1, 60) for i in range(8)}
+
+
+@pytest.mark.parametrize("piece", ["<a x ", "<a x='", '<p "', "<![CDATA[ ", "<!-- ", "</", "<div>x", "<div>x</p>", "<nav><article>x", "<script>", "<b>x</b", "&amp", "<!x ", "</div >"])
+def test_broken_markup_takes_linear_time(piece):
+    began = time.process_time()
+    H.blocks_of(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 8
+
+
 def test_odd_rows(spark):
     rows = [(1, "http://h/", None), (2, None, "<p>x</p>"), (None, "", ""), (3, "http://h/", "<article>" + "<p>a b</p>" * 20_000 + "</article>"), (3, "http://h/", "<p>x</p>"), (3, "http://h/", "<p>x</p>")]
     df = spark.createDataFrame([(*r, "t", "b", 1) for r in rows], "page_id bigint, url string, html string, text string, blocks string, tile int")
