@@ -20,15 +20,15 @@ component's smallest id (a component without any id has a null one). An empty ta
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, words
+from .common import LOWER_BYTES, stash
 
 MEMORY = 400_000
 #: Most frequent shingles that are ordered last; they travel as one array of 8 bytes each.
@@ -42,42 +42,56 @@ WIDE = 4
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
 
 
-class _Numbers(dict):
-    """Words to small numbers, given on first sight together with the word's hash."""
-
-    def __init__(self, digest):
-        super().__init__()
-        self.digest, self.hashes = digest, []
-
-    def __missing__(self, word: bytes) -> int:
-        self.hashes.append(self.digest(word))
-        n = self[word] = len(self)  # the size before the word is in
-        return n
+#: A word's hash: the sum of a number for each byte times a power of BASE for its place, then mixed with the word's length.
+BASE = 0x9E3779B97F4A7C17
+BYTES = np.random.default_rng(0x5EED).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+#: Bytes hashed at a time; a longer word is hashed whole.
+PIECE = 1 << 20
+GAP = re.compile(rb"[ \t\n\x0b\x0c\r]")
 
 
 class Shingler:
-    """Shingle sets of texts; remembers word hashes between batches."""
+    """Shingle sets of texts. Words are hashed in whole arrays of bytes, so that no word becomes an object."""
 
     def __init__(self, width: int = 5):
         import xxhash
 
         self.width, self.digest = width, xxhash.xxh3_64_intdigest
-        self.forget()
-
-    def forget(self) -> None:
-        self.numbers, self.hashes = _Numbers(self.digest), np.empty(0, np.uint64)
+        self.powers = self.inverses = np.empty(0, np.uint64)
+
+    def word_hashes(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """First bytes and hashes of the words of bytes without upper-case letters."""
+        starts, hashes, at = [], [], 0
+        while at < len(data):
+            found = GAP.search(data, at + PIECE) if at + PIECE < len(data) else None
+            end = found.end() if found else len(data)
+            raw = np.frombuffer(data, np.uint8, end - at, at)
+            if len(self.powers) < len(raw):
+                size = max(len(raw), PIECE)
+                self.powers, self.inverses = (np.cumprod(np.full(size, x, dtype=np.uint64)) for x in (BASE, pow(BASE, -1, 1 << 64)))
+            space = SPACE[raw]
+            first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+            if len(first):
+                value = BYTES[raw] * self.powers[: len(raw)]
+                value[space] = 0
+                h = np.add.reduceat(value, first) * self.inverses[first]
+                last = np.flatnonzero(~space & np.concatenate([space[1:], [True]]))
+                h ^= h >> np.uint64(32)
+                h *= np.uint64(0xD6E8FEB86659FD93)
+                h += (last - first + 1).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+                starts.append(first + at)
+                hashes.append(h ^ (h >> np.uint64(29)))
+            at = end
+        if not starts:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.concatenate(starts), np.concatenate(hashes)
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The sorted set of each text."""
-        if len(self.numbers) > MEMORY:
-            self.forget()
-        split = [words((t or "").encode()) for t in texts]
-        ends = np.cumsum([len(ws) for ws in split]).tolist()
-        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64, ends[-1] if ends else 0)
-        if self.numbers.hashes:
-            self.hashes = np.append(self.hashes, np.array(self.numbers.hashes, dtype=np.uint64))
-            self.numbers.hashes = []
-        h = self.hashes[numbers]
+        own = [(t or "").encode() for t in texts]
+        starts, h = self.word_hashes(b" ".join(own).translate(LOWER_BYTES))
+        ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in own])).tolist()
         n = max(0, len(h) - self.width + 1)
         x = np.zeros(n, dtype=np.uint64)
         for i in range(self.width):

@@ -76,6 +76,32 @@ def test_odd_rows(odd, none):
     assert J.join(none).count() == 0
 
 
+def test_word_hashes_tell_words_apart(monkeypatch):
+    """Equal words have equal hashes wherever they stand and however the bytes are cut; different words have different ones."""
+    pick = random.Random(4)
+    ws = ["".join(pick.choice("ab\u00e9Z-") for _ in range(pick.randint(1, 12))) for _ in range(4000)] + ["a" * 3000, "a" * 3001, "\x00", "\x00\x00", "ab", "ba", "aab", "aba", "baa"]
+    pick.shuffle(ws)
+    seen = {}
+    for piece in (1 << 20, 64):
+        monkeypatch.setattr(J, "PIECE", piece)
+        text = "".join(w + pick.choice([" ", "\t", "\n\n", " \x0b\x0c\r"]) for w in ws)
+        data = text.encode().translate(J.LOWER_BYTES)
+        starts, hashes = J.Shingler().word_hashes(data)
+        assert [data[a:].split(None, 1)[0] for a in starts.tolist()] == data.split() and len(data.split()) == len(hashes)
+        for w, h in zip(data.split(), hashes.tolist(), strict=True):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+    assert all(len(x) == 0 for x in J.Shingler().word_hashes(b" \n"))
+
+
+def test_sets_do_not_depend_on_their_batch():
+    texts = ["a b c d e f", None, "", "a b", " ", "x " * 50, "\u00c9t\u00e9 a b c d e f g", "a b c d e f"]
+    make = J.Shingler()
+    together = make(texts)
+    assert all((a == b).all() and len(a) == len(b) for a, [b] in zip(together, ([*make([t])] for t in texts), strict=True))
+    assert [len(x) for x in together] == [2, 0, 0, 1, 0, 1, 4, 2] and make([]) == []
+
+
 def test_bound_is_never_below_the_overlap():
     pick = np.random.default_rng(2)
     for _ in range(300):
