@@ -1,6 +1,6 @@
 """URL filters: explicit host and path rules, and a path-template tree for the urls that no rule fits.
 
-The tree is built for each host from distinct paths, level by level until no two paths part, however deep that is: segments
+The tree is built for each host from distinct paths, over all levels at which two paths of a host have different segments, however deep they are (where all have the same, no node can have two children): segments
 that hold digits and rare children become wildcards. A child is rare if another row of its node falls into it with a share of
 less than 1 / `max_children`, whatever the number of rows; one whose labelled purity differs significantly stays. Branches
 of a node whose children are distributed alike and whose labelled purity does not differ significantly are merged
@@ -81,19 +81,25 @@ def _often(max_children: int) -> Column:
 
 def _children(tree: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     """The children at `level` with their sums: those of nodes with two children or more, with their node's sums, and all."""
-    kids = stash(_at(tree, level).filter("seg IS NOT NULL").groupBy("node", "seg", F.concat_ws("/", F.slice("t", 1, level)).alias("above")).agg(*[F.sum(c).alias(c) for c in SUMS], F.count(F.lit(1)).alias("paths")))
+    kids = stash(_at(tree, level).filter("seg IS NOT NULL").groupBy("node", "seg", F.concat_ws("/", F.slice("t", 1, level)).alias("above")).agg(*[F.sum(c).alias(c) for c in SUMS]))
     sums = kids.groupBy("node").agg(*[F.sum(c).alias(f"{c}_node") for c in SUMS], F.count(F.lit(1)).alias("children"))
-    return stash(_salted(kids, sums.filter("children > 1"), "node").drop("paths")), kids
+    return stash(_salted(kids, sums.filter("children > 1"), "node")), kids
 
 
-def _generalise(tree: DataFrame, level: int, max_children: int, z: float) -> tuple[DataFrame, bool, bool]:
-    """Set segment `level` of rare children to a wildcard. Also whether a node has two children here, and whether two paths can still part below.
+def _levels(tree: DataFrame) -> list[int]:
+    """The levels at which some host has two segments; no more than the longest path has."""
+    apart = tree.select("host", F.posexplode("t").alias("level", "seg")).groupBy("host", "level").agg((F.min("seg") < F.max("seg")).alias("parts"))
+    return sorted(r.level for r in apart.filter("parts").select("level").distinct().collect())
+
+
+def _generalise(tree: DataFrame, level: int, max_children: int, z: float) -> tuple[DataFrame, bool]:
+    """Set segment `level` of rare children to a wildcard. Also whether a node has two children here.
 
     A child stays by its share of the node's rows, or by a purity that differs from the other children of its node or,
     with the labels of other hosts, from what other segments have there."""
     wide, kids = _children(tree, level)
     if wide.isEmpty():
-        return tree, False, not kids.filter("paths > 1").isEmpty()
+        return tree, False
     anywhere = kids.filter("labelled > 0").groupBy("above", "seg").agg(F.sum("labelled").alias("any_n"), F.sum("blocked").alias("any_k"))
     total = anywhere.groupBy("above").agg(F.sum("any_n").alias("all_n"), F.sum("any_k").alias("all_k"))
     rare = wide.filter(~_often(max_children) & (F.col("seg") != WILD)).join(_salted(anywhere, total, "above"), ["above", "seg"], "left")
@@ -102,7 +108,7 @@ def _generalise(tree: DataFrame, level: int, max_children: int, z: float) -> tup
     others = _apart(n, k, F.coalesce("all_n", F.lit(0)) - F.coalesce("any_n", F.lit(0)), F.coalesce("all_k", F.lit(0)) - F.coalesce("any_k", F.lit(0)), z)
     rare = rare.filter(~(own & (F.col("labelled") > 0)) & ~(others & (n > 0))).select("node", "seg", F.lit(WILD).alias("into"))
     out = _at(tree, level).join(rare, ["node", "seg"], "left")
-    return stash(out.withColumn("t", F.when(F.col("into").isNotNull(), _put(level, F.col("into"))).otherwise(F.col("t"))).select(*tree.columns)), True, True
+    return stash(out.withColumn("t", F.when(F.col("into").isNotNull(), _put(level, F.col("into"))).otherwise(F.col("t"))).select(*tree.columns)), True
 
 
 def _merge(tree: DataFrame, level: int, max_children: int, similarity: float, z: float) -> DataFrame:
@@ -137,11 +143,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_co
     blocked = F.when(F.col("by_rule") == "block", 1).otherwise(0)
     tree = urls.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), F.sum(labelled).alias("labelled"), F.sum(blocked).alias("blocked"))
     tree = stash(tree.withColumn("t", F.when(F.col("segs") != "", F.split("segs", "/")).otherwise(F.array().cast("array<string>"))))
-    level, wide, on = 0, [], True
-    while on:
-        tree, parts, on = _generalise(tree, level, max_children, z)
+    wide = []
+    for level in _levels(tree):
+        tree, parts = _generalise(tree, level, max_children, z)
         wide += [level] * parts
-        level += 1
     for level in reversed(wide):
         tree = _merge(tree, level, max_children, similarity, z)
     tree = tree.withColumn("template", F.concat(F.lit("/"), F.array_join("t", "/")))

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +82,16 @@ def test_sections_stay_beside_one_off_segments_at_any_number_of_rows(spark, time
             assert r.verdict == ("block" if seg == "es" else "allow"), u
 
 
+def test_long_common_paths_cost_nothing(spark):
+    """Two thousand segments that all urls of a host share, and templates behind them."""
+    began, deep = time.time(), "/".join("abcdefgh"[i % 8] * (1 + i % 3) for i in range(2000))
+    rules = (("block", "bad.example", f"/{deep}/ads/"), ("allow", "bad.example", f"/{deep}/news/"))
+    urls = [f"http://{host}.example/{deep}/{k}/{i}" for host, n in (("bad", 40), ("new", 5)) for k in ("ads", "news") for i in range(n)]
+    got = {r.page_id: r for r in U.judge(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string"), rules).collect()}
+    assert [got[i].verdict for i in range(80, 90)] == ["block"] * 5 + ["allow"] * 5 and got[80].template == f"/{deep}/ads/*"
+    assert time.time() - began < 60
+
+
 def test_empty_table(spark):
     assert U.judge(spark.createDataFrame([], "page_id int, url string")).count() == 0
 
