@@ -56,9 +56,9 @@ SALTS = 16
 #: Elements whose content is no text; those of the second row stand inside lines.
 RAW = frozenset("script style noscript template textarea iframe title select".split()) | {"svg", "math", "object", "button"}
 IN_LINE = frozenset({"svg", "math", "object", "button"})
-#: The rest of a tag; quoted values may hold the bracket that ends it.
-TAG_REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
-TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(.*)>\Z", re.S)
+#: A tag; quoted values may hold the bracket that ends it. And what stands before the first bracket, if no quote closes.
+TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+CUT_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
 RAW_ENDS = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW}
 NAMED = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
@@ -80,7 +80,7 @@ def _place(name: str, attributes: str) -> str:
         return "hard"
     if name in SOFT:
         return "soft"
-    for key, *values in NAMED.findall(attributes) if attributes.strip() else ():
+    for key, *values in NAMED.findall(attributes) if attributes and not attributes.isspace() else ():
         key, value = key.lower(), "".join(values).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return "hard"
@@ -114,48 +114,49 @@ def _slot(name: str, attributes: str) -> str:
     return name
 
 
-def markup(page: str) -> Iterator[tuple[int, int, str, str]]:
-    """start, end, kind and tag of each piece of markup: 'tag', 'raw' (an element with its content; tag is its opening one), 'data' or 'none' (comments and declarations).
+def markup(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """start, end, kind, name and attributes (or data) of each piece of markup: 'open' and 'close' tags, 'raw' (an element with its content), 'data' or 'none' (comments and declarations).
 
     The scan never goes back: a search that has reached the end of the page without a find is not made again. A `<` that begins no markup is text."""
     at = 0
     quotes = brackets = data = True
     while (start := page.find("<", at)) >= 0:
-        at, first = start + 1, page[start + 1 : start + 3]
-        if page.startswith("<!--", start):
-            end = page.find("-->", start + 4)
-            at = len(page) if end < 0 else end + 3
-            yield start, at, "none", ""
-            continue
-        if data and page.startswith("<![CDATA[", start):
-            end = page.find("]]>", start + 9)
-            data = end >= 0
-            if data:
-                at = end + 3
-                yield start, at, "data", page[start:at]
+        tag = TAG.match(page, start) if quotes else CUT_TAG.match(page, start) if brackets else None
+        if tag is None:
+            at, first = start + 1, page[start + 1 : start + 3]
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                at = len(page) if end < 0 else end + 3
+                yield start, at, "none", "", ""
                 continue
-        name = first[1:2] if first[:1] in ("/", "!", "?") else first[:1]
-        tag = name.isascii() and name.isalpha()
-        if not brackets or not (tag or first[:1] in ("/", "!", "?")):
-            continue
-        end = -1
-        if tag and quotes:
-            found = TAG_REST.match(page, start + 1)
-            end, quotes = (found.end(), True) if found else (-1, False)
-        if end < 0:  # a quote that never closes, or a declaration: the next bracket ends it
-            end = page.find(">", start + 1) + 1
-            brackets = end > 0
-            if not brackets:
+            if data and page.startswith("<![CDATA[", start):
+                end = page.find("]]>", start + 9)
+                data = end >= 0
+                if data:
+                    at = end + 3
+                    yield start, at, "data", "", page[start + 9 : end]
+                    continue
+            letter = first[1:] if first[:1] == "/" else first[:1]
+            if letter.isascii() and letter.isalpha():
+                # a quote that never closes: from here on the next bracket ends a tag
+                quotes = False
+                tag = CUT_TAG.match(page, start) if brackets else None
+            elif first[:1] in ("/", "!", "?") and brackets and (end := page.find(">", at)) >= 0:
+                at = end + 1
+                yield start, at, "none", "", ""
+                continue
+            if tag is None:
+                brackets = brackets and page.find(">", at) >= 0
                 continue
-        at, whole = end, page[start:end]
-        opened = TAG.match(whole)
-        raw = opened and not opened[1] and opened[2].lower()
-        if raw in RAW:
-            closed = RAW_ENDS[raw].search(page, end)
+        at = tag.end()
+        closing, name, rest = tag.groups()
+        name = name.lower()
+        if name in RAW and not closing:
+            closed = RAW_ENDS[name].search(page, at)
             at = closed.end() if closed else len(page)
-            yield start, at, "raw", whole
+            yield start, at, "raw", name, rest
         else:
-            yield start, at, "tag" if opened else "none", whole
+            yield start, at, "close" if closing else "open", name, rest
 
 
 class _Open:
@@ -219,7 +220,7 @@ def blocks_of(page: str, names: bool = True) -> list[Block]:
         linked = length = 0
 
     at = 0
-    for start, end, kind, whole in markup(page):
+    for start, end, kind, name, rest in markup(page):
         if start > at:
             piece = page[at:start]
             text.append(piece)
@@ -228,16 +229,15 @@ def blocks_of(page: str, names: bool = True) -> list[Block]:
             linked += size if in_link else 0
         at = end
         if kind == "data":
-            text.append(html.escape(whole[9:-3]))
+            text.append(html.escape(rest))
             continue
         if kind == "none":
             continue
-        tag = TAG.match(whole)
-        closing, name, rest = tag.group(1), tag.group(2).lower(), tag.group(3)
         if kind == "raw":
             if name not in IN_LINE:
                 flush()
             continue
+        closing = kind == "close"
         if name == "a":
             in_link = 0 if closing else 1
         if name in INLINE and not (not closing and _place(name, rest)):
