@@ -17,8 +17,9 @@ def by_day(scans: DataFrame) -> DataFrame:
 
 
 def merged(known: DataFrame | None, arrived: DataFrame) -> DataFrame:
-    """Counts by day of what is known and of what arrived."""
-    return arrived if known is None else known.unionByName(arrived).groupBy(*KEYS).agg(F.sum("n").alias("n"))
+    """Counts by day of what is known and of what arrived; both may have several rows of a key."""
+    rows = arrived if known is None else known.unionByName(arrived)
+    return rows.groupBy(*KEYS).agg(F.sum("n").alias("n"))
 
 
 def _moment(as_of: str, back: str):

@@ -172,6 +172,12 @@ def prompts(s, f):
     return messages.user_message(flows, diffs.summary(rows), diffs.snippet(rows), diffs.context(diffs.added_lines(rows), d.contents(s, f)))
 
 
+def indented_code(s, f):
+    """Code whose lines are the bodies of Python functions, one for every twenty lines."""
+    head = F.col("line_no") % 20 == 1
+    return code(s, f).withColumn("text", F.when(head, F.lit("def helper(x):")).otherwise(F.concat(F.lit("    "), "text"))).withColumn("language", F.lit("python"))
+
+
 def comments(s, f):
     selection = d.selected(s, f)
     return messages.coverage_comment(classify.coverage(selection, d.calls(s, f)), classify.skip_histogram(selection))
@@ -217,6 +223,25 @@ NAMES_SQL = with_code(f"""SELECT DISTINCT pr_id, path, name FROM (
   SELECT pr_id, path, unnest(regexp_extract_all(from_var || ' ' || to_var, '\\b([a-zA-Z_]\\w*)\\s*\\(', 1)) AS name FROM edges
   UNION ALL SELECT pr_id, path, '#' || regexp_extract(trim(string_split(trim(regexp_replace({_matched}, '\\(+$', '')), '(')[1]), '[^.]*$', 0) FROM sinks) t(pr_id, path, found), (SELECT ltrim(found, '#') AS name) n
 WHERE length(name) > 2 AND (found LIKE '#%' OR name NOT IN {messages.SKIPPED_NAMES})""")
+BODIES_SQL = with_code("SELECT pr_id, path, 'helper' AS name, CAST((line_no - 1) // 20 * 20 + 1 AS INTEGER) AS head, md5(string_agg(CASE WHEN line_no % 20 = 1 THEN 'def helper(x):' ELSE '    ' || text END, chr(10) ORDER BY line_no)) AS body FROM code GROUP BY ALL")
+_keywords = "CASE " + " ".join(f"WHEN p.language = '{lang}' THEN list_filter({[k.lower() for k in (*rules.SANITIZERS, *rules.CATALOGUE[lang].sanitizers)]}, lambda k: contains(lower(e.from_var || ' ' || e.to_var), k))[1]" for lang in LANGS) + " END"
+#: Each path with its first sanitized assignment, by a join of pairs with all assignments between them.
+FLOWS_SQL = f"""SELECT pr_id, string_agg('DATA FLOW PATH ' || nth || ':' || chr(10) || '  SOURCE  [' || source || '] @ ' || path || ':' || source_line || chr(10) || '  SINK    [' || sink || '] @ ' || path || ':' || sink_line || chr(10) || '  ' || note, chr(10) ORDER BY nth) AS flows
+FROM (SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY path, sink_line, source_line) AS nth, CASE WHEN hit IS NULL THEN '[NO SANITIZER DETECTED]' ELSE '[SANITIZED: Found ' || chr(39) || hit[2] || chr(39) || ' in assignment chain at line ' || hit[1] || ']' END AS note FROM (
+  SELECT pr_id, path, sink_line, sink, source_line, source, min(CASE WHEN word IS NOT NULL THEN (line, word) END) AS hit FROM (SELECT p.*, e.line_no AS line, {_keywords} AS word FROM (SELECT t.*, c.language FROM taint t JOIN (SELECT DISTINCT pr_id, path, language FROM code) c USING (pr_id, path)) p
+  LEFT JOIN edges e ON e.pr_id = p.pr_id AND e.path = p.path AND e.line_no BETWEEN greatest(1, least(p.sink_line, p.source_line)) AND greatest(p.sink_line, p.source_line)) GROUP BY ALL)) GROUP BY pr_id"""
+PROMPT_SQL = with_code(
+    f"""SELECT s.pr_id, md5('DIFF SUMMARY: ' || files || ' files, +' || insertions || ' -' || deletions || chr(10) || chr(10) || coalesce(flows, 'No explicit data-flow paths extracted. Analyze the diff heuristically.') || chr(10) || '{messages.OPEN}' || chr(10) || coalesce(snippet, '') || chr(10) || coalesce(around, '') || chr(10) || '{messages.CLOSE}' || chr(10) || 'Return the JSON verdict schema exactly.') AS message
+FROM (SELECT pr_id, count(*) FILTER (WHERE line LIKE 'diff --git %') AS files, count(*) FILTER (WHERE line LIKE '+%' AND NOT line LIKE '+++%') AS insertions, count(*) FILTER (WHERE line LIKE '-%' AND NOT line LIKE '---%') AS deletions FROM lines GROUP BY pr_id) s
+LEFT JOIN flows USING (pr_id)
+LEFT JOIN (SELECT pr_id, string_agg(line, chr(10) ORDER BY pos) AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY pos) AS nth FROM lines WHERE line LIKE '+%' OR line LIKE '-%' OR line LIKE '@@%' OR line LIKE 'diff%') WHERE nth <= {diffs.SNIPPET_LINES} GROUP BY pr_id) p USING (pr_id)
+LEFT JOIN (SELECT pr_id, string_agg(text, chr(10) ORDER BY nth) AS around FROM (SELECT pr_id, row_number() OVER (PARTITION BY pr_id ORDER BY line_no) AS nth, lpad(CAST(line_no AS VARCHAR), CAST(greatest(4, length(CAST(line_no AS VARCHAR))) AS INTEGER), ' ') || ' | ' || x AS text
+  FROM (SELECT doc_id AS pr_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, len(string_split(text, chr(10))) AS n FROM documents) t WHERE NOT (x = '' AND line_no = n) AND EXISTS (SELECT 1 FROM added a WHERE a.pr_id = t.pr_id AND a.path = 'src/f0.py' AND abs(a.line_no - t.line_no) <= 25)) WHERE nth <= 120 GROUP BY pr_id) c USING (pr_id)""",
+    flows=FLOWS_SQL,
+    diffs=d.DIFF_SQL,
+    lines=d.LINES_SQL,
+    added=d.ADDED_ONLY,
+)
 COMMENT_SQL = d.with_paths("""SELECT c.pr_id, '- Files changed: **' || total || '**' || chr(10) || '- Files analyzed: **' || analyzed || '**' || chr(10) || '- Files skipped: **' || (total - analyzed) || '**' || chr(10) || '- Skip reasons:' || chr(10) || coalesce(skips, '  - (none)') AS comment
 FROM (SELECT pr_id, count(*) AS total, count(*) FILTER (WHERE selected AND EXISTS (SELECT 1 FROM calls k WHERE k.pr_id = x.pr_id AND k.place = x.place)) AS analyzed FROM selected x GROUP BY pr_id) c LEFT JOIN (SELECT pr_id, string_agg('  - `' || bucket || '`: ' || n, chr(10) ORDER BY bucket) AS skips FROM (SELECT pr_id, bucket, count(*) AS n FROM selected WHERE bucket IS NOT NULL GROUP BY ALL) GROUP BY pr_id) h ON h.pr_id = c.pr_id""")
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -274,7 +299,7 @@ FINDINGS = {
         with_views(f"SELECT substr(sha256(title || ':' || commit_sha), 1, 16) AS key, created_at > {NOW} - INTERVAL 7 DAY AS fresh FROM scans"),
     ),
     "comment_text": (comments, COMMENT_SQL),
-    "prompt_text": (prompts, None),
+    "prompt_text": (lambda s, f: prompts(s, f).withColumn("message", F.md5("message")), PROMPT_SQL),
     "prompt_trim": (lambda s, f: prompts(s, f).select("pr_id", messages.trimmed(F.col("message"), 2000).alias("message")), None),
     "verdict_repair": (
         lambda s, f: unrepaired(s, f).select("id", messages.repaired(v.strip_fence(F.col("content"))).alias("content")),
@@ -283,7 +308,7 @@ FINDINGS = {
     "import_names": (lambda s, f: messages.tainted_names(rules.edges(code(s, f)), rules.sinks(code(s, f))), NAMES_SQL),
     "message_adapt": (lambda s, f: cut_messages(s, f, lambda m: messages.adapted(m, 1000, 700)), ADAPT_SQL),
     "message_trim": (lambda s, f: cut_messages(s, f, lambda m: messages.trimmed(m, TRIM_BYTES)), TRIM_SQL),
-    "import_bodies": (lambda s, f: messages.function_bodies(code(s, f).withColumn("text", F.when(F.col("line_no") % 20 == 1, F.lit("def helper(x):")).otherwise(F.concat(F.lit("    "), "text"))).withColumn("language", F.lit("python"))), None),
+    "import_bodies": (lambda s, f: messages.function_bodies(indented_code(s, f)).withColumn("body", F.md5("body")), BODIES_SQL),
     "rate_limit_accepts": (lambda s, f: state.accept(requests(s, f)), ACCEPTS_SQL),
     "stream_rate_limit": (lambda s, f: findings.accepted_now(s, f, limit=3), ACCEPTS_SQL),
     "weekly_events": (

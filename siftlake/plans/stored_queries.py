@@ -27,7 +27,7 @@ def moment() -> Column:
 def kept_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by day as a stream of scans keeps them."""
     at = findings.folder(spark)
-    return findings.run_snapshots(scans_of(findings.arriving(spark, sf_dir)), f"{at}/counts", f"{at}/state", lambda known, rows: buckets.merged(known, buckets.by_day(rows)))
+    return findings.Kept(spark, f"{at}/counts", f"{at}/state", buckets.by_day, buckets.merged).run(scans_of(findings.arriving(spark, sf_dir)))
 
 
 def scans_of(events: DataFrame) -> DataFrame:

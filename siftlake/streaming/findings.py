@@ -72,42 +72,60 @@ def rocks(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-class Snapshots:
-    """A table written anew by each batch of a stream, beside the one before it, under the batch's number.
+def _same(rows: DataFrame) -> DataFrame:
+    return rows
 
-    Nothing is kept on the driver: the table before a batch is the complete one of the highest lower number, so a batch that runs again after a failure writes the same
-    rows over what it left; the current table is that of the last batch that the stream's checkpoint has committed. Tables before the last two go."""
 
-    def __init__(self, spark: SparkSession, path: str, checkpoint: str):
+class Kept:
+    """A table that a stream's batches are folded into, in folders named by the batch's number.
+
+    A batch writes its own rows, folded, as a part; every `every`-th batch writes the whole table, merged with the parts since the last whole one. So a batch costs its own rows, and the
+    table is written anew for one batch in `every`. Nothing is kept on the driver: what lies before a batch is the last complete whole table of a lower number and the parts after it, so a batch that
+    runs again after a failure writes the same rows over what it left; the current table reaches to the last batch that the stream's checkpoint has committed.
+
+    make(rows): arrived rows as rows of the table; merge(known, more): the table (None before the first) with more rows of its kind."""
+
+    def __init__(self, spark: SparkSession, path: str, checkpoint: str, make: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame | None, DataFrame], DataFrame], every: int = 10):
         self.spark, self.path, self.checkpoint = spark, path.rstrip("/"), checkpoint.rstrip("/")
+        self.make, self.merge, self.every = make, merge, every
 
-    def complete(self) -> list[int]:
-        """Numbers of the tables that were written to the end."""
+    def _at(self, kind: str, n: int) -> str:
+        return f"{self.path}/{kind}-{n}"
+
+    def complete(self, kind: str) -> list[int]:
+        """Numbers of the folders of a kind ('whole' or 'part') that were written to the end."""
         of = self.spark._jvm.org.apache.hadoop.fs.Path
         files = of(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return [n for n in _numbers(self.spark, self.path, r"batch-(\d+)") if files.exists(of(f"{self.path}/batch-{n}/_SUCCESS"))]
+        return [n for n in _numbers(self.spark, self.path, rf"{kind}-(\d+)") if files.exists(of(f"{self._at(kind, n)}/_SUCCESS"))]
 
     def before(self, batch: int) -> DataFrame | None:
-        known = [n for n in self.complete() if n < batch]
-        return self.spark.read.parquet(f"{self.path}/batch-{known[-1]}") if known else None
+        """The table of all batches of lower numbers."""
+        whole = [n for n in self.complete("whole") if n < batch]
+        parts = [n for n in self.complete("part") if (whole[-1] if whole else -1) < n < batch]
+        known = self.spark.read.parquet(self._at("whole", whole[-1])) if whole else None
+        return self.merge(known, self.spark.read.parquet(*[self._at("part", n) for n in parts])) if parts else known
 
     def write(self, rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch-{batch}")
-        for old in [n for n in self.complete() if n < batch][:-1]:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch-{old}")
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        if (batch + 1) % self.every:
+            self.make(rows).write.mode("overwrite").parquet(self._at("part", batch))
+            return
+        self.merge(self.before(batch), self.make(rows)).write.mode("overwrite").parquet(self._at("whole", batch))
+        # the last whole table before this one stays for a batch that runs again; what it holds may go
+        older = [n for n in self.complete("whole") if n < batch]
+        for kind in ("whole", "part"):
+            for n in [n for n in self.complete(kind) if older and (n < older[-1] or n == older[-1] and kind == "part")]:
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(kind, n))
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
     def current(self) -> DataFrame | None:
         """The table after the last committed batch; None before the first."""
         committed = _numbers(self.spark, f"{self.checkpoint}/commits", r"(\d+)")
         return self.before(committed[-1] + 1) if committed else None
 
-
-def run_snapshots(stream: DataFrame, path: str, checkpoint: str, step: Callable[[DataFrame | None, DataFrame], DataFrame], mode: str = "append") -> DataFrame | None:
-    """Run a stream over all that is there now, each batch folded into the table before it by step(known, arrived); the current table. Started again, it goes on where it stopped."""
-    tables = Snapshots(stream.sparkSession, path, checkpoint)
-    stream.writeStream.foreachBatch(lambda rows, batch: tables.write(step(tables.before(batch), rows), batch)).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return tables.current()
+    def run(self, stream: DataFrame, mode: str = "append") -> DataFrame | None:
+        """Fold all that is there now; the current table. Started again, it goes on where it stopped."""
+        stream.writeStream.foreachBatch(self.write).outputMode(mode).option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start().awaitTermination()
+        return self.current()
 
 
 def all_now(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
@@ -116,7 +134,7 @@ def all_now(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     if mode == "append":
         run_available(stream, f"{at}/rows", f"{at}/state")
         return spark.read.schema(stream.schema).parquet(f"{at}/rows")
-    rows = run_snapshots(stream, f"{at}/rows", f"{at}/state", lambda _, arrived: arrived, mode)
+    rows = Kept(spark, f"{at}/rows", f"{at}/state", _same, lambda _, arrived: arrived, every=1).run(stream, mode)
     return spark.createDataFrame([], stream.schema) if rows is None else rows
 
 
@@ -201,19 +219,23 @@ def accepted_now(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
         return all_now(spark, accepted(stream, limit), "append").filter(F.col("repo_id") != CLOSING)
 
 
-def fold_feedback(known: DataFrame | None, arrived: DataFrame) -> DataFrame:
-    """Feedback by scan and user, the last word of each: what is known with what arrived. Rows: scan_id, user_id, verdict, ts, event_id."""
-    rows = arrived if known is None else known.unionByName(arrived)
+def last_words(rows: DataFrame) -> DataFrame:
+    """Feedback by scan and user, the last word of each. Rows: scan_id, user_id, verdict, ts, event_id."""
     return rows.groupBy("scan_id", "user_id").agg(F.max_by(F.struct("verdict", "ts", "event_id"), F.struct("ts", "event_id")).alias("last")).select("scan_id", "user_id", "last.*")
 
 
+def fold_feedback(known: DataFrame | None, arrived: DataFrame) -> DataFrame:
+    """What is known with what arrived."""
+    return last_words(arrived if known is None else known.unionByName(arrived))
+
+
 def feedback(arriving_rows: DataFrame) -> DataFrame:
     """Events as feedback: scan_id, user_id, verdict, ts, event_id."""
     return arriving_rows.select((F.col("event_id") % 50).alias("scan_id"), "user_id", F.col("event_type").alias("verdict"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
 
 
 def folded_now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feedback table after a stream of feedback: each batch is merged into the table before it, written beside it."""
+    """The feedback table after a stream of feedback."""
     at = folder(spark)
-    rows = run_snapshots(feedback(arriving(spark, sf_dir)), f"{at}/table", f"{at}/state", fold_feedback)
+    rows = Kept(spark, f"{at}/table", f"{at}/state", last_words, fold_feedback).run(feedback(arriving(spark, sf_dir)))
     return rows.select("scan_id", "user_id", "verdict")

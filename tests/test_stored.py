@@ -88,42 +88,54 @@ FEEDBACK = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string
 def feedback_files(spark, folder, names):
     for name in names:
         i = int(name)
-        rows = [(50 * (10 * i + k) + k % 4, moment("2024-01-01 00:00:00") + datetime.timedelta(hours=(7 * (10 * i + k)) % 50), k % 2, f"v{i}{k}", 1.0, "") for k in range(10)]
+        rows = [(50 * (10 * i + k) + k % 4, moment("2024-01-01 00:00:00") + datetime.timedelta(hours=10 * i + 7 * k % 10 - (20 if k % 3 == 0 else 0)), k % 2, f"v{i}{k}", 1.0, "") for k in range(10)]
         spark.createDataFrame(rows, FEEDBACK).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
-def test_fold_goes_on_after_a_stop_and_after_a_failed_batch(spark, tmp_path):
-    """A stream stopped between batches, one that fails after its table is written, and a batch that runs again give the answer of one batch."""
+@pytest.mark.parametrize("every", [1, 2, 10])
+def test_fold_goes_on_after_a_stop_and_after_a_failed_batch(spark, tmp_path, every):
+    """A stream stopped between batches, one that fails after its rows are written, and a batch that runs again give the answer of one batch."""
     source, table, state = (f"{tmp_path}/{x}" for x in ("in", "table", "state"))
     feedback_files(spark, source, ["1"])
+    kept = findings.Kept(spark, table, state, findings.last_words, findings.fold_feedback, every)
 
     def stream():
         return findings.feedback(spark.readStream.schema(FEEDBACK).option("maxFilesPerTrigger", 1).parquet(f"{source}/*"))
 
-    def check(now):
-        want = findings.fold_feedback(None, findings.feedback(spark.read.schema(FEEDBACK).parquet(f"{source}/*")))
-        assert sorted(map(tuple, now.select("scan_id", "user_id", "verdict").collect())) == sorted(map(tuple, want.select("scan_id", "user_id", "verdict").collect()))
+    def answer(*folders):
+        rows = findings.last_words(findings.feedback(spark.read.schema(FEEDBACK).parquet(*[f"{source}/{x}" for x in folders])))
+        return sorted(map(tuple, rows.select("scan_id", "user_id", "verdict").collect()))
 
-    check(findings.run_snapshots(stream(), table, state, findings.fold_feedback))
+    def now():
+        return sorted(map(tuple, kept.current().select("scan_id", "user_id", "verdict").collect()))
+
+    assert kept.current() is None
+    kept.run(stream())
+    assert now() == answer("1")
     feedback_files(spark, source, ["2", "3"])
-    tables = findings.Snapshots(spark, table, state)
 
     def fails(rows, batch):
-        tables.write(findings.fold_feedback(tables.before(batch), rows), batch)
+        kept.write(rows, batch)
         if batch == 2:
-            raise RuntimeError("after the table is written, before the batch is committed")
+            raise RuntimeError("after the rows are written, before the batch is committed")
 
     with pytest.raises(Exception, match="before the batch is committed"):
         stream().writeStream.foreachBatch(fails).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    # the table of the batch that is not committed is there, but it is not the current one
-    assert 2 in tables.complete()
-    assert tables.current().count() == findings.fold_feedback(None, findings.feedback(spark.read.schema(FEEDBACK).parquet(f"{source}/1", f"{source}/2"))).count()
-    check(findings.run_snapshots(stream(), table, state, findings.fold_feedback))
-    assert tables.complete() == [1, 2]
+    # the rows of the batch that is not committed are there, but the current table does not have them
+    assert 2 in kept.complete("part") + kept.complete("whole")
+    done = now()
+    assert done in (answer("1", "2"), answer("1", "3")) and done != answer("1", "2", "3")
+    kept.run(stream())
+    assert now() == answer("1", "2", "3")
+    feedback_files(spark, source, ["4", "5", "6"])
+    kept.run(stream())
+    assert now() == answer("1", "2", "3", "4", "5", "6")
+    assert len(kept.complete("whole")) == min(2, 6 // every) and len(kept.complete("part")) <= max(0, 2 * every - 2)
     # an unfinished table of a later batch is not read
-    spark.createDataFrame([(1, 1, "half", None, 1)], "scan_id bigint, user_id bigint, verdict string, ts timestamp, event_id bigint").write.parquet(f"{table}/batch-9")
-    (tmp_path / "table/batch-9/_SUCCESS").unlink()
-    check(tables.current())
+    spark.createDataFrame([(1, 1, "half", None, 1)], "scan_id bigint, user_id bigint, verdict string, ts timestamp, event_id bigint").write.parquet(f"{table}/whole-5x")
+    (tmp_path / "table/whole-5x").rename(tmp_path / "table/whole-99")
+    (tmp_path / "table/whole-99/_SUCCESS").unlink()
+    assert now() == answer("1", "2", "3", "4", "5", "6")
 
 
 def test_counts_by_day_have_exact_edges(spark):
