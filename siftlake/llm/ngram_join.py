@@ -2,8 +2,8 @@
 
 A text's set holds the 64-bit hashes of its distinct n-word shingles (the whole sequence if it has fewer words). Texts with
 equal sets are one node. Two nodes link when 100 * shared >= percent * union, so their sizes and their prefixes agree: in any
-order common to all sets, the first n - ceil(percent * n / 100) + 1 shingles of both hold a shared one. Frequent shingles come
-last in that order, so that passages which many texts share seldom bring texts together.
+order common to all sets, the first n - ceil(percent * n / 100) + 1 shingles of both hold a shared one, and it is among the first
+n - ceil(2 * percent * n / (100 + percent)) + 1 of the smaller set: those lead. Only where the smaller node leads need two nodes meet in tiles. Frequent shingles come last in that order, so that passages which many texts share seldom bring texts together.
 
 Pairs are checked in two rounds, so that large groups of near copies never expand into all pairs: first every node with the
 PIVOTS most central nodes under each shingle of its prefix (those that meet others under most shingles, as the original of near copies does);
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, stash
@@ -117,6 +117,11 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def lead_size(n: str, percent: int) -> Column:
+    """How many shingles of a set lead; n: a column's name."""
+    return F.expr(f"{n} - ({2 * percent} * {n} + {100 + percent - 1}) div {100 + percent} + 1")
+
+
 def signature(shingles: np.ndarray, bits_each: int = 1) -> bytes:
     """A bitmap with at least `bits_each` bits for each shingle; its width is a power of two."""
     width = max(64, 1 << (bits_each * len(shingles) - 1).bit_length()) if len(shingles) else 64
@@ -203,35 +208,43 @@ def nodes_of(docs: DataFrame, heavy: np.ndarray, width: int, percent: int) -> Da
     return docs.select("id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, f"id {id_type}, n bigint, node bigint, mark binary, prefix array<bigint>, text_key bigint")
 
 
-def postings_of(nodes: DataFrame) -> DataFrame:
-    """key, node, n: the postings of keys with several nodes."""
-    rows = nodes.filter(F.col("prefix").isNotNull()).select(F.explode("prefix").alias("key"), "node", F.col("n").cast("int").alias("n"))
-    rows = rows.repartition("key").sortWithinPartitions("key", "node")
+def postings_of(nodes: DataFrame, percent: int) -> DataFrame:
+    """key, node, n, lead, use: the postings of keys with several nodes. A posting is of use beyond the most central nodes if it leads, or if a smaller one of its key does."""
+    rows = nodes.filter(F.col("prefix").isNotNull()).select(F.posexplode("prefix").alias("pos", "key"), "node", F.col("n").cast("int").alias("n"))
+    # the sign of n says whether a posting leads
+    rows = rows.select("key", "node", F.when(F.col("pos") < lead_size("n", percent), F.col("n")).otherwise(-F.col("n")).alias("n"))
+    rows = rows.repartition("key").sortWithinPartitions("key", F.col("n") < 0, F.abs("n"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the last row waits, as only the next one shows whether its key has more nodes
-        held, held_is_out = None, False
+        # the last row waits, as only the next one shows whether its key has more nodes; `first` is the signed size of its key's first node
+        held, held_is_out, first = None, False, 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            key, node = (rows.column(i).to_numpy() for i in range(2))
+            key, node, n = (rows.column(i).to_numpy() for i in range(3))
             same_key = np.concatenate([[False], key[1:] == key[:-1]])
             new = ~same_key | np.concatenate([[True], node[1:] != node[:-1]])
             group = np.cumsum(~same_key) - 1
             keep = new & (np.bincount(group, new)[group] > 1)
             last = int(np.flatnonzero(new)[-1])
             last_is_out = bool(keep[last]) or last == 0 and held_is_out
-            if held is not None and held_is_out:
-                keep[0] = False
-            held, held_is_out = rows.slice(last, 1).to_batches()[0], last_is_out
-            yield from rows.filter(pa.array(keep)).to_batches()
+            least = n[~same_key]
+            if held is not None:
+                least[0] = first
+                keep[0] &= not held_is_out
+            held, held_is_out, first = rows.slice(last, 1).to_batches()[0], last_is_out, int(least[-1])
+            out = np.flatnonzero(keep)
+            size, least = n[out], least[group[out]]
+            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(node[out]), pa.array(np.abs(size)), pa.array(size > 0), pa.array((least > 0) & ((size > 0) | (-size >= least)))], ["key", "node", "n", "lead", "use"])
 
-    return rows.mapInArrow(run, "key bigint, node bigint, n int")
+    return rows.mapInArrow(run, "key bigint, node bigint, n int, lead boolean, use boolean")
 
 
 def star_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of the PIVOTS most central nodes of each key with the key's other nodes of fitting sizes."""
     central = postings.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    rows = postings.join(central, "node").repartition("key").sortWithinPartitions("key", F.desc("degree"), "node").select("key", "node", "n")
+    rows = postings.select("key", "node", "n").join(central, "node").repartition("key").sortWithinPartitions("key", F.desc("degree"), "node").select("key", "node", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, pivots, seen = None, [], set()
@@ -288,14 +301,14 @@ def _near(tile: list[tuple[np.ndarray, ...]], n: int, part: int, side: int, bits
 def tile_pairs(rows: DataFrame, percent: int, names: bool = False) -> DataFrame:
     """Pairs (a < b) of nodes that meet under a key, may link by their sizes and signatures, and are in different components.
 
-    rows: key, side, node, n, part, mark (see spread_keys). With `names` only the nodes of such pairs are returned, as `node`."""
-    rows = rows.repartition("key").sortWithinPartitions("key", "n", "node").select("key", "node", "n", "part", "mark", "side")
+    rows: key, side, node, n, part, lead, mark (see spread_keys). With `names` only the nodes of such pairs are returned, as `node`."""
+    rows = rows.repartition("key").sortWithinPartitions("key", "n", "node").select("key", "node", "n", "part", "mark", "side", "lead")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, tile, seen = None, [], set()
         for batch in batches:
             out = []
-            key, node, n, part, side = (batch.column(i).to_numpy() for i in (0, 1, 2, 3, 5))
+            key, node, n, part, side, lead = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 5, 6))
             marks = batch.column(4).to_pylist()
             width = np.fromiter(map(len, marks), np.int64, len(marks))
             cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (width[1:] != width[:-1])])).tolist()
@@ -303,17 +316,21 @@ def tile_pairs(rows: DataFrame, percent: int, names: bool = False) -> DataFrame:
             for a, b in zip(cuts, [*cuts[1:], len(key)], strict=True):
                 if key[a] != at:
                     at, tile = key[a], []
-                # the tile holds the nodes of this key that are large enough for the next one
+                # the tile holds the leading nodes of this key that are large enough for the next one
                 tile = [t for t in tile if 100 * int(t[0][-1]) >= percent * int(n[a])]
                 bits = np.frombuffer(b"".join(marks[a:b]), np.uint64).reshape(b - a, -1)
-                for i in range(a, b) if tile or b - a > 1 else ():
-                    own = int(node[i])
-                    for other in _near([*tile, (n[a:i], node[a:i], part[a:i], side[a:i], bits[: i - a])], int(n[i]), part[i], side[i], bits[i - a], percent):
-                        for found in (own, other) if names else [(min(own, other), max(own, other))]:
+                leads = np.flatnonzero(lead[a:b])
+                own = [x[a:b][leads] for x in (n, node, part, side)] + [bits[leads]]
+                for i in range(b - a) if tile or len(leads) else ():
+                    before = int(np.searchsorted(leads, i))
+                    one = int(node[a + i])
+                    for other in _near([*tile, tuple(x[:before] for x in own)] if before else tile, int(n[a + i]), part[a + i], side[a + i], bits[i], percent):
+                        for found in (one, other) if names else [(min(one, other), max(one, other))]:
                             if found not in seen:
                                 seen.add(found)
                                 out.append(found)
-                tile.append((n[a:b], node[a:b], part[a:b], side[a:b], bits))
+                if len(leads):
+                    tile.append(tuple(own))
                 if len(seen) > MEMORY:
                     seen.clear()
             if out:
@@ -398,13 +415,13 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     nodes = stash(nodes_of(rows, heavy_shingles(rows, width), width, percent))
     marks = stash(nodes.filter(F.col("mark").isNotNull()).select("node", "n", "mark", "text_key").dropDuplicates(["node"]))
-    postings = stash(postings_of(nodes))
+    postings = stash(postings_of(nodes, percent))
     likely = stash(bounded_pairs(star_pairs(postings, percent), marks, percent))
     text_of = marks.select("node", "text_key")
     sets = sets_of(rows, text_of.join(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), width, broadcast_nodes)
     links = stash(exact_pairs(likely, sets, percent))
     parts = components(links)
-    spread = stash(spread_keys(postings, parts, tile))
+    spread = stash(spread_keys(postings.filter("use").drop("use"), parts, tile, ("lead",)))
     near = stash(tile_pairs(spread.join(marks.select("node", "mark"), "node"), percent, names=True))
     if not near.isEmpty():
         # narrow signatures leave few nodes, and only these get wide ones
