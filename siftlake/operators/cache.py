@@ -64,7 +64,7 @@ def removable(store: DataFrame, now: Column, kept: int = KEPT_DAYS) -> DataFrame
 
 
 def answered(items: DataFrame, store: DataFrame, now: Column, ask: Callable[[DataFrame], DataFrame], days: int = HOLDS_DAYS) -> tuple[DataFrame, DataFrame]:
-    """(items with their verdict columns and whether they were `cached`, entries to append). Answers that are errors are not stored.
+    """(items with their verdict columns and whether they were `cached`, entries to append). Answers that are errors are not stored. Both come from one plan: where asking is dear, write the first before making the second.
 
     ask: from items without a verdict to the same items with `content`, a model's answer. Items that are looked up or asked for share the parser, so a stored verdict reads as a new one."""
     known = looked_up(items, store, now, days)

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def write(rows: DataFrame, path: str, parts: list[str]) -> None:
@@ -13,7 +14,7 @@ def write(rows: DataFrame, path: str, parts: list[str]) -> None:
     rows.repartition(*parts).write.mode("overwrite").partitionBy(*parts).parquet(path)
 
 
-def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
@@ -21,7 +22,7 @@ def _folder(parts: dict) -> str:
     return "/".join(f"{k}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}" for k, v in parts.items())
 
 
-def delete(spark: SparkSession, path: str, schema: str, parts: list[str], doomed: Column | DataFrame, on: list[str] | None = None) -> dict[str, int]:
+def delete(spark: SparkSession, path: str, schema: str | StructType, parts: list[str], doomed: Column | DataFrame, on: list[str] | None = None) -> dict[str, int]:
     """Delete the rows for which the condition `doomed` holds, or whose columns `on` are among the rows `doomed`. Returns rows, partitions and files that it deleted or wrote anew.
 
     Only partitions with doomed rows are written anew, in one overwrite of just these; partitions without survivors go. The list of touched partitions

@@ -75,29 +75,32 @@ def retained(s: SparkSession, f: str) -> DataFrame:
     return deletes.read(s, at, schema).select("id", "repo_id")
 
 
-SCANS_KEPT, FEEDBACK_KEPT = "id bigint, repo_id bigint, part int", "scan_id bigint, github_id bigint, part int"
-
-
 def left_account(s: SparkSession, f: str, who: Principal = Principal(), parts: int = 8) -> DataFrame:
-    """name, n: rows of the tables of an account that was deleted: its scans and all feedback on them, then its own feedback, kept in parts by repository and by user."""
+    """name, n: rows of each table that are left when an account, its repositories and all that hangs on them are deleted, what hangs on others first.
+
+    Tables are kept in parts by a hash: repositories and their scans by the repository, so the deletes touch the parts of the account's repositories only."""
     t, at = Tables(s, f), findings.folder(s)
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int").alias("part")
-    deletes.write(t.scans.select("id", "repo_id", part("repo_id")), f"{at}/scans", ["part"])
-    deletes.write(t.feedback.select("scan_id", "github_id", part("github_id")), f"{at}/feedback", ["part"])
-    own = t.users.filter(F.col("github_id") == who.github_id).select(F.col("id").alias("user_id"))
-    repos = t.repos.join(own, "user_id", "left_semi").select(F.col("id").alias("repo_id"), part("id"))
-    scans = deletes.read(s, f"{at}/scans", SCANS_KEPT).join(repos, ["repo_id", "part"], "left_semi").select(F.col("id").alias("scan_id"))
-    deletes.delete(s, f"{at}/feedback", FEEDBACK_KEPT, ["part"], scans, ["scan_id"])
-    deletes.delete(s, f"{at}/feedback", FEEDBACK_KEPT, ["part"], F.col("github_id") == who.github_id)
-    deletes.delete(s, f"{at}/scans", SCANS_KEPT, ["part"], repos, ["repo_id", "part"])
-    n = lambda name, schema: deletes.read(s, f"{at}/{name}", schema).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
-    return n("scans", SCANS_KEPT).union(n("feedback", FEEDBACK_KEPT))
-
-
-LEFT_SQL = with_views(
-    "SELECT 'scans' AS name, count(*) AS n FROM left_scans UNION ALL SELECT 'feedback', count(*) FROM feedback WHERE github_id <> 1004 AND scan_id IN (SELECT id FROM left_scans)",
-    left_scans="SELECT * FROM scans WHERE repo_id IN (SELECT id FROM repos WHERE user_id IS NULL OR user_id <> (SELECT id FROM users WHERE github_id = 1004))",
-)
+    kept = {"users": (t.users, "github_id", "id"), "repos": (t.repos, "id", "user_id"), "scans": (t.scans, "repo_id", "id"), "feedback": (t.feedback, "scan_id", "github_id"), "audit": (t.audit, "github_id", "id")}
+    schemas = {}
+    for name, (table, key, more) in kept.items():
+        rows = table.select(key, more, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"))
+        schemas[name] = rows.schema
+        deletes.write(rows, f"{at}/{name}", ["part"])
+    read = lambda name: deletes.read(s, f"{at}/{name}", schemas[name])
+    drop = lambda name, doomed, on=None: deletes.delete(s, f"{at}/{name}", schemas[name], ["part"], doomed, on)
+    own = F.col("github_id") == who.github_id
+    repos = read("repos").join(read("users").filter(own).select(F.col("id").alias("user_id")), "user_id", "left_semi").select(F.col("id").alias("repo_id"), "part")
+    drop("feedback", read("scans").join(repos, ["repo_id", "part"], "left_semi").select(F.col("id").alias("scan_id")), ["scan_id"])
+    drop("feedback", own)
+    drop("audit", own)
+    drop("scans", repos, ["repo_id", "part"])
+    drop("repos", repos.withColumnRenamed("repo_id", "id"), ["id", "part"])
+    drop("users", own)
+    out = None
+    for name in kept:
+        one = read(name).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.union(one)
+    return out
 
 
 def file_items(s: SparkSession, f: str) -> DataFrame:
@@ -183,7 +186,7 @@ STORED = {
     "scan_windows_by_day": (lambda s, f: windows(buckets.by_day(Tables(s, f).scans), Tables(s, f)), WAREHOUSE_SQL["admin_scan_windows"]),
     "weekly_trend_by_day": (lambda s, f: trend(buckets.by_day(Tables(s, f).scans), Tables(s, f)), WAREHOUSE_SQL["weekly_trend"]),
     "retention_delete": (retained, FINDINGS_SQL["retention_survivors"]),
-    "account_delete": (left_account, LEFT_SQL),
+    "account_delete": (left_account, FINDINGS_SQL["account_delete_survivors"]),
     "cache_verdicts": (cached, CACHED_SQL),
     "cache_second_run": (asked_again, AGAIN_SQL),
     "prefetch_unsplit": (prefetched, PREFETCH_SQL),

@@ -300,3 +300,9 @@ def test_rate_limit_state_goes_on_between_batches(spark, tmp_path):
     with findings.rocks(spark):
         got = findings.all_now(spark, findings.accepted(stream, limit=2, hours=1, late="1 hour"), "append")
         assert sorted((r.id, r.accepted) for r in got.collect()) == [(1, True), (2, True), (3, False), (4, True)]
+
+
+def test_answers_meet_the_parser_once_for_each_stage(spark):
+    rows = spark.createDataFrame([(1, "{}"), (2, "no json")], "id int, content string")
+    plan = verdicts.parse(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().replace("_", "").count("parsejson") in (1, 2), plan
