@@ -38,6 +38,8 @@ BATCH = 16
 TILE = 1024
 #: Central nodes that each node meets.
 PIVOTS = 2
+#: Shingles whose postings are held at a time, about; a longer set is held whole.
+ROOM = 4_000_000
 #: Pairs of one node that one task confirms.
 SPREAD = 2000
 MISS = 1e-9
@@ -184,18 +186,22 @@ def tile_nodes(tiles: DataFrame, percent: int, miss: float) -> DataFrame:
     return rows.mapInArrow(run, "key bigint, side int, node bigint, n int, part bigint")
 
 
-def _overlaps(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
-    """For each set the sizes of its intersections with all sets, by the postings of their shingles."""
+def _overlaps(sets: list[np.ndarray], room: int = ROOM) -> np.ndarray:
+    """[i, j]: the sizes of the intersections of all sets, by the postings of as many sets at a time as have `room` shingles."""
     sizes = np.array([len(x) for x in sets], dtype=np.int64)
-    place = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(place, kind="stable")]
-    ends = np.cumsum(np.bincount(place))
-    starts, first = ends - np.bincount(place), np.cumsum(sizes) - sizes
-    for i, size in enumerate(sizes):
-        own = place[first[i] : first[i] + size]
-        lengths = ends[own] - starts[own]
-        at = np.repeat(starts[own] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-        yield np.bincount(owner[at], minlength=len(sets))
+    shared = np.zeros((len(sets), len(sets)), dtype=np.int32)
+    block = (np.cumsum(sizes) - 1) // room
+    for a, b in ((np.searchsorted(block, x), np.searchsorted(block, x, side="right")) for x in np.unique(block)):
+        values, place, counts = np.unique(np.concatenate(sets[a:b]), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(b - a), sizes[a:b])[np.argsort(place, kind="stable")]
+        starts = np.cumsum(counts) - counts
+        for i, own in enumerate(sets):
+            at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+            at = at[values[at] == own]
+            lengths = counts[at]
+            met = np.repeat(starts[at] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+            shared[i, a:b] = np.bincount(owner[met], minlength=b - a)
+    return shared
 
 
 def tile_links(tiles: DataFrame, percent: int) -> DataFrame:
@@ -204,12 +210,12 @@ def tile_links(tiles: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in _tiles(batches):
-            side, node, n, part = (tile.column(c).to_numpy() for c in ("side", "node", "n", "part"))
+            side, node, n, part = (tile.column(c).to_numpy().astype(np.int64) for c in ("side", "node", "n", "part"))
             sets = [np.frombuffer(x, np.uint64) for x in tile.column("shingles").to_pylist()]
             found: dict[tuple[int, int], tuple[int, int]] = {}
             for i, shared in enumerate(_overlaps(sets)):
                 at = _partners(n, part, side, i, percent)
-                for j in at[linked(shared[at], n[i], n[at], percent)].tolist():
+                for j in at[linked(shared[at].astype(np.int64), n[i], n[at], percent)].tolist():
                     found.setdefault((min(part[i], part[j]), max(part[i], part[j])), (int(node[i]), int(node[j])))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found.values(), strict=True)], ["a", "b"])

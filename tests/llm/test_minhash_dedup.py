@@ -44,6 +44,14 @@ def test_odd_rows(odd, none):
     assert kept[2] and kept[3] and kept[4] and kept[6] is False
 
 
+def test_overlaps_of_sets_in_blocks():
+    pick = np.random.default_rng(3)
+    sets = [np.unique(pick.integers(0, 300, pick.integers(1, 200), dtype=np.uint64)) for _ in range(40)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    for room in (10**6, 500, 1):
+        assert M._overlaps(sets, room).tolist() == want
+
+
 def test_posterior_bounds():
     """The bound is the least count whose posterior chance, by numeric integration of the Beta density, reaches the chance asked for."""
     least, grid = M.least_equal(85, 1e-6, 64), np.linspace(0, 1, 200_001)
