@@ -6,11 +6,14 @@ or repeat: a row is a document. Empty tables give empty tables. Null and empty t
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Rows that go to a Python worker at a time. Documents are long, and a worker keeps the memory of its largest batch for all later stages.
+BATCH_ROWS = 1000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -72,7 +75,18 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids")
 
 
-STAGES: list[tuple[str, Stage]] = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixture", mixture), ("tokens", tokens)]
+def _in_small_batches(stage: Stage) -> Stage:
+    """The stage in a session that sends BATCH_ROWS rows at a time; it stays set, as the stage's rows are computed when they are written."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES: list[tuple[str, Stage]] = [(f.__name__, _in_small_batches(f)) for f in (quality, near_duplicates, secrets, mixture, tokens)]
 
 #: Sequence models and byte-pair merges have no SQL; the tests compare each stage with a brute-force version.
 ORACLE_SQL = None
