@@ -7,8 +7,23 @@ from pyspark.sql import functions as F
 
 
 def diff_files(spark: SparkSession, path: str) -> DataFrame:
-    """pr_id (the file's name without its suffix), raw_diff: whole files, blank ones left out; bytes that are no UTF-8 become replacement characters. A missing path is an error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    """pr_id (the file's name without its suffix), raw_diff: whole files, blank ones left out; bytes that are no UTF-8 become replacement characters. A missing path is an error.
+
+    The driver lists every file, so this is for thousands of them; see `unpacked` for more."""
+    return _named_diffs(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def pack(files: DataFrame, path: str) -> None:
+    """Write files (path: string, content: bytes) whole, many to a pack, so that the packs grow in number with the bytes and not with the files."""
+    files.select("path", "content").write.parquet(path)
+
+
+def unpacked(spark: SparkSession, path: str) -> DataFrame:
+    """What `diff_files` gives for the same files, from packs of them."""
+    return _named_diffs(spark.read.schema("path string, content binary").parquet(path))
+
+
+def _named_diffs(files: DataFrame) -> DataFrame:
     name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
     return as_diffs(files.select(name.alias("pr_id"), "content"))
 
