@@ -10,7 +10,7 @@ CONTEXTS * CLASSES rows; gradients are summed over its partitions in every step.
 
 Inside a class of many tokens the softmax has hashed features of tokens: the pairs (last token, token) that training saw twice or
 more, over the token's share of the class: P(token | class, context) = share * exp(w) / Z, with Z over the whole class, as tokens without a
-feature keep their share. Events after a token that training has more than PART times are cut by their text into groups of about PART, each fitted by itself, so that no group grows with the corpus. These features are as many as the corpus has (told apart inside a part by 32 bits of hashes for the last token and class and 32 for the token, not kept in a table of a fixed size). Every event goes to the part
+feature keep their share. A group (last token and class) with more than PART training events is fitted once from the counts of its pairs, which are no more than the class has tokens; its events are cut by their texts into about PART each, and every cut gets these weights, so no part grows with the corpus and no score depends on cuts. These features are as many as the corpus has (told apart inside a part by 32 bits of hashes for the last token and class and 32 for the token, not kept in a table of a fixed size). Every event goes to the part
 that its group names, so a part holds all that Z needs; there the weights are updated by gradients and the events are scored at once, in sparse
 arrays, and the sums return to their texts. A part has about PART training tokens, so parts grow in number, not in size. Equal texts that a task meets
 together travel once. In the last class unseen tokens (one event, as in the base) have the Good-Turing share n1 / (n1 + 2 n2).
@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +79,7 @@ class Vocabulary:
     own: dict[bytes, int]
     groups: np.ndarray  # training tokens of the tokens seen twice or more, by class
     texts: int = 0
+    top: int = 0  # training count of the most frequent token
 
     @property
     def unseen_share(self) -> float:
@@ -223,7 +225,7 @@ def count_tokens(texts: DataFrame) -> DataFrame:
 
 
 def vocabulary_of(counts: DataFrame) -> Vocabulary:
-    row = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))).first()
+    row = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long")), F.max("c")).first()
     own = {bytes(r["token"]): i for i, r in enumerate(counts.filter(F.col("c") > 1).orderBy(F.desc("c"), "token").limit(OWN).collect())}
     group = (F.crc32(F.substring("token", 1, 2)) % GROUPS + OWN).cast("int")
     rest = counts.filter((F.col("c") > 1) & ~F.col("token").isin(*[bytearray(t) for t in own])) if own else counts.filter(F.col("c") > 1)
@@ -231,7 +233,7 @@ def vocabulary_of(counts: DataFrame) -> Vocabulary:
     for r in rest.groupBy(group.alias("g")).agg(F.sum("c").alias("c")).collect():
         groups[r["g"]] = r["c"]
     texts = counts.filter(F.col("token") == F.lit(bytearray(END))).agg(F.sum("c")).first()[0] or 0
-    return Vocabulary(row[0] or 0, row[1], row[2] or 0, row[3] or 0, own, groups, texts)
+    return Vocabulary(row[0] or 0, row[1], row[2] or 0, row[3] or 0, own, groups, texts, row[4] or 0)
 
 
 def hashed_counts(counts: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -310,18 +312,56 @@ def _mix(x: np.ndarray, y: np.ndarray | np.uint64) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def token_events(coded: Coded, keys: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
-    """The tokens that share a class with others, in order: text, group (last token and class; after a token that training has more than `most` times also a cut of the texts by their keys), token, share."""
+def token_groups(coded: Coded, over: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens that share a class with others, in order: place, group (last token and class), training count of the last token. With `over`: only those after a token that training has more often."""
     start = np.repeat(np.cumsum(coded.lengths) - coded.lengths, coded.lengths)
     use = np.flatnonzero((coded.kind >= OWN) & (coded.kind < LAST))
     before, inside = np.maximum(use - 1, 0), use > start[use]
-    last = np.where(inside, coded.hash[before], np.uint64(1))
+    seen = np.where(inside, coded.count[before], coded.texts)
+    if over >= 0:
+        keep = seen > over
+        use, before, inside, seen = use[keep], before[keep], inside[keep], seen[keep]
+    return use, _mix(np.where(inside, coded.hash[before], np.uint64(1)), coded.kind[use].astype(np.uint64) + np.uint64(1)), seen
+
+
+@dataclass(frozen=True)
+class Big:
+    """Groups with too many training events for one part, in order, and the number of parts that their events are cut into. The top bit of a group's name is set."""
+
+    groups: np.ndarray
+    cuts: np.ndarray
+
+    def find(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of each group here, and whether it is one of these."""
+        if not len(self.groups):
+            return np.zeros(len(group), np.int64), np.zeros(len(group), bool)
+        at = np.minimum(np.searchsorted(self.groups, group | TOP_BIT), len(self.groups) - 1)
+        return at, self.groups[at] == group | TOP_BIT
+
+
+TOP_BIT = np.uint64(1 << 63)
+NONE = Big(np.empty(0, np.uint64), np.empty(0, np.uint64))
+
+
+def coded_token(coded: Coded, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token and share as they travel."""
+    return (coded.hash[use] >> np.uint64(32)).astype(np.uint32), np.minimum(np.rint(-coded.share[use] * FINE), 65535).astype(np.uint16)
+
+
+def token_events(coded: Coded, keys: np.ndarray, most: int = PART, big: Big | None = None) -> tuple[np.ndarray, ...]:
+    """The tokens that share a class with others, in order: text, group, token, share. Groups in `big` are cut of the texts by their keys; where the sizes of groups are not known, those after a token that training has more than `most` times.
+
+    Cuts say where events go. They must not change a score: see `big_weights`."""
+    use, group, seen = token_groups(coded)
     text = np.repeat(np.arange(len(coded.lengths)), coded.lengths)[use]
-    group = _mix(last, coded.kind[use].astype(np.uint64) + np.uint64(1))
-    cuts = (1 + np.where(inside, coded.count[before], coded.texts) // most).astype(np.uint64)
+    if big is None:
+        cuts = (1 + seen // most).astype(np.uint64)
+    else:
+        at, known = big.find(group)
+        cuts, group = np.ones(len(group), np.uint64), np.where(known, group | TOP_BIT, group)
+        cuts[known] = big.cuts[at[known]]
     group = np.where(cuts > 1, _mix(group, keys[text] % cuts + np.uint64(1)), group)
-    share = np.minimum(np.rint(-coded.share[use] * FINE), 65535)
-    return text, group, (coded.hash[use] >> np.uint64(32)).astype(np.uint32), share.astype(np.uint16)
+    return text, group, *coded_token(coded, use)
 
 
 def tilt(group: np.ndarray, token: np.ndarray, base: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -353,8 +393,8 @@ def tilt(group: np.ndarray, token: np.ndarray, base: np.ndarray, weight: np.ndar
     return out
 
 
-def send_events(corpus: Corpus, train: Column, parts: int, most: int = PART) -> DataFrame:
-    """part, blob: the events of all texts, dealt by group; see token_events for `most`. A blob has entries (text key, events, training rows) and the events' arrays.
+def send_events(corpus: Corpus, train: Column, parts: int, big: Big = NONE) -> DataFrame:
+    """part, blob: the events of all texts, dealt by group; see token_events for `big`. A blob has entries (text key, events, training rows) and the events' arrays.
 
     Texts that are equal and met together are one entry. Each also has one entry without events in some part, so that what was sent several times is told by these."""
     read = corpus.reader()
@@ -396,7 +436,7 @@ def send_events(corpus: Corpus, train: Column, parts: int, most: int = PART) ->
                         index[i] = keys[k] = len(keys)
                         rows.append(0)
                     rows[keys[k]] += learn
-                text, *arrays = token_events(coded, np.array(own_keys[start : start + n], dtype=np.int64).view(np.uint64), most)
+                text, *arrays = token_events(coded, np.array(own_keys[start : start + n], dtype=np.int64).view(np.uint64), big=big)
                 fresh = index[text] >= 0
                 held.append((index[text][fresh], *(x[fresh] for x in arrays)))
                 size += int(fresh.sum())
@@ -417,11 +457,86 @@ ENTRY = np.dtype([("key", "<i8"), ("n", "<i4"), ("train", "<i4")])
 SUM = np.dtype([("key", "<i8"), ("add", "<f8"), ("marks", "<i4")])
 
 
-def score_events(events: DataFrame, buckets: int = 1) -> DataFrame:
-    """key, add: for each text what its tokens' features add to its log10 probability. A part gives its sums packed by buckets of texts, which are merged."""
+#: The weight of one token in a cut group, and that of tokens without a feature.
+WEIGHT = np.dtype([("group", "<u4"), ("token", "<u4"), ("tilt", "<f8"), ("other", "<f8")])
+
+
+def big_weights(corpus: Corpus, train: Column, parts: int, big: Big) -> DataFrame:
+    """part, blob: the weights of groups in `big`, fitted from the counts of all their pairs, for every part that has some of their events.
+
+    A group's pairs are at most the tokens of its class."""
+    read = corpus.reader()
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            rows, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(rows["at"]), pa.array(rows["token"].astype(np.int64)), pa.array(rows["share"].astype(np.int32)), pa.array(n)], ["at", "token", "share", "n"])
+
+        for batch in batches:
+            for _, _, coded in read(batch):
+                use, group, _ = token_groups(coded, 0)
+                at, known = big.find(group)
+                own = np.zeros(int(known.sum()), dtype=[("at", "<i4"), ("token", "<u4"), ("share", "<u2")])
+                own["at"], (own["token"], own["share"]) = at[known], coded_token(coded, use[known])
+                held.append(own)
+                size += len(own)
+            if size > 1_000_000:
+                yield out()
+                size = 0
+        if held:
+            yield out()
+
+    def fitted(group: pa.Table) -> pa.Table:
+        at = group.column("at")[0].as_py()
+        # one more token that training has not seen, for all that have no feature
+        token = np.append(group.column("token").to_numpy(), np.int64(1) << 32)
+        base, n = np.append(10.0 ** (group.column("share").to_numpy() / -FINE), 1.0), np.append(group.column("n").to_numpy(), 0).astype(np.float64)
+        value = tilt(np.zeros(len(token), np.uint64), token, base, n)
+        live = np.flatnonzero(n >= 2)
+        if not len(live):
+            live = np.arange(1)
+        rows = np.zeros(len(live), dtype=WEIGHT)
+        rows["token"], rows["tilt"], rows["other"] = token[live], value[live], value[-1]
+        cuts = _mix(np.repeat(big.groups[at], int(big.cuts[at])), np.arange(big.cuts[at], dtype=np.uint64) + np.uint64(1))
+        blobs = []
+        for cut in cuts:
+            rows["group"] = cut >> np.uint64(32)
+            blobs.append(rows.tobytes())
+        return pa.table([pa.array((cuts % np.uint64(parts)).astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+    counts = corpus.rows.filter(train).select("text", "tokens", "counts").mapInArrow(pairs, "at int, token bigint, share int, n bigint")
+    return counts.groupBy("at", "token").agg(F.max("share").alias("share"), F.sum("n").alias("n")).groupBy("at").applyInArrow(fitted, "part int, blob binary")
+
+
+def tilt_with(weights: np.ndarray, group: np.ndarray, token: np.ndarray, base: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Like tilt; groups that have `weights` (sorted by group and token) take these."""
+    out = np.zeros(len(group))
+    names, first = np.unique(weights["group"], return_index=True)
+    given = np.isin(group, names)
+    out[~given] = tilt(group[~given], token[~given], base[~given], weight[~given])
+    pairs = weights["group"].astype(np.uint64) << np.uint64(32) | weights["token"]
+    wanted = group[given].astype(np.uint64) << np.uint64(32) | token[given]
+    at = np.minimum(np.searchsorted(pairs, wanted), max(0, len(pairs) - 1))
+    if len(wanted):
+        out[given] = np.where(pairs[at] == wanted, weights["tilt"][at], weights["other"][first[np.searchsorted(names, group[given])]])
+    return out
+
+
+def score_events(events: DataFrame, buckets: int = 1, weights: DataFrame | None = None) -> DataFrame:
+    """key, add: for each text what its tokens' features add to its log10 probability. A part gives its sums packed by buckets of texts, which are merged. weights: see big_weights."""
 
     def run(group: pa.Table) -> pa.Table:
         entries, columns = [], [[], [], []]
+        known = [np.frombuffer(x.as_py(), WEIGHT) for x in group.filter(group.column("fitted")).column("blob")]
+        known = np.concatenate([np.empty(0, WEIGHT), *known])
+        known = known[np.lexsort((known["token"], known["group"]))]
+        group = group.filter(pc.invert(group.column("fitted")))
+        if not group.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], ["bucket", "sums"])
         for value in group.column("blob"):
             blob = value.as_py()
             n = int.from_bytes(blob[:8], "little")
@@ -435,7 +550,7 @@ def score_events(events: DataFrame, buckets: int = 1) -> DataFrame:
         of = np.repeat(np.arange(len(own)), own["n"])
         weight = own["train"][of].astype(np.float64)
         base = 10.0 ** (share.astype(np.float64) / -FINE)
-        pair = tilt(last, token, base, weight)
+        pair = tilt_with(known, last, token, base, weight)
         add = np.bincount(of, pair, minlength=len(own)) / np.log(10)
         keys, to = np.unique(own["key"], return_inverse=True)
         sums = np.zeros(len(keys), dtype=SUM)
@@ -450,12 +565,18 @@ def score_events(events: DataFrame, buckets: int = 1) -> DataFrame:
         keys, to = np.unique(sums["key"], return_inverse=True)
         return pa.table([pa.array(keys), pa.array(np.bincount(to, sums["add"]) / np.bincount(to, sums["marks"]))], ["key", "add"])
 
+    events = events.withColumn("fitted", F.lit(False))
+    if weights is not None:
+        events = events.unionByName(weights.withColumn("fitted", F.lit(True)))
     return events.groupBy("part").applyInArrow(run, "bucket bigint, sums binary").groupBy("bucket").applyInArrow(merge, "key bigint, add double")
 
 
-def class_counts(corpus: Corpus, train: Column, partitions: int) -> DataFrame:
-    """context, kinds, counts: how often each class followed each context in the training texts."""
+def class_counts(corpus: Corpus, train: Column, partitions: int, most: int = PART) -> DataFrame:
+    """context, rows (kind, n): how often each class followed each context in the training texts.
+
+    Below zero stand the groups of events after tokens that training has more than `most` times: with one row, their number of events. See big_groups."""
     read = corpus.reader()
+    frequent = max(corpus.vocabulary.top, corpus.vocabulary.texts) > most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -471,6 +592,8 @@ def class_counts(corpus: Corpus, train: Column, partitions: int) -> DataFrame:
             for _, _, coded in read(batch):
                 parts.append(contexts_of(coded.kind, coded.lengths) * CLASSES + coded.kind)
                 size += len(coded.kind)
+                if frequent:
+                    parts.append((token_groups(coded, most)[1] | TOP_BIT).view(np.int64))
             if size > 2_000_000:
                 seen = merged()
                 parts.clear()
@@ -481,7 +604,14 @@ def class_counts(corpus: Corpus, train: Column, partitions: int) -> DataFrame:
 
     pairs = corpus.rows.filter(train).select("text", "tokens", "counts").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     # a context has at most CLASSES rows
-    return pairs.groupBy(F.floor(F.col("key") / CLASSES).alias("context")).agg(F.collect_list(F.struct(F.pmod("key", F.lit(CLASSES)).alias("kind"), "n")).alias("rows")).repartition(partitions, "context")
+    return pairs.groupBy(F.when(F.col("key") < 0, F.col("key")).otherwise(F.floor(F.col("key") / CLASSES)).alias("context")).agg(F.collect_list(F.struct(F.pmod("key", F.lit(CLASSES)).alias("kind"), "n")).alias("rows")).repartition(partitions, "context")
+
+
+def big_groups(classes: DataFrame, most: int) -> Big:
+    """Groups of more than `most` training events; they are at most the training tokens / most. classes: see class_counts."""
+    got = {r["context"]: r["n"] for r in classes.filter("context < 0").select("context", F.col("rows")[0]["n"].alias("n")).filter(F.col("n") > most).collect()}
+    groups = np.sort(np.array(list(got), dtype=np.int64).view(np.uint64))
+    return Big(groups, np.array([1 + got[g] // most for g in groups.view(np.int64).tolist()], dtype=np.uint64))
 
 
 def fit(contexts: DataFrame, steps: int = 14, rate: float = 0.25) -> np.ndarray:
@@ -529,7 +659,8 @@ def score(docs: DataFrame, held_out: int = 1, id_col: str = "doc_id", text_col:
     counts = stash(count_tokens(rows.filter(~F.col("held_out")).select("text")))
     vocabulary = vocabulary_of(counts)
     corpus = Corpus(rows, counts, vocabulary, broadcast_vocab)
-    weights = fit(stash(class_counts(corpus, ~F.col("held_out"), partitions))).astype(np.float32)
+    classes = stash(class_counts(corpus, ~F.col("held_out"), partitions, part))
+    weights = fit(classes.filter("context >= 0")).astype(np.float32)
     shared, read = docs.sparkSession.sparkContext.broadcast(weights), corpus.reader()
     below = np.log10(vocabulary.total + 0.5 * (vocabulary.distinct + 1))
 
@@ -547,7 +678,9 @@ def score(docs: DataFrame, held_out: int = 1, id_col: str = "doc_id", text_col:
     id_type = docs.schema[id_col].dataType.simpleString()
     parts = max(1, -(-vocabulary.total // part))
     # each bucket gives each of its texts once
-    adds = stash(score_events(send_events(corpus, ~F.col("held_out"), parts, part), 1 + vocabulary.texts // BUCKET_TEXTS))
+    big = big_groups(classes, part)
+    of_big = big_weights(corpus, ~F.col("held_out"), parts, big) if len(big.groups) else None
+    adds = stash(score_events(send_events(corpus, ~F.col("held_out"), parts, big), 1 + vocabulary.texts // BUCKET_TEXTS, of_big))
     out = corpus.rows.select("id", "text", "held_out", "tokens", "counts", F.xxhash64("text").alias("key")).mapInArrow(run, f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, key bigint")
     # a text with a third of all rows spreads over several tasks
     adds = adds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

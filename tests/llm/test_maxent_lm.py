@@ -176,6 +176,24 @@ def test_events_after_a_dominant_token_are_cut(spark):
     assert max(abs(whole[i] - cut[i]) for i, _ in rows) < 0.3
 
 
+def test_cuts_of_big_groups_change_no_score(spark):
+    """Scores do not depend on whether a group is cut: one after a frequent token, one after a token with a class of many, and the starts of texts."""
+    pick = np.random.default_rng(11)
+    skewed = lambda n: np.minimum(pick.geometric(0.05, n), 60)
+    rows = [(i, " ".join([f"s{x % 7}" for x in skewed(1)] + [f"{'the' if x % 3 else 'rare'} w{x}" for x in skewed(150)])) for i in range(120)]
+    df = spark.createDataFrame(rows + [(i + 1000, t) for i, t in rows[:20]] + [(5000, None)], "doc_id bigint, text string")
+    key = lambda part: {r.doc_id: r.score for r in M.score(df, partitions=2, part=part).collect()}
+    whole = key(10**9)
+    for part in (2000, 300, 40):
+        cut = key(part)
+        assert max(abs(whole[i] - cut[i]) for i in whole) < 1e-6, part
+    keyed = df.select(F.col("doc_id").alias("id"), "text", (M.fold_of(F.col("doc_id")) == 1).alias("held_out"))
+    counts = M.stash(M.count_tokens(keyed.filter(~F.col("held_out")).select("text")))
+    corpus = M.Corpus(keyed, counts, M.vocabulary_of(counts), 10**6)
+    big = M.big_groups(M.class_counts(corpus, ~F.col("held_out"), 2, 40), 40)
+    assert len(big.groups) > 3 and big.cuts.max() > 5
+
+
 def test_documents_that_occur_twice_score_higher(spark, docs):
     """The model remembers what its corpus repeats."""
     many = docs.filter(M.fold_of(F.col("doc_id")) != 1)
