@@ -7,8 +7,9 @@ from __future__ import annotations
 import base64
 import gzip
 import re
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,13 +45,18 @@ def repair_quotes(text: str) -> str:
 
 
 def repaired(text: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(repair_quotes, na_action="ignore")
+    @F.arrow_udf("string")
+    def run(values: pa.Array) -> pa.Array:
+        return _one_by_one(values, repair_quotes)
 
     return run(text)
 
 
+def _one_by_one(values: pa.Array, make: Callable[[str], str]) -> pa.Array:
+    """A text function over an Arrow batch; of the batch's texts only one at a time is a Python object."""
+    return pa.array((make(x.as_py()) if x.is_valid else None for x in values), pa.string(), size=len(values))
+
+
 def _whole(data: Column, starts: list[Column], sizes: list[Column]) -> Column:
     """The first of these slices of UTF-8 bytes that is whole text: a cut that falls inside a character moves by up to three bytes."""
     return F.coalesce(*[F.try_validate_utf8(F.substring(data, a, n).cast("string")) for a, n in zip(starts, sizes, strict=True)], F.lit(""))
@@ -86,9 +92,9 @@ def trimmed(text: Column, most: int) -> Column:
 
 
 def gzip_base64(text: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: base64.b64encode(gzip.compress(x.encode(), 9, mtime=0)).decode(), na_action="ignore")
+    @F.arrow_udf("string")
+    def run(values: pa.Array) -> pa.Array:
+        return _one_by_one(values, lambda x: base64.b64encode(gzip.compress(x.encode(), 9, mtime=0)).decode())
 
     return run(text)
 

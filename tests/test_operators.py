@@ -5,7 +5,9 @@ import gzip
 import base64
 import json
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,6 +271,25 @@ def test_whole_sarif_document(spark):
     assert second["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "." and second["properties"]["provider"] == "p" and run["automationDetails"]["id"] == "siftlake/o/n/abcdef1"
 
 
+def test_text_functions_hold_one_text_at_a_time():
+    """A batch's texts do not all become Python objects beside the batch."""
+    calls, most = [], 0
+
+    def make(x):
+        nonlocal most
+        calls.append(len(x))
+        most = max(most, tracemalloc.get_traced_memory()[0])
+        return "r"
+
+    values = pa.array(["x" * 100_000 + str(i) for i in range(200)] + [None], pa.string())
+    tracemalloc.start()
+    try:
+        got = messages._one_by_one(values, make)
+    finally:
+        tracemalloc.stop()
+    assert got.to_pylist() == ["r"] * 200 + [None] and most < 1_000_000 and len(calls) == 200
+
+
 def test_diff_files_and_contents(spark, tmp_path):
     (tmp_path / "a.diff").write_bytes(b"diff --git a/x b/x\n+\xff\n")
     (tmp_path / "blank.diff").write_text(" \n")
