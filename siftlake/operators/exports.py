@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftlake.operators.verdicts import DEFAULT_RULE, csv_field, sarif_level
+from siftlake.operators.verdicts import DEFAULT_RULE, csv_field, sarif_level, worst
 
 # Names of common weaknesses.
 CWE_NAMES = {
@@ -158,20 +158,18 @@ def digest_payloads(digest: DataFrame, base: str = DASHBOARD) -> DataFrame:
     return digest.select("owner", "name", slack.alias("slack"), F.to_json(F.struct(F.array(embed).alias("embeds"))).alias("discord"), F.to_json(teams).alias("teams"))
 
 
-def step_summary(verdicts: DataFrame, primary: DataFrame) -> DataFrame:
-    """pr_id, summary: the worst verdict in markdown lines, and with several verdicts their number. primary: one row for each change (pr_id, ord)."""
-    counts = verdicts.groupBy("pr_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "TRUE_POSITIVE").alias("tp"))
-    rows = verdicts.join(primary.select("pr_id", "ord"), ["pr_id", "ord"]).join(counts, "pr_id")
+def step_summary(verdicts: DataFrame) -> DataFrame:
+    """pr_id, summary: the worst verdict in markdown lines, and with several verdicts their number."""
+    rows = worst(verdicts)
     sure = F.bround(F.col("confidence") * 100, 0).cast("long").cast("string")
     head = F.concat(F.lit(f"## {TOOL}: "), "verdict", F.lit("\n\n**"), "title", F.lit("** (confidence: "), sure, F.lit("%, provider: "), F.coalesce("provider", F.lit("unknown")), F.lit(")"))
     tail = F.when(F.col("n") > 1, F.concat(F.lit("\n\n_"), F.col("n").cast("string"), F.lit(" file(s) analyzed, "), F.col("tp").cast("string"), F.lit(" true positive(s)_"))).otherwise("")
     return rows.select("pr_id", F.concat(head, tail, F.lit("\n")).alias("summary"))
 
 
-def summary_comment(verdicts: DataFrame, primary: DataFrame, runs: DataFrame) -> DataFrame:
+def summary_comment(verdicts: DataFrame, runs: DataFrame) -> DataFrame:
     """pr_id, comment: a table of the worst verdict, its text, how many true positives there are, and evidence and remediation where no line is pinned. runs: pr_id, commit_sha."""
-    counts = verdicts.groupBy("pr_id").agg(F.count_if(F.col("verdict") == "TRUE_POSITIVE").alias("tp"))
-    rows = verdicts.join(primary.select("pr_id", "ord"), ["pr_id", "ord"]).join(counts, "pr_id").join(runs.select("pr_id", F.col("commit_sha").alias("head_sha")), "pr_id")
+    rows = worst(verdicts).join(runs.select("pr_id", F.col("commit_sha").alias("head_sha")), "pr_id")
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     given = lambda name, label: F.when(F.coalesce(F.col(name), F.lit("")) != "", text(f"\n**{label}:** ", F.col(name))).otherwise("")
     sure = F.bround(F.col("confidence") * 100, 0).cast("long").cast("string")
