@@ -15,7 +15,8 @@ that its group names, so a part holds all that Z needs; there the weights are up
 arrays, and the sums return to their texts. A part has about PART training tokens, so parts grow in number, not in size. Equal texts that a task meets
 together travel once. In the last class unseen tokens (one event, as in the base) have the Good-Turing share n1 / (n1 + 2 n2).
 
-Four passes read all texts: counting tokens, counting classes, sending events, and scoring classes. Texts are scored in numpy batches, each distinct context once.
+Three passes tokenise texts: counting tokens, counting classes, and sending events, which also scores classes (each distinct context's norm once). What a text's tokens give without
+features of tokens travels with its events and returns with their sum, so rows meet it by the hash of their text. In a batch each distinct token is looked up once, in order of hashes.
 
 Counts of tokens reach the tasks as a broadcast of (64-bit hash, count) while the vocabulary has at most `broadcast_vocab` tokens (16 bytes for each);
 beyond that each text's distinct tokens are joined with the counts, salted. Both ways give the same scores.
@@ -34,6 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +83,11 @@ class Vocabulary:
     texts: int = 0
     top: int = 0  # training count of the most frequent token
 
+    @property
+    def below(self) -> float:
+        """log10 of what the base divides counts by."""
+        return float(np.log10(self.total + 0.5 * (self.distinct + 1)))
+
     @property
     def unseen_share(self) -> float:
         """Of an unseen token within the last class."""
@@ -119,12 +126,12 @@ class Encoder:
         self.texts = int(self.look_up(np.array([END_HASH], dtype=np.uint64))[0][0])
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts and classes; unseen tokens have no count and the last class."""
+        """Counts and classes; unseen tokens have no count and the last class. Hashes in order are found several times faster than others, as the search then runs along the keys."""
         if not len(self.keys):
             return np.zeros(len(hashes), np.int64), np.full(len(hashes), LAST)
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         known = self.keys[at] == hashes
-        return np.where(known, self.counts[at], 0), np.where(known, self.kinds[at], LAST).astype(np.int64)
+        return np.where(known, self.counts[at], 0).astype(np.int64), np.where(known, self.kinds[at], LAST).astype(np.int64)
 
     def share(self, count: np.ndarray, kind: np.ndarray) -> np.ndarray:
         v, share = self.v, np.ones(len(count))
@@ -142,8 +149,9 @@ class Encoder:
         inner = np.ones(len(hashes), dtype=bool)
         inner[np.cumsum(lengths) - 1] = False
         hashes[inner] = words_
-        count, kind = self.look_up(hashes)
-        return Coded(kind, count, self.share(count, kind), hashes, lengths, self.texts)
+        distinct, to = np.unique(hashes, return_inverse=True)
+        count, kind = self.look_up(distinct)
+        return Coded(kind[to], count[to], self.share(count, kind)[to], hashes, lengths, self.texts)
 
 
 def contexts_of(kinds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -248,6 +256,8 @@ def hashed_counts(counts: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray
 
     got = counts.select("token", "c").mapInArrow(run, "key bigint, c bigint, kind int").toArrow()
     keys, c, kinds = got.column("key").to_numpy().view(np.uint64), got.column("c").to_numpy(), got.column("kind").to_numpy().astype(np.int8)
+    if vocabulary.top < 1 << 31:
+        c = c.astype(np.int32)
     order = np.argsort(keys)
     return keys[order], c[order], kinds[order]
 
@@ -295,7 +305,7 @@ class Corpus:
             names = batch.schema.names
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                texts = [(t or "").encode() for t in part.column(names.index("text")).to_pylist()]
+                texts = [t or b"" for t in part.column(names.index("text")).cast(pa.binary()).to_pylist()]
                 if shared is None:
                     encoder = of({t: n for ts, ns in zip(part.column(names.index("tokens")).to_pylist(), part.column(names.index("counts")).to_pylist(), strict=True) for t, n in zip(ts, ns, strict=True)})
                 else:
@@ -369,7 +379,9 @@ def tilt(group: np.ndarray, token: np.ndarray, base: np.ndarray, weight: np.ndar
 
     base: P(token) without this feature, alike for all events of one token and group. weight: how often training has the event. Every feature's weight follows the gradient of the penalised
     likelihood, scaled by its curvature."""
-    order = np.lexsort((token, group))
+    # one sort of whole numbers takes a third of the time of two
+    narrow = group.dtype == token.dtype == np.uint32
+    order = np.argsort(group.astype(np.uint64) << np.uint64(32) | token) if narrow else np.lexsort((token, group))
     g, t = group[order], token[order]
     new_group = np.concatenate([[True], g[1:] != g[:-1]])[: len(g)]
     new_pair = new_group | np.concatenate([[True], t[1:] != t[:-1]])[: len(g)]
@@ -393,23 +405,35 @@ def tilt(group: np.ndarray, token: np.ndarray, base: np.ndarray, weight: np.ndar
     return out
 
 
-def send_events(corpus: Corpus, train: Column, parts: int, big: Big = NONE) -> DataFrame:
-    """part, blob: the events of all texts, dealt by group; see token_events for `big`. A blob has entries (text key, events, training rows) and the events' arrays.
+def send_events(corpus: Corpus, train: Column, parts: int, big: Big = NONE, weights: Broadcast | None = None) -> DataFrame:
+    """part, blob: the events of all texts, dealt by group; see token_events for `big`. A blob has entries (text key, events, training rows), marks and the events' arrays.
 
-    Texts that are equal and met together are one entry. Each also has one entry without events in some part, so that what was sent several times is told by these."""
-    read = corpus.reader()
+    Texts that are equal and met together are one entry. Each also has one mark in some part, with its sizes and what its tokens give without features of tokens (their classes by `weights`,
+    if given), so that what was sent several times is told by these."""
+    read, below = corpus.reader(), corpus.vocabulary.below
+
+    def mark_of(coded: Coded, by_class: ClassScores | None) -> np.ndarray:
+        out = np.zeros(len(coded.lengths), dtype=MARK)
+        first = np.cumsum(coded.lengths) - coded.lengths
+        own = coded.share if by_class is None else by_class(contexts_of(coded.kind, coded.lengths), coded.kind) / np.log(10) + coded.share
+        out["tokens"], out["known"] = coded.lengths, np.add.reduceat((coded.count > 0).astype(np.int64), first)
+        out["base"], out["own"] = np.add.reduceat(np.log10(coded.count + 0.5) - below, first), np.add.reduceat(own, first)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_class = None if weights is None else ClassScores(weights.value)
         keys: dict[int, int] = {}
         rows: list[int] = []
         held: list[tuple[np.ndarray, ...]] = []
+        said: list[np.ndarray] = []
         size = 0
 
         def out() -> pa.RecordBatch:
             entry, group, token, share = (np.concatenate(x) for x in zip(*held, strict=True))
-            name, n_train = np.array(list(keys), dtype=np.int64), np.array(rows, dtype=np.int32)
+            name, n_train, marks = np.array(list(keys), dtype=np.int64), np.array(rows, dtype=np.int32), np.concatenate(said)
+            marks["key"] = name
             part, brief = (group % np.uint64(parts)).astype(np.int64), (group >> np.uint64(32)).astype(np.uint32)
-            order = np.argsort(part, kind="stable")
+            order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
             mark = (name.view(np.uint64) % np.uint64(parts)).astype(np.int64)
             by_mark = np.argsort(mark, kind="stable")
             met = np.union1d(part, mark)
@@ -419,12 +443,11 @@ def send_events(corpus: Corpus, train: Column, parts: int, big: Big = NONE) -> D
                 own, marked = order[a:b], by_mark[c:d]
                 first = np.flatnonzero(np.diff(entry[own], prepend=-1))
                 which, n = entry[own][first], np.diff(first, append=len(own))
-                entries = np.zeros(len(which) + len(marked), dtype=ENTRY)
-                entries["key"], entries["n"][: len(which)] = name[np.concatenate([which, marked])], n
-                entries["train"][: len(which)] = n_train[which]
+                entries = np.zeros(len(which), dtype=ENTRY)
+                entries["key"], entries["n"], entries["train"] = name[which], n, n_train[which]
                 names.append(p)
-                blobs.append(len(entries).to_bytes(8, "little") + entries.tobytes() + b"".join(x[own].tobytes() for x in (brief, token, share)))
-            keys.clear(), rows.clear(), held.clear()
+                blobs.append(len(entries).to_bytes(8, "little") + len(marked).to_bytes(8, "little") + entries.tobytes() + marks[marked].tobytes() + b"".join(x[own].tobytes() for x in (brief, token, share)))
+            keys.clear(), rows.clear(), held.clear(), said.clear()
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
         for batch in batches:
@@ -437,6 +460,7 @@ def send_events(corpus: Corpus, train: Column, parts: int, big: Big = NONE) -> D
                         rows.append(0)
                     rows[keys[k]] += learn
                 text, *arrays = token_events(coded, np.array(own_keys[start : start + n], dtype=np.int64).view(np.uint64), big=big)
+                said.append(mark_of(coded, by_class)[index >= 0])
                 fresh = index[text] >= 0
                 held.append((index[text][fresh], *(x[fresh] for x in arrays)))
                 size += int(fresh.sum())
@@ -453,8 +477,12 @@ def send_events(corpus: Corpus, train: Column, parts: int, big: Big = NONE) -> D
 ENTRY = np.dtype([("key", "<i8"), ("n", "<i4"), ("train", "<i4")])
 
 
+#: What is known of one text before its events are scored: its tokens, those that training has, the base score, and the score without features of tokens.
+MARK = np.dtype([("key", "<i8"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("own", "<f8")])
+
+
 #: What a part says of one text.
-SUM = np.dtype([("key", "<i8"), ("add", "<f8"), ("marks", "<i4")])
+SUM = np.dtype([("key", "<i8"), ("add", "<f8")])
 
 
 #: The weight of one token in a cut group, and that of tokens without a feature.
@@ -526,22 +554,31 @@ def tilt_with(weights: np.ndarray, group: np.ndarray, token: np.ndarray, base: n
     return out
 
 
+def _packed(rows: np.ndarray, buckets: int) -> dict[int, bytes]:
+    """Rows with a text's key, by the bucket of the text."""
+    bucket = (rows["key"].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    rows = rows[np.argsort(bucket, kind="stable")]
+    met, first = np.unique(np.sort(bucket), return_index=True)
+    return {b: x.tobytes() for b, x in zip(met.tolist(), np.split(rows, first[1:]), strict=False)}
+
+
 def score_events(events: DataFrame, buckets: int = 1, weights: DataFrame | None = None) -> DataFrame:
-    """key, add: for each text what its tokens' features add to its log10 probability. A part gives its sums packed by buckets of texts, which are merged. weights: see big_weights."""
+    """key, add and the fields of MARK: for each text what its tokens' features add to its log10 probability. A part gives its sums and marks packed by buckets of texts, which are merged. weights: see big_weights."""
 
     def run(group: pa.Table) -> pa.Table:
-        entries, columns = [], [[], [], []]
+        entries, marks, columns = [], [], [[], [], []]
         known = [np.frombuffer(x.as_py(), WEIGHT) for x in group.filter(group.column("fitted")).column("blob")]
         known = np.concatenate([np.empty(0, WEIGHT), *known])
         known = known[np.lexsort((known["token"], known["group"]))]
         group = group.filter(pc.invert(group.column("fitted")))
         if not group.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], ["bucket", "sums"])
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.binary())], ["bucket", "sums", "marks"])
         for value in group.column("blob"):
             blob = value.as_py()
-            n = int.from_bytes(blob[:8], "little")
-            entries.append(np.frombuffer(blob, ENTRY, n, 8))
-            at, m = 8 + n * ENTRY.itemsize, int(entries[-1]["n"].sum())
+            n, n_marks = int.from_bytes(blob[:8], "little"), int.from_bytes(blob[8:16], "little")
+            entries.append(np.frombuffer(blob, ENTRY, n, 16))
+            marks.append(np.frombuffer(blob, MARK, n_marks, 16 + n * ENTRY.itemsize))
+            at, m = 16 + n * ENTRY.itemsize + n_marks * MARK.itemsize, int(entries[-1]["n"].sum())
             for to, kind in zip(columns, (np.uint32, np.uint32, np.uint16), strict=True):
                 to.append(np.frombuffer(blob, kind, m, at))
                 at += m * np.dtype(kind).itemsize
@@ -554,21 +591,21 @@ def score_events(events: DataFrame, buckets: int = 1, weights: DataFrame | None
         add = np.bincount(of, pair, minlength=len(own)) / np.log(10)
         keys, to = np.unique(own["key"], return_inverse=True)
         sums = np.zeros(len(keys), dtype=SUM)
-        sums["key"], sums["add"], sums["marks"] = keys, np.bincount(to, add), np.bincount(to, own["n"] == 0)
-        bucket = (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-        sums, bucket = sums[np.argsort(bucket, kind="stable")], np.sort(bucket)
-        met, first = np.unique(bucket, return_index=True)
-        return pa.table([pa.array(met), pa.array([x.tobytes() for x in np.split(sums, first[1:])] if len(met) else [], pa.binary())], ["bucket", "sums"])
+        sums["key"], sums["add"] = keys, np.bincount(to, add, minlength=len(keys))
+        packed = [_packed(x, buckets) for x in (sums, np.concatenate(marks))]
+        met = sorted({b for x in packed for b in x})
+        return pa.table([pa.array(met, pa.int64()), *[pa.array([x.get(b, b"") for b in met], pa.binary()) for x in packed]], ["bucket", "sums", "marks"])
 
     def merge(group: pa.Table) -> pa.Table:
-        sums = np.concatenate([np.frombuffer(x.as_py(), SUM) for x in group.column("sums")])
-        keys, to = np.unique(sums["key"], return_inverse=True)
-        return pa.table([pa.array(keys), pa.array(np.bincount(to, sums["add"]) / np.bincount(to, sums["marks"]))], ["key", "add"])
+        sums, marks = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in group.column(name)]) for name, kind in (("sums", SUM), ("marks", MARK)))
+        keys, first, times = np.unique(marks["key"], return_index=True, return_counts=True)
+        add = np.bincount(np.searchsorted(keys, sums["key"]), sums["add"], minlength=len(keys)) / times
+        return pa.table([pa.array(keys), pa.array(add), *[pa.array(marks[x][first]) for x in MARK.names[1:]]], ["key", "add", *MARK.names[1:]])
 
     events = events.withColumn("fitted", F.lit(False))
     if weights is not None:
         events = events.unionByName(weights.withColumn("fitted", F.lit(True)))
-    return events.groupBy("part").applyInArrow(run, "bucket bigint, sums binary").groupBy("bucket").applyInArrow(merge, "key bigint, add double")
+    return events.groupBy("part").applyInArrow(run, "bucket bigint, sums binary, marks binary").groupBy("bucket").applyInArrow(merge, "key bigint, add double, tokens bigint, known bigint, base double, own double")
 
 
 def class_counts(corpus: Corpus, train: Column, partitions: int, most: int = PART) -> DataFrame:
@@ -661,29 +698,15 @@ def score(docs: DataFrame, held_out: int = 1, id_col: str = "doc_id", text_col:
     corpus = Corpus(rows, counts, vocabulary, broadcast_vocab)
     classes = stash(class_counts(corpus, ~F.col("held_out"), partitions, part))
     weights = fit(classes.filter("context >= 0")).astype(np.float32)
-    shared, read = docs.sparkSession.sparkContext.broadcast(weights), corpus.reader()
-    below = np.log10(vocabulary.total + 0.5 * (vocabulary.distinct + 1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_class = ClassScores(shared.value)
-        for batch in batches:
-            for start, n, coded in read(batch):
-                kinds, c, lengths = coded.kind, coded.count, coded.lengths
-                own_class = by_class(contexts_of(kinds, lengths), kinds) / np.log(10)
-                first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                add = lambda x, first=first: np.add.reduceat(x, first)
-                own = batch.slice(start, n)
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array(lengths), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(n, vocabulary.total)), pa.array(add(np.log10(c + 0.5) - below)), pa.array(add(own_class + coded.share)), own.column(own.schema.get_field_index("key"))], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "key"])
-
-    id_type = docs.schema[id_col].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
     parts = max(1, -(-vocabulary.total // part))
     # each bucket gives each of its texts once
     big = big_groups(classes, part)
     of_big = big_weights(corpus, ~F.col("held_out"), parts, big) if len(big.groups) else None
-    adds = stash(score_events(send_events(corpus, ~F.col("held_out"), parts, big), 1 + vocabulary.texts // BUCKET_TEXTS, of_big))
-    out = corpus.rows.select("id", "text", "held_out", "tokens", "counts", F.xxhash64("text").alias("key")).mapInArrow(run, f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, key bigint")
+    adds = stash(score_events(send_events(corpus, ~F.col("held_out"), parts, big, shared), 1 + vocabulary.texts // BUCKET_TEXTS, of_big))
     # a text with a third of all rows spreads over several tasks
     adds = adds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = out.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(adds, ["key", "salt"], "left")
-    out = out.withColumn("score", F.col("score") + F.coalesce("add", F.lit(0.0))).drop("key", "salt", "add")
+    out = rows.select("id", "held_out", F.xxhash64("text").alias("key"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")).join(adds, ["key", "salt"], "left")
+    total = F.lit(vocabulary.total).cast("bigint").alias("train_tokens")
+    out = out.select("id", "held_out", F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), total, F.col("base").alias("base_score"), (F.col("own") + F.col("add")).alias("score"))
     return out.withColumnRenamed("id", id_col)

@@ -213,3 +213,37 @@ def test_wrapper_columns(spark):
     rows = got.collect()
     check_base([(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()], rows)
     assert all(r.score <= 0 for r in rows)
+
+
+def test_a_batch_looks_each_distinct_token_up_once_and_in_order(monkeypatch):
+    keys = np.sort(M.hashes_of([b"a", b"b", b" "], M.Shingler()))
+    encoder = M.Encoder(M.Vocabulary(9, 3, 0, 0, {}, np.zeros(M.CLASSES)), keys, np.array([4, 3, 2]), np.array([M.OWN] * 3))
+    asked, look_up = [], encoder.look_up
+    monkeypatch.setattr(encoder, "look_up", lambda hashes: asked.append(hashes) or look_up(hashes))
+    coded = encoder.encode([b"b a zz b", b"", b"A b zz"])
+    assert [len(x) for x in asked] == [4] and (np.diff(asked[0].view(np.int64) ^ np.int64(-(2**63))) > 0).all()
+    want = M.hashes_of([b"b", b"a", b"zz", b"b", b" ", b" ", b"a", b"b", b"zz", b" "], M.Shingler())
+    assert coded.hash.tolist() == want.tolist() and coded.lengths.tolist() == [5, 1, 4]
+    count, kind = look_up(want)
+    assert coded.count.tolist() == count.tolist() and coded.kind.tolist() == kind.tolist() and np.allclose(coded.share, encoder.share(count, kind))
+
+
+def test_sums_bring_all_that_a_text_needs(spark, odd):
+    """Texts sent from many tasks, by as many parts, have their sizes, base and class scores once."""
+    many = odd
+    for _ in range(3):
+        many = many.union(odd)
+    keyed = many.repartition(9).select(F.col("doc_id").alias("id"), "text", (M.fold_of(F.col("doc_id")) == 1).alias("held_out"))
+    counts = M.stash(M.count_tokens(keyed.filter(~F.col("held_out")).select("text")))
+    vocabulary = M.vocabulary_of(counts)
+    corpus = M.Corpus(keyed, counts, vocabulary, 10**6)
+    weights = np.random.default_rng(5).normal(size=(M.BUCKETS, M.CLASSES)).astype(np.float32)
+    got = {r.key: r for r in M.score_events(M.send_events(corpus, ~F.col("held_out"), 5, weights=spark.sparkContext.broadcast(weights)), 3).collect()}
+    rows = odd.select("text", F.xxhash64("text").alias("key")).collect()
+    assert set(got) == {r.key for r in rows}
+    encoder = M.Encoder(vocabulary, *M.hashed_counts(counts, vocabulary))
+    for r in rows:
+        one, c = got[r.key], encoder.encode([(r.text or "").encode()])
+        by_class = M.class_log_probabilities(weights, M.contexts_of(c.kind, c.lengths))[np.arange(len(c.kind)), c.kind] / np.log(10)
+        assert (one.tokens, one.known) == (len(c.kind), (c.count > 0).sum())
+        assert np.isclose(one.own, (by_class + c.share).sum(), rtol=1e-5) and np.isclose(one.base, (np.log10(c.count + 0.5) - vocabulary.below).sum())
