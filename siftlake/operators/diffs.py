@@ -24,11 +24,14 @@ def _so_far(*keys: str) -> WindowSpec:
     return _by_pr(*keys).rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
+def _parts(raw_diff: str) -> Column:
+    parts = F.split(F.coalesce(raw_diff, F.lit("")), "\r\n|\n|\r", -1)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
 def lines(prs: DataFrame) -> DataFrame:
     """prs (pr_id, raw_diff) to pr_id, pos (from 0), line. An empty last line is no line."""
-    parts = F.split(F.coalesce("raw_diff", F.lit("")), "\r\n|\n|\r", -1)
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return prs.select("pr_id", F.posexplode(parts).alias("pos", "line"))
+    return prs.select("pr_id", F.posexplode(_parts("raw_diff")).alias("pos", "line"))
 
 
 def files(rows: DataFrame) -> DataFrame:
@@ -93,6 +96,22 @@ def snippet(rows: DataFrame, limit: int = SNIPPET_LINES) -> DataFrame:
     return first.groupBy("pr_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("snippet"))
 
 
+def heads(prs: DataFrame, limit: int = SNIPPET_LINES) -> DataFrame:
+    """pr_id, files, insertions, deletions, snippet: `summary` and `snippet` of prs (pr_id, raw_diff) in one pass over whole diffs, without a row for each line.
+
+    Rows of one pr_id are one change. A change without lines has no row, one without shown lines an empty snippet."""
+    # through a generator, so that the optimiser does not copy the split to every field
+    every = prs.select("pr_id", F.explode(F.array(_parts("raw_diff"))).alias("lines")).filter(F.size("lines") > 0)
+    count = lambda keep: F.size(F.filter("lines", keep))
+    plus = lambda x: x.startswith("+") & ~x.startswith("+++")
+    minus = lambda x: x.startswith("-") & ~x.startswith("---")
+    placed = F.transform("lines", lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
+    shown = F.filter(placed, lambda x: x["line"].startswith("+") | x["line"].startswith("-") | x["line"].startswith("@@") | x["line"].startswith("diff"))
+    rows = every.select("pr_id", count(lambda x: x.startswith("diff --git ")).alias("files"), count(plus).alias("insertions"), count(minus).alias("deletions"), F.slice(shown, 1, limit).alias("shown"))
+    first = F.slice(F.array_sort(F.flatten(F.collect_list("shown"))), 1, limit)
+    return rows.groupBy("pr_id").agg(F.sum("files").alias("files"), F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"), F.array_join(F.transform(first, lambda x: x["line"]), "\n").alias("snippet"))
+
+
 def large(prs: DataFrame, max_files: int = LARGE_FILES, max_added: int = LARGE_ADDED, max_bytes: int = LARGE_BYTES) -> DataFrame:
     """pr_id, is_large, reasons (text), mode: large, chunked (over 100 line feeds) or small."""
     counts = summary(lines(prs))
@@ -182,7 +201,9 @@ def context(added: DataFrame, contents: DataFrame, around: int = 25, most: int =
     parts = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
     all_lines = contents.select("pr_id", "path", F.posexplode(parts).alias("at", "line")).withColumn("line_no", F.col("at") + 1)
-    wanted = added.select("pr_id", "path", F.explode(F.sequence(F.col("line_no") - around, F.col("line_no") + around)).alias("line_no")).distinct()
+    # no line stands before the first
+    low, high = F.greatest(F.col("line_no") - around, F.lit(1)), F.col("line_no") + around
+    wanted = added.filter(high >= 1).select("pr_id", "path", F.explode(F.sequence(low, high)).alias("line_no")).distinct()
     rows = all_lines.join(wanted, ["pr_id", "path", "line_no"], "left_semi")
     nth = F.row_number().over(W.partitionBy("pr_id", "path").orderBy("line_no"))
     return rows.withColumn("nth", nth).filter(F.col("nth") <= most).select("pr_id", "path", "nth", F.format_string("%4d | %s", F.col("line_no"), F.col("line")).alias("text"))

@@ -74,21 +74,33 @@ def last_bytes(text: Column, size: Column) -> Column:
     return F.when(F.octet_length(text) <= size, text).otherwise(_whole(text.cast("binary"), [F.octet_length(text) - n + 1 for n in sizes], sizes))
 
 
+def _let(body: Callable[[Column], Column], **values: Column) -> Column:
+    """body(a struct of these values); each value is computed once, however often body names it."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body)[0]
+
+
 def trimmed(text: Column, most: int) -> Column:
     """A message of at most `most` bytes (no limit if not positive). Bytes go to its parts in this order: the end from the closing mark on, the head up to the opening mark, a
     note, and with what is left the code between the marks; a message without marks keeps its two ends in equal parts around the note."""
     if most <= 0:
         return text
-    a, b, note = F.instr(text, OPEN), F.instr(text, CLOSE), len(TRIMMED.encode())
-    cut = a + len(OPEN)
-    head, code, tail = F.substring(text, F.lit(1), cut - 1), F.substring(text, cut, F.greatest(b - cut, F.lit(0))), F.substring(text, b, F.length(text))
-    for_tail = F.least(F.octet_length(tail), F.lit(most))
-    for_head = F.least(F.octet_length(head), F.lit(most) - for_tail)
-    left = F.lit(most - note) - F.octet_length(head) - F.octet_length(tail)
-    parts = F.concat(first_bytes(head, for_head), F.when(left > 0, F.concat(first_bytes(code, left), F.lit(TRIMMED))).otherwise(""), last_bytes(tail, for_tail))
-    half = F.lit(max(0, most - note) // 2)
-    ends = last_bytes(F.concat(first_bytes(text, half), F.lit(TRIMMED), last_bytes(text, half)), F.lit(most))
-    return F.when(F.octet_length(text) <= most, text).when((a > 0) & (b >= a), parts).otherwise(ends)
+    note = len(TRIMMED.encode())
+
+    def joined(p: Column) -> Column:
+        head, code, tail = p["head"], p["code"], p["tail"]
+        for_tail = F.least(F.octet_length(tail), F.lit(most))
+        for_head = F.least(F.octet_length(head), F.lit(most) - for_tail)
+        left = F.lit(most - note) - F.octet_length(head) - F.octet_length(tail)
+        return F.concat(first_bytes(head, for_head), F.when(left > 0, F.concat(first_bytes(code, left), F.lit(TRIMMED))).otherwise(""), last_bytes(tail, for_tail))
+
+    def cut(m: Column) -> Column:
+        text, a, b = m["text"], m["a"], m["b"]
+        at, half = a + len(OPEN), F.lit(max(0, most - note) // 2)
+        parts = _let(joined, head=F.substring(text, F.lit(1), at - 1), code=F.substring(text, at, F.greatest(b - at, F.lit(0))), tail=F.substring(text, b, F.length(text)))
+        ends = _let(lambda x: last_bytes(x["both"], F.lit(most)), both=F.concat(first_bytes(text, half), F.lit(TRIMMED), last_bytes(text, half)))
+        return F.when((a > 0) & (b >= a), parts).otherwise(ends)
+
+    return F.when(F.octet_length(text) <= most, text).otherwise(_let(cut, text=text, a=F.instr(text, OPEN), b=F.instr(text, CLOSE)))
 
 
 def gzip_base64(text: Column) -> Column:
@@ -110,17 +122,19 @@ def adapted(text: Column, system_chars: int, max_tokens: int, scale: float = 1.0
     return F.when(over & (a > 0) & (b > 0), cut).otherwise(text)
 
 
-def user_message(paths: DataFrame, summary: DataFrame, snippet: DataFrame, context: DataFrame) -> DataFrame:
+def user_message(paths: DataFrame, summary: DataFrame, snippet: DataFrame | None, context: DataFrame) -> DataFrame:
     """pr_id, message: summary, numbered data-flow paths, and the code between its marks.
 
-    paths: pr_id, sink_line, sink, source_line, source, path, sanitizer; summary: pr_id, files, insertions, deletions; snippet: pr_id, snippet;
-    context: pr_id, path, nth, text."""
+    paths: pr_id, sink_line, sink, source_line, source, path, sanitizer; summary: pr_id, files, insertions, deletions; snippet: pr_id, snippet (None: the summary has
+    it, once for each change); context: pr_id, path, nth, text."""
     order = W.partitionBy("pr_id").orderBy("path", "sink_line", "source_line")
     note = F.when(F.col("sanitizer").isNotNull(), F.concat(F.lit("[SANITIZED: "), "sanitizer", F.lit("]"))).otherwise(F.lit("[NO SANITIZER DETECTED]"))
     one = F.concat(F.lit("DATA FLOW PATH "), F.col("nth").cast("string"), F.lit(":\n  SOURCE  ["), "source", F.lit("] @ "), "path", F.lit(":"), F.col("source_line").cast("string"), F.lit("\n  SINK    ["), "sink", F.lit("] @ "), "path", F.lit(":"), F.col("sink_line").cast("string"), F.lit("\n  "), note)
     flows = paths.withColumn("nth", F.row_number().over(order)).withColumn("one", one).groupBy("pr_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "one"))), lambda x: x["one"]), "\n").alias("flows"))
     around = context.groupBy("pr_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "nth", "text"))), lambda x: x["text"]), "\n").alias("around"))
-    rows = summary.join(flows, "pr_id", "left").join(snippet, "pr_id", "left").join(around, "pr_id", "left")
+    # a change without an id meets nothing in joins, so its snippet stays out either way
+    rows = summary.join(snippet, "pr_id", "left") if snippet is not None else summary.withColumn("snippet", F.when(F.col("pr_id").isNotNull(), F.col("snippet")))
+    rows = rows.join(flows, "pr_id", "left").join(around, "pr_id", "left")
     head = F.concat(F.lit("DIFF SUMMARY: "), F.col("files").cast("string"), F.lit(" files, +"), F.col("insertions").cast("string"), F.lit(" -"), F.col("deletions").cast("string"), F.lit("\n\n"))
     body = F.coalesce("flows", F.lit("No explicit data-flow paths extracted. Analyze the diff heuristically."))
     code = F.concat(F.lit(f"\n{OPEN}\n"), F.coalesce("snippet", F.lit("")), F.lit("\n"), F.coalesce("around", F.lit("")), F.lit(f"\n{CLOSE}\nReturn the JSON verdict schema exactly."))

@@ -167,9 +167,8 @@ w AS (SELECT repo_id, id, n, true AS accepted, [us] AS kept FROM q WHERE n = 1 U
 
 
 def prompts(s, f):
-    rows = d.diff_lines(s, f)
     flows = taint(s, f)
-    return messages.user_message(flows, diffs.summary(rows), diffs.snippet(rows), diffs.context(diffs.added_lines(rows), d.contents(s, f)))
+    return messages.user_message(flows, diffs.heads(d.diffs(s, f)), None, diffs.context(diffs.added_lines(d.diff_lines(s, f)), d.contents(s, f)))
 
 
 def indented_code(s, f):
