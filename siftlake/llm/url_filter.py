@@ -119,10 +119,12 @@ def _merge(tree: DataFrame, level: int, max_children: int, similarity: float, z:
     often = _children(tree, level)[0].filter(_often(max_children)).filter("labelled > 0").select("node", "seg")
     kids = _at(tree, level).join(often, ["node", "seg"]).groupBy("node", F.col("seg").alias("a"), F.coalesce(F.get("t", F.lit(level + 1)), F.lit("")).alias("kid")).agg(*[F.sum(c).alias(c) for c in SUMS])
     kids = stash(kids)
-    branch = kids.groupBy("node", "a").agg(F.sum(F.col("n") * F.col("n")).alias("norm"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    # squares of counts outgrow 64 bits: sums of them are decimals, products of these floating
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
+    branch = kids.groupBy("node", "a").agg(F.sum(whole("n") * whole("n")).cast("double").alias("norm"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     left = kids.select("node", "kid", "a", F.col("n").alias("na"))
     right = kids.select("node", "kid", F.col("a").alias("b"), F.col("n").alias("nb"))
-    dots = left.join(right, ["node", "kid"]).filter(F.col("b") < F.col("a")).groupBy("node", "a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
+    dots = left.join(right, ["node", "kid"]).filter(F.col("b") < F.col("a")).groupBy("node", "a", "b").agg(F.sum(whole("na") * whole("nb")).cast("double").alias("dot"))
     for side in ("a", "b"):
         dots = dots.join(branch.select("node", F.col("a").alias(side), F.col("norm").alias(f"{side}_norm"), F.col("labelled").alias(f"{side}_n"), F.col("blocked").alias(f"{side}_k")), ["node", side])
     alike = (F.col("dot") >= similarity * F.sqrt(F.col("a_norm") * F.col("b_norm"))) & ~_apart(F.col("a_n"), F.col("a_k"), F.col("b_n"), F.col("b_k"), z)

@@ -54,6 +54,15 @@ def test_like_branches_merge(spark):
     assert {r.template for r in U.judge(rows, ()).collect()} == {"/aa/*", "/bb/*"}
 
 
+def test_branches_of_many_urls_merge(spark):
+    """Counts whose fourth powers, and then whose squares, pass 64 bits."""
+    for n in (9, 100_000, 10**10):
+        rows = [("h.org", f"{k}/*", c, c, c, [k, "*"]) for k, c in (("aa", n), ("bb", n + n // 9), ("cc", n))] + [("h.org", "cc/x", 9 * n, 9 * n, 9 * n, ["cc", "x"])]
+        tree = spark.createDataFrame(rows, "host string, segs string, n bigint, labelled bigint, blocked bigint, t array<string>")
+        got = {r.segs: r.t for r in U._merge(tree, 0, 24, 0.9, 2.0).collect()}
+        assert got == {"aa/*": ["aa", "*"], "bb/*": ["aa", "*"], "cc/*": ["cc", "*"], "cc/x": ["cc", "x"]}, n
+
+
 def test_templates_reach_below_the_third_segment(spark):
     top = "/2024/05/12/a/b/c"
     rules = (("block", "bad.example", f"{top}/ads/"), ("allow", "bad.example", f"{top}/news/"))
