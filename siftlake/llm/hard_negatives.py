@@ -8,7 +8,7 @@ window that is asked for, or lies below k candidates that are surely inside. Wha
 
 Two passes over the same blocks: the best rows of an anchor's own label (one window without limits), then for each of these positives the best
 rows of other labels inside the window that its score sets. Rows are dealt into blocks by a hash, whatever their labels, so a frequent label is
-spread like all others; a block of anchors meets each block of rows in an equi-join on (anchor block, slot), and blocks give
+spread like all others; a block of anchors meets each block of rows in an equi-join on (group of anchor blocks, slot), and blocks give
 at most k rows for each anchor and window.
 
 Rows with a null label, a null vector, or a null or non-finite component take no part. Rows of one id are rows of their own; an anchor leaves out only its own
@@ -33,6 +33,8 @@ from .topk_search import integer_vector, usable
 #: Stands for a null id inside blocks; no null id is smaller than another one.
 NO_ID = np.iinfo(np.int64).max
 FAR = 1 << 62
+#: Blocks of anchors that meet one copy of a block of rows.
+TOGETHER = 16
 
 
 @dataclass
@@ -110,16 +112,20 @@ def _meet(anchors: DataFrame, rows: DataFrame, anchor_block: int, row_block: int
     """work(anchors, rows) for each block of anchors with each block of rows, as struct arrays; it yields record batches of `schema`."""
     left, n_left = _blocks(anchors, anchor_block)
     right, n_right = _blocks(rows, row_block)
-    slots = max(1, min(slots, n_right))
-    left = left.select(F.col("block").alias("with"), F.col("rows").alias("anchors"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    right = right.select("rows", F.pmod("block", F.lit(slots)).alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("with"))
+    tasks, slots = slots, max(1, min(slots, n_right))
+    # each group of anchor blocks costs a copy of all rows
+    groups = min(n_left, max(-(-n_left // TOGETHER), -(-tasks // slots)))
+    left = left.select(F.pmod("block", F.lit(groups)).alias("with"), F.col("rows").alias("anchors"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    right = right.select("rows", F.pmod("block", F.lit(slots)).alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("with"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 yield from work(batch.column(0)[i].values, batch.column(1)[i].values)
 
-    return right.join(left, ["with", "slot"]).select("anchors", "rows").mapInArrow(run, schema)
+    # blocks are repeated behind the shuffle that Spark takes their size from, so it would broadcast up to `slots` times what it allows
+    right, left = (x.repartition(3 * groups * slots, "with", "slot") for x in (right, left))
+    return right.join(left.hint("merge"), ["with", "slot"]).select("anchors", "rows").mapInArrow(run, schema)
 
 
 def _positives(anchors: pa.StructArray, rows: pa.StructArray, k: int) -> Iterator[pa.RecordBatch]:

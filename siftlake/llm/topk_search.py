@@ -95,7 +95,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str =
     slots = max(1, min(slots, n_c))
     left = c.select("block", "rows", F.pmod("block", F.lit(slots)).alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q_block"))
     right = q.select(F.col("block").alias("q_block"), F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    pairs = left.join(right, ["q_block", "slot"]).select("q_rows", "rows")
+    # not broadcast: blocks are repeated behind the shuffle that Spark takes their size from
+    pairs = left.join(right.hint("merge"), ["q_block", "slot"]).select("q_rows", "rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def unpack(value) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:

@@ -66,3 +66,20 @@ def test_most_rows_go_before_the_last_plane(monkeypatch):
     want = rows @ anchor
     assert best.tolist() == np.lexsort((np.arange(5000), -want))[:5].tolist() and score.tolist() == want[best].tolist()
     assert seen[0] == 5000 and seen[-1] < 500
+
+
+def test_blocks_are_never_broadcast(spark):
+    """Spark would see a few rows of anchors and send them to the driver once for each slot."""
+    from siftlake.llm import topk_search
+
+    rows = [(i, i % 3, [float(i % 7), 1.0]) for i in range(60)]
+    df = spark.createDataFrame([(i, label, [int(x) for x in v], i) for i, label, v in rows], "id long, label long, vector array<long>, row long")
+    met = H._meet(df.filter("id % 5 = 0"), df, 4, 8, 64, lambda a, r: H._positives(a, r, 2), "row bigint, positive_id bigint, positive_score bigint")
+    best = topk_search.top_k(df.filter("id % 5 = 0"), df, 2, "id", query_block=4, candidate_block=8)
+    for found, n in ((met, 12 * 8 * 2), (best, 24)):
+        assert 24 <= found.count() <= n
+        kept = found.cache()
+        kept.count()
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        kept.unpersist()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
