@@ -12,14 +12,14 @@ Inside a class of many tokens the softmax has hashed features of tokens: the pai
 more, over the token's share of the class: P(token | class, context) = share * exp(w) / Z, with Z over the whole class, as tokens without a
 feature keep their share. A group (last token and class) with more than PART training events is fitted once from the counts of its pairs, which are no more than the class has tokens; its events are cut by their texts into about PART each, and every cut gets these weights, so no part grows with the corpus and no score depends on cuts. These features are as many as the corpus has (told apart inside a part by 32 bits of hashes for the last token and class and 32 for the token, not kept in a table of a fixed size). Every event goes to the part
 that its group names, so a part holds all that Z needs; there the weights are updated by gradients and the events are scored at once, in sparse
-arrays, and the sums return to their texts. A part has about PART training tokens, so parts grow in number, not in size. Equal texts that a task meets
-together travel once. In the last class unseen tokens (one event, as in the base) have the Good-Turing share n1 / (n1 + 2 n2).
+arrays, and the sums return to their texts. A part has about PART training tokens, so parts grow in number, not in size. A batch of texts sends a part each group and each pair once and two bytes for each event, and parts are
+scored in at most LANES lanes that add up their sums, so neither way grows with the number of parts. Equal texts that a task meets together travel once. In the last class unseen tokens (one event, as in the base) have the Good-Turing share n1 / (n1 + 2 n2).
 
 Three passes tokenise texts: counting tokens, counting classes, and sending events, which also scores classes (each distinct context's norm once). What a text's tokens give without
 features of tokens travels with its events and returns with their sum, so rows meet it by the hash of their text. In a batch each distinct token is looked up once, in order of hashes.
 
-Counts of tokens reach the tasks as a broadcast of (64-bit hash, count) while the vocabulary has at most `broadcast_vocab` tokens (16 bytes for each);
-beyond that each text's distinct tokens are joined with the counts, salted. Both ways give the same scores.
+Counts of tokens reach the tasks as a broadcast of (64-bit hash, count, class) while the vocabulary has at most `broadcast_vocab` tokens (13 bytes for each). Beyond that tokens seen once are left out,
+if no held-out text has them: what a training text has besides was seen once. Where these are too many as well, each text's distinct tokens are joined with the counts, salted. All ways give the same scores.
 
 Null texts count as empty; an empty text is one end. Repeated rows and null ids give a row each. Without training texts
 every token is unseen. An empty table gives an empty table; extra columns are ignored.
@@ -27,6 +27,7 @@ every token is unseen. An empty table gives an empty table; extra columns are ig
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -34,7 +35,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,8 +59,10 @@ MEMORY = 250_000
 PART = 1_500_000
 #: Variance of the prior of token features, and gradient steps on them.
 VARIANCE, TILTS = 2.0, 8
-#: Training texts of one bucket of texts, about.
-BUCKET_TEXTS = 5000
+#: Lanes of parts, at most, and texts whose sums one task holds, about.
+LANES, MOST_TEXTS = 64, 4_000_000
+#: Rows that Python workers get at a time while events are sent and scored.
+BATCH_ROWS = 64
 #: Steps of log10 in which shares travel.
 FINE = 4096
 SALTS = 16
@@ -141,7 +143,8 @@ class Encoder:
         share[count == 0] = v.unseen_share
         return np.log10(share)
 
-    def encode(self, texts: list[bytes]) -> Coded:
+    def encode(self, texts: list[bytes], learns: np.ndarray | None = None) -> Coded:
+        """learns: which texts are training texts, if tokens seen once are looked up for the others only."""
         starts, words_ = self.make.word_hashes(b" ".join(texts).translate(LOWER_BYTES))
         ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
         lengths = np.diff(ends, prepend=0) + 1
@@ -151,7 +154,12 @@ class Encoder:
         hashes[inner] = words_
         distinct, to = np.unique(hashes, return_inverse=True)
         count, kind = self.look_up(distinct)
-        return Coded(kind[to], count[to], self.share(count, kind)[to], hashes, lengths, self.texts)
+        share = self.share(count, kind)[to]
+        count = count[to]
+        if learns is not None:
+            once = (count == 0) & np.repeat(learns, lengths)
+            count[once], share[once] = 1, self.share(np.array([1]), np.array([LAST]))[0]
+        return Coded(kind[to], count, share, hashes, lengths, self.texts)
 
 
 def contexts_of(kinds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -247,29 +255,68 @@ def vocabulary_of(counts: DataFrame) -> Vocabulary:
 def hashed_counts(counts: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted 64-bit hashes of a bounded vocabulary, their counts and classes."""
 
+    c_type, name = (pa.int32(), "int") if vocabulary.top < 1 << 31 else (pa.int64(), "bigint")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler()
         for b in batches:
             tokens = b.column(0).to_pylist()
             kinds = [kind_of(t, c, vocabulary) for t, c in zip(tokens, b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes_of(tokens, make).view(np.int64)), b.column(1), pa.array(kinds, pa.int32())], ["key", "c", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes_of(tokens, make).view(np.int64)), b.column(1).cast(c_type), pa.array(kinds, pa.int8())], ["key", "c", "kind"])
 
-    got = counts.select("token", "c").mapInArrow(run, "key bigint, c bigint, kind int").toArrow()
-    keys, c, kinds = got.column("key").to_numpy().view(np.uint64), got.column("c").to_numpy(), got.column("kind").to_numpy().astype(np.int8)
-    if vocabulary.top < 1 << 31:
-        c = c.astype(np.int32)
+    got = counts.select("token", "c").mapInArrow(run, f"key bigint, c {name}, kind tinyint").toArrow()
+    keys = got.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], c[order], kinds[order]
+    return keys[order], got.column("c").to_numpy()[order], got.column("kind").to_numpy()[order]
 
 
-class Corpus:
-    """Texts with what their tasks need to look up counts: a broadcast, or counts joined to each row."""
+def looked_up(rows: DataFrame, counts: DataFrame, vocabulary: Vocabulary, train: Column, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Like hashed_counts, without the tokens seen once that only training texts have; none if there are more than `most` such rows.
+
+    In a training text every other token was seen once, so nothing need be looked up for it."""
+    if vocabulary.distinct - vocabulary.once > most:
+        return None
+    keys, c, kinds = hashed_counts(counts.filter("c > 1"), vocabulary)
+    shared = rows.sparkSession.sparkContext.broadcast(keys)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Shingler()
+        for b in batches:
+            hashes = np.unique(make.word_hashes(b" ".join(t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()).translate(LOWER_BYTES))[1])
+            at = np.searchsorted(shared.value, hashes)
+            known = at < len(shared.value)
+            known[known] = shared.value[at[known]] == hashes[known]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[~known].view(np.int64))], ["key"])
 
-    def __init__(self, rows: DataFrame, counts: DataFrame, vocabulary: Vocabulary, broadcast_vocab: int):
-        """rows: id, text and further columns."""
-        self.vocabulary, self.shared = vocabulary, None
-        if vocabulary.distinct <= broadcast_vocab:
-            self.shared = rows.sparkSession.sparkContext.broadcast(hashed_counts(counts, vocabulary))
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Shingler()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(hashes_of(b.column(0).to_pylist(), make).view(np.int64))], ["key"])
+
+    asked = rows.filter(~train).select("text").mapInArrow(others, "key bigint").distinct()
+    found = stash(asked.join(counts.filter("c = 1").select("token").mapInArrow(hashed, "key bigint"), "key", "left_semi"))
+    if len(keys) + found.count() > most:
+        shared.destroy()
+        return None
+    keys = np.concatenate([keys, found.toArrow().column("key").to_numpy().view(np.uint64)])
+    shared.destroy()
+    once = len(keys) - len(c)
+    order = np.argsort(keys)
+    return keys[order], np.concatenate([c, np.ones(once, c.dtype)])[order], np.concatenate([kinds, np.full(once, LAST, kinds.dtype)])[order]
+
+
+class Corpus:
+    """Texts with what their tasks need to look up counts: a broadcast of all, a broadcast of those that texts ask for, or counts joined to each row."""
+
+    def __init__(self, rows: DataFrame, counts: DataFrame, vocabulary: Vocabulary, broadcast_vocab: int, train: Column | None = None):
+        """rows: id, text and further columns. train: which of them are training texts, if only their tokens are in `counts`."""
+        self.vocabulary, self.shared, self.partly = vocabulary, None, False
+        found = hashed_counts(counts, vocabulary) if vocabulary.distinct <= broadcast_vocab else None
+        if found is None and train is not None and broadcast_vocab:
+            found = looked_up(rows, counts, vocabulary, train, broadcast_vocab)
+            self.partly = found is not None
+        if found is not None:
+            self.shared = rows.sparkSession.sparkContext.broadcast(found)
             self.rows = rows.withColumns({"tokens": F.lit(None).cast("array<binary>"), "counts": F.lit(None).cast("array<bigint>")})
             return
         key = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
@@ -289,8 +336,8 @@ class Corpus:
         self.rows = keyed.join(found, "key").withColumns({"tokens": F.col("found.token"), "counts": F.col("found.c")}).drop("key", "found")
 
     def reader(self) -> Callable[[pa.RecordBatch], Iterator[tuple[int, int, Coded]]]:
-        """A function for one task: cuts batches into parts and yields (first row, rows, their coded tokens)."""
-        shared, vocabulary = self.shared, self.vocabulary
+        """A function for one task: cuts batches into parts and yields (first row, rows, their coded tokens). Without a column `train` all rows are training texts."""
+        shared, vocabulary, partly = self.shared, self.vocabulary, self.partly
         made, make = [], Shingler()
 
         def of(known: dict[bytes, int]) -> Encoder:
@@ -312,7 +359,10 @@ class Corpus:
                     if not made:
                         made.append(Encoder(vocabulary, *shared.value))
                     encoder = made[0]
-                yield start, part.num_rows, encoder.encode(texts)
+                learns = None
+                if partly:
+                    learns = part.column(names.index("train")).to_numpy(zero_copy_only=False).astype(bool) if "train" in names else np.ones(part.num_rows, dtype=bool)
+                yield start, part.num_rows, encoder.encode(texts, learns)
 
         return read
 
@@ -405,11 +455,71 @@ def tilt(group: np.ndarray, token: np.ndarray, base: np.ndarray, weight: np.ndar
     return out
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Small batches put together until they have so many rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held.clear()
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _small(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs, behind their width."""
+    most = int(values.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return width.to_bytes(1, "little") + values.astype(f"<u{width}").tobytes()
+
+
+def _read_small(blob: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    width = blob[at]
+    return np.frombuffer(blob, f"<u{width}", n, at + 1), at + 1 + n * width
+
+
+def pack_events(parts: int, entry: np.ndarray, group: np.ndarray, token: np.ndarray, share: np.ndarray, train: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(part, blob) of the events of some texts; entry: their texts, train: how many training rows these have.
+
+    A blob has each group once, each pair of group and token once, and two bytes for each event: its text. So its size does not depend on how many parts a text's events are dealt to."""
+    part = (group % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+    pair = group >> np.uint64(32) << np.uint64(32) | token
+    order = np.argsort(pair)
+    order = order[np.argsort(part[order], kind="stable")]
+    part, pair, entry, share = part[order], pair[order], entry[order].astype("<u2"), share[order].astype("<u2")
+    first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (part[1:] != part[:-1])])[: len(pair)])
+    n, weight = np.diff(first, append=len(pair)), np.add.reduceat(train[entry], first) if len(first) else first
+    part_of, pair, share = part[first], pair[first], share[first]
+    name = (pair >> np.uint64(32)).astype("<u4")
+    lead = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (part_of[1:] != part_of[:-1])])[: len(name)])
+    pairs = np.diff(lead, append=len(name))
+    met = np.unique(part_of)
+    ends = np.stack([np.searchsorted(x, met, side=side) for x in (part, part_of, part_of[lead]) for side in ("left", "right")], axis=1).tolist()
+    token = (pair & np.uint64(0xFFFFFFFF)).astype("<u4")
+    for p, (a, b, c, d, e, f) in zip(met.tolist(), ends, strict=True):
+        head = np.array([b - a, d - c, f - e], "<u4").tobytes()
+        yield p, head + b"".join([name[lead[e:f]].tobytes(), token[c:d].tobytes(), share[c:d].tobytes(), entry[a:b].tobytes(), _small(pairs[e:f]), _small(n[c:d]), _small(weight[c:d])])
+
+
+def unpack_events(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Of each pair: group, token, share, weight (training rows of its events), number of events; of each event its text."""
+    events, pairs, groups = np.frombuffer(blob, "<u4", 3).tolist()
+    at, out = 12, []
+    for kind, n in (("<u4", groups), ("<u4", pairs), ("<u2", pairs), ("<u2", events)):
+        out.append(np.frombuffer(blob, kind, n, at))
+        at += out[-1].nbytes
+    in_group, at = _read_small(blob, at, groups)
+    n, at = _read_small(blob, at, pairs)
+    weight, at = _read_small(blob, at, pairs)
+    return np.repeat(out[0], in_group), out[1], out[2], weight, n, out[3]
+
+
 def send_events(corpus: Corpus, train: Column, parts: int, big: Big = NONE, weights: Broadcast | None = None) -> DataFrame:
-    """part, blob: the events of all texts, dealt by group; see token_events for `big`. A blob has entries (text key, events, training rows), marks and the events' arrays.
+    """part, batch, texts, blob: the events of all texts, dealt by group; see token_events for `big` and pack_events for blobs. batch: some texts that a task has met, named by their keys.
 
-    Texts that are equal and met together are one entry. Each also has one mark in some part, with its sizes and what its tokens give without features of tokens (their classes by `weights`,
-    if given), so that what was sent several times is told by these."""
+    Texts that are equal and in one batch are one of its texts. In part -1 a batch has its marks: the sizes of each text and what its tokens give without features of tokens (their classes by `weights`,
+    if given). Batches of one name have equal texts, so what came several times is told by the number of their marks."""
     read, below = corpus.reader(), corpus.vocabulary.below
 
     def mark_of(coded: Coded, by_class: ClassScores | None) -> np.ndarray:
@@ -423,46 +533,36 @@ def send_events(corpus: Corpus, train: Column, parts: int, big: Big = NONE, weig
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_class = None if weights is None else ClassScores(weights.value)
         keys: dict[int, int] = {}
+        learned: list[int] = []
         rows: list[int] = []
         held: list[tuple[np.ndarray, ...]] = []
         said: list[np.ndarray] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            entry, group, token, share = (np.concatenate(x) for x in zip(*held, strict=True))
-            name, n_train, marks = np.array(list(keys), dtype=np.int64), np.array(rows, dtype=np.int32), np.concatenate(said)
-            marks["key"] = name
-            part, brief = (group % np.uint64(parts)).astype(np.int64), (group >> np.uint64(32)).astype(np.uint32)
-            order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
-            mark = (name.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-            by_mark = np.argsort(mark, kind="stable")
-            met = np.union1d(part, mark)
-            cuts, cuts_mark = (np.stack([np.searchsorted(x, met), np.searchsorted(x, met, side="right")], axis=1).tolist() for x in (part[order], mark[by_mark]))
-            names, blobs = [], []
-            for p, (a, b), (c, d) in zip(met.tolist(), cuts, cuts_mark, strict=True):
-                own, marked = order[a:b], by_mark[c:d]
-                first = np.flatnonzero(np.diff(entry[own], prepend=-1))
-                which, n = entry[own][first], np.diff(first, append=len(own))
-                entries = np.zeros(len(which), dtype=ENTRY)
-                entries["key"], entries["n"], entries["train"] = name[which], n, n_train[which]
-                names.append(p)
-                blobs.append(len(entries).to_bytes(8, "little") + len(marked).to_bytes(8, "little") + entries.tobytes() + marks[marked].tobytes() + b"".join(x[own].tobytes() for x in (brief, token, share)))
-            keys.clear(), rows.clear(), held.clear(), said.clear()
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
-
-        for batch in batches:
+            marks, n_train = np.concatenate(said), np.array(learned, dtype=np.int64)
+            marks["key"], marks["rows"] = list(keys), rows
+            batch = int.from_bytes(hashlib.blake2b(marks["key"].tobytes(), digest_size=8).digest(), "little", signed=True)
+            events = [np.concatenate(x) for x in zip(*held, strict=True)]
+            keys.clear(), learned.clear(), rows.clear(), held.clear(), said.clear()
+            names, blobs = zip((-1, marks.tobytes()), *pack_events(parts, *events, n_train), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(np.full(len(names), batch)), pa.array(np.full(len(names), len(marks), np.int32)), pa.array(blobs, pa.binary())], ["part", "batch", "texts", "blob"])
+
+        for batch in gathered(batches):
             own_keys, learns = batch.column(batch.schema.get_field_index("key")).to_pylist(), batch.column(batch.schema.get_field_index("train")).to_pylist()
             for start, n, coded in read(batch):
                 index = np.full(n, -1)
                 for i, (k, learn) in enumerate(zip(own_keys[start : start + n], learns[start : start + n], strict=True)):
                     if k not in keys:
                         index[i] = keys[k] = len(keys)
+                        learned.append(0)
                         rows.append(0)
-                    rows[keys[k]] += learn
+                    learned[keys[k]] += learn
+                    rows[keys[k]] += 1
                 text, *arrays = token_events(coded, np.array(own_keys[start : start + n], dtype=np.int64).view(np.uint64), big=big)
                 said.append(mark_of(coded, by_class)[index >= 0])
                 fresh = index[text] >= 0
-                held.append((index[text][fresh], *(x[fresh] for x in arrays)))
+                held.append((index[text][fresh].astype(np.uint16), *(x[fresh] for x in arrays)))
                 size += int(fresh.sum())
                 if size > 1_000_000 or len(keys) > 50_000:
                     yield out()
@@ -470,19 +570,11 @@ def send_events(corpus: Corpus, train: Column, parts: int, big: Big = NONE, weig
         if held:
             yield out()
 
-    return corpus.rows.select("text", "tokens", "counts", F.xxhash64("text").alias("key"), train.alias("train")).mapInArrow(run, "part int, blob binary")
-
-
-#: What a blob says of one text.
-ENTRY = np.dtype([("key", "<i8"), ("n", "<i4"), ("train", "<i4")])
+    return corpus.rows.select("text", "tokens", "counts", F.xxhash64("text").alias("key"), train.alias("train")).mapInArrow(run, "part int, batch bigint, texts int, blob binary")
 
 
-#: What is known of one text before its events are scored: its tokens, those that training has, the base score, and the score without features of tokens.
-MARK = np.dtype([("key", "<i8"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("own", "<f8")])
-
-
-#: What a part says of one text.
-SUM = np.dtype([("key", "<i8"), ("add", "<f8")])
+#: What is known of one text before its events are scored: its tokens, those that training has, the base score, and the score without features of tokens; its rows in a batch.
+MARK = np.dtype([("key", "<i8"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("own", "<f8"), ("rows", "<i8")])
 
 
 #: The weight of one token in a cut group, and that of tokens without a feature.
@@ -554,58 +646,80 @@ def tilt_with(weights: np.ndarray, group: np.ndarray, token: np.ndarray, base: n
     return out
 
 
-def _packed(rows: np.ndarray, buckets: int) -> dict[int, bytes]:
-    """Rows with a text's key, by the bucket of the text."""
-    bucket = (rows["key"].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-    rows = rows[np.argsort(bucket, kind="stable")]
-    met, first = np.unique(np.sort(bucket), return_index=True)
-    return {b: x.tobytes() for b, x in zip(met.tolist(), np.split(rows, first[1:]), strict=False)}
-
-
-def score_events(events: DataFrame, buckets: int = 1, weights: DataFrame | None = None) -> DataFrame:
-    """key, add and the fields of MARK: for each text what its tokens' features add to its log10 probability. A part gives its sums and marks packed by buckets of texts, which are merged. weights: see big_weights."""
-
-    def run(group: pa.Table) -> pa.Table:
-        entries, marks, columns = [], [], [[], [], []]
-        known = [np.frombuffer(x.as_py(), WEIGHT) for x in group.filter(group.column("fitted")).column("blob")]
-        known = np.concatenate([np.empty(0, WEIGHT), *known])
-        known = known[np.lexsort((known["token"], known["group"]))]
-        group = group.filter(pc.invert(group.column("fitted")))
-        if not group.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.binary())], ["bucket", "sums", "marks"])
-        for value in group.column("blob"):
-            blob = value.as_py()
-            n, n_marks = int.from_bytes(blob[:8], "little"), int.from_bytes(blob[8:16], "little")
-            entries.append(np.frombuffer(blob, ENTRY, n, 16))
-            marks.append(np.frombuffer(blob, MARK, n_marks, 16 + n * ENTRY.itemsize))
-            at, m = 16 + n * ENTRY.itemsize + n_marks * MARK.itemsize, int(entries[-1]["n"].sum())
-            for to, kind in zip(columns, (np.uint32, np.uint32, np.uint16), strict=True):
-                to.append(np.frombuffer(blob, kind, m, at))
-                at += m * np.dtype(kind).itemsize
-        own = np.concatenate(entries)
-        last, token, share = (np.concatenate(x) for x in columns)
-        of = np.repeat(np.arange(len(own)), own["n"])
-        weight = own["train"][of].astype(np.float64)
-        base = 10.0 ** (share.astype(np.float64) / -FINE)
-        pair = tilt_with(known, last, token, base, weight)
-        add = np.bincount(of, pair, minlength=len(own)) / np.log(10)
-        keys, to = np.unique(own["key"], return_inverse=True)
-        sums = np.zeros(len(keys), dtype=SUM)
-        sums["key"], sums["add"] = keys, np.bincount(to, add, minlength=len(keys))
-        packed = [_packed(x, buckets) for x in (sums, np.concatenate(marks))]
-        met = sorted({b for x in packed for b in x})
-        return pa.table([pa.array(met, pa.int64()), *[pa.array([x.get(b, b"") for b in met], pa.binary()) for x in packed]], ["bucket", "sums", "marks"])
+def score_events(events: DataFrame, lanes: int = 1, weights: DataFrame | None = None) -> DataFrame:
+    """key, add and the fields of MARK: for each text what its tokens' features add to its log10 probability. weights: see big_weights.
+
+    Parts are scored one after another in `lanes` (of each task one or more), and a lane adds up the sums of its texts over its parts, so what returns for a text grows with lanes, not with parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        held: list[tuple[int, int, bytes]] = []
+        fitted: list[bytes] = []
+        at = None
+
+        def score_part() -> Iterator[pa.RecordBatch]:
+            known = np.concatenate([np.empty(0, WEIGHT), *[np.frombuffer(x, WEIGHT) for x in fitted]])
+            known = known[np.lexsort((known["token"], known["group"]))]
+            each = [unpack_events(x) for _, _, x in held]
+            group, token, share, weight = (np.concatenate([x[i] for x in each]) for i in range(4))
+            each = [x[4:] for x in each]
+            value = tilt_with(known, group, token, 10.0 ** (share.astype(np.float64) / -FINE), weight.astype(np.float64)) / np.log(10)
+            first, size = 0, sum(len(x) for x in sums.values())
+            for (batch, texts, _), (n, text) in zip(held, each, strict=True):
+                if batch not in sums:
+                    if size > MOST_TEXTS:
+                        yield from out()
+                        size = 0
+                    sums[batch] = np.zeros(texts)
+                    size += texts
+                sums[batch] += np.bincount(text, np.repeat(value[first : first + len(n)], n), minlength=texts)
+                first += len(n)
+            held.clear()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for batch, add in sums.items():
+                met = add != 0
+                yield pa.RecordBatch.from_arrays([pa.array([batch]), pa.array([np.packbits(met).tobytes() + add[met].tobytes()], pa.binary()), pa.array([None], pa.binary())], ["batch", "sums", "marks"])
+            sums.clear()
+
+        for b in batches:
+            for part, batch, texts, is_fitted, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if part != at:
+                    if held:
+                        yield from score_part()
+                    fitted.clear()
+                    at = part
+                if part < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([batch]), pa.array([None], pa.binary()), pa.array([blob], pa.binary())], ["batch", "sums", "marks"])
+                elif is_fitted:
+                    fitted.append(blob)
+                else:
+                    held.append((batch, texts, blob))
+        if held:
+            yield from score_part()
+        yield from out()
 
     def merge(group: pa.Table) -> pa.Table:
-        sums, marks = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in group.column(name)]) for name, kind in (("sums", SUM), ("marks", MARK)))
-        keys, first, times = np.unique(marks["key"], return_index=True, return_counts=True)
-        add = np.bincount(np.searchsorted(keys, sums["key"]), sums["add"], minlength=len(keys)) / times
-        return pa.table([pa.array(keys), pa.array(add), *[pa.array(marks[x][first]) for x in MARK.names[1:]]], ["key", "add", *MARK.names[1:]])
+        marks = [x.as_py() for x in group.column("marks") if x.is_valid]
+        own = np.frombuffer(marks[0], MARK)
+        add = np.zeros(len(own))
+        for x in group.column("sums"):
+            if x.is_valid:
+                blob = x.as_py()
+                met = np.unpackbits(np.frombuffer(blob, np.uint8, -(-len(own) // 8)), count=len(own)).astype(bool)
+                add[met] += np.frombuffer(blob, np.float64, int(met.sum()), -(-len(own) // 8))
+        rows = np.sum([np.frombuffer(x, MARK)["rows"] for x in marks], axis=0)
+        return pa.table([pa.array(own["key"]), pa.array(add / len(marks)), *[pa.array(own[x]) for x in MARK.names[1:-1]], pa.array(rows)], ["key", "add", *MARK.names[1:]])
 
     events = events.withColumn("fitted", F.lit(False))
     if weights is not None:
-        events = events.unionByName(weights.withColumn("fitted", F.lit(True)))
-    return events.groupBy("part").applyInArrow(run, "bucket bigint, sums binary, marks binary").groupBy("bucket").applyInArrow(merge, "key bigint, add double, tokens bigint, known bigint, base double, own double")
+        events = events.unionByName(weights.withColumns({"fitted": F.lit(True), "batch": F.lit(0).cast("bigint"), "texts": F.lit(0)}))
+    lane = F.pmod(F.when(F.col("part") < 0, F.col("batch")).otherwise(F.col("part")), F.lit(lanes)).cast("int")
+    # the weights of a part come before its events
+    sums = events.withColumn("lane", lane).repartition("lane").sortWithinPartitions("lane", "part", F.desc("fitted")).select("part", "batch", "texts", "fitted", "blob").mapInArrow(run, "batch bigint, sums binary, marks binary")
+    texts = sums.groupBy("batch").applyInArrow(merge, "key bigint, add double, tokens bigint, known bigint, base double, own double, rows bigint")
+    # a text that several batches have is the same in each
+    return texts.groupBy("key").agg(*[F.max(c).alias(c) for c in ("add", *MARK.names[1:-1])], F.sum("rows").alias("rows"))
 
 
 def class_counts(corpus: Corpus, train: Column, partitions: int, most: int = PART) -> DataFrame:
@@ -695,18 +809,27 @@ def score(docs: DataFrame, held_out: int = 1, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (fold_of(F.col(id_col)) == held_out).alias("held_out"))
     counts = stash(count_tokens(rows.filter(~F.col("held_out")).select("text")))
     vocabulary = vocabulary_of(counts)
-    corpus = Corpus(rows, counts, vocabulary, broadcast_vocab)
+    corpus = Corpus(rows, counts, vocabulary, broadcast_vocab, ~F.col("held_out"))
     classes = stash(class_counts(corpus, ~F.col("held_out"), partitions, part))
     weights = fit(classes.filter("context >= 0")).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(weights)
     parts = max(1, -(-vocabulary.total // part))
-    # each bucket gives each of its texts once
     big = big_groups(classes, part)
     of_big = big_weights(corpus, ~F.col("held_out"), parts, big) if len(big.groups) else None
-    adds = stash(score_events(send_events(corpus, ~F.col("held_out"), parts, big, shared), 1 + vocabulary.texts // BUCKET_TEXTS, of_big))
-    # a text with a third of all rows spreads over several tasks
-    adds = adds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = rows.select("id", "held_out", F.xxhash64("text").alias("key"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")).join(adds, ["key", "salt"], "left")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, str(min(BATCH_ROWS, max(1, int(before)) if int(before) > 0 else BATCH_ROWS)))
+    try:
+        adds = stash(score_events(send_events(corpus, ~F.col("held_out"), parts, big, shared), min(LANES, parts), of_big))
+    finally:
+        spark.conf.set(size, before)
+    # texts with a thousandth of all rows or more, a thousand at most, spread over several tasks
+    hot = F.col("rows") * 1000 >= F.lit(adds.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
+    keyed = rows.select("id", "held_out", F.xxhash64("text").alias("key")).join(F.broadcast(adds.filter(hot).select("key", F.lit(True).alias("hot"))), "key", "left")
+    keyed = keyed.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0))
+    adds = adds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(hot, SALTS - 1).otherwise(0))))
+    out = keyed.join(adds.drop("rows"), ["key", "salt"], "left")
     total = F.lit(vocabulary.total).cast("bigint").alias("train_tokens")
     out = out.select("id", "held_out", F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), total, F.col("base").alias("base_score"), (F.col("own") + F.col("add")).alias("score"))
     return out.withColumnRenamed("id", id_col)

@@ -247,3 +247,43 @@ def test_sums_bring_all_that_a_text_needs(spark, odd):
         by_class = M.class_log_probabilities(weights, M.contexts_of(c.kind, c.lengths))[np.arange(len(c.kind)), c.kind] / np.log(10)
         assert (one.tokens, one.known) == (len(c.kind), (c.count > 0).sum())
         assert np.isclose(one.own, (by_class + c.share).sum(), rtol=1e-5) and np.isclose(one.base, (np.log10(c.count + 0.5) - vocabulary.below).sum())
+
+
+def sent(spark, rows, most=10**6):
+    keyed = rows.select(F.col("doc_id").alias("id"), "text", (M.fold_of(F.col("doc_id")) == 1).alias("held_out"))
+    counts = M.stash(M.count_tokens(keyed.filter(~F.col("held_out")).select("text")))
+    vocabulary = M.vocabulary_of(counts)
+    return M.Corpus(keyed, counts, vocabulary, most), vocabulary
+
+
+def test_what_is_sent_does_not_grow_with_the_number_of_parts(spark, docs):
+    """A text whose events go to hundreds of parts does not name itself in each."""
+    corpus, _ = sent(spark, docs)
+    size = {p: M.send_events(corpus, ~F.col("held_out"), p).agg(F.sum(F.length("blob"))).first()[0] for p in (5, 500)}
+    assert size[500] < 1.25 * size[5]
+    few, many = ({r.key: r.add for r in M.score_events(M.send_events(corpus, ~F.col("held_out"), p), 3).collect()} for p in (5, 500))
+    assert few.keys() == many.keys() and max(abs(few[k] - many[k]) for k in few) < 1e-6
+
+
+def test_sums_return_once_for_each_lane(spark, docs, monkeypatch):
+    """Parts add up before anything returns, also if a task can hold the sums of few texts only."""
+    corpus, _ = sent(spark, docs.union(docs.limit(7)).repartition(3))
+    whole = {r.key: r for r in M.score_events(M.send_events(corpus, ~F.col("held_out"), 40), 2).collect()}
+    monkeypatch.setattr(M, "MOST_TEXTS", 10)
+    small = {r.key: r for r in M.score_events(M.send_events(corpus, ~F.col("held_out"), 40), 40).collect()}
+    assert whole.keys() == small.keys() and sum(r.rows for r in whole.values()) == docs.count() + 7
+    assert max(abs(whole[k].add - small[k].add) for k in whole) < 1e-6 and all(whole[k][2:] == small[k][2:] for k in whole)
+
+
+def test_tokens_that_no_held_out_text_has_twice_are_not_broadcast(spark, docs, odd):
+    """A vocabulary just too large: tokens seen once are looked up for held-out texts only, with equal scores, and texts are not joined with their tokens."""
+    again = docs.filter(M.fold_of(F.col("doc_id")) != 1).limit(9).withColumn("doc_id", F.explode(F.sequence(F.lit(10**6), F.lit(10**6 + 3))))
+    rows = docs.select("doc_id", "text").union(odd.select("doc_id", "text")).union(again.select("doc_id", "text"))
+    _, vocabulary = sent(spark, rows)
+    keyed = rows.select(F.col("doc_id").alias("id"), "text", (M.fold_of(F.col("doc_id")) == 1).alias("held_out"))
+    counts = M.stash(M.count_tokens(keyed.filter(~F.col("held_out")).select("text")))
+    corpus = M.Corpus(keyed, counts, vocabulary, vocabulary.distinct - 1, ~F.col("held_out"))
+    assert corpus.partly and len(corpus.shared.value[0]) < 0.9 * vocabulary.distinct
+    key = lambda r: (str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), r.score)
+    whole, partly = (sorted(map(key, M.score(rows, broadcast_vocab=n, partitions=2).collect())) for n in (10**6, vocabulary.distinct - 1))
+    assert [x[:4] for x in whole] == [x[:4] for x in partly] and np.allclose([x[4] for x in whole], [x[4] for x in partly], rtol=1e-9, atol=1e-6)
